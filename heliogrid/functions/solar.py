@@ -72,8 +72,7 @@ def eccentricity(t: Column) -> Column:
     return _poly(t, 0.016708634, -0.000042037, -0.0000001267)
 
 
-def equation_of_center(t: Column) -> Column:
-    m = mean_anomaly(t)
+def equation_of_center(t: Column, m: Column) -> Column:
     return (
         _sin(m) * _poly(t, 1.914602, -0.004817, -0.000014)
         + _sin(m * 2.0) * _poly(t, 0.019993, -0.000101)
@@ -81,26 +80,18 @@ def equation_of_center(t: Column) -> Column:
     )
 
 
-def true_longitude(t: Column) -> Column:
-    return mean_longitude(t) + equation_of_center(t)
+def distance(m: Column, e: Column, center: Column) -> Column:
+    """Earth-Sun distance in astronomical units; m + center is the true anomaly."""
+    return (F.lit(1.0) - e * e) * 1.000001018 / (F.lit(1.0) + e * _cos(m + center))
 
 
-def true_anomaly(t: Column) -> Column:
-    return mean_anomaly(t) + equation_of_center(t)
-
-
-def sun_distance(t: Column) -> Column:
-    """Earth-Sun distance in astronomical units."""
-    e = eccentricity(t)
-    return (F.lit(1.0) - e * e) * 1.000001018 / (F.lit(1.0) + e * _cos(true_anomaly(t)))
-
-
-def _node(t: Column) -> Column:
+def node_longitude(t: Column) -> Column:
     return _poly(t, 125.04, -1934.136)
 
 
-def apparent_longitude(t: Column) -> Column:
-    return true_longitude(t) - 0.00569 - _sin(_node(t)) * 0.00478
+def apparent_longitude(l0: Column, center: Column, node: Column) -> Column:
+    """True longitude l0 + center, corrected for aberration and nutation."""
+    return l0 + center - 0.00569 - _sin(node) * 0.00478
 
 
 def mean_obliquity(t: Column) -> Column:
@@ -108,23 +99,20 @@ def mean_obliquity(t: Column) -> Column:
     return F.lit(23.0) + (F.lit(26.0) + arcsec / 60.0) / 60.0
 
 
-def obliquity(t: Column) -> Column:
-    return mean_obliquity(t) + _cos(_node(t)) * 0.00256
+def obliquity(t: Column, node: Column) -> Column:
+    return mean_obliquity(t) + _cos(node) * 0.00256
 
 
-def right_ascension(t: Column) -> Column:
-    lam = apparent_longitude(t)
-    return F.degrees(F.atan2(_cos(obliquity(t)) * _sin(lam), _cos(lam)))
+def right_ascension(tilt: Column, lam: Column) -> Column:
+    return F.degrees(F.atan2(_cos(tilt) * _sin(lam), _cos(lam)))
 
 
-def declination(t: Column) -> Column:
-    return F.degrees(F.asin(_sin(obliquity(t)) * _sin(apparent_longitude(t))))
+def declination(tilt: Column, lam: Column) -> Column:
+    return F.degrees(F.asin(_sin(tilt) * _sin(lam)))
 
 
-def equation_of_time(t: Column) -> Column:
-    l0, m, e = mean_longitude(t), mean_anomaly(t), eccentricity(t)
-    half = _tan(obliquity(t) / 2.0)
-    y = half * half
+def equation_of_time(l0: Column, m: Column, e: Column, half_tilt_tan: Column) -> Column:
+    y = half_tilt_tan * half_tilt_tan
     radians = (
         y * _sin(l0 * 2.0)
         - e * 2.0 * _sin(m)
@@ -135,6 +123,10 @@ def equation_of_time(t: Column) -> Column:
     return F.degrees(radians * 4.0)
 
 
+def half_tilt_tangent(tilt: Column) -> Column:
+    return _tan(tilt / 2.0)
+
+
 def sunrise_hour_angle(lat: Column, decl: Column) -> Column:
     """Hour angle of sunrise in degrees; NULL during polar day or night."""
     arg = F.cos(F.radians(F.lit(SUNRISE_ZENITH))) / (_cos(lat) * _cos(decl)) - _tan(lat) * _tan(decl)

@@ -16,27 +16,46 @@ TERMINATOR_POINTS = 50
 
 
 def with_sun_state(df: DataFrame, jd: str = "jd", prefix: str = "") -> DataFrame:
-    """Adds the equation of time and the declination at a Julian-day column."""
-    t = f"_{prefix}t"
-    staged = df.withColumn(t, solar.julian_century(F.col(jd)))
-    return staged.withColumns(
-        {f"{prefix}eqt": solar.equation_of_time(F.col(t)), f"{prefix}decl": solar.declination(F.col(t))}
-    ).drop(t)
+    """Adds distance, right ascension, declination and the equation of time at a Julian day.
+
+    One projection per level of the series: each works on finished columns, so the
+    generated code stays short. Quantities that are not used are pruned.
+    """
+    c = F.col
+    staged = (
+        df.withColumn("_t", solar.julian_century(c(jd)))
+        .withColumns(
+            {
+                "_l0": solar.mean_longitude(c("_t")),
+                "_m": solar.mean_anomaly(c("_t")),
+                "_e": solar.eccentricity(c("_t")),
+                "_node": solar.node_longitude(c("_t")),
+            }
+        )
+        .withColumns(
+            {"_c": solar.equation_of_center(c("_t"), c("_m")), "_tilt": solar.obliquity(c("_t"), c("_node"))}
+        )
+        .withColumns(
+            {
+                "_lam": solar.apparent_longitude(c("_l0"), c("_c"), c("_node")),
+                "_half": solar.half_tilt_tangent(c("_tilt")),
+            }
+        )
+    )
+    quantities = {
+        "distance": solar.distance(c("_m"), c("_e"), c("_c")),
+        "right_ascension": solar.right_ascension(c("_tilt"), c("_lam")),
+        "decl": solar.declination(c("_tilt"), c("_lam")),
+        "eqt": solar.equation_of_time(c("_l0"), c("_m"), c("_e"), c("_half")),
+    }
+    return staged.select(*df.columns, *[q.alias(f"{prefix}{n}") for n, q in quantities.items()])
 
 
 def day_sun(days: DataFrame, stamp: str = "day") -> DataFrame:
-    """Julian day, equation of time and declination per date."""
+    """Julian day and the solar quantities of each date."""
     return with_sun_state(days.withColumn("jd", solar.julian_day(F.col(stamp))))
 
 
-def day_solar_quantities(days: DataFrame, stamp: str = "day") -> DataFrame:
-    """Julian day, distance, right ascension, declination and equation of time per date."""
-    staged = day_sun(days, stamp).withColumn("_t", solar.julian_century(F.col("jd")))
-    return staged.withColumns(
-        {"distance": solar.sun_distance(F.col("_t")), "right_ascension": solar.right_ascension(F.col("_t"))}
-    ).drop("_t")
-
-
 def days_by_stations(days: DataFrame, stations: DataFrame) -> DataFrame:
     """Every day with every station: the design rows of the station models."""
     return pair_up(days, stations)

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from oracles import tables
+from oracles import reduce, tables
 
-SQL = {**tables.SQL}
+SQL = {**tables.SQL, **reduce.SQL}
