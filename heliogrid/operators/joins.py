@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 100_000
 SALTS = 32
@@ -27,8 +28,23 @@ def bounded_rows(df: DataFrame, max_rows: int):
     return rows if len(rows) <= max_rows else None
 
 
-def _salt_of(columns, salts: int) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
+def _key_columns(df: DataFrame) -> list[str]:
+    """Columns of key types; measured values and arrays take no part in salts."""
+    values = (T.DoubleType, T.FloatType, T.ArrayType, T.StructType, T.MapType)
+    keys = [f.name for f in df.schema if not isinstance(f.dataType, values)]
+    return keys or df.columns
+
+
+def _salt_of(df: DataFrame, salts: int) -> Column:
+    """Hash of the keys, masked to a power of two.
+
+    The mask is never NULL, so no IS NOT NULL test on it is pushed down to the scan,
+    where it would repeat the work that made the columns.
+    """
+    if salts & (salts - 1):
+        raise ValueError("the number of salts must be a power of two")
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in _key_columns(df)])
+    return hashed.bitwiseAND(F.lit(salts - 1)).cast("int")
 
 
 def _every_salt(salts: int) -> Column:
@@ -51,20 +67,30 @@ def lookup_join(
     """
     if is_bounded(lookup, max_rows):
         return facts.join(F.broadcast(lookup), on, how)
-    salted = facts.withColumn("_salt", _salt_of(facts.columns, salts))
+    salted = facts.withColumn("_salt", _salt_of(facts, salts))
     spread = lookup.withColumn("_salt", _every_salt(salts))
     return salted.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
-def pair_up(left: DataFrame, right: DataFrame, left_parts: int = 8, right_parts: int = 8) -> DataFrame:
+def shuffle_width(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def pair_up(left: DataFrame, right: DataFrame, left_parts: int = 8, right_parts: int = 8, spread_left: bool = False) -> DataFrame:
     """Every left row with every right row, where the pairs are the wanted result.
 
     Rows get a block number on their own side and are repeated over the blocks of
     the other side; the equi-join on (left block, right block) then spreads the
-    pairs evenly over left_parts * right_parts tasks, however large either side is.
+    pairs evenly over left_parts * right_parts groups, however large either side is.
+    Spark broadcasts a side only if it measures it small enough.
+
+    ``spread_left`` is for a left side of few rows (such as calendar days) that grows
+    by the join: it is distributed first, so the pairs are not made in one task.
     """
-    lhs = left.withColumn("_lb", _salt_of(left.columns, left_parts)).withColumn("_rb", _every_salt(right_parts))
-    rhs = right.withColumn("_rb", _salt_of(right.columns, right_parts)).withColumn("_lb", _every_salt(left_parts))
+    lhs = left.withColumn("_lb", _salt_of(left, left_parts)).withColumn("_rb", _every_salt(right_parts))
+    rhs = right.withColumn("_rb", _salt_of(right, right_parts)).withColumn("_lb", _every_salt(left_parts))
+    if spread_left:
+        lhs = lhs.repartition(shuffle_width(left), "_lb", "_rb")
     return lhs.join(rhs, ["_lb", "_rb"]).drop("_lb", "_rb")
 
 

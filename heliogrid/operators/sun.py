@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliogrid.functions import solar
-from heliogrid.operators.joins import pair_up
+from heliogrid.operators.joins import pair_up, shuffle_width
 
 TERMINATOR_POINTS = 50
 
@@ -58,7 +58,7 @@ def day_sun(days: DataFrame, stamp: str = "day") -> DataFrame:
 
 def days_by_stations(days: DataFrame, stations: DataFrame) -> DataFrame:
     """Every day with every station: the design rows of the station models."""
-    return pair_up(days, stations)
+    return pair_up(days, stations, spread_left=True)
 
 
 def sunrise_sunset(days: DataFrame, stations: DataFrame) -> DataFrame:
@@ -117,8 +117,9 @@ def terminator_raster(days: DataFrame, lats: tuple, lons: tuple, points: int = T
     """Zenith angle on a points x points raster at every date."""
     last = points - 1
     place = lambda span, i: F.lit(float(span[0])) + i * ((span[1] - span[0]) / last)
+    few_rows = days.repartition(shuffle_width(days), stamp)
     raster = (
-        day_sun(days, stamp)
+        day_sun(few_rows, stamp)
         .withColumn("ilat", F.explode(F.sequence(F.lit(0), F.lit(last))))
         .withColumn("ilon", F.explode(F.sequence(F.lit(0), F.lit(last))))
         .withColumns({"lat": place(lats, F.col("ilat")), "lon": place(lons, F.col("ilon"))})

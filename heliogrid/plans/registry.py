@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from heliogrid.plans import queries_reduce, queries_tables
+from heliogrid.plans import queries_reduce, queries_spatial, queries_tables
 
-QUERIES = {**queries_tables.QUERIES, **queries_reduce.QUERIES}
+QUERIES = {**queries_tables.QUERIES, **queries_reduce.QUERIES, **queries_spatial.QUERIES}

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from oracles import reduce, tables
+from oracles import reduce, spatial, tables
 
-SQL = {**tables.SQL, **reduce.SQL}
+SQL = {**tables.SQL, **reduce.SQL, **spatial.SQL}
