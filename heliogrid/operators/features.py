@@ -51,7 +51,7 @@ def local_features(
     maps = g.maps_by_label(reduced, ["day"], label, names, spec)
     maps = maps.withColumn("doy", day_of_year(F.col("day")))
     placed = g.cell_position(stations, spec)
-    rows = pair_up(maps, placed, spread_left=True)
+    rows = pair_up(maps, placed)
     picked = []
     for n in names:
         for i, j in g.window_offsets(k):
@@ -73,7 +73,7 @@ def local_features(
 def global_features(cube: DataFrame, stations: DataFrame, spec: g.GridSpec, features) -> DataFrame:
     """The whole map of every feature, per day, attached to each station."""
     wide = widen_cells(ensemble_then_hour_mean(cube), ["day"], features, spec.n_lat, spec.n_lon)
-    return pair_up(wide, stations.select("stid"), spread_left=True)
+    return pair_up(wide, stations.select("stid"))
 
 
 # ---------------------------------------------------------------- edge rows
@@ -106,7 +106,7 @@ def edge_features(cube, stations, grid, spec: g.GridSpec, features, hours, ops=(
     maps = g.maps_by_label(stats, ["day"], F.concat(F.lit("h"), F.col("hour").cast("string")), slots, spec, values)
     corners = lookup_join(g.corner_cells(stations, spec), grid, ["lat_i", "lon_i"])
     placed = corners.join(stations.withColumnRenamed("elev", "station_elev"), "stid")
-    rows = pair_up(maps.withColumn("doy", day_of_year(F.col("day"))), placed, spread_left=True)
+    rows = pair_up(maps.withColumn("doy", day_of_year(F.col("day"))), placed)
     cell = spec.cell("lat_i", "lon_i")
     # one struct per hour: the statistics of the row's cell
     rows = rows.select(

@@ -1,11 +1,24 @@
-"""Evaluation of models: folds, learning curves, train/test runs."""
+"""Evaluation of models: train/test runs, folds, learning curves and submissions."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliogrid.operators import sampling
+from heliogrid.operators import metrics, sampling
+from heliogrid.operators.labels import mark_imputed
+from heliogrid.operators.reduce import label_moments, restore_labels, standardise_labels
+from heliogrid.operators.ridge import (
+    coefficient_table,
+    collect_grams,
+    gram_table,
+    predict_keyed,
+    solve_ridge,
+)
+from heliogrid.session import settled
 
 
 def with_folds(df: DataFrame, folds: int = 5, seed: int = 0) -> DataFrame:
@@ -27,3 +40,133 @@ def out_of_fold_climatology(labels: DataFrame, folds: int = 5, seed: int = 0) ->
         "month", "stid", "fold", F.when(rest > 0, (F.col("ts") - F.col("s")) / F.when(rest > 0, rest)).alias("pred")
     )
     return tagged.join(left, ["month", "stid", "fold"], "left").select("day", "stid", "fold", "y", "pred")
+
+
+def split_day(labels: DataFrame, fraction: float = 0.5):
+    """The first test day, as a value, so that it filters scans by day."""
+    one = labels.sparkSession.range(1).select(sampling.cutoff_day(labels, fraction).alias("cut"))
+    return one.first()["cut"]
+
+
+@dataclass(frozen=True)
+class Evaluation:
+    """Predictions of the test days with labels, mask and scores."""
+
+    predictions: DataFrame
+    pairs: DataFrame
+    scores: DataFrame
+
+    def residuals(self) -> DataFrame:
+        return metrics.residuals(self.pairs)
+
+
+def train_test(model, data, labels: DataFrame, fraction: float = 0.5, cut=None, scale_labels: bool = False) -> Evaluation:
+    """Fits on the earlier days, predicts the later ones, scores with and without masked labels."""
+    cut = split_day(labels, fraction) if cut is None else cut
+    train, test = labels.where(F.col("day") < F.lit(cut)), labels.where(F.col("day") >= F.lit(cut))
+    if scale_labels:
+        fitted_scale = label_moments(train)
+        fitted = model.fit(data.before(cut), standardise_labels(train, fitted_scale, with_std=False))
+        pred = restore_labels(fitted.predict(data.since(cut)), fitted_scale, with_std=False)
+    else:
+        pred = model.fit(data.before(cut), train).predict(data.since(cut))
+    pairs = metrics.scored_pairs(mark_imputed(test), pred)
+    return Evaluation(pred, pairs, metrics.scores_with_mask(pairs))
+
+
+def submit(model, train_data, test_data, labels: DataFrame, scale_labels: bool = False) -> DataFrame:
+    """Fits on all labelled days and predicts the days of ``test_data``."""
+    if not scale_labels:
+        return model.fit(train_data, labels).predict(test_data)
+    moments = label_moments(labels)
+    fitted = model.fit(train_data, standardise_labels(labels, moments))
+    return restore_labels(fitted.predict(test_data), moments)
+
+
+# ---------------------------------------------------------------- cross-validation
+
+
+def ridge_fold_models(rows: DataFrame, alpha: float, normalise: bool = True) -> dict:
+    """fold -> model fitted on all other folds, from one pass over the rows."""
+    grams = collect_grams(gram_table(rows, ["fold"]), ["fold"])
+    total = sum(grams.values())
+    return {fold: solve_ridge(total - gram, alpha, normalise) for fold, gram in grams.items()}
+
+
+def ridge_out_of_fold(rows: DataFrame, alpha: float = 1e-5, normalise: bool = True) -> DataFrame:
+    """Adds ``pred``: each row predicted by the model that has not seen its fold."""
+    ready = settled(rows)
+    models = ridge_fold_models(ready, alpha, normalise)
+    table = coefficient_table(rows.sparkSession, models, ["fold"], "fold int")
+    return predict_keyed(ready, table, ["fold"])
+
+
+def fold_scores(pairs: DataFrame) -> DataFrame:
+    """MAE per fold."""
+    return metrics.scores(pairs, ["fold"]).select("fold", "n", "mae")
+
+
+def score_summary(by_fold: DataFrame) -> DataFrame:
+    """Mean of the fold MAEs and twice their population std."""
+    return by_fold.agg(F.avg("mae").alias("mae"), (F.stddev_pop("mae") * 2.0).alias("two_std"))
+
+
+def boosted_out_of_fold(rows: DataFrame, estimator, folds: int = 5) -> DataFrame:
+    """Out-of-fold predictions of any estimator: one fit per fold over rows written once."""
+    ready = settled(rows)
+    parts = []
+    for fold in range(folds):
+        fitted = estimator.fit(ready.where(F.col("fold") != fold))
+        parts.append(fitted.transform(ready.where(F.col("fold") == fold)))
+    result = parts[0]
+    for p in parts[1:]:
+        result = result.unionByName(p)
+    return result
+
+
+# ---------------------------------------------------------------- learning curves
+
+
+def ridge_learning_curve(train: DataFrame, test: DataFrame, keys: list[str], bins: int = 10, repetitions: int = 10, alpha: float = 1.0, normalise: bool = True, score: str = "mae") -> DataFrame:
+    """Train and test score per training size: mean and population std over repetitions.
+
+    All (size, repetition) models come from one pass of keyed Gram matrices over the
+    samples; scoring is one more pass over the samples and over the test rows.
+    """
+    by = ["size_no", "rep"]
+    train, test = settled(train), settled(test)
+    samples = settled(sampling.learning_curve_samples(train, keys, bins, repetitions))
+    grams = collect_grams(gram_table(samples, [*by, "n_samples"]), [*by, "n_samples"])
+    models = {k: solve_ridge(m, alpha, normalise) for k, m in grams.items()}
+    types = "size_no int, rep int, n_samples bigint"
+    table = coefficient_table(train.sparkSession, models, [*by, "n_samples"], types)
+    on_train = metrics.scores(predict_keyed(samples, table, [*by, "n_samples"]), [*by, "n_samples"])
+    every = F.explode(
+        F.array(*[F.struct(F.lit(k[0]).alias("size_no"), F.lit(k[1]).alias("rep"), F.lit(int(k[2])).cast("bigint").alias("n_samples")) for k in models])
+    )
+    spread = test.withColumn("_m", every).select("*", "_m.*").drop("_m")
+    on_test = metrics.scores(predict_keyed(spread, table, [*by, "n_samples"]), [*by, "n_samples"])
+    value = {"mae": F.col("mae"), "rmse": F.col("rmse"), "mse": F.col("rmse") * F.col("rmse")}[score]
+    both = on_train.select(*by, "n_samples", value.alias("train")).join(
+        on_test.select(*by, "n_samples", value.alias("test")), [*by, "n_samples"]
+    )
+    return both.groupBy("size_no", "n_samples").agg(
+        F.avg("train").alias("train_mean"),
+        F.stddev_pop("train").alias("train_std"),
+        F.avg("test").alias("test_mean"),
+        F.stddev_pop("test").alias("test_std"),
+    )
+
+
+# ---------------------------------------------------------------- importances and stages
+
+
+def coefficient_importances(spark, names: list[str], coef: np.ndarray) -> DataFrame:
+    """Absolute coefficients by feature name."""
+    rows = [(n, float(abs(w))) for n, w in zip(names, coef)]
+    return spark.createDataFrame(rows, "feature string, importance double")
+
+
+def stage_table(spark, train_loss: list[float], test_loss: list[float]) -> DataFrame:
+    rows = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(train_loss, test_loss))]
+    return spark.createDataFrame(rows, "stage int, train double, test double")
