@@ -96,21 +96,28 @@ def climate_lookup(df: DataFrame, table: DataFrame) -> DataFrame:
     return keyed.join(table, ["month", "stid"], "left").drop("month").withColumnRenamed("climate", "pred")
 
 
-def moments(df: DataFrame, columns: list[str]) -> Column:
-    """Scalar struct of mean and population std per column; zero spread scales by one."""
+def moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population std per column (one row of numbers); zero spread scales by one."""
     aggs = []
-    for c in columns:
+    for i, c in enumerate(columns):
         col = F.col(f"`{c}`")
-        sd = spread(col)
-        aggs += [F.avg(col).alias(f"m_{c}"), F.when(sd == 0, 1.0).otherwise(sd).alias(f"s_{c}")]
-    return df.agg(*aggs).select(F.struct("*").alias("m")).scalar()
+        aggs += [F.avg(col).alias(f"m{i}"), spread(col).alias(f"s{i}")]
+    row = df.agg(*aggs).first()
+    return {c: (row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(columns)}
 
 
 def standardise(df: DataFrame, fitted_on: DataFrame, columns: list[str]) -> DataFrame:
-    """(x - mean) / std with moments of ``fitted_on``; other columns are kept."""
+    """(x - mean) / std with moments of ``fitted_on``; other columns are kept.
+
+    The moments enter as constants: as subqueries they would be planned once per column.
+    """
     stats = moments(fitted_on, columns)
-    scaled = {c: (F.col(f"`{c}`") - stats.getField(f"m_{c}")) / stats.getField(f"s_{c}") for c in columns}
-    return df.select(*[scaled[c].alias(c) if c in scaled else F.col(f"`{c}`") for c in df.columns])
+
+    def scaled(c):
+        mean, sd = stats[c]
+        return ((F.col(f"`{c}`") - F.lit(mean)) / F.lit(sd)).alias(c)
+
+    return df.select(*[scaled(c) if c in stats else F.col(f"`{c}`") for c in df.columns])
 
 
 def label_moments(labels: DataFrame, label: str = "y") -> DataFrame:

@@ -14,7 +14,8 @@ from heliogrid.plans import evaluation, models
 from heliogrid.plans.queries_reduce import station_forecasts
 from heliogrid.plans.queries_spatial import OPS
 from heliogrid.plans.queries_tables import OBS_VALUES, daily_obs
-from heliogrid.plans.rounding import r, rounded
+from heliogrid.plans.rounding import rounded
+from heliogrid.session import settled
 from heliogrid.sources import driver_tables as dt
 from heliogrid.sources import tables
 
@@ -74,9 +75,15 @@ def fit_per_station(spark, sf):
 # ---------------------------------------------------------------- trees
 
 
+def _split_rows(rows):
+    """Train and test part of rows written once; the cut is a constant."""
+    ready = settled(rows)
+    cut = F.lit(evaluation.split_day(ready))
+    return ready.where(F.col("day") < cut), ready.where(F.col("day") >= cut)
+
+
 def _obs_split(spark, sf):
-    rows = sampling.time_split(obs_rows(spark, sf))
-    return rows.where("split = 'train'").drop("split"), rows.where("split = 'test'").drop("split")
+    return _split_rows(obs_rows(spark, sf))
 
 
 def gbt_lad(spark, sf):
@@ -207,30 +214,27 @@ def submit(spark, sf):
 
 def eval_scaled_local_gbt(spark, sf):
     """Local design, features and labels standardised on the training days, squared loss."""
-    data, energy = forecast_data(spark, sf), dt.energy_nwp(spark, sf)
-    table = sampling.time_split(models.local_table(data).join(energy, ["day", "stid"]))
-    train = table.where("split = 'train'")
-    names = [c for c in table.columns if c not in ("day", "stid", "y", "split")]
-    scaled = reduce.standardise(table, train, names)
-    moments = reduce.label_moments(train)
-    scaled = reduce.standardise_labels(scaled, moments)
-    rows = features_array(scaled, names, ["day", "stid", "y", "split"])
+    design = models.local_table(forecast_data(spark, sf)).join(dt.energy_nwp(spark, sf), ["day", "stid"])
+    names = [c for c in design.columns if c not in ("day", "stid", "y")]
+    train, test = _split_rows(design)
+    scale = reduce.label_moments(train)
+
+    def rows(part):
+        scaled = reduce.standardise_labels(reduce.standardise(part, train, names), scale)
+        return features_array(scaled, names, ["day", "stid", "y"])
+
     learner = trees.BoostedTrees(loss="squared", trees=8, depth=2, rate=0.1, min_leaf=11, max_features="all", subsample=0.5)
-    fitted = learner.fit(rows.where("split = 'train'"))
-    pairs = fitted.transform(rows.where("split = 'test'"))
-    return rounded(metrics.scores(pairs))
+    return rounded(metrics.scores(learner.fit(rows(train)).transform(rows(test))))
 
 
 def cluster_encode(spark, sf):
     """Standardised features replaced by distances to 50 centres, then boosted trees."""
-    daily = sampling.time_split(daily_obs(spark, sf).join(dt.energy(spark, sf), ["stid", "day"]))
-    scaled = reduce.standardise(daily, daily, OBS_VALUES)
-    rows = features_array(scaled, OBS_VALUES, ["stid", "day"])
+    daily = settled(daily_obs(spark, sf).join(dt.energy(spark, sf), ["stid", "day"]))
+    rows = features_array(reduce.standardise(daily, daily, OBS_VALUES), OBS_VALUES, ["stid", "day"])
     coded = encode.cluster_features(rows, ["stid", "day"], 50)
-    labelled = coded.join(daily.select("stid", "day", "y", "split"), ["stid", "day"])
+    train, test = _split_rows(coded.join(daily.select("stid", "day", "y"), ["stid", "day"]))
     learner = trees.BoostedTrees(loss="squared", trees=8, depth=2, rate=0.1, min_leaf=5, max_features="all")
-    fitted = learner.fit(labelled.where("split = 'train'"))
-    return rounded(metrics.scores(fitted.transform(labelled.where("split = 'test'"))))
+    return rounded(metrics.scores(learner.fit(train).transform(test)))
 
 
 def climate_scores(spark, sf):
