@@ -10,7 +10,7 @@ from heliogrid.functions.expressions import feature_op, op_name, quoted
 from heliogrid.functions.solar import sunrise_hour_angle
 from heliogrid.operators import grid as g
 from heliogrid.operators.joins import lookup_join, pair_up
-from heliogrid.operators.labels import with_history
+from heliogrid.operators.labels import with_history as add_history
 from heliogrid.operators.reduce import ensemble_then_hour_mean, reduce_axis, widen_cells
 from heliogrid.operators.sun import with_sun_state
 
@@ -208,10 +208,10 @@ def station_design(
             means.setdefault(b, {})[f"{b}_{f}_m"] = sum(parts[1:], parts[0]) / float(len(parts))
     wide = wide.select("*", *[c.alias(n) for b in blocks for n, c in means[b].items()])
     groups = [k for k in keys if k != "day"]
-    if with_history:
-        wide = with_history_columns(wide, groups, [c for b in blocks for c in hourly[b]])
-    if with_mean_history:
-        wide = with_history_columns(wide, groups, [n for b in blocks for n in means[b]], "_t-1")
+    lagged = [c for b in blocks for c in hourly[b]] if with_history else []
+    lagged += [n for b in blocks for n in means[b]] if with_mean_history else []
+    if lagged:
+        wide = add_history(wide, groups, lagged, "_t-1")
     rows = wide.join(stations.select(*station_keys, "nlat", "elon", "elev"), list(station_keys))
     chosen = []
     if with_solar:
@@ -234,7 +234,3 @@ def station_design(
     if with_climate:
         chosen += [F.month("day").cast("double").alias("month"), F.col("stid").cast("double").alias("station")]
     return rows.select(*keys, *chosen)
-
-
-def with_history_columns(wide: DataFrame, groups: list[str], columns: list[str], suffix: str = "_t-1") -> DataFrame:
-    return with_history(wide, groups, columns, suffix)

@@ -302,10 +302,11 @@ def at_points(maps: DataFrame, keys: list[str], points, ids: list[str], kernel,
             points = {c: np.array([r[c] for r in rows]) for c in wanted.columns}
             fixed = True
     if fixed:
-        prepared = kernel.prepare(points)
 
         def run_all(batches):
+            prepared = None
             for batch in batches:
+                prepared = kernel.prepare(points) if prepared is None else prepared
                 yield from _emit(batch, keys, ids, points, prepared, kernel, map_columns, arrow)
 
         return kept.mapInArrow(run_all, out)
@@ -403,14 +404,16 @@ def holdout_scores(cube: DataFrame, spec: GridSpec, cells: np.ndarray, candidate
     """
     kept = np.setdiff1d(np.arange(spec.n_cells), hidden)
     targets = {"elon": cells[hidden, 0], "nlat": cells[hidden, 1], "elev": cells[hidden, 2]}
-    matrices = {name: make(cells[kept])(targets) for name, make in candidates.items()}
-    names = list(matrices)
+    names = list(candidates)
     keys = _map_keys(cube, ("value",))
     maps = map_vectors(cube, keys, spec).select("cells")
 
     def score(batches):
         total = {n: np.zeros(3) for n in names}
+        matrices = None
         for batch in batches:
+            if matrices is None:
+                matrices = {n: candidates[n](cells[kept])(targets) for n in names}
             values = _matrix(batch.column("cells"))
             values = values[~np.isnan(values).any(axis=1)]
             for n in names:

@@ -84,11 +84,14 @@ def pair_up(left: DataFrame, right: DataFrame, left_parts: int = 8, right_parts:
     pairs evenly over left_parts * right_parts groups, however large either side is.
     Spark broadcasts a side only if it measures it small enough.
 
-    ``spread_left`` is for a left side of few rows (such as calendar days) that grows
-    by the join: it is distributed first, so the pairs are not made in one task.
+    The right side (points, stations, blocks) is distributed by block first: read from
+    one small file it would otherwise make all pairs in one task when it is the
+    streamed side. ``spread_left`` does the same for a left side of few rows, such as
+    calendar days.
     """
     lhs = left.withColumn("_lb", _salt_of(left, left_parts)).withColumn("_rb", _every_salt(right_parts))
     rhs = right.withColumn("_rb", _salt_of(right, right_parts)).withColumn("_lb", _every_salt(left_parts))
+    rhs = rhs.repartition(shuffle_width(right), "_lb", "_rb")
     if spread_left:
         lhs = lhs.repartition(shuffle_width(left), "_lb", "_rb")
     return lhs.join(rhs, ["_lb", "_rb"]).drop("_lb", "_rb")

@@ -75,11 +75,10 @@ def mae_by_station(res: DataFrame) -> DataFrame:
 
 
 def mae_by_location(stations: DataFrame, res: DataFrame) -> DataFrame:
-    """Stations with their MAE and its share of the largest MAE."""
-    by_station = mae_by_station(res)
-    top = by_station.agg(F.max("mae").alias("top")).scalar()
-    share = F.col("mae") / F.when(top != 0, top)
-    return stations.join(by_station, "stid", "left").withColumn("rel_mae", share)
+    """Stations with their MAE and its share of the largest MAE among them."""
+    placed = stations.join(mae_by_station(res), "stid", "left")
+    top = placed.agg(F.max("mae").alias("top")).scalar()
+    return placed.withColumn("rel_mae", F.col("mae") / F.when(top != 0, top))
 
 
 def mae_over_under(pairs: DataFrame) -> DataFrame:

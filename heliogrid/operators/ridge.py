@@ -1,8 +1,9 @@
 """Ridge regression from distributed Gram matrices.
 
 A task turns its batches into one cross-product matrix of (1, features, targets) per
-key; matrices are added up in two levels and solved where they end. Rows never leave
-their partition for a global fit, and a hot key is cut by a salt for a keyed fit.
+key; matrices are added up in levels and solved in the task where they end, so the
+driver sees coefficients only. Rows never leave their partition for a global fit, and
+a hot key is cut by a salt for a keyed fit.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliogrid.operators.interpolate import _matrix
-from heliogrid.operators.joins import _salt_of, shuffle_width
+from heliogrid.operators.joins import shuffle_width
+from heliogrid.session import settled
 
 KEY_SALTS = 8
 FIRST_LEVEL = 16
@@ -99,9 +101,7 @@ def gram_table(df: DataFrame, by: list[str] = (), target: str = "y", features: s
             for key, at in _batch_keys(batch, by):
                 numbers = range(batch.num_rows) if isinstance(at, slice) else at
                 for i in numbers:
-                    flat = np.frombuffer(batch.column("gram")[i].as_py())
-                    side = int(round(flat.size**0.5))
-                    _add(totals, key, flat.reshape(side, side).copy())
+                    _add(totals, key, _square(batch.column("gram")[i].as_py()))
             part = int(parts[-1]) if len(parts) else part
             if by and len(totals) > 64:
                 last = max(totals, key=lambda k: k)
@@ -113,19 +113,16 @@ def gram_table(df: DataFrame, by: list[str] = (), target: str = "y", features: s
     partials = rows.mapInArrow(partial, out)
     if by:
         merged = partials.repartition(shuffle_width(df), *by).sortWithinPartitions(*by)
-    else:
-        merged = partials.repartition(FIRST_LEVEL, "part")
-    return merged.mapInArrow(summed, out).drop("part")
+        return merged.mapInArrow(summed, out).drop("part")
+    # at most FIRST_LEVEL matrices reach the last task
+    halfway = partials.repartition(FIRST_LEVEL, "part").mapInArrow(summed, out)
+    return halfway.repartition(1).mapInArrow(summed, out).drop("part")
 
 
-def collect_grams(grams: DataFrame, by: list[str] = ()) -> dict:
-    """Cross-product matrices by key, for few keys (folds, sample sizes, or none)."""
-    totals: dict = {}
-    for row in grams.toLocalIterator():
-        flat = np.frombuffer(bytes(row["gram"]))
-        side = int(round(flat.size**0.5))
-        _add(totals, tuple(row[k] for k in by), flat.reshape(side, side).copy())
-    return totals
+def _square(value) -> np.ndarray:
+    flat = np.frombuffer(value)
+    side = int(round(flat.size**0.5))
+    return flat.reshape(side, side).copy()
 
 
 # ---------------------------------------------------------------- solutions
@@ -171,27 +168,65 @@ def solve_ridge(gram: np.ndarray, alpha: float, normalise: bool = True) -> tuple
     return float(intercepts[0]), coefs[:, 0]
 
 
+def _model_schema(key_fields) -> T.StructType:
+    return T.StructType(
+        [*key_fields, T.StructField("intercept", T.DoubleType()), T.StructField("coef", T.ArrayType(T.DoubleType()))]
+    )
+
+
+def _model_batch(keys, solved, schema):
+    coefs = pa.array([w.tolist() for _, w in solved], type=pa.list_(pa.float64()))
+    arrays = [*keys, pa.array([float(b) for b, _ in solved]), coefs]
+    return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema)], schema=schema)
+
+
 def solve_table(grams: DataFrame, by: list[str], alpha: float, normalise: bool = True) -> DataFrame:
     """(by..., intercept, coef): one ridge per key, solved where the matrix is."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    out = T.StructType(
-        [grams.schema[k] for k in by]
-        + [T.StructField("intercept", T.DoubleType()), T.StructField("coef", T.ArrayType(T.DoubleType()))]
-    )
+    out = _model_schema([grams.schema[k] for k in by])
+    arrow = to_arrow_schema(out)
+
+    def solve(batches):
+        for batch in batches:
+            solved = [solve_ridge(_square(v.as_py()), alpha, normalise) for v in batch.column("gram")]
+            yield _model_batch([batch.column(k) for k in by], solved, arrow)
+
+    return grams.mapInArrow(solve, out)
+
+
+def solve_left_out(grams: DataFrame, by: list[str], alpha: float, normalise: bool = True) -> DataFrame:
+    """One ridge per key, fitted on all other keys: the total matrix less the key's own.
+
+    For few keys (folds): their matrices meet in one task.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = _model_schema([grams.schema[k] for k in by])
+    arrow = to_arrow_schema(out)
+
+    def solve(batches):
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        matrices = [_square(v.as_py()) for v in table.column("gram")]
+        total = sum(matrices)
+        solved = [solve_ridge(total - m, alpha, normalise) for m in matrices]
+        yield _model_batch([table.column(k).combine_chunks() for k in by], solved, arrow)
+
+    return grams.repartition(1).mapInArrow(solve, out)
+
+
+def solve_targets(grams: DataFrame, ids: list[int], alpha: float, normalise: bool = True) -> DataFrame:
+    """(stid, intercept, coef) from the one matrix shared by several targets."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = _model_schema([T.StructField("stid", T.LongType())])
     arrow = to_arrow_schema(out)
 
     def solve(batches):
         for batch in batches:
-            intercepts, coefs = [], []
             for value in batch.column("gram"):
-                flat = np.frombuffer(value.as_py())
-                side = int(round(flat.size**0.5))
-                b, w = solve_ridge(flat.reshape(side, side), alpha, normalise)
-                intercepts.append(b)
-                coefs.append(w.tolist())
-            arrays = [batch.column(k) for k in by] + [pa.array(intercepts), pa.array(coefs, type=pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow)], schema=arrow)
+                intercepts, coefs = solve_ridges(_square(value.as_py()), alpha, normalise, len(ids))
+                yield _model_batch([pa.array(ids)], list(zip(intercepts, coefs.T)), arrow)
 
     return grams.mapInArrow(solve, out)
 
@@ -201,12 +236,6 @@ def dot(features, coef):
     return F.aggregate(F.zip_with(features, coef, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
-def coefficient_table(spark: SparkSession, models: dict, by: list[str], key_types: str) -> DataFrame:
-    """Models held on the driver (few keys) as a table."""
-    rows = [(*k, b, [float(v) for v in w]) for k, (b, w) in models.items()]
-    return spark.createDataFrame(rows, f"{key_types}, intercept double, coef array<double>")
-
-
 def predict_keyed(df: DataFrame, models: DataFrame, by: list[str], features: str = "features") -> DataFrame:
     """Adds ``pred`` by the model of each row's key."""
     joined = df.join(models, by)
@@ -214,6 +243,22 @@ def predict_keyed(df: DataFrame, models: DataFrame, by: list[str], features: str
     return joined.withColumn("pred", value).drop("coef", "intercept")
 
 
+def decomposition(grams: DataFrame, normalise: bool):
+    """Centring, scaling and eigendecomposition of one Gram matrix, made in a task."""
+
+    def decompose(batches):
+        for batch in batches:
+            for value in batch.column("gram"):
+                c = centred(_square(value.as_py()), normalise)
+                values, vectors = np.linalg.eigh(c.xx)
+                parts = [c.mean, c.scale, c.y_mean, np.maximum(values, 0.0), vectors, vectors.T @ c.xy[:, 0]]
+                yield pa.RecordBatch.from_pydict({"part": list(range(6)), "v": [p.tobytes() for p in parts]})
+
+    rows = {r["part"]: np.frombuffer(bytes(r["v"])) for r in grams.mapInArrow(decompose, "part bigint, v binary").collect()}
+    size = rows[0].size
+    return rows[0], rows[1], float(rows[2][0]), rows[3], rows[4].reshape(size, size), rows[5]
+
+
 # ---------------------------------------------------------------- estimators
 
 
@@ -228,6 +273,13 @@ class LinearModel:
         return df.withColumn("pred", dot(F.col("features"), weights) + self.intercept)
 
 
+def linear_model(models: DataFrame, alpha: float) -> LinearModel:
+    row = models.first()
+    if row is None:
+        raise ValueError("no complete rows to fit on")
+    return LinearModel(row["intercept"], np.array(row["coef"]), alpha)
+
+
 @dataclass(frozen=True)
 class KeyedLinearModel:
     models: DataFrame
@@ -246,11 +298,10 @@ class Ridge:
     by: tuple[str, ...] = ()
 
     def fit(self, df: DataFrame):
-        grams = gram_table(df, self.by)
+        models = solve_table(gram_table(df, self.by), list(self.by), self.alpha, self.normalise)
         if self.by:
-            return KeyedLinearModel(solve_table(grams, list(self.by), self.alpha, self.normalise), self.by)
-        (gram,) = collect_grams(grams).values()
-        return LinearModel(*solve_ridge(gram, self.alpha, self.normalise), self.alpha)
+            return KeyedLinearModel(settled(models), self.by)
+        return linear_model(models, self.alpha)
 
 
 # The penalty grid of the cross-validated ridge.
@@ -267,11 +318,8 @@ class RidgeCV:
     alphas: tuple[float, ...] = ALPHAS
     normalise: bool = True
 
-    def scores(self, df: DataFrame, gram: np.ndarray) -> dict[float, float]:
-        c = centred(gram, self.normalise)
-        values, vectors = np.linalg.eigh(c.xx)
-        values = np.maximum(values, 0.0)
-        projected = vectors.T @ c.xy[:, 0]
+    def scores(self, df: DataFrame, grams: DataFrame) -> dict[float, float]:
+        mean, scale, y_mean, values, vectors, projected = decomposition(grams, self.normalise)
         alphas = np.array(self.alphas)
 
         def score(batches):
@@ -281,8 +329,8 @@ class RidgeCV:
                 x = _matrix(batch.column("_x"))
                 y = batch.column("_y").to_numpy(zero_copy_only=False)
                 known = ~(np.isnan(x).any(axis=1) | np.isnan(y))
-                z = ((x[known] - c.mean) / c.scale) @ vectors
-                gap = y[known] - c.y_mean[0]
+                z = ((x[known] - mean) / scale) @ vectors
+                gap = y[known] - y_mean
                 for i, a in enumerate(alphas):
                     shrunk = 1.0 / (values + a)
                     leverage = np.minimum((z * z) @ shrunk, 1.0 - 1e-12)
@@ -298,10 +346,10 @@ class RidgeCV:
         return {float(alphas[r["alpha_no"]]): r["mse"] for r in summed.collect()}
 
     def fit(self, df: DataFrame) -> LinearModel:
-        (gram,) = collect_grams(gram_table(df)).values()
-        scores = self.scores(df, gram)
+        grams = settled(gram_table(df))
+        scores = self.scores(df, grams)
         best = min(sorted(scores), key=lambda a: scores[a])
-        return LinearModel(*solve_ridge(gram, best, self.normalise), best)
+        return linear_model(solve_table(grams, [], best, self.normalise), best)
 
 
 @dataclass(frozen=True)
@@ -326,8 +374,6 @@ class StationRidge:
             return Ridge(self.alpha, self.normalise, ("stid",)).fit(keyed)
         by_day = known.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("stid", "y"))).alias("_l"))
         wide = rows.join(by_day.select("day", F.col("_l.y").alias("ys")), "day")
-        (gram,) = collect_grams(gram_table(wide, target="ys")).values()
-        intercepts, coefs = solve_ridges(gram, self.alpha, self.normalise, shape["stations"])
         ids = sorted(r["stid"] for r in known.select("stid").distinct().collect())
-        models = {(i,): (float(b), w) for i, b, w in zip(ids, intercepts, coefs.T)}
-        return KeyedLinearModel(coefficient_table(rows.sparkSession, models, ["stid"], "stid bigint"), ("stid",))
+        models = solve_targets(gram_table(wide, target="ys"), ids, self.alpha, self.normalise)
+        return KeyedLinearModel(settled(models), ("stid",))

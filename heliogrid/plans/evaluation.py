@@ -11,13 +11,7 @@ from pyspark.sql import functions as F
 from heliogrid.operators import metrics, sampling
 from heliogrid.operators.labels import mark_imputed
 from heliogrid.operators.reduce import label_moments, restore_labels, standardise_labels
-from heliogrid.operators.ridge import (
-    coefficient_table,
-    collect_grams,
-    gram_table,
-    predict_keyed,
-    solve_ridge,
-)
+from heliogrid.operators.ridge import gram_table, predict_keyed, solve_left_out, solve_table
 from heliogrid.session import settled
 
 
@@ -86,19 +80,15 @@ def submit(model, train_data, test_data, labels: DataFrame, scale_labels: bool =
 # ---------------------------------------------------------------- cross-validation
 
 
-def ridge_fold_models(rows: DataFrame, alpha: float, normalise: bool = True) -> dict:
-    """fold -> model fitted on all other folds, from one pass over the rows."""
-    grams = collect_grams(gram_table(rows, ["fold"]), ["fold"])
-    total = sum(grams.values())
-    return {fold: solve_ridge(total - gram, alpha, normalise) for fold, gram in grams.items()}
+def ridge_fold_models(rows: DataFrame, alpha: float, normalise: bool = True) -> DataFrame:
+    """(fold, intercept, coef) fitted on all other folds, from one pass over the rows."""
+    return solve_left_out(gram_table(rows, ["fold"]), ["fold"], alpha, normalise)
 
 
 def ridge_out_of_fold(rows: DataFrame, alpha: float = 1e-5, normalise: bool = True) -> DataFrame:
     """Adds ``pred``: each row predicted by the model that has not seen its fold."""
     ready = settled(rows)
-    models = ridge_fold_models(ready, alpha, normalise)
-    table = coefficient_table(rows.sparkSession, models, ["fold"], "fold int")
-    return predict_keyed(ready, table, ["fold"])
+    return predict_keyed(ready, ridge_fold_models(ready, alpha, normalise), ["fold"])
 
 
 def fold_scores(pairs: DataFrame) -> DataFrame:
@@ -136,15 +126,13 @@ def ridge_learning_curve(train: DataFrame, test: DataFrame, keys: list[str], bin
     by = ["size_no", "rep"]
     train, test = settled(train), settled(test)
     samples = settled(sampling.learning_curve_samples(train, keys, bins, repetitions))
-    grams = collect_grams(gram_table(samples, [*by, "n_samples"]), [*by, "n_samples"])
-    models = {k: solve_ridge(m, alpha, normalise) for k, m in grams.items()}
-    types = "size_no int, rep int, n_samples bigint"
-    table = coefficient_table(train.sparkSession, models, [*by, "n_samples"], types)
+    grams = gram_table(samples, [*by, "n_samples"])
+    table = settled(solve_table(grams, [*by, "n_samples"], alpha, normalise))
     on_train = metrics.scores(predict_keyed(samples, table, [*by, "n_samples"]), [*by, "n_samples"])
-    every = F.explode(
-        F.array(*[F.struct(F.lit(k[0]).alias("size_no"), F.lit(k[1]).alias("rep"), F.lit(int(k[2])).cast("bigint").alias("n_samples")) for k in models])
-    )
-    spread = test.withColumn("_m", every).select("*", "_m.*").drop("_m")
+    # every test row meets every model: the models are few, one per size and repetition
+    every = table.agg(F.collect_list(F.struct(*by, "n_samples")).alias("m")).first()["m"]
+    wanted = F.array(*[F.struct(F.lit(m["size_no"]).alias("size_no"), F.lit(m["rep"]).alias("rep"), F.lit(m["n_samples"]).cast("bigint").alias("n_samples")) for m in every])
+    spread = test.withColumn("_m", F.explode(wanted)).select("*", "_m.*").drop("_m")
     on_test = metrics.scores(predict_keyed(spread, table, [*by, "n_samples"]), [*by, "n_samples"])
     value = {"mae": F.col("mae"), "rmse": F.col("rmse"), "mse": F.col("rmse") * F.col("rmse")}[score]
     both = on_train.select(*by, "n_samples", value.alias("train")).join(

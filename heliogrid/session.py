@@ -17,6 +17,8 @@ def local_session(cpus: str = "8", app: str = "heliogrid") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.adaptive.enabled", "true")
+        # small test data: keep one shuffle partition per core instead of merging to 1 MB
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("HELIOGRID_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")

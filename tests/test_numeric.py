@@ -338,8 +338,7 @@ def test_ridge_cv_picks_least_loo_error(spark, problem):
     x, y = problem
     alphas = (1e-3, 1e-1, 1.0, 100.0)
     rows = rows_of(spark, x, y)
-    (gram,) = ridge.collect_grams(ridge.gram_table(rows)).values()
-    got = ridge.RidgeCV(alphas).scores(rows, gram)
+    got = ridge.RidgeCV(alphas).scores(rows, ridge.gram_table(rows))
     c = x - x.mean(0)
     s = np.sqrt((c**2).sum(0))
     s[s < 1e-9] = 1.0
@@ -355,10 +354,11 @@ def test_fold_models_leave_their_fold_out(spark, problem):
     x, y = problem
     folds = np.arange(200) % 5
     rows = rows_of(spark, x, y, folds).withColumnRenamed("key", "fold")
-    for fold, (b, w) in evaluation.ridge_fold_models(rows, 0.2).items():
-        fold = fold[0] if isinstance(fold, tuple) else fold
-        want = direct_ridge(x[folds != fold], y[folds != fold], 0.2)
-        assert b == pytest.approx(want[0], abs=1e-6) and np.allclose(w, want[1], atol=1e-7)
+    found = evaluation.ridge_fold_models(rows, 0.2).collect()
+    assert len(found) == 5
+    for r in found:
+        want = direct_ridge(x[folds != r["fold"]], y[folds != r["fold"]], 0.2)
+        assert r["intercept"] == pytest.approx(want[0], abs=1e-6) and np.allclose(r["coef"], want[1], atol=1e-7)
 
 
 def test_station_ridge_shared_and_keyed_agree(spark):
