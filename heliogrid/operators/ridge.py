@@ -39,11 +39,14 @@ def _batch_keys(batch, by):
     """Row numbers of a batch per distinct key."""
     if not by:
         return [((), slice(None))]
-    columns = [batch.column(k).to_pylist() for k in by]
-    rows: dict = {}
-    for i, key in enumerate(zip(*columns)):
-        rows.setdefault(key, []).append(i)
-    return [(k, np.array(v)) for k, v in rows.items()]
+    codes = np.zeros(batch.num_rows, dtype=np.int64)
+    for name in by:
+        encoded = batch.column(name).dictionary_encode()
+        codes = codes * (len(encoded.dictionary) + 1) + encoded.indices.fill_null(-1).to_numpy() + 1
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    groups = np.split(order, starts[1:]) if len(order) else []
+    return [(tuple(batch.column(k)[int(g[0])].as_py() for k in by), g) for g in groups]
 
 
 def _rows_out(totals: dict, by, schema, part):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliogrid.operators.joins import bounded_rows, union_all
+from heliogrid.session import settled
 
 # The fifteen forecast features.
 FORECAST_FEATURES = (
@@ -63,21 +64,20 @@ def read_station_csv(spark: SparkSession, path: str) -> DataFrame:
     return number_stations(spark.read.option("header", True).schema(STATION_SCHEMA).csv(path))
 
 
-def number_stations(stations: DataFrame, prefix: int = 3) -> DataFrame:
+def number_stations(stations: DataFrame) -> DataFrame:
     """Dense 0-based numbers by station id.
 
-    Ids are ranked within their first ``prefix`` characters and offset by the count
-    of smaller prefixes, so no single task sorts the whole table.
+    The rows are sorted in range partitions and written once; a number is the rows in
+    earlier partitions plus the position in its own.
     """
-    headed = stations.withColumn("_p", F.substring("stid", 1, prefix))
-    sizes = headed.groupBy("_p").agg(F.count("*").alias("_rows"))
-    before = F.sum("_rows").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy("stid")) - 1
-    numbered = headed.withColumn("_within", within).join(starts, "_p")
-    return numbered.select(
+    ordered = settled(stations.orderBy("stid").withColumn("_id", F.monotonically_increasing_id()))
+    ordered = ordered.withColumns({"_part": F.shiftright("_id", 33), "_pos": F.col("_id").bitwiseAND(F.lit(2**33 - 1))})
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    return ordered.join(starts, "_part").select(
         F.col("stid").alias("station"),
-        (F.col("_start") + F.col("_within")).cast("bigint").alias("stid"),
+        (F.col("_start") + F.col("_pos")).cast("bigint").alias("stid"),
         "nlat",
         "elon",
         "elev",

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from oracles import models, reduce, spatial, tables
+from oracles import models, reduce, ridge, spatial, tables
 
-SQL = {**tables.SQL, **reduce.SQL, **spatial.SQL, **models.SQL}
+SQL = {**tables.SQL, **reduce.SQL, **spatial.SQL, **models.SQL, **ridge.SQL}
