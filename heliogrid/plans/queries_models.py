@@ -147,7 +147,7 @@ def model_baseline(spark, sf):
 
 
 def model_local(spark, sf):
-    return _test_predictions(spark, sf, models.LocalModel(RIDGE, clip=True))
+    return rounded(_test_predictions(spark, sf, models.LocalModel(RIDGE, clip=True)), digits=4)
 
 
 def model_edge(spark, sf):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import oracles.reduce  # noqa: F401  (defines the shared expressions)
+import oracles.models  # noqa: F401  (defines the shared expressions)
 from oracles.base import define, query, r
+from oracles.spatial import local_rows
 
-P = range(1, 6)
+WIDTH = 5  # features of the observation model
 
 define(
     "obs_model",
@@ -16,8 +17,9 @@ define(
 )
 
 
-def standardised(train: str, rows: str) -> str:
+def standardised(train: str, rows: str, width: int = WIDTH) -> str:
     """Rows with z = (x - mean) / norm and centred label, by the training moments of their key."""
+    P = range(1, width + 1)
     means = ", ".join(f"avg(x{i}) AS m{i}" for i in P)
     norms = ", ".join(
         f"""CASE WHEN sum((x{i} - m{i}) ** 2) <= 1e-12 * sum(x{i} ** 2) THEN NULL
@@ -31,30 +33,36 @@ def standardised(train: str, rows: str) -> str:
     return f"SELECT t.*, my, y - my AS yc, {z} FROM ({rows}) t JOIN ({stats}) USING (key)"
 
 
-def inverse(z: str, alphas: str) -> str:
-    """(key, alpha, i_11..i_55, w1..w5): inverse of Z'Z + alpha I and the coefficients, per key and alpha."""
-    grams = ", ".join(f"sum(z{i} * z{j}) + {'alpha' if i == j else '0'} AS a{i}{j}" for i in P for j in P)
-    rights = ", ".join(f"CAST({int(i == j)} AS DOUBLE) AS b{i}{j}" for i in P for j in P)
-    labels = ", ".join(f"sum(z{i} * yc) AS b{i}6" for i in P)
+def inverse(z: str, alphas: str, width: int = WIDTH) -> str:
+    """Inverse b_i_j of Z'Z + alpha I and coefficients b_i_0, per key and alpha."""
+    P = range(1, width + 1)
+    grams = ", ".join(f"sum(z{i} * z{j}) + {'alpha' if i == j else '0'} AS a_{i}_{j}" for i in P for j in P)
+    rights = ", ".join(f"CAST({int(i == j)} AS DOUBLE) AS b_{i}_{j}" for i in P for j in P)
+    labels = ", ".join(f"sum(z{i} * yc) AS b_{i}_0" for i in P)
     sql = f"SELECT key, alpha, {grams}, {labels}, {rights} FROM ({z}) CROSS JOIN ({alphas}) GROUP BY key, alpha"
-    cells = [("a", i, j) for i in P for j in P] + [("b", i, j) for i in P for j in range(1, 7)]
+    cells = [("a", i, j) for i in P for j in P] + [("b", i, j) for i in P for j in range(width + 1)]
     for k in P:
         step = []
         for m, i, j in cells:
-            pivot = f"{m}{k}{j} / a{k}{k}"
-            step.append(f"{pivot if i == k else f'{m}{i}{j} - a{i}{k} * {pivot}'} AS {m}{i}{j}")
+            pivot = f"{m}_{k}_{j} / a_{k}_{k}"
+            step.append(f"{pivot if i == k else f'{m}_{i}_{j} - a_{i}_{k} * {pivot}'} AS {m}_{i}_{j}")
         sql = f"SELECT key, alpha, {', '.join(step)} FROM ({sql})"
     return sql
 
 
-WEIGHTED = " + ".join(f"b{i}6 * z{i}" for i in P)
-LEVERAGE = " + ".join(f"z{i} * b{i}{j} * z{j}" for i in P for j in P)
+def weighted(width: int = WIDTH) -> str:
+    return "(" + " + ".join(f"b_{i}_0 * z{i}" for i in range(1, width + 1)) + ")"
 
 
-def predicted(train: str, rows: str, alpha: str) -> str:
+def leverage(width: int = WIDTH) -> str:
+    return "(" + " + ".join(f"z{i} * b_{i}_{j} * z{j}" for i in range(1, width + 1) for j in range(1, width + 1)) + ")"
+
+
+def predicted(train: str, rows: str, alpha: str, width: int = WIDTH) -> str:
     """Rows with the prediction of their key's model."""
-    solved = inverse(standardised(train, train), f"SELECT {alpha} AS alpha")
-    return f"SELECT q.*, my + {WEIGHTED} AS pred FROM ({standardised(train, rows)}) q JOIN ({solved}) USING (key)"
+    solved = inverse(standardised(train, train, width), f"SELECT {alpha} AS alpha", width)
+    return f"""SELECT q.*, my + {weighted(width)} AS pred FROM ({standardised(train, rows, width)}) q
+        JOIN ({solved}) USING (key)"""
 
 
 def keyed(key: str) -> str:
@@ -77,19 +85,64 @@ define("cv_rows", standardised(_ALL, _ALL), "obs_model")
 define("cv_models", inverse("SELECT * FROM cv_rows", _ALPHAS), "cv_rows")
 define(
     "cv_best",
-    f"""SELECT alpha FROM (SELECT alpha, avg(((yc - ({WEIGHTED})) / (1 - ({LEVERAGE}))) ** 2) AS mse
+    f"""SELECT alpha FROM (SELECT alpha, avg(((yc - {weighted()}) / (1 - {leverage()})) ** 2) AS mse
         FROM cv_rows JOIN cv_models USING (key) GROUP BY alpha) ORDER BY mse, alpha LIMIT 1""",
     "cv_rows", "cv_models",
 )
 
+# learning curve: growing samples of the earlier days, each pair (size, repetition) shuffled anew
+define("model_days", "SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM obs_model)", "obs_model")
+define("early", "SELECT * FROM obs_model WHERE day < (SELECT day FROM model_days WHERE pos = floor(n * 0.5))", "obs_model", "model_days")
+define("later", "SELECT * FROM obs_model WHERE day >= (SELECT day FROM model_days WHERE pos = floor(n * 0.5))", "obs_model", "model_days")
+define(
+    "curve_samples",
+    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(concat_ws('|', stid, day, key)), stid, day) AS k
+        FROM (SELECT e.*, 1000 * i + j AS key, CAST(floor((SELECT count(*) FROM early) * (i + 1) / 4e0) AS BIGINT) AS size
+        FROM early e CROSS JOIN (SELECT unnest(generate_series(0, 3)) AS i) CROSS JOIN (SELECT unnest(generate_series(0, 2)) AS j)))
+        WHERE k <= size""",
+    "early",
+)
+_SAMPLES = "SELECT * FROM curve_samples"
+_TESTED = "SELECT l.*, s.key, s.size FROM later l CROSS JOIN (SELECT DISTINCT key, size FROM curve_samples) s"
+
+
+def curve(rows: str, name: str) -> str:
+    return f"SELECT key, size, avg(abs(y - pred)) AS {name} FROM ({predicted(_SAMPLES, rows, '1e0')}) GROUP BY key, size"
+
+
+# pooled ridge on the cells around the stations
+LOCAL = [f"nm_f{f}_{i}_{j}" for f in (0, 1) for i in (0, 1) for j in (0, 1)]
+LOCAL += ["doy", "lat", "lon", "elev", "rel_lat", "rel_lon", "lat_idx", "lon_idx"]
+define(
+    "local_table",
+    local_rows([(f"f{f}", f"fx = 'f{f}'") for f in (0, 1)], "n.value", "cell_mean", True, wrap=lambda e: f"({e})"),
+    "cell_mean", "placed",
+)
+define("local_x", "SELECT day, stid, 0 AS key, " + ", ".join(f"{c} AS x{i + 1}" for i, c in enumerate(LOCAL)) + " FROM local_table", "local_table")
+define("label_cut", "SELECT day AS d FROM (SELECT day, pos FROM nwp_labels) WHERE pos = (SELECT floor(count(DISTINCT day) * 0.5) FROM energy_nwp) LIMIT 1", "nwp_labels")
+define("local_train", "SELECT t.*, y FROM local_x t JOIN energy_nwp e ON e.day = t.day AND e.stid = t.stid WHERE t.day < (SELECT d FROM label_cut)", "local_x", "energy_nwp", "label_cut")
+define("local_test", "SELECT * FROM local_x WHERE day >= (SELECT d FROM label_cut)", "local_x", "label_cut")
+_LOCAL_PRED = predicted("SELECT * FROM local_train", "SELECT *, 0e0 AS y FROM local_test", "1e0", len(LOCAL))
+
 SQL = {
+    "eval_learning_curve": query(
+        "curve_samples later",
+        f"""SELECT CAST(a.key // 1000 AS INTEGER) AS size_no, a.size AS n_samples, {r('avg(train)')} AS train_mean,
+        {r('stddev_pop(train)')} AS train_std, {r('avg(test)')} AS test_mean, {r('stddev_pop(test)')} AS test_std
+        FROM ({curve(_SAMPLES, 'train')}) a JOIN ({curve(_TESTED, 'test')}) b ON a.key = b.key GROUP BY 1, 2""",
+    ),
+    "model_local": query(
+        "local_train local_test",
+        f"""SELECT day, stid, {r('least(greatest(pred, lo), hi)', 4)} AS pred FROM ({_LOCAL_PRED}),
+        (SELECT min(y) AS lo, max(y) AS hi FROM energy_nwp WHERE day < (SELECT d FROM label_cut))""",
+    ),
     "ridge_normalised": query("obs_model", f"SELECT stid, day, y, {r('pred', 4)} AS pred FROM ({predicted(_ALL, _ALL, '1e-1')})"),
     "fit_per_station": query(
         "obs_model", f"SELECT stid, day, y, {r('pred', 4)} AS pred FROM ({predicted(keyed('stid'), keyed('stid'), '1e-1')})"
     ),
     "ridge_cv_alpha": query(
         "cv_rows cv_models cv_best",
-        f"""SELECT stid, day, y, {r(f'my + {WEIGHTED}', 4)} AS pred, alpha FROM cv_rows JOIN cv_models USING (key)
+        f"""SELECT stid, day, y, {r('my + ' + weighted(), 4)} AS pred, alpha FROM cv_rows JOIN cv_models USING (key)
         WHERE alpha = (SELECT alpha FROM cv_best)""",
     ),
     "eval_cross_val": query(
