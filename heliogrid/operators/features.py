@@ -15,10 +15,6 @@ from heliogrid.operators.reduce import ensemble_then_hour_mean, reduce_axis, wid
 from heliogrid.operators.sun import with_sun_state
 
 
-def value_columns(df: DataFrame, keys) -> list[str]:
-    return [c for c in df.columns if c not in keys]
-
-
 # ---------------------------------------------------------------- local windows
 
 

@@ -103,9 +103,5 @@ def same_keys(left: DataFrame, right: DataFrame, on: list[str]) -> bool:
     return a.join(b, on, "left_anti").isEmpty() and b.join(a, on, "left_anti").isEmpty()
 
 
-def null_to(column: Column, default) -> Column:
-    return F.coalesce(column, F.lit(default))
-
-
 def union_all(frames) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliogrid.operators.joins import pair_up  # noqa: F401  (re-exported for callers)
 
 CUBE_KEYS = ["day", "fx", "ens", "hour", "lat_i", "lon_i"]
 

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliogrid.operators.interpolate import _matrix
-from heliogrid.operators.joins import shuffle_width
 from heliogrid.session import settled
 
 KEY_SALTS = 8
@@ -77,7 +76,7 @@ def gram_table(df: DataFrame, by: list[str] = (), target: str = "y", features: s
     rows = df.select(*by, goal.alias("_y"), F.col(features).alias("_x"))
     if by:
         salted = rows.withColumn("_salt", F.xxhash64("_y", "_x").bitwiseAND(F.lit(KEY_SALTS - 1)))
-        rows = salted.repartition(shuffle_width(df), *by, "_salt").sortWithinPartitions(*by).drop("_salt")
+        rows = salted.repartition(*by, "_salt").sortWithinPartitions(*by).drop("_salt")
 
     def partial(batches):
         totals: dict = {}
@@ -115,7 +114,7 @@ def gram_table(df: DataFrame, by: list[str] = (), target: str = "y", features: s
 
     partials = rows.mapInArrow(partial, out)
     if by:
-        merged = partials.repartition(shuffle_width(df), *by).sortWithinPartitions(*by)
+        merged = partials.repartition(*by).sortWithinPartitions(*by)
         return merged.mapInArrow(summed, out).drop("part")
     # at most FIRST_LEVEL matrices reach the last task
     halfway = partials.repartition(FIRST_LEVEL, "part").mapInArrow(summed, out)

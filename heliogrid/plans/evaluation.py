@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliogrid.operators import metrics, sampling
+from heliogrid.operators.joins import union_all
 from heliogrid.operators.labels import mark_imputed
 from heliogrid.operators.reduce import label_moments, restore_labels, standardise_labels
 from heliogrid.operators.ridge import gram_table, predict_keyed, solve_left_out, solve_table
@@ -101,17 +102,22 @@ def score_summary(by_fold: DataFrame) -> DataFrame:
     return by_fold.agg(F.avg("mae").alias("mae"), (F.stddev_pop("mae") * 2.0).alias("two_std"))
 
 
-def boosted_out_of_fold(rows: DataFrame, estimator, folds: int = 5) -> DataFrame:
-    """Out-of-fold predictions of any estimator: one fit per fold over rows written once."""
-    ready = settled(rows)
+def cross_val(model, data, labels: DataFrame, folds: int = 5, seed: int = 0) -> DataFrame:
+    """Out-of-fold predictions of any model: (day, stid, fold, y, pred).
+
+    One fit per fold on the cube and labels of all other days. The fold table has one
+    row per day and filters the cube by a semi join.
+    """
+    from dataclasses import replace
+
+    assigned = settled(sampling.assign_folds(labels, folds, seed))
     parts = []
     for fold in range(folds):
-        fitted = estimator.fit(ready.where(F.col("fold") != fold))
-        parts.append(fitted.transform(ready.where(F.col("fold") == fold)))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+        inside, outside = assigned.where(F.col("fold") == fold), assigned.where(F.col("fold") != fold)
+        restrict = lambda days: replace(data, cube=data.cube.join(days.select("day"), "day", "left_semi"))
+        fitted = model.fit(restrict(outside), labels.join(outside.select("day"), "day", "left_semi"))
+        parts.append(fitted.predict(restrict(inside)))
+    return labels.join(union_all(parts), ["day", "stid"]).join(assigned, "day")
 
 
 # ---------------------------------------------------------------- learning curves

@@ -194,6 +194,12 @@ def eval_cross_val(spark, sf):
     return rounded(evaluation.score_summary(evaluation.fold_scores(pairs)))
 
 
+def eval_cross_val_model(spark, sf):
+    """Fold MAEs of the local model, fitted anew per fold."""
+    pairs = evaluation.cross_val(models.LocalModel(RIDGE), forecast_data(spark, sf), dt.energy_nwp(spark, sf))
+    return rounded(evaluation.fold_scores(pairs))
+
+
 def eval_fold_scores(spark, sf):
     """Fold MAEs of the climatology."""
     return rounded(evaluation.fold_scores(evaluation.out_of_fold_climatology(dt.energy(spark, sf))))
@@ -259,7 +265,7 @@ QUERIES = {
         ridge_normalised, ridge_cv_alpha, fit_per_station, gbt_lad, gbt_ls, huber, staged_deviance, feature_importance,
         topk_importance, predict_climate, constant_models, model_baseline, model_local, model_edge, model_kriging,
         model_kriging_gbt, model_ensemble, model_perturbed, model_perturbed_predict, model_ensembled_regressor,
-        eval_train_test, eval_cross_val, eval_fold_scores, eval_learning_curve, submit, eval_scaled_local_gbt,
+        eval_train_test, eval_cross_val, eval_cross_val_model, eval_fold_scores, eval_learning_curve, submit, eval_scaled_local_gbt,
         cluster_encode, climate_scores,
     )
 }

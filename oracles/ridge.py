@@ -124,7 +124,24 @@ define("local_train", "SELECT t.*, y FROM local_x t JOIN energy_nwp e ON e.day =
 define("local_test", "SELECT * FROM local_x WHERE day >= (SELECT d FROM label_cut)", "local_x", "label_cut")
 _LOCAL_PRED = predicted("SELECT * FROM local_train", "SELECT *, 0e0 AS y FROM local_test", "1e0", len(LOCAL))
 
+define(
+    "local_folded",
+    """SELECT t.* EXCLUDE (key), y, fold FROM local_x t JOIN energy_nwp e ON e.day = t.day AND e.stid = t.stid JOIN (
+        SELECT day, CAST((row_number() OVER (ORDER BY md5(CAST(day AS VARCHAR) || '|0'), day) - 1) % 5 AS INTEGER) AS fold
+        FROM (SELECT DISTINCT day FROM energy_nwp)) f ON f.day = t.day""",
+    "local_x", "energy_nwp",
+)
+_LOCAL_FOLDS = predicted(
+    "SELECT k.key, t.* FROM local_folded t JOIN (SELECT unnest(generate_series(0, 4)) AS key) k ON k.key <> t.fold",
+    "SELECT fold AS key, t.* FROM local_folded t",
+    "1e0",
+    len(LOCAL),
+)
+
 SQL = {
+    "eval_cross_val_model": query(
+        "local_folded", f"SELECT fold, count(*) AS n, {r('avg(abs(y - pred))')} AS mae FROM ({_LOCAL_FOLDS}) GROUP BY fold"
+    ),
     "eval_learning_curve": query(
         "curve_samples later",
         f"""SELECT CAST(a.key // 1000 AS INTEGER) AS size_no, a.size AS n_samples, {r('avg(train)')} AS train_mean,
