@@ -55,19 +55,19 @@ def obs_rows(spark, sf):
 
 
 def ridge_normalised(spark, sf):
-    rows = obs_rows(spark, sf)
+    rows = settled(obs_rows(spark, sf))
     fitted = ridge.Ridge(alpha=0.1).fit(rows)
     return rounded(fitted.transform(rows).select("stid", "day", "y", "pred"), digits=4)
 
 
 def ridge_cv_alpha(spark, sf):
-    rows = obs_rows(spark, sf)
+    rows = settled(obs_rows(spark, sf))
     fitted = ridge.RidgeCV().fit(rows)
     return rounded(fitted.transform(rows).select("stid", "day", "y", "pred", F.lit(fitted.alpha).alias("alpha")), digits=4)
 
 
 def fit_per_station(spark, sf):
-    rows = obs_rows(spark, sf)
+    rows = settled(obs_rows(spark, sf))
     fitted = ridge.Ridge(alpha=0.1, by=("stid",)).fit(rows)
     return rounded(fitted.transform(rows).select("stid", "day", "y", "pred"), digits=4)
 
