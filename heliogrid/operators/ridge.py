@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliogrid.operators.interpolate import _matrix
+from heliogrid.operators.joins import lookup_join
 from heliogrid.session import settled
 
 KEY_SALTS = 8
 FIRST_LEVEL = 16
+MODEL_ROWS = 10_000
 
 
 # ---------------------------------------------------------------- sums
@@ -239,8 +241,12 @@ def dot(features, coef):
 
 
 def predict_keyed(df: DataFrame, models: DataFrame, by: list[str], features: str = "features") -> DataFrame:
-    """Adds ``pred`` by the model of each row's key."""
-    joined = df.join(models, by)
+    """Adds ``pred`` by the model of each row's key.
+
+    Few models are broadcast after a count; more of them are salted, since a few keys
+    (folds, a hot station) may hold most rows.
+    """
+    joined = lookup_join(df, models, by, max_rows=MODEL_ROWS)
     value = dot(F.col(features), F.col("coef")) + F.col("intercept")
     return joined.withColumn("pred", value).drop("coef", "intercept")
 

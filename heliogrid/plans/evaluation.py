@@ -89,7 +89,8 @@ def ridge_fold_models(rows: DataFrame, alpha: float, normalise: bool = True) ->
 def ridge_out_of_fold(rows: DataFrame, alpha: float = 1e-5, normalise: bool = True) -> DataFrame:
     """Adds ``pred``: each row predicted by the model that has not seen its fold."""
     ready = settled(rows)
-    return predict_keyed(ready, ridge_fold_models(ready, alpha, normalise), ["fold"])
+    models = settled(ridge_fold_models(ready, alpha, normalise))
+    return predict_keyed(ready, models, ["fold"])
 
 
 def fold_scores(pairs: DataFrame) -> DataFrame:

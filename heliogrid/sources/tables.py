@@ -16,7 +16,6 @@ FORECAST_FEATURES = (
 )
 
 CUBE_COLUMNS = ("day", "ens", "hour", "lat_i", "lon_i")
-MAX_GRID_CELLS = 1_000_000
 
 
 def load_cube(spark: SparkSession, directory: str, features=FORECAST_FEATURES, suffix: str = "") -> DataFrame:
