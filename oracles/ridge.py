@@ -138,7 +138,24 @@ _LOCAL_FOLDS = predicted(
     len(LOCAL),
 )
 
+# submission: labels standardised per station, fitted on all labelled days, later half of the cube predicted
+define("label_scale", "SELECT stid, avg(y) AS ym, CASE WHEN stddev_pop(y) = 0 THEN 1 ELSE stddev_pop(y) END AS ys FROM energy_nwp GROUP BY 1", "energy_nwp")
+define("scaled_rows", "SELECT t.*, (y - ym) / ys AS y FROM local_x t JOIN energy_nwp e ON e.day = t.day AND e.stid = t.stid JOIN label_scale s ON s.stid = t.stid", "local_x", "energy_nwp", "label_scale")
+define(
+    "later_rows",
+    """SELECT *, 0e0 AS y FROM local_x WHERE day >= (SELECT day FROM (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos,
+        count(*) OVER () AS n FROM (SELECT DISTINCT day FROM nwp)) WHERE pos = floor(n * 0.5))""",
+    "local_x", "nwp",
+)
+_SUBMIT = predicted("SELECT * FROM scaled_rows", "SELECT * FROM later_rows", "1e0", len(LOCAL))
+
 SQL = {
+    "submit": query(
+        "scaled_rows later_rows",
+        "SELECT strftime(day, '%Y%m%d') AS \"Date\", "
+        + ", ".join(f"{r(f'max(CASE WHEN stid = {i} THEN v END)', 4)} AS s{i}" for i in range(98))
+        + f" FROM (SELECT day, p.stid, pred * ys + ym AS v FROM ({_SUBMIT}) p JOIN label_scale s ON s.stid = p.stid) GROUP BY day",
+    ),
     "eval_cross_val_model": query(
         "local_folded", f"SELECT fold, count(*) AS n, {r('avg(abs(y - pred))')} AS mae FROM ({_LOCAL_FOLDS}) GROUP BY fold"
     ),
