@@ -5,7 +5,7 @@ SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 NEAR_DEDUP = f"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
   FROM documents
 ), s AS MATERIALIZED (
   SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS g
@@ -21,6 +21,18 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(least.b, d
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.a = doc_id
 """
 
+LINE_DEDUP = f"""
+WITH l AS (
+  SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], {SPACE}), '{UPPER}', '{LOWER}') AS k
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+), c AS (SELECT k, max(doc_id) AS last_doc FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT l.*, c.k IS NOT NULL AND l.doc_id <> c.last_doc AS gone FROM l LEFT JOIN c USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 SQL = {
+    "op2_line_dedup": LINE_DEDUP,
     "op8_minhash_near_dedup": NEAR_DEDUP,
 }

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from heliogrid.llm import neardup
+from heliogrid.llm import linededup, neardup
 
 NEAR = neardup.SetSketch(words=3, percent=85, rows=5, bands=26)
 
@@ -13,10 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"), linededup.LineRule(min_chars=40, min_docs=5))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), NEAR)
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
