@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliogrid.llm import linededup, neardup, substrings
+from heliogrid.llm import linededup, mixing, neardup, substrings
 
 NEAR = neardup.SetSketch(words=3, percent=85, rows=5, bands=26)
+MIX = mixing.Mix()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +29,13 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), NEAR)
 
 
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX)
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_mix_sources": op10_mix_sources,
 }
