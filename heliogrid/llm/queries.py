@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliogrid.llm import linededup, mixing, neardup, substrings
+from heliogrid.llm import langid, linededup, mixing, neardup, substrings
 
 NEAR = neardup.SetSketch(words=3, percent=85, rows=5, bands=26)
 MIX = mixing.Mix()
@@ -29,6 +29,20 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), NEAR)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(langid.evidence(docs, "doc_id", F.col("text"), F.col("lang"), F.col("source")), langid.LanguageRule())
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for pages: language attribute, host and suffix of the address, and the text between tags."""
+    pages = table(spark, sf_dir, "pages")
+    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    declared = F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    out = langid.identify(langid.evidence(pages, "page_id", text, declared, F.col("url")), langid.LanguageRule())
+    return out.withColumnRenamed("doc_id", "page_id")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX)
 
@@ -37,5 +51,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
+    "language_id_pages": language_id_pages,
 }
