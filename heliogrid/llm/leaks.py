@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliogrid.llm.common import WordHashes, byte_chunks, id_text, mixed, random_words, words_of
+from heliogrid.llm.common import WordHashes, byte_chunks, id_text, mixed, random_words
 
 CHUNK = 1 << 21
 FILTER_BITS = 20
@@ -55,6 +56,21 @@ class Items:
     bits: np.ndarray  # filter over the seeds' upper bits
 
 
+class LeakWords(WordHashes):
+    """Hashes of words by their letters and digits only, whatever their case; 0 for a word without any."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        plain = "".join(c for c in word.decode("utf-8", "replace").casefold() if c.isalnum())
+        h = self[word] = xxhash.xxh3_64_intdigest(plain) | 1 if plain else 0
+        return h
+
+    def in_text(self, text: bytes) -> np.ndarray:
+        h = self.of(text.split())
+        return h[h != 0]
+
+
 def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
     n = len(h) - size + 1
     if n <= 0:
@@ -69,9 +85,9 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
     """How often every word (sorted hashes) is in the texts, and the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, total = WordHashes(), np.zeros(len(vocabulary), np.int64), 0
+        hashes, counts, total = LeakWords(), np.zeros(len(vocabulary), np.int64), 0
         for _, texts in byte_chunks(batches, "text", CHUNK):
-            h = hashes.of([w for t in texts.to_pylist() for w in words_of(t)])
+            h = hashes.in_text(b" ".join(texts.to_pylist()))
             total += len(h)
             if len(h) and len(vocabulary):
                 at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
@@ -86,9 +102,9 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
 
 def prepared(block: list[tuple[int, bytes]], docs: DataFrame, rule: LeakRule) -> Items:
     """The seeds of a block of items, with surprisals counted over all documents."""
-    hashes = WordHashes()
-    block = [(i, words) for i, text in block if (words := words_of(text))]
-    words = [hashes.of(w) for _, w in block]
+    hashes = LeakWords()
+    block = [(i, h) for i, text in block if len(h := hashes.in_text(text))]
+    words = [h for _, h in block]
     vocabulary = np.unique(np.concatenate(words)) if words else np.empty(0, np.uint64)
     counts, total = word_counts(docs, vocabulary)
     surprisal = -np.log2((counts + 1) / (total + len(counts) + 1))
@@ -189,16 +205,16 @@ def _found(docs: DataFrame, items: Items, rule: LeakRule) -> DataFrame:
             hit = (float(best[k] / full[k]), lo + int(end[k] - s), lo + int(end[k]))
             if (doc, item) not in rows or hit[0] > rows[doc, item][0]:
                 rows[doc, item] = hit
-        columns = [[d[1] for d in rows], [int(items.ids[i]) for _, i in rows], *([v[c] for v in rows.values()] for c in range(3))]
+        columns = [[d[1] for d, _ in rows], [int(items.ids[i]) for _, i in rows], *([v[c] for v in rows.values()] for c in range(3))]
         types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, pending, words, row = WordHashes(), [], 0, 0
+        hashes, pending, words, row = LeakWords(), [], 0, 0
         for rows, texts in byte_chunks(batches, "text", CHUNK):
             for doc, text in zip(rows.column("doc_id").to_pylist(), texts.to_pylist()):
                 row += 1
-                h = hashes.of(words_of(text))
+                h = hashes.in_text(text)
                 for k, lo, hi in passages(h, items, rule, sizes):
                     pending.append(((row, doc), k, lo, h[lo:hi]))
                     words += hi - lo
@@ -216,13 +232,14 @@ def find_leaks(
 ) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word of every row of ``docs`` and item it holds a copy of.
 
+    Words are compared by their letters and digits, whatever their case; places count words that have any.
     Of several copies of an item in a text, the best. Null and empty texts and items have no copies; an item without a
     key is left out; rows without a key are reported with null. Repeated rows are reported each, repeated items once.
     Items shorter than a seed are found as a whole. Either table may be empty.
     """
     rows = id_text(docs, key, text)
     tests = id_text(benchmark, item, item_text).where("doc_id is not null and text is not null").distinct()
-    size = F.size(F.split("text", r"[\x20\x09-\x0D]+"))
+    size = F.size(F.split("text", r"[\x20\x09-\x0D]+")).cast("long")
     blocks = max(1, -(-(tests.agg(F.sum(size)).first()[0] or 0) // rule.block_words))
     out = None
     for block in range(blocks):

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heliogrid.llm.common import byte_chunks, id_text, mixed, random_words, shuffle_partitions, written
 
@@ -232,6 +233,20 @@ def dropped_keys(docs: DataFrame, rule: LineRule) -> DataFrame:
     return _answers(dealt, rule).groupBy("doc_id").agg(F.collect_set("h").alias("drop"))
 
 
+def _stripped(batches: Iterator[pa.RecordBatch], rule: LineRule, text: str, drop: str):
+    """(part of a batch, lines of every text, lines dropped, text of the lines that stay)."""
+    for part, texts in byte_chunks(batches, text, CHUNK):
+        lines, dropped, kept = [], [], []
+        for body, hashes in zip(texts.to_pylist(), part.column(drop).to_pylist()):
+            split = body.split(b"\n")
+            gone = {h % 2**64 for h in hashes or ()}
+            stay = [x for x in split if key_hash(x, rule) not in gone] if gone else split
+            lines.append(len(split))
+            dropped.append(len(split) - len(stay))
+            kept.append(b"\n".join(stay))
+        yield part, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())
+
+
 def dedup_lines(docs: DataFrame, rule: LineRule = LineRule(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped and kept (the lines that stay, joined by \\n), one row for each row of ``docs``.
 
@@ -243,18 +258,22 @@ def dedup_lines(docs: DataFrame, rule: LineRule = LineRule(), key: str = "doc_id
     joined = rows.join(dropped_keys(rows, rule), "doc_id", "left").select("doc_id", "text", "drop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in byte_chunks(batches, "text", CHUNK):
-            lines, dropped, kept = [], [], []
-            for body, drop in zip(texts.to_pylist(), part.column("drop").to_pylist()):
-                split = body.split(b"\n")
-                gone = {h % 2**64 for h in drop or ()}
-                stay = [x for x in split if key_hash(x, rule) not in gone] if gone else split
-                lines.append(len(split))
-                dropped.append(len(split) - len(stay))
-                kept.append(b"\n".join(stay))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_lines", "n_dropped", "kept"],
-            )
+        for part, *columns in _stripped(batches, rule, "text", "drop"):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_lines", "n_dropped", "kept"])
 
     return joined.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept string")
+
+
+def strip_lines(docs: DataFrame, rule: LineRule = LineRule(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of ``docs``, with the text of the lines that stay, and n_dropped; rows as in dedup_lines()."""
+    names = [c for c in docs.columns if c != "n_dropped"]
+    drops = dropped_keys(id_text(docs, key, text), rule).toDF("__key", "__drop")
+    joined = docs.select(names).join(drops, F.col(f"`{key}`") == F.col("__key"), "left").select(*[f"`{c}`" for c in names], "__drop")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in joined.schema if f.name != "__drop"), T.StructField("n_dropped", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, dropped, kept in _stripped(batches, rule, text, "__drop"):
+            columns = [kept if c == text else part.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, dropped], names=[*names, "n_dropped"])
+
+    return joined.mapInArrow(run, schema)

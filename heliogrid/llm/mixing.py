@@ -31,16 +31,12 @@ class Mix:
     cell_rows: int = 20_000  # rows numbered by one window, about
 
 
-def _digest() -> Column:
-    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-
-
 def weights(counts: DataFrame, spec: Mix, targets: DataFrame | None = None) -> DataFrame:
     """(source, slots): whole slots of a period, at least one for a source with rows, by largest remainder."""
     if targets is None:
         asked = counts.withColumn("weight", F.pow(F.col("n_rows").cast("double"), F.lit(spec.flatten)))
     else:
-        least = targets.groupBy(F.col("source").alias("source")).agg(F.sum("weight").alias("weight"))
+        least = targets.groupBy("source").agg(F.sum("weight").alias("weight"))
         asked = counts.join(least, "source", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
     # the sources, at most max_sources rows: a window over all of them is small
     every = Window.partitionBy(F.lit(1))
@@ -85,41 +81,43 @@ def period_schedule(slots: DataFrame, spec: Mix) -> DataFrame:
 
 
 def numbered(rows: DataFrame, cells: DataFrame, cell: Column) -> DataFrame:
-    """Adds ``number``: the row's place (from 0) in its source by the digest of its key."""
-    before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("source", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("source", "cell").orderBy("digest", "doc_id")) - 1
+    """Adds ``__number``: the row's place (from 0) in its source by the digest of its key."""
+    before = Window.partitionBy("__source").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select("__source", "__cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__source", "__cell").orderBy("__digest")) - 1
     # the row number first: its shuffle by (source, cell) serves the join as well
-    own = rows.withColumn("cell", cell).withColumn("inside", inside)
-    return own.join(starts, ["source", "cell"]).withColumn("number", F.col("start") + F.col("inside")).drop("start", "inside", "cell")
+    own = rows.withColumn("__cell", cell).withColumn("__inside", inside)
+    return own.join(starts, ["__source", "__cell"]).withColumn("__number", F.col("__start") + F.col("__inside"))
 
 
 def mix(docs: DataFrame, spec: Mix = Mix(), targets: DataFrame | None = None, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, source, block, slot and position, one row for each row of ``docs``; ordered by position they are mixed.
+    """All columns of ``docs`` with block, slot and position (columns of these names are replaced), one row for each row.
 
-    Rows without a source form the source '(none)', rows without a key come in any order among each other. Repeated rows keep
-    a place each. A source that has run out leaves its slots empty: position has gaps there, and the others keep
-    their order and rates among each other. ``targets`` holds (source, weight); a source it doesn't name gets one slot
-    a period, so nothing is dropped. An empty table gives no rows.
+    Read in the order of position, sources are mixed. Rows without a source form one of their own, rows without a key
+    and repeated rows come in any order among each other and keep a place each. A source that has run out leaves its
+    slots empty: position has gaps there, and the others keep their order and rates among each other. ``targets`` holds
+    (source, weight); a source it doesn't name, or names with no weight, gets one slot a period, so nothing is dropped.
+    An empty table gives no rows. More than ``max_sources`` sources are an error.
     """
-    rows = docs.select(
-        F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(NO_SOURCE)).alias("source")
-    ).withColumn("digest", _digest())
-    fine = F.conv(F.substring("digest", 1, 4), 16, 10).cast("int")
-    counts = written(rows.groupBy("source", fine.alias("fine")).agg(F.count("*").alias("n")), "cells")
-    size = counts.groupBy("source").agg(F.sum("n").alias("n_rows"))
+    named = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(NO_SOURCE))
+    digest = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
+    rows = docs.withColumn("__source", named).withColumn("__digest", digest)
+    fine = F.conv(F.substring("__digest", 1, 4), 16, 10).cast("int")
+    counts = written(rows.groupBy("__source", fine.alias("fine")).agg(F.count("*").alias("n")), "cells")
+    size = counts.groupBy(F.col("__source").alias("source")).agg(F.sum("n").alias("n_rows"))
     total = size.agg(F.count("*"), F.max("n_rows")).first()
     if total[0] > spec.max_sources:
         raise ValueError(f"{total[0]} sources; a period of {spec.period} slots is meant for at most {spec.max_sources}")
     width = max(1, min(65536, 65536 * spec.cell_rows // max(1, total[1] or 1)))  # digest prefixes in a cell
-    cells = counts.groupBy("source", F.floor(F.col("fine") / width).cast("int").alias("cell")).agg(F.sum("n").alias("n"))
-    slots = weights(size, spec, targets)
-    schedule = written(period_schedule(slots, spec), "schedule")
-    rate = schedule.groupBy("source").agg(F.count("*").alias("slots"))
-    block = F.floor(F.col("number") / spec.block_rows).cast("long")
-    out = numbered(rows, cells, F.floor(fine / width).cast("int")).withColumn("block", block)
-    out = out.join(F.broadcast(rate), "source").withColumn("nth", F.col("block") % F.col("slots"))  # max_sources rows
-    out = out.join(F.broadcast(schedule.withColumnRenamed("slot", "place")), ["source", "nth"])  # period rows
-    out = out.withColumn("slot", F.floor(F.col("block") / F.col("slots")).cast("long") * F.lit(spec.period).cast("long") + F.col("place"))
-    position = F.col("slot") * spec.block_rows + F.col("number") % spec.block_rows
-    return out.select("doc_id", "source", "block", "slot", position.cast("long").alias("position"))
+    cells = counts.groupBy("__source", F.floor(F.col("fine") / width).cast("int").alias("__cell")).agg(F.sum("n").alias("n"))
+    schedule = written(period_schedule(weights(size, spec, targets), spec), "schedule").toDF("__source", "__nth", "__place")
+    rate = schedule.groupBy("__source").agg(F.count("*").alias("__slots"))
+    out = numbered(rows, cells, F.floor(fine / width).cast("int"))
+    out = out.withColumn("__block", F.floor(F.col("__number") / spec.block_rows).cast("long"))
+    out = out.join(F.broadcast(rate), "__source")  # max_sources rows
+    out = out.withColumn("__nth", F.col("__block") % F.col("__slots"))
+    out = out.join(F.broadcast(schedule), ["__source", "__nth"])  # period rows
+    slot = F.floor(F.col("__block") / F.col("__slots")).cast("long") * F.lit(spec.period).cast("long") + F.col("__place")
+    position = slot * F.lit(spec.block_rows).cast("long") + F.col("__number") % F.lit(spec.block_rows)
+    new = [F.col("__block").alias("block"), slot.alias("slot"), position.cast("long").alias("position")]
+    return out.select(*[f"`{c}`" for c in docs.columns if c not in ("block", "slot", "position")], *new)

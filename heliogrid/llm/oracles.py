@@ -49,7 +49,7 @@ f AS (
   )
 ), p AS (SELECT names[chosen] AS source, slot - 1 AS place, row_number() OVER (PARTITION BY chosen ORDER BY slot) - 1 AS nth FROM f, s WHERE chosen > 0),
 c AS (SELECT source, count(*) AS slots FROM p GROUP BY source),
-o AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY g, doc_id) - 1 AS number FROM r)
+o AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY g) - 1 AS number FROM r)
 SELECT o.doc_id, o.source, number // 8 AS block, CAST(number // 8 // slots * 1000 + place AS BIGINT) AS slot,
   CAST((number // 8 // slots * 1000 + place) * 8 + number % 8 AS BIGINT) AS position
 FROM o JOIN c USING (source) JOIN p ON p.source = o.source AND p.nth = (number // 8) % slots

@@ -49,7 +49,7 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), MIX)
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX)
 
 
 QUERIES = {
