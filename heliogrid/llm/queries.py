@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliogrid.llm import langid, leaks, linededup, mixing, neardup, substrings, toxicity
+from heliogrid.llm import htmltext, langid, leaks, linededup, mixing, neardup, substrings, toxicity
 
 NEAR = neardup.SetSketch(words=3, percent=85, rows=5, bands=26)
 MIX = mixing.Mix()
@@ -34,6 +34,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), leaks.LeakRule())
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"), htmltext.HtmlRule())
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), NEAR)
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_html_text": op5_html_text,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
