@@ -55,7 +55,18 @@ SELECT o.doc_id, o.source, number // 8 AS block, CAST(number // 8 // slots * 100
 FROM o JOIN c USING (source) JOIN p ON p.source = o.source AND p.nth = (number // 8) % slots
 """
 
+TOP_K = """
+WITH c AS MATERIALIZED (
+  SELECT DISTINCT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS code FROM embeddings
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, hamming(q.code, c.code) AS distance
+  FROM c q JOIN c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, distance FROM r WHERE rank <= 10
+"""
+
 SQL = {
+    "op6_exact_topk": TOP_K,
     "op10_mix_sources": MIX,
     "op2_line_dedup": LINE_DEDUP,
     "op8_minhash_near_dedup": NEAR_DEDUP,

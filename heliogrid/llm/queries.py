@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliogrid.llm import htmltext, langid, leaks, linededup, mixing, neardup, substrings, toxicity
+from heliogrid.llm import hamming, htmltext, langid, leaks, linededup, mixing, neardup, substrings, tokencount, toxicity
 
 NEAR = neardup.SetSketch(words=3, percent=85, rows=5, bands=26)
 MIX = mixing.Mix()
@@ -38,6 +38,16 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"), htmltext.HtmlRule())
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every row whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hamming.nearest(vectors, vectors.where("vec_id % 20 = 0"), hamming.SearchRule(k=10))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokencount.load())
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), NEAR)
 
@@ -66,6 +76,8 @@ QUERIES = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_html_text": op5_html_text,
+    "op6_exact_topk": op6_exact_topk,
+    "op7_token_counts": op7_token_counts,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
