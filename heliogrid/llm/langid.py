@@ -34,8 +34,8 @@ class LanguageRule:
     buckets_log2: int = 14
     alpha: float = 0.5  # added to every trigram count
     temper: float = 0.35  # overlapping trigrams aren't independent
-    min_declared: int = 20  # rows that a declared value needs to be a language
-    max_languages: int = 64  # the model is languages x buckets, whatever the data
+    min_declared: int = 2  # rows that a declared value needs to be a language
+    max_languages: int = 200  # the model is languages x buckets, whatever the data
     suffix_weight: float = 50.0  # rows that the level above counts as
     host_weight: float = 20.0
     und_prior: float = 0.001
@@ -157,8 +157,8 @@ def identify(rows: DataFrame, rule: LanguageRule = LanguageRule()) -> DataFrame:
     """doc_id, lang, confidence, text_lang, accepted, one row for each row of evidence().
 
     Rejected are texts without letters, texts that fit no language better than chance ('und'), a posterior below
-    ``min_confidence``, and languages that aren't asked for. Null declarations and addresses are evidence of their
-    own value ''. Repeated rows count as often as they are there. Without any declared language all rows are 'und';
+    ``min_confidence``, and languages that aren't asked for. A null or blank declaration says nothing; rows
+    without an address share the host ''. Repeated rows count as often as they are there. Without any declared language all rows are 'und';
     an empty table gives no rows.
     """
     declared = rows.groupBy("declared").agg(F.count("*").alias("n")).where((F.col("n") >= rule.min_declared) & (F.col("declared") != ""))
@@ -180,6 +180,7 @@ def identify(rows: DataFrame, rule: LanguageRule = LanguageRule()) -> DataFrame:
     overall = counts.sum(0) / counts.sum()
     given = np.log(counts / counts.sum(0))
     unknown = np.log(counts.sum(1) / counts.sum())  # what 'und' texts declare: as any row does
+    given[-2], unknown[-2] = 0.0, 0.0  # nothing declared says nothing
     says = F.create_map(*[x for v, g, u in zip(values, given, unknown) for x in (F.lit(v), _array(np.append(g, u)))])
     suffixes = _votes(voters, "suffix", size).withColumn("suffix_prior", _smoothed(F.col("suffix_votes"), _array(overall), rule.suffix_weight))
     hosts = _votes(voters.withColumn("host_suffix", F.struct("host", "suffix")), "host_suffix", size)

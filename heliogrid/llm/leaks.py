@@ -39,7 +39,7 @@ class LeakRule:
     match: int = 2
     mismatch: int = -1
     gap: int = -1
-    min_score: float = 0.5
+    min_score: float = 0.35
     min_words: int = 8  # matches that an alignment needs at least, or all words of a shorter item
     block_words: int = 200_000
 
