@@ -19,16 +19,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliogrid.llm.common import WordHashes, byte_chunks, id_text, mixed, random_words
+from heliogrid.llm.common import byte_chunks, id_text, mixed, random_words
+from heliogrid.llm.suffixes import HashedBytes
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 FILTER_BITS = 20
+SHIFT = np.uint64(64 - FILTER_BITS)
 CELLS = 1 << 21  # of one batch of alignments
-PENDING = 20_000  # words of passages aligned at once
+PENDING = 50_000  # words of passages aligned at once
 
 
 @dataclass(frozen=True)
@@ -53,22 +54,35 @@ class Items:
     seed: np.ndarray
     item: np.ndarray
     place: np.ndarray
-    bits: np.ndarray  # filter over the seeds' upper bits
+    bits: np.ndarray  # which upper bits a seed can have
 
 
-class LeakWords(WordHashes):
-    """Hashes of words by their letters and digits only, whatever their case; 0 for a word without any."""
+#: What a byte is to a word: 0 left out (ASCII signs), 1 white space, 2 part of it (letters, digits, beyond ASCII).
+PARTS = np.zeros(256, np.uint8)
+PARTS[[9, 10, 11, 12, 13, 32]] = 1
+PARTS[48:58] = PARTS[65:91] = PARTS[97:123] = PARTS[128:] = 2
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        plain = "".join(c for c in word.decode("utf-8", "replace").casefold() if c.isalnum())
-        h = self[word] = xxhash.xxh3_64_intdigest(plain) | 1 if plain else 0
-        return h
 
-    def in_text(self, text: bytes) -> np.ndarray:
-        h = self.of(text.split())
-        return h[h != 0]
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after the other, without ASCII signs and whatever their case; and the words up to each text's end."""
+    folded = [t.decode("utf-8", "replace").casefold().encode() for t in texts]
+    data = np.frombuffer(b"\n".join(folded) + b"\n", np.uint8)
+    part = PARTS[data]
+    stay = part > 0
+    ends = np.cumsum([len(t) + 1 for t in folded])
+    ends = np.cumsum(stay)[ends - 1]
+    data, inside = data[stay], part[stay] == 2
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    starts = np.append(0, starts) if inside[0] else starts
+    sizes = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1 - starts
+    return mixed(HashedBytes(data, 43).of(starts, sizes)), np.searchsorted(starts, ends)
+
+
+def marked(hashes: np.ndarray) -> np.ndarray:
+    """Which upper bits some of the hashes have: a quick test before a search."""
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[hashes >> SHIFT] = True
+    return bits
 
 
 def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -85,11 +99,13 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
     """How often every word (sorted hashes) is in the texts, and the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, total = LeakWords(), np.zeros(len(vocabulary), np.int64), 0
+        counts, total = np.zeros(len(vocabulary), np.int64), 0
+        bits = marked(vocabulary)
         for _, texts in byte_chunks(batches, "text", CHUNK):
-            h = hashes.in_text(b" ".join(texts.to_pylist()))
+            h, _ = word_hashes(texts.to_pylist())
             total += len(h)
-            if len(h) and len(vocabulary):
+            h = h[bits[h >> SHIFT]]
+            if len(h):
                 at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
                 counts += np.bincount(at[vocabulary[at] == h], minlength=len(vocabulary))
         some = np.flatnonzero(counts)
@@ -102,8 +118,7 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
 
 def prepared(block: list[tuple[int, bytes]], docs: DataFrame, rule: LeakRule) -> Items:
     """The seeds of a block of items, with surprisals counted over all documents."""
-    hashes = LeakWords()
-    block = [(i, h) for i, text in block if len(h := hashes.in_text(text))]
+    block = [(i, h) for i, text in block if len(h := word_hashes([text])[0])]
     words = [h for _, h in block]
     vocabulary = np.unique(np.concatenate(words)) if words else np.empty(0, np.uint64)
     counts, total = word_counts(docs, vocabulary)
@@ -120,9 +135,7 @@ def prepared(block: list[tuple[int, bytes]], docs: DataFrame, rule: LeakRule) ->
         place.append(at)
     seed, item, place = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((seed, np.uint64), (item, np.int64), (place, np.int64)))
     order = np.argsort(seed, kind="stable")
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[(seed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Items(np.array([i for i, _ in block], np.int64), words, seed[order], item[order].astype(np.int64), place[order].astype(np.int64), bits)
+    return Items(np.array([i for i, _ in block], np.int64), words, seed[order], item[order].astype(np.int64), place[order].astype(np.int64), marked(seed))
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray], rule: LeakRule) -> tuple[np.ndarray, np.ndarray]:
@@ -163,17 +176,14 @@ def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], rule: LeakRule) -> tuple
     return best, end
 
 
-def passages(h: np.ndarray, items: Items, rule: LeakRule, sizes: np.ndarray) -> list[tuple[int, int, int]]:
-    """(item, first word, word behind the last) around the seeds in a text's word hashes."""
+def passages(h: np.ndarray, at: list[np.ndarray], grams: list[np.ndarray], items: Items) -> list[tuple[int, int, int]]:
+    """(item, first word, word behind the last) around a text's seeds: words they begin at, and their hashes, by size."""
     found = []
-    for size in sizes:
-        grams = gram_hashes(h, int(size))
-        at = np.flatnonzero(items.bits[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        first = np.searchsorted(items.seed, grams[at], "left")
-        count = np.searchsorted(items.seed, grams[at], "right") - first
+    for where, seeds in zip(at, grams):
+        first = np.searchsorted(items.seed, seeds, "left")
+        count = np.searchsorted(items.seed, seeds, "right") - first
         hit = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        where = np.repeat(at, count)
-        for k, j, p in zip(items.item[hit], where, items.place[hit]):
+        for k, j, p in zip(items.item[hit], np.repeat(where, count), items.place[hit]):
             length = len(items.words[k])
             slack = length // 2 + 1
             found.append((int(k), max(0, int(j - p) - slack), min(len(h), int(j - p) + length + slack)))
@@ -210,17 +220,29 @@ def _found(docs: DataFrame, items: Items, rule: LeakRule) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, pending, words, row = LeakWords(), [], 0, 0
+        pending, words, row = [], 0, 0
         for rows, texts in byte_chunks(batches, "text", CHUNK):
-            for doc, text in zip(rows.column("doc_id").to_pylist(), texts.to_pylist()):
-                row += 1
-                h = hashes.in_text(text)
-                for k, lo, hi in passages(h, items, rule, sizes):
-                    pending.append(((row, doc), k, lo, h[lo:hi]))
-                    words += hi - lo
-                if words >= PENDING:
-                    yield scored(pending)
-                    pending, words = [], 0
+            h, ends = word_hashes(texts.to_pylist())
+            starts = np.append(0, ends[:-1])
+            at, grams = [], []
+            for size in sizes:  # seeds anywhere in the chunk; those that cross texts go
+                g = gram_hashes(h, int(size))
+                where = np.flatnonzero(items.bits[g >> SHIFT])
+                where = where[where + size <= ends[np.searchsorted(ends, where, "right")]]
+                at.append(where)
+                grams.append(g[where])
+            docs_hit = np.unique(np.searchsorted(ends, np.concatenate(at), "right")) if at else []
+            for d in docs_hit:
+                lo, hi = starts[d], ends[d]
+                inside = [slice(*np.searchsorted(w, (lo, hi))) for w in at]
+                own = h[lo:hi]
+                for k, begin, end in passages(own, [w[s] - lo for w, s in zip(at, inside)], [g[s] for g, s in zip(grams, inside)], items):
+                    pending.append(((row + int(d), rows.column("doc_id")[int(d)].as_py()), k, begin, own[begin:end].copy()))
+                    words += end - begin
+            row += rows.num_rows
+            if words >= PENDING:
+                yield scored(pending)
+                pending, words = [], 0
         if pending:
             yield scored(pending)
 
@@ -232,7 +254,7 @@ def find_leaks(
 ) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word of every row of ``docs`` and item it holds a copy of.
 
-    Words are compared by their letters and digits, whatever their case; places count words that have any.
+    Words are compared without ASCII signs, whatever their case; places count words that have anything else.
     Of several copies of an item in a text, the best. Null and empty texts and items have no copies; an item without a
     key is left out; rows without a key are reported with null. Repeated rows are reported each, repeated items once.
     Items shorter than a seed are found as a whole. Either table may be empty.
