@@ -133,10 +133,11 @@ def cells_to_stations(values: DataFrame, station_cells: DataFrame, **size_check)
 
 
 def _complete(cells: Column, n: int) -> Column:
-    """Sorted cell structs, padded with NULL where a cell is absent."""
+    """Sorted cell structs, padded with NULL where a cell is absent; a cell that repeats is an error."""
     by_cell = F.map_from_entries(F.transform(cells, lambda c: F.struct(c.getField("cell"), c)))
     padded = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.try_element_at(by_cell, c))
-    return F.when(F.size(cells) == n, cells).otherwise(padded)
+    every = F.transform(cells, lambda c: c.getField("cell").cast("int")) == F.sequence(F.lit(0), F.lit(n - 1))
+    return F.when(every, cells).otherwise(padded)
 
 
 def map_vectors(df: DataFrame, keys: list[str], spec: GridSpec, values=("value",), names=("cells",)) -> DataFrame:

@@ -12,22 +12,12 @@ LABEL_STEP = 100.0
 def previous_values(df: DataFrame, keys: list[str], values: list[str], day: str = "day", prefix: str = "prev_") -> DataFrame:
     """Value of the preceding row in day order per key, as ``prev_<name>`` columns.
 
-    (keys, day) must be unique. A window over whole keys would put a hot key in one
-    task, so rows are ranked inside (key, year) chunks and only the last row of each
-    chunk, a tiny table, is passed on to the next chunk of its key.
+    (keys, day) must be unique, so a key has at most one row for each day of the calendar: a window over
+    it is bounded by the years covered, not by the rows, and the input is read once.
     """
-    packed = F.struct(*[F.col(f"`{v}`").alias(v) for v in values])
-    chunked = df.withColumn("_year", F.year(day)).withColumn("_row", packed)
-    inside = Window.partitionBy(*keys, "_year").orderBy(day)
-    lagged = chunked.withColumn("_lag", F.lag("_row").over(inside)).withColumn("_n", F.row_number().over(inside))
-    last_rows = chunked.groupBy(*keys, "_year").agg(F.max_by("_row", day).alias("_tail"))
-    across = Window.partitionBy(*keys).orderBy("_year")
-    handed = last_rows.select(*keys, "_year", F.lag("_tail").over(across).alias("_handed"))
-    joined = lagged.join(handed, [*keys, "_year"], "left")
-    before = F.when(F.col("_n") == 1, F.col("_handed")).otherwise(F.col("_lag"))
+    before = Window.partitionBy(*keys).orderBy(day)
     kept = [F.col(f"`{c}`") for c in df.columns]
-    with_before = joined.withColumn("_before", before)
-    return with_before.select(*kept, *[F.col("_before").getField(v).alias(f"{prefix}{v}") for v in values])
+    return df.select(*kept, *[F.lag(F.col(f"`{v}`")).over(before).alias(f"{prefix}{v}") for v in values])
 
 
 def with_history(df: DataFrame, keys: list[str], values: list[str], suffix: str, day: str = "day") -> DataFrame:

@@ -281,8 +281,6 @@ class BaselineModel:
 class EnsembledRegressor(BaselineModel):
     """One example per member of the whole cube of a day; predictions averaged over members."""
 
-    clip: bool = True
-
     def rows(self, data):
         return member_rows(data)
 

@@ -32,7 +32,7 @@ def scan_nwp(spark, sf):
 def scan_labels_unpivot(spark, sf):
     """Writes the wide label file and reads it back as (station, day) rows."""
     path = new_shared_path(spark, "labels-csv")
-    wide = tables.submission(dt.energy(spark, sf).withColumnRenamed("y", "pred"), dt.LABEL_STATIONS)
+    wide = tables.submission(dt.energy(spark, sf).withColumnRenamed("y", "pred"), range(1, dt.station_count(spark, sf) + 1))
     wide.write.option("header", True).csv(path)
     long = tables.read_label_csv(spark, path)
     return long.select("day", F.col("station").cast("bigint").alias("stid"), "y")

@@ -11,4 +11,4 @@ QUERIES = {
     **queries_models.QUERIES,
 }
 
-flagship = queries_models.climate_scores
+flagship = queries_models.model_scores

@@ -31,7 +31,7 @@ def local_session(cpus: str = "8", app: str = "heliogrid") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    Only when the session names none (a bare local test) is one created here.
+    Only when the session names none and all runs on this machine (a bare local test) is one created here.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="heliogrid-"))
         current = context.getCheckpointDir()
     return current.rstrip("/")

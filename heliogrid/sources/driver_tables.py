@@ -12,7 +12,7 @@ GRID = GridSpec.of([31 + i for i in range(8)], [-106 + j for j in range(8)])
 HOURS = tuple(range(5))
 FEATURES = ("f0", "f1")
 MEMBERS = (0, 1)
-LABEL_STATIONS = tuple(range(98))
+LABEL_STATIONS = tuple(range(1, 99))  # columns of the wide formats, which are fixed by whoever reads them
 FIRST_DAY = "1994-01-01"
 
 
@@ -91,19 +91,29 @@ def _label() -> F.Column:
     return F.max(F.floor(F.col("o_totalprice") / 5000) * F.lit(50)).cast("double").alias("y")
 
 
+def station_count(spark: SparkSession, sf_dir: str) -> int:
+    """Stations are numbered from 1 to this."""
+    return table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0] or 1
+
+
+def _label_station(spark: SparkSession, sf_dir: str) -> F.Column:
+    """One of the stations there are, for a customer."""
+    return (F.lit(1) + F.col("o_custkey") % F.lit(station_count(spark, sf_dir))).alias("stid")
+
+
+def _label_day(spark: SparkSession, sf_dir: str) -> F.Column:
+    """One of the days of the cube, for an order."""
+    last = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0
+    return _day_after(F.col("o_orderkey") % F.lit(last // 20 + 1)).alias("day")
+
+
 def energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels per (station, day)."""
-    return (
-        table(spark, sf_dir, "orders")
-        .groupBy((F.col("o_custkey") % 98).alias("stid"), F.col("o_orderdate").cast("date").alias("day"))
-        .agg(_label())
-    )
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupBy(_label_station(spark, sf_dir), F.col("o_orderdate").cast("date").alias("day")).agg(_label())
 
 
 def energy_nwp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels on the days of the cube."""
-    return (
-        table(spark, sf_dir, "orders")
-        .groupBy((F.col("o_custkey") % 98).alias("stid"), _day_after(F.col("o_orderkey") % 25).alias("day"))
-        .agg(_label())
-    )
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupBy(_label_station(spark, sf_dir), _label_day(spark, sf_dir)).agg(_label())

@@ -42,10 +42,10 @@ def stack_features(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def unpivot_labels(wide: DataFrame, date: str, label: str = "y") -> DataFrame:
-    """One row per (day, station) from a table with one column per station."""
+    """One row per (day, station) from a table with one column per station; NaN is missing."""
     stations = [c for c in wide.columns if c != date]
     day = F.to_date(F.col(f"`{date}`").cast("string"), "yyyyMMdd")
-    long = wide.select(day.alias("day"), *[F.col(f"`{c}`").cast("double").alias(c) for c in stations])
+    long = wide.select(day.alias("day"), *[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(c) for c in stations])
     return long.unpivot("day", stations, "station", label)
 
 

@@ -17,12 +17,16 @@ CTES = {
     "obs": """SELECT l_suppkey AS stid, CAST(l_shipdate AS DATE) AS day, l_linenumber - 1 AS hour, l_partkey % 11 AS ens,
         avg(l_quantity) AS qty, avg(l_extendedprice) AS price, avg(l_discount) AS disc, avg(l_tax) AS tax
         FROM lineitem GROUP BY 1, 2, 3, 4""",
-    "energy": """SELECT o_custkey % 98 AS stid, CAST(o_orderdate AS DATE) AS day,
+    "energy": """SELECT 1 + o_custkey % (SELECT max(s_suppkey) FROM supplier) AS stid, CAST(o_orderdate AS DATE) AS day,
         CAST(max(floor(o_totalprice / 5000) * 50) AS DOUBLE) AS y FROM orders GROUP BY 1, 2""",
-    "energy_nwp": """SELECT o_custkey % 98 AS stid, DATE '1994-01-01' + CAST(o_orderkey % 25 AS INTEGER) AS day,
+    "energy_nwp": """SELECT 1 + o_custkey % (SELECT max(s_suppkey) FROM supplier) AS stid,
+        DATE '1994-01-01' + CAST(o_orderkey % (SELECT max(vec_id) // 20 + 1 FROM embeddings) AS INTEGER) AS day,
         CAST(max(floor(o_totalprice / 5000) * 50) AS DOUBLE) AS y FROM orders GROUP BY 1, 2""",
 }
 
+# Computed once, as they are long and read more than once.
+ONCE = {"sun_days", "sun_pairs", "raster"}
+
 # Which expressions each of them reads.
 NEEDS: dict[str, tuple[str, ...]] = {"grid": ("nwp",)}
 
@@ -51,7 +55,7 @@ def query(names, body: str) -> str:
     names = names.split() if isinstance(names, str) else list(names)
     if not names:
         return body
-    parts = ",\n".join(f"{n} AS ({CTES[n]})" for n in _order(names))
+    parts = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ONCE else ''}({CTES[n]})" for n in _order(names))
     return f"WITH {parts}\n{body}"
 
 

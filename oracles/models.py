@@ -27,10 +27,10 @@ define(
 )
 
 
-def score_row(name: str, where: str = "") -> str:
-    return f"""SELECT '{name}' AS samples, count(*) AS n, {r('avg(abs(y - pred))')} AS mae,
-        {r('sqrt(avg((y - pred) * (y - pred)))')} AS rmse,
-        {r('1 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y))')} AS r2 FROM climate_tested {where}"""
+def score_row(name: str, where: str = "", table: str = "climate_tested", digits: int = 6) -> str:
+    return f"""SELECT '{name}' AS samples, count(*) AS n, {r('avg(abs(y - pred))', digits)} AS mae,
+        {r('sqrt(avg((y - pred) * (y - pred)))', digits)} AS rmse,
+        {r('1 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y))', digits)} AS r2 FROM {table} {where}"""
 
 
 SQL = {

@@ -297,7 +297,7 @@ SQL = {
     ),
     "date_year": query("energy", "SELECT stid, day, CAST(year(day) AS DOUBLE) AS year FROM energy"),
     "station_onehot": query(
-        "stations", "SELECT stid, " + ", ".join(f"CAST(stid = {s} AS DOUBLE) AS s{s}" for s in range(98)) + " FROM stations"
+        "stations", "SELECT stid, " + ", ".join(f"CAST(stid = {s} AS DOUBLE) AS s{s}" for s in range(1, 99)) + " FROM stations"
     ),
     "cell_position": query(
         "placed axis_lat axis_lon",
@@ -343,9 +343,9 @@ SQL = {
     ),
     "terminator_line": query(
         "raster",
-        f"""SELECT a.day, {r('a.nlat', 4)} AS lat, CASE WHEN b.zenith > a.zenith THEN 'falling' ELSE 'rising' END AS side,
-        {r('a.elon + (90 - a.zenith) / (b.zenith - a.zenith) * (b.elon - a.elon)', 4)} AS lon FROM raster a JOIN raster b
-        ON a.day = b.day AND a.ilat = b.ilat AND b.ilon = a.ilon + 1
-        WHERE (90 - a.zenith) * (90 - b.zenith) <= 0 AND a.zenith <> b.zenith""",
+        f"""SELECT day, {r('nlat', 4)} AS lat, CASE WHEN next_zenith > zenith THEN 'falling' ELSE 'rising' END AS side,
+        {r('elon + (90 - zenith) / (next_zenith - zenith) * (next_elon - elon)', 4)} AS lon
+        FROM (SELECT *, lead(zenith) OVER w AS next_zenith, lead(elon) OVER w AS next_elon FROM raster WINDOW w AS (PARTITION BY day, ilat ORDER BY ilon))
+        WHERE (90 - zenith) * (90 - next_zenith) <= 0 AND zenith <> next_zenith""",
     ),
 }

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import oracles.models  # noqa: F401  (defines the shared expressions)
 from oracles.base import define, query, r
+from oracles.models import score_row
 from oracles.spatial import local_rows
 
 WIDTH = 5  # features of the observation model
@@ -149,11 +149,22 @@ define(
 )
 _SUBMIT = predicted("SELECT * FROM scaled_rows", "SELECT * FROM later_rows", "1e0", len(LOCAL))
 
+define(
+    "local_scored",
+    f"""SELECT m.y, m.is_masked, least(greatest(pred, lo), hi) AS pred FROM ({_LOCAL_PRED}) p JOIN nwp_marked m ON m.day = p.day AND m.stid = p.stid,
+        (SELECT min(y) AS lo, max(y) AS hi FROM energy_nwp WHERE day < (SELECT d FROM label_cut))""",
+    "local_train", "local_test", "nwp_marked",
+)
+
 SQL = {
+    "model_scores": query(
+        "local_scored",
+        score_row("all", "", "local_scored", 4) + " UNION ALL " + score_row("unmasked", "WHERE NOT is_masked", "local_scored", 4),
+    ),
     "submit": query(
         "scaled_rows later_rows",
         "SELECT strftime(day, '%Y%m%d') AS \"Date\", "
-        + ", ".join(f"{r(f'max(CASE WHEN stid = {i} THEN v END)', 4)} AS s{i}" for i in range(98))
+        + ", ".join(f"{r(f'max(CASE WHEN stid = {i} THEN v END)', 4)} AS s{i}" for i in range(1, 99))
         + f" FROM (SELECT day, p.stid, pred * ys + ym AS v FROM ({_SUBMIT}) p JOIN label_scale s ON s.stid = p.stid) GROUP BY day",
     ),
     "eval_cross_val_model": query(

@@ -94,7 +94,7 @@ SQL = {
     "scan_labels_unpivot": query(
         "energy",
         """SELECT d.day, CAST(s.stid AS BIGINT) AS stid, e.y FROM (SELECT DISTINCT day FROM energy) d
-        CROSS JOIN (SELECT unnest(generate_series(0, 97)) AS stid) s
+        CROSS JOIN (SELECT unnest(generate_series(1, (SELECT max(s_suppkey) FROM supplier))) AS stid) s
         LEFT JOIN energy e ON e.day = d.day AND e.stid = s.stid""",
     ),
     "scan_stations": query("stations", "SELECT lpad(CAST(stid AS VARCHAR), 12, '0') AS station, stid, nlat, elon, elev FROM stations"),
@@ -102,7 +102,7 @@ SQL = {
     "sink_submission_pivot": query(
         "energy_nwp",
         "SELECT strftime(day, '%Y%m%d') AS \"Date\", "
-        + ", ".join(f"max(CASE WHEN stid = {i} THEN y END) AS s{i}" for i in range(98))
+        + ", ".join(f"max(CASE WHEN stid = {i} THEN y END) AS s{i}" for i in range(1, 99))
         + " FROM energy_nwp GROUP BY day",
     ),
     "sink_tables": query("split_energy", "SELECT stid, day, y, split FROM split_energy"),
