@@ -7,9 +7,9 @@ words, the whole sequence is the one element; without words the set is empty and
    steps, cut off at both ends. Registers of a union are the larger of the two, so they merge.
 2. Rows of the same set become one class, by a 128-bit digest of the whole set.
 3. Classes that agree on all registers of a band share a bucket. In every bucket the smallest class is compared with
-   the others; a bucket whose classes ended up in one component is done. What is left is compared with ever more
-   leaders (4, 16, ...) until all classes of different components have met, so no candidate is left out, and a group
-   of copies costs one comparison a member, not all pairs.
+   the others. Where a bucket's classes are still of several components, those outside its largest one are compared with
+   all of other components, 64 of them at first, then ever more, until no such pair is left. So no candidate is
+   left out, and a group of copies costs one comparison a member, not all pairs.
 4. A pair's similarity is estimated by maximum likelihood from how many registers are larger, smaller and equal; pairs
    that lie 6 standard errors below the limit go. The others are confirmed on the full sets of both texts.
 """
@@ -29,7 +29,7 @@ from heliogrid.llm.common import WordHashes, byte_chunks, id_text, random_words,
 from heliogrid.llm.graph import components
 
 CHUNK = 1 << 20
-FIRST_LEADERS = 4
+FIRST_LEADERS = 64
 
 
 @dataclass(frozen=True)
@@ -171,7 +171,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, spec: SetSketch) -> DataFrame:
     """Pairs that meet the limit on the full sets of both texts; only texts of pairs are shuffled again."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
     texts = written(docs.join(ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    # the leaders' texts last, so that a task has a leader's pairs one after the other
+    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last = WordHashes(), (None, None)
@@ -197,12 +198,23 @@ def as_list(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _ranked_pairs(live: DataFrame, done: int, leaders: int) -> DataFrame:
-    """Pairs of a bucket's next leaders with the classes behind them, where their components differ."""
-    head = live.where((F.col("rank") > done) & (F.col("rank") <= done + leaders))
-    head = head.select("bucket", F.col("rep").alias("a"), F.col("rank").alias("rank_a"), F.col("component").alias("component_a"))
-    meet = head.join(live, "bucket").where("rank > rank_a and component <> component_a")
-    return meet.select("a", F.col("rep").alias("b")).distinct()
+def _live(table: DataFrame, component: DataFrame) -> DataFrame:
+    """(bucket, rep, component, largest) of the buckets whose classes are of several components."""
+    own = table.join(component, F.col("rep") == F.col("node"), "left")
+    own = own.select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    sizes = own.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    return own.join(largest.select("bucket", F.col("top.component").alias("largest")), "bucket")
+
+
+def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links: only components are linked anew, not their members."""
+    names = component.select("node", "component")
+    ends = links.join(names.toDF("a", "p"), "a", "left").join(names.toDF("b", "q"), "b", "left")
+    moves = components(ends.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b"))).toDF("from", "to")
+    old = names.join(moves, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = moves.join(names, F.col("from") == F.col("node"), "left_anti").select(F.col("from").alias("node"), F.col("to").alias("component"))
+    return written(old.unionAll(new), "components")
 
 
 def near_duplicates(docs: DataFrame, spec: SetSketch = SetSketch(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,27 +238,21 @@ def near_duplicates(docs: DataFrame, spec: SetSketch = SetSketch(), key: str = "
     links = written(_confirmed(written(_likely(pairs, classes, spec), "pairs"), rows, spec), "links")
     component = components(links)
 
-    def live_buckets(table: DataFrame) -> DataFrame:
-        own = table.join(component, F.col("rep") == F.col("node"), "left")
-        own = own.withColumn("component", F.coalesce("component", "rep")).drop("node")
-        mixed_up = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        return own.join(mixed_up.select("bucket"), "bucket", "left_semi")
-
-    live = written(live_buckets(buckets.select("bucket", "rep")), "live")
-    done, leaders = 1, FIRST_LEADERS  # the first leader has met all
-    ranks = None
-    while live.limit(1).count():
-        if ranks is None:
-            order = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-            ranks = written(live.withColumn("rank", order), "ranks")
-            live = ranks
-        likely = written(_likely(_ranked_pairs(live, done, leaders), classes, spec), "pairs")
-        if likely.limit(1).count():
-            links = links.unionAll(written(_confirmed(likely, rows, spec), "links"))
-            component = components(links)
-        done, leaders = done + leaders, leaders * 4
-        rest = live.groupBy("bucket").agg(F.max("rank").alias("most")).where(F.col("most") > done + 1).select("bucket")
-        live = written(live_buckets(live.drop("component").join(rest, "bucket", "left_semi")), "live")
+    table, leaders = buckets.where("rep <> leader").select("bucket", "rep"), FIRST_LEADERS  # the leaders have met all
+    while True:
+        live = written(_live(table, component), "live")
+        if not live.limit(1).count():
+            break
+        order = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
+        heads = live.where("component <> largest").withColumn("rank", order).where(F.col("rank") <= leaders)
+        heads = heads.select("bucket", F.col("rep").alias("a"), F.col("component").alias("component_a"))
+        # of two leaders the smaller one takes the pair
+        meet = heads.join(live, "bucket").where("component <> component_a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+        more = written(_confirmed(written(_likely(meet.distinct(), classes, spec), "pairs"), rows, spec), "links")
+        if more.limit(1).count():
+            component = _merged(component, more)
+        table = live.join(heads.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
+        leaders *= 8
     classes = classes.select("set_key", "rep").join(component, F.col("rep") == F.col("node"), "left")
     classes = classes.select("set_key", F.coalesce("component", "rep").alias("reached"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
