@@ -60,11 +60,13 @@ def _rows_out(totals: dict, by, schema, part):
     yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def gram_table(df: DataFrame, by: list[str] = (), target: str = "y", features: str = "features") -> DataFrame:
+def gram_table(df: DataFrame, by: list[str] = (), target: str = "y", features: str = "features", few_keys: bool = False) -> DataFrame:
     """(by..., gram): the cross-product matrix of (1, features, target) per key.
 
     The target is a number, or an array of several. Rows with a missing feature or
-    target take no part.
+    target take no part. With ``few_keys`` (folds, sample sizes) the tasks that read the
+    rows hold one matrix per key and only matrices are shuffled, in two levels; otherwise
+    rows are dealt by key and salt first, so that a task holds few keys at a time.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -74,15 +76,17 @@ def gram_table(df: DataFrame, by: list[str] = (), target: str = "y", features: s
     )
     arrow = to_arrow_schema(out)
     several = isinstance(df.schema[target].dataType, T.ArrayType)
+    # the square root of the tasks, about: as many matrices meet in the first level as in the second
+    first_level = max(FIRST_LEVEL, int(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
     goal = F.col(target) if several else F.array(F.col(target).cast("double"))
     rows = df.select(*by, goal.alias("_y"), F.col(features).alias("_x"))
-    if by:
+    if by and not few_keys:
         salted = rows.withColumn("_salt", F.xxhash64("_y", "_x").bitwiseAND(F.lit(KEY_SALTS - 1)))
         rows = salted.repartition(*by, "_salt").sortWithinPartitions(*by).drop("_salt")
 
     def partial(batches):
         totals: dict = {}
-        part = TaskContext.get().partitionId() % FIRST_LEVEL
+        part = TaskContext.get().partitionId() % first_level
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -92,7 +96,7 @@ def gram_table(df: DataFrame, by: list[str] = (), target: str = "y", features: s
                 chosen = z[at][known[at]]
                 if len(chosen):
                     _add(totals, key, chosen.T @ chosen)
-            if len(totals) > 64:  # keys arrive sorted: finished ones are passed on
+            if len(totals) > 64 and not few_keys:  # keys arrive sorted: finished ones are passed on
                 yield from _rows_out(totals, by, arrow, part)
                 totals = {}
         yield from _rows_out(totals, by, arrow, part)
@@ -115,11 +119,13 @@ def gram_table(df: DataFrame, by: list[str] = (), target: str = "y", features: s
         yield from _rows_out(totals, by, arrow, part)
 
     partials = rows.mapInArrow(partial, out)
+    if by and few_keys:
+        partials = partials.repartition(*by, "part").sortWithinPartitions(*by).mapInArrow(summed, out)
     if by:
         merged = partials.repartition(*by).sortWithinPartitions(*by)
         return merged.mapInArrow(summed, out).drop("part")
-    # at most FIRST_LEVEL matrices reach the last task
-    halfway = partials.repartition(FIRST_LEVEL, "part").mapInArrow(summed, out)
+    # at most first_level matrices reach the last task
+    halfway = partials.repartition(first_level, "part").mapInArrow(summed, out)
     return halfway.repartition(1).mapInArrow(summed, out).drop("part")
 
 

@@ -83,7 +83,7 @@ def submit(model, train_data, test_data, labels: DataFrame, scale_labels: bool =
 
 def ridge_fold_models(rows: DataFrame, alpha: float, normalise: bool = True) -> DataFrame:
     """(fold, intercept, coef) fitted on all other folds, from one pass over the rows."""
-    return solve_left_out(gram_table(rows, ["fold"]), ["fold"], alpha, normalise)
+    return solve_left_out(gram_table(rows, ["fold"], few_keys=True), ["fold"], alpha, normalise)
 
 
 def ridge_out_of_fold(rows: DataFrame, alpha: float = 1e-5, normalise: bool = True) -> DataFrame:
@@ -133,7 +133,7 @@ def ridge_learning_curve(train: DataFrame, test: DataFrame, keys: list[str], bin
     by = ["size_no", "rep"]
     train, test = settled(train), settled(test)
     samples = settled(sampling.learning_curve_samples(train, keys, bins, repetitions))
-    grams = gram_table(samples, [*by, "n_samples"])
+    grams = gram_table(samples, [*by, "n_samples"], few_keys=True)
     table = settled(solve_table(grams, [*by, "n_samples"], alpha, normalise))
     on_train = metrics.scores(predict_keyed(samples, table, [*by, "n_samples"]), [*by, "n_samples"])
     # every test row meets every model: the models are few, one per size and repetition
