@@ -6,10 +6,13 @@ words, the whole sequence is the one element; without words the set is empty and
 1. Every task turns a text into registers: the smallest of the set's exponential draws, on a scale of exponential
    steps, cut off at both ends. Registers of a union are the larger of the two, so they merge.
 2. Rows of the same set become one class, by a 128-bit digest of the whole set.
-3. Classes that agree on all registers of a band share a bucket. In every bucket the smallest class is compared with
-   the others. Where a bucket's classes are still of several components, those outside its largest one are compared with
-   all of other components, 64 of them at first, then ever more, until no such pair is left. So no candidate is
-   left out, and a group of copies costs one comparison a member, not all pairs.
+3. Classes that agree on all registers of a band share a bucket, and the smallest class of a bucket is its leader. Every
+   class is compared with its leaders. Classes that share a leader but ended up in several components are candidates
+   too: a pair of them can only be linked if it shares one of the elements that come first in both sets, those that the
+   leader hasn't got before those that it has (prefix filter). In a group of edited copies these are the edits,
+   so unlinked variants of one text don't meet in pairs. In a group by such an element, the classes outside its
+   largest component are compared with all of other components, 64 of them at first, then ever more, until no such
+   pair is left. So no candidate is left out, and a group of copies costs one comparison a member, not all pairs.
 4. A pair's similarity is estimated by maximum likelihood from how many registers are larger, smaller and equal; pairs
    that lie 6 standard errors below the limit go. The others are confirmed on the full sets of both texts.
 """
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliogrid.llm.common import WordHashes, byte_chunks, id_text, random_words, mixed, shingles, words_of, written
+from heliogrid.llm.common import WordHashes, as_bytes, byte_chunks, id_text, mixed, random_words, shingles, words_of, written
 from heliogrid.llm.graph import components
 
 CHUNK = 1 << 20
@@ -167,35 +170,65 @@ def _likely(pairs: DataFrame, classes: DataFrame, spec: SetSketch) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, spec: SetSketch) -> DataFrame:
-    """Pairs that meet the limit on the full sets of both texts; only texts of pairs are shuffled again."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    texts = written(docs.join(ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    # the leaders' texts last, so that a task has a leader's pairs one after the other
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs with both texts; the leaders' last, so that a task has a leader's pairs one after the other."""
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    return both.select("a", "b", "text_a", "text_b")
+
+
+def _pair_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Runs of pairs with the full sets of both texts; a leader's set is kept for the pairs that follow."""
+    hashes, last = WordHashes(), (None, None)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            sets = []
+            for a, text_a, text_b in zip(batch.column("a").to_pylist(), as_bytes(batch.column("text_a")).to_pylist(), as_bytes(batch.column("text_b")).to_pylist()):
+                if last[0] != a:
+                    last = (a, shingles(words_of(text_a), size, hashes))
+                sets.append((last[1], shingles(words_of(text_b), size, hashes)))
+            yield batch, sets
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - common
+    return bool(union) and 100 * common >= percent * union
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, spec: SetSketch) -> DataFrame:
+    """Pairs that meet the limit on the full sets of both texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = WordHashes(), (None, None)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                keep = []
-                for a, text_a, text_b in zip(
-                    batch.column("a").to_pylist(), as_list(batch.column("text_a")), as_list(batch.column("text_b"))
-                ):
-                    if last[0] != a:
-                        last = (a, shingles(words_of(text_a), spec.words, hashes))
-                    other = shingles(words_of(text_b), spec.words, hashes)
-                    common = len(np.intersect1d(last[1], other, assume_unique=True))
-                    union = len(last[1]) + len(other) - common
-                    keep.append(bool(union) and 100 * common >= spec.percent * union)
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch, sets in _pair_sets(batches, spec.words):
+            yield batch.select(["a", "b"]).filter(pa.array([linked(x, y, spec.percent) for x, y in sets], pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long")
 
 
-def as_list(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+def prefix(leader: np.ndarray, members: np.ndarray, percent: int) -> np.ndarray:
+    """The elements of which two linked sets share one at least: the first ones, when those not in the leader come first.
+
+    A set shares at least percent of its elements with any set that it is linked with.
+    """
+    first = len(members) - -(-percent * len(members) // 100) + 1
+    known = np.isin(members, leader, assume_unique=True)
+    return np.concatenate([members[~known], members[known]])[:first]
+
+
+def _prefix_groups(pairs: DataFrame, texts: DataFrame, spec: SetSketch) -> DataFrame:
+    """(bucket, rep): one row for each (leader, class) and element of the class's prefix; a bucket is leader and element."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _pair_sets(batches, spec.words):
+            firsts = [prefix(x, y, spec.percent) for x, y in sets]
+            sizes = [len(f) for f in firsts]
+            leaders = np.repeat(batch.column("a").to_numpy(zero_copy_only=False).astype(np.uint64), sizes)
+            keys = mixed(mixed(leaders + np.uint64(1)) ^ np.concatenate(firsts))
+            reps = np.repeat(batch.column("b").to_numpy(zero_copy_only=False), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(reps)], names=["bucket", "rep"])
+
+    return _with_texts(pairs, texts).mapInArrow(run, "bucket long, rep long")
 
 
 def _live(table: DataFrame, component: DataFrame) -> DataFrame:
@@ -232,23 +265,27 @@ def near_duplicates(docs: DataFrame, spec: SetSketch = SetSketch(), key: str = "
         "classes",
     )
     bands = _buckets(classes, spec)
-    shared = bands.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
-    buckets = written(bands.join(shared.select("bucket", "leader"), "bucket"), "buckets")
-    pairs = buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(_confirmed(written(_likely(pairs, classes, spec), "pairs"), rows, spec), "links")
+    shared = bands.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last")
+    led = bands.join(shared.select("bucket", "a"), "bucket").where("rep <> a")
+    led = written(led.select("a", F.col("rep").alias("b")).distinct(), "led")
+    ids = led.select(F.col("a").alias("doc_id")).unionAll(led.select("b")).distinct()
+    texts = written(rows.join(ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    links = written(_confirmed(written(_likely(led, classes, spec), "pairs"), texts, spec), "links")
     component = components(links)
-
-    table, leaders = buckets.where("rep <> leader").select("bucket", "rep"), FIRST_LEADERS  # the leaders have met all
+    table, leaders = led.select(F.col("a").alias("bucket"), F.col("b").alias("rep")), None
     while True:
         live = written(_live(table, component), "live")
         if not live.limit(1).count():
             break
+        if leaders is None:
+            members = live.select(F.col("bucket").alias("a"), F.col("rep").alias("b"))
+            table, leaders = _prefix_groups(members, texts, spec), FIRST_LEADERS
+            continue
         order = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
         heads = live.where("component <> largest").withColumn("rank", order).where(F.col("rank") <= leaders)
         heads = heads.select("bucket", F.col("rep").alias("a"), F.col("component").alias("component_a"))
-        # of two leaders the smaller one takes the pair
         meet = heads.join(live, "bucket").where("component <> component_a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
-        more = written(_confirmed(written(_likely(meet.distinct(), classes, spec), "pairs"), rows, spec), "links")
+        more = written(_confirmed(written(_likely(meet.distinct(), classes, spec), "pairs"), texts, spec), "links")
         if more.limit(1).count():
             component = _merged(component, more)
         table = live.join(heads.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")

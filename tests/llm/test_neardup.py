@@ -72,3 +72,25 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(want[n] == got.get(n, n) for n in nodes)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_linked_sets_share_a_prefix_element():
+    rng = np.random.default_rng(4)
+    met = 0
+    for _ in range(300):
+        base = np.unique(rng.integers(0, 300, 90).astype(np.uint64))
+        leader = np.unique(rng.integers(0, 300, 90).astype(np.uint64))
+        x, y = (np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(300, 320, 4).astype(np.uint64)])) for _ in "xy")
+        if neardup.linked(x, y, 85):
+            met += 1
+            assert len(np.intersect1d(neardup.prefix(leader, x, 85), neardup.prefix(leader, y, 85)))
+    assert met > 30
+
+
+def test_unlinked_variants_of_one_text(spark):
+    """Variants that are no links of each other but of the base's near copies; some share their edits."""
+    base = common.prose(9, 300, 10_000)
+    texts = [edited(base, 0.06, i) for i in range(120)] + [edited(edited(base, 0.06, i), 0.01, 500 + i) for i in range(0, 120, 3)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(common.table(spark, texts), THREE).collect()}
+    want = common.near_components(dict(enumerate(texts)), 3, 85)
+    assert got == want and len(set(want.values())) > 50
