@@ -28,7 +28,7 @@ class Mix:
     period: int = 1000  # slots of the schedule, so weights are thousandths
     flatten: float = 0.5  # weights without targets: rows of the source to this power
     max_sources: int = 500  # one period's schedule is one row
-    cell_rows: int = 20_000  # rows numbered by one window, about
+    cell_rows: int = 1_000  # rows numbered by one window, about
 
 
 def weights(counts: DataFrame, spec: Mix, targets: DataFrame | None = None) -> DataFrame:
