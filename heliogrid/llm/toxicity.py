@@ -33,9 +33,9 @@ class ToxicityRule:
     sizes: tuple[int, ...] = (3, 4, 5, 6)
     buckets_log2: int = 20
     max_rows: int = 20_000
-    features: int = 20_000
+    features: int = 4_000
     alpha: float = 1.0
-    penalty: float = 1.0
+    penalty: float = 0.1
     steps: int = 300
 
 
