@@ -98,3 +98,24 @@ def test_tables_round_trip(spark, tmp_path, ten):
     back = tables.read_tables(spark, str(tmp_path / "t"), ["x"])["x"]
     assert values(back, "foo") == list(range(10)) and back.where("split = 'train'").count() == 10
     assert back.schema["day"].metadata["description"] == "ten days"
+
+
+def test_nan_labels_are_missing(spark):
+    from heliogrid.sources.tables import unpivot_labels
+
+    wide = spark.createDataFrame([("19940101", "NaN", "5"), ("19940102", "3", None)], "Date string, A string, B string")
+    assert [r.y for r in unpivot_labels(wide, "Date").orderBy("day", "station").collect()] == [None, 5.0, 3.0, None]
+
+
+def test_a_repeated_cell_is_an_error_or_padded_never_shifted(spark):
+    import pytest
+
+    from heliogrid.operators import grid as g
+
+    spec = g.GridSpec.of([0, 1], [0, 1])
+    rows = [("a", 0, 0, 1.0), ("a", 0, 1, 2.0), ("a", 1, 1, 4.0)]
+    df = spark.createDataFrame(rows, "k string, lat_i int, lon_i int, value double")
+    assert g.map_vectors(df, ["k"], spec).first().cells == [1.0, 2.0, None, 4.0]
+    twice = spark.createDataFrame([*rows, ("a", 0, 1, 9.0)], df.schema)
+    with pytest.raises(Exception):
+        g.map_vectors(twice, ["k"], spec).collect()
