@@ -153,6 +153,33 @@ def ridge_learning_curve(train: DataFrame, test: DataFrame, keys: list[str], bin
     )
 
 
+def learning_curve(
+    estimator, train: DataFrame, test: DataFrame, keys: list[str], sizes=None, bins: int = 10, repetitions: int = 10, score: str = "mae"
+) -> DataFrame:
+    """The same for any estimator with fit and transform, and any list of training sizes.
+
+    Without ``sizes`` the training rows in ``bins`` equal steps. Every (size, repetition) is a fit of its own on a
+    sample that a digest of the keys draws; the rows are written once and read by all fits.
+    """
+    train, test = settled(train), settled(test)
+    n = train.count()
+    steps = list(sizes) if sizes is not None else [n * (i + 1) // bins for i in range(bins)]
+    value = {"mae": F.col("mae"), "rmse": F.col("rmse"), "mse": F.col("rmse") * F.col("rmse")}[score]
+    parts = []
+    for i, size in enumerate(steps):
+        for j in range(repetitions):
+            sample = sampling.take_by_digest(train, keys, F.lit(size).cast("bigint"), seed=i * 1000 + j)
+            fitted = estimator.fit(sample)
+            names = [F.lit(i).alias("size_no"), F.lit(size).cast("bigint").alias("n_samples")]
+            for rows, name in ((sample, "train"), (test, "test")):
+                parts.append(metrics.scores(fitted.transform(rows)).select(*names, F.lit(name).alias("rows"), value.alias("v")))
+    every = settled(union_all(parts))
+    of = lambda name: F.when(F.col("rows") == name, F.col("v"))
+    return every.groupBy("size_no", "n_samples").agg(
+        *[f(of(name)).alias(f"{name}_{kind}") for name in ("train", "test") for kind, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    )
+
+
 # ---------------------------------------------------------------- importances and stages
 
 

@@ -210,6 +210,13 @@ def eval_learning_curve(spark, sf):
     return rounded(evaluation.ridge_learning_curve(train, test, ["stid", "day"], bins=4, repetitions=3))
 
 
+def eval_learning_curve_forest(spark, sf):
+    """Learning curve of an estimator without sums: a forest on the later half of the sizes, drawn twice each."""
+    train, test = _obs_split(spark, sf)
+    n = train.count()
+    return rounded(evaluation.learning_curve(trees.Forest(trees=10), train, test, ["stid", "day"], sizes=[n // 2, n], repetitions=2))
+
+
 def submit(spark, sf):
     """Fits on the labelled days and writes the days of the later half as a wide table."""
     data, energy = forecast_data(spark, sf), dt.energy_nwp(spark, sf)
@@ -269,7 +276,7 @@ QUERIES = {
         ridge_normalised, ridge_cv_alpha, fit_per_station, gbt_lad, gbt_ls, huber, staged_deviance, feature_importance,
         topk_importance, predict_climate, constant_models, model_baseline, model_local, model_edge, model_kriging,
         model_kriging_gbt, model_ensemble, model_perturbed, model_perturbed_predict, model_ensembled_regressor,
-        eval_train_test, eval_cross_val, eval_cross_val_model, eval_fold_scores, eval_learning_curve, submit, eval_scaled_local_gbt,
+        eval_train_test, eval_cross_val, eval_cross_val_model, eval_fold_scores, eval_learning_curve, eval_learning_curve_forest, submit, eval_scaled_local_gbt,
         cluster_encode, climate_scores, model_scores,
     )
 }

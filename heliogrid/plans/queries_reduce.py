@@ -199,7 +199,7 @@ def learning_curve_sample(spark, sf):
 
 
 def subsample_rows(spark, sf):
-    return rounded(sampling.subsample(dt.obs(spark, sf), OBS_KEYS, n=20_000), digits=4)
+    return rounded(sampling.subsample(dt.obs(spark, sf), OBS_KEYS), digits=4)
 
 
 def stack_train_test(spark, sf):

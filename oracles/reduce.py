@@ -267,7 +267,7 @@ SQL = {
     "subsample_rows": query(
         "obs",
         f"""SELECT stid, day, hour, ens, {_round(VALUES)} FROM (SELECT *, row_number() OVER
-        (ORDER BY md5(concat_ws('|', stid, day, hour, ens, 1)), stid, day, hour, ens) AS k FROM obs) WHERE k <= 20000""",
+        (ORDER BY md5(concat_ws('|', stid, day, hour, ens, 1)), stid, day, hour, ens) AS k FROM obs) WHERE k <= 100000""",
     ),
     "stack_train_test": query("obs_split", f"SELECT stid, day, {_round(VALUES)}, split FROM obs_split"),
     "ensemble_examples": query(

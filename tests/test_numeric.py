@@ -523,3 +523,16 @@ def test_missing_member_two_step_means_differ(spark):
     )
     assert reduce.hour_then_ensemble(cube, "mean", "mean").first()["value"] == pytest.approx((1.5 + 9) / 2)
     assert reduce.ensemble_then_hour_mean(cube).first()["value"] == pytest.approx((5 + 2) / 2)
+
+
+def test_learning_curves_agree(spark, sf):
+    """Any estimator, fitted anew for each sample, against the ridge curve from summed matrices."""
+    from heliogrid.operators import ridge
+    from heliogrid.plans import evaluation
+    from heliogrid.plans.queries_models import _obs_split
+
+    train, test = _obs_split(spark, sf)
+    one = evaluation.ridge_learning_curve(train, test, ["stid", "day"], bins=2, repetitions=2)
+    two = evaluation.learning_curve(ridge.Ridge(alpha=1.0), train, test, ["stid", "day"], bins=2, repetitions=2)
+    a, b = (sorted(tuple(r[c] for c in one.columns) for r in df.collect()) for df in (one, two))
+    assert np.allclose(a, b, rtol=1e-6)
