@@ -45,14 +45,17 @@ class HashedBytes:
 
 def common_extension(text: HashedBytes, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of the suffixes at a and b, up to ``depth``, by binary search on hashes."""
-    length = np.zeros(len(a), np.int64)
+    length = np.where(text.of(a, depth) == text.of(b, depth), depth, 0)
+    open_ = np.flatnonzero(length == 0)
+    a, b, known = a[open_], b[open_], length[open_]
     step = 1 << (depth.bit_length() - 1)
     while step:
-        tried = length + step
-        fits = np.flatnonzero(tried <= depth)
+        tried = known + step
+        fits = np.flatnonzero(tried < depth)
         same = text.of(a[fits], tried[fits]) == text.of(b[fits], tried[fits])
-        length[fits[same]] = tried[fits[same]]
+        known[fits[same]] = tried[fits[same]]
         step >>= 1
+    length[open_] = known
     return length
 
 
@@ -72,7 +75,8 @@ def _first_bytes(text: HashedBytes, starts: np.ndarray) -> np.ndarray:
 def suffix_sort(text: HashedBytes, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``starts`` by their first ``depth`` (8 at least) bytes, and whether each equals the one before.
 
-    Every suffix must have ``depth`` bytes. Suffixes that agree on 8 bytes form the groups that are merge-sorted.
+    Every suffix must have ``depth`` bytes. Suffixes that agree on 8 bytes form the groups that are merge-sorted;
+    runs that are in order already, as those of equal suffixes, aren't merged.
     Neighbours that the hashes call equal are compared byte by byte; after a collision the bytes themselves are sorted.
     """
     if not len(starts):
@@ -85,6 +89,16 @@ def suffix_sort(text: HashedBytes, starts: np.ndarray, depth: int) -> tuple[np.n
     width, most = 1, int(sizes.max())
     while width < most:
         at = np.flatnonzero(sizes > width)
+        # the second runs of all pairs, and whether their first elements come before the last ones of the first runs
+        second = at[(at - first[at]) % (2 * width) == width]
+        wrong = ~_precedes(text, starts[order[second - 1]], starts[order[second]], depth, np.ones(len(second), bool))
+        if not wrong.any():
+            width *= 2
+            continue
+        unsorted = np.zeros(len(order), bool)
+        unsorted[second[wrong] - width] = True
+        pair_start = first[at] + (at - first[at]) // (2 * width) * (2 * width)
+        at = at[unsorted[pair_start]]
         inside, begin, end = at - first[at], first[at], first[at] + sizes[at]
         run = inside // width
         left = run % 2 == 0
