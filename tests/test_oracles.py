@@ -3,13 +3,14 @@
 import pytest
 
 import __spark_entry__ as entry
+from heliogrid.plans.registry import QUERIES
+from oracles.registry import SQL
 from tests.compare import compare
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
-
 
 def test_names_agree():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
