@@ -90,3 +90,10 @@ def test_query_matches_sql(spark, sf, con, name):
 
 def test_ten_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in OURS) == list(range(1, 11))
+
+
+def test_languages_of_pages(spark, sf):
+    rows = entry.queries()["language_id_pages"](spark, sf)
+    pages = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id", "regexp_extract(html, 'lang=.([a-z]+)', 1) as said")
+    same = rows.join(pages, "page_id").where("lang = said and accepted")
+    assert same.count() >= 0.95 * pages.count()
