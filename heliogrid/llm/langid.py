@@ -104,7 +104,7 @@ def _model(rows: DataFrame, names: list[str], rule: LanguageRule) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
     counted = rows.where(F.col("declared").isin(names)).select("text", "declared").mapInArrow(run, "at long, n long")
-    sums = counted.groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    sums = counted.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(names) * width)
     counts[sums["at"].to_numpy()] = sums["n"].to_numpy()
     counts = counts.reshape(len(names), width) + rule.alpha

@@ -111,8 +111,8 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], total))], names=["at", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    found = dict(zip(sums["at"], sums["n"]))
+    sums = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    found = dict(zip(sums["at"].to_pylist(), sums["n"].to_pylist()))
     return np.array([found.get(i, 0) for i in range(len(vocabulary))], np.int64), int(found.get(-1, 0))
 
 

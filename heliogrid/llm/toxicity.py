@@ -111,7 +111,7 @@ def _counted(sample: DataFrame, rule: ToxicityRule) -> tuple[np.ndarray, np.ndar
         )
 
     # two counts for each bucket, whatever the data
-    sums = sample.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    sums = sample.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(2 * width + 2)
     counts[sums["at"].to_numpy()] = sums["n"].to_numpy()
     return counts[:-2].reshape(2, width), counts[-2:]
