@@ -11,7 +11,7 @@ words, the whole sequence is the one element; without words the set is empty and
    too: a pair of them can only be linked if it shares one of the elements that come first in both sets, those that the
    leader hasn't got before those that it has (prefix filter). In a group of edited copies these are the edits,
    so unlinked variants of one text don't meet in pairs. In a group by such an element, the classes outside its
-   largest component are compared with all of other components, 64 of them at first, then ever more, until no such
+   largest component are compared with all of other components, 1024 of them at first, then ever more, until no such
    pair is left. So no candidate is left out, and a group of copies costs one comparison a member, not all pairs.
 4. A pair's similarity is estimated by maximum likelihood from how many registers are larger, smaller and equal; pairs
    that lie 6 standard errors below the limit go. The others are confirmed on the full sets of both texts.
@@ -32,7 +32,7 @@ from heliogrid.llm.common import WordHashes, as_bytes, byte_chunks, id_text, mix
 from heliogrid.llm.graph import components
 
 CHUNK = 1 << 20
-FIRST_LEADERS = 64
+FIRST_LEADERS = 1024
 
 
 @dataclass(frozen=True)
@@ -272,23 +272,23 @@ def near_duplicates(docs: DataFrame, spec: SetSketch = SetSketch(), key: str = "
     texts = written(rows.join(ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
     links = written(_confirmed(written(_likely(led, classes, spec), "pairs"), texts, spec), "links")
     component = components(links)
-    table, leaders = led.select(F.col("a").alias("bucket"), F.col("b").alias("rep")), None
-    while True:
-        live = written(_live(table, component), "live")
-        if not live.limit(1).count():
-            break
-        if leaders is None:
-            members = live.select(F.col("bucket").alias("a"), F.col("rep").alias("b"))
-            table, leaders = _prefix_groups(members, texts, spec), FIRST_LEADERS
-            continue
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-        heads = live.where("component <> largest").withColumn("rank", order).where(F.col("rank") <= leaders)
-        heads = heads.select("bucket", F.col("rep").alias("a"), F.col("component").alias("component_a"))
+    live = written(_live(led.select(F.col("a").alias("bucket"), F.col("b").alias("rep")), component), "live")
+    if live.limit(1).count():
+        members = live.select(F.col("bucket").alias("a"), F.col("rep").alias("b"))
+        live = written(_live(written(_prefix_groups(members, texts, spec), "prefixes"), component), "live")
+    order, leaders = F.row_number().over(Window.partitionBy("bucket").orderBy("rep")), FIRST_LEADERS
+    while live.limit(1).count():
+        outside = live.where("component <> largest").withColumn("rank", order)
+        heads = outside.where(F.col("rank") <= leaders).select("bucket", F.col("rep").alias("a"), F.col("component").alias("component_a"))
+        # of two leaders the smaller one takes the pair
         meet = heads.join(live, "bucket").where("component <> component_a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
         more = written(_confirmed(written(_likely(meet.distinct(), classes, spec), "pairs"), texts, spec), "links")
         if more.limit(1).count():
             component = _merged(component, more)
-        table = live.join(heads.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
+        if not outside.where(F.col("rank") > leaders).limit(1).count():
+            break  # all pairs have met
+        rest = live.join(heads.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti")
+        live = written(_live(rest.select("bucket", "rep"), component), "live")
         leaders *= 8
     classes = classes.select("set_key", "rep").join(component, F.col("rep") == F.col("node"), "left")
     classes = classes.select("set_key", F.coalesce("component", "rep").alias("reached"))
