@@ -21,10 +21,14 @@ def id_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once as Parquet to the shared checkpoint folder: a cut of the lineage that outlives executors."""
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """The rows, written once as Parquet to the shared checkpoint folder: a cut of the lineage that outlives executors.
+
+    ``narrow`` rows are a few numbers for some documents, so they are written by a sixteenth of the shuffle's tasks.
+    """
     path = new_shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    few = max(8, shuffle_partitions(df.sparkSession) // 16)
+    (df.coalesce(few) if narrow else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -31,14 +31,14 @@ def components(links: DataFrame) -> DataFrame:
     their copies form, are done in one. A hot node is one row a task before the shuffle, and the joins can be split.
     """
     links = written(
-        links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
+        links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", narrow=True
     )
     levels = []
     while not levels or links.limit(1).count():
-        parents = written(_parents(links, len(levels)), "parents")
+        parents = written(_parents(links, len(levels)), "parents", narrow=True)
         levels.append(parents)
         moved = links.join(parents.toDF("a", "p"), "a").join(parents.toDF("b", "q"), "b").where("p <> q")
-        links = written(moved.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct(), "links")
+        links = written(moved.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct(), "links", narrow=True)
 
     def follow(known: DataFrame, parents: DataFrame) -> DataFrame:
         step = known.join(parents.toDF("at", "to"), F.col("parent") == F.col("at"), "left")
@@ -47,6 +47,6 @@ def components(links: DataFrame) -> DataFrame:
     roots = reduce(follow, levels[1:], levels[0])
     if len(levels) == 1:  # all neighbours agree on a parent, so it is the smallest node
         return roots.withColumnRenamed("parent", "component")
-    roots = written(roots, "roots")
+    roots = written(roots, "roots", narrow=True)
     names = roots.groupBy("parent").agg(F.min("node").alias("component"))
-    return written(roots.join(names, "parent").select("node", "component"), "components")
+    return written(roots.join(names, "parent").select("node", "component"), "components", narrow=True)

@@ -247,7 +247,7 @@ def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
     moves = components(ends.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b"))).toDF("from", "to")
     old = names.join(moves, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component"))
     new = moves.join(names, F.col("from") == F.col("node"), "left_anti").select(F.col("from").alias("node"), F.col("to").alias("component"))
-    return written(old.unionAll(new), "components")
+    return written(old.unionAll(new), "components", narrow=True)
 
 
 def near_duplicates(docs: DataFrame, spec: SetSketch = SetSketch(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -267,15 +267,15 @@ def near_duplicates(docs: DataFrame, spec: SetSketch = SetSketch(), key: str = "
     bands = _buckets(classes, spec)
     shared = bands.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last")
     led = bands.join(shared.select("bucket", "a"), "bucket").where("rep <> a")
-    led = written(led.select("a", F.col("rep").alias("b")).distinct(), "led")
+    led = written(led.select("a", F.col("rep").alias("b")).distinct(), "led", narrow=True)
     ids = led.select(F.col("a").alias("doc_id")).unionAll(led.select("b")).distinct()
     texts = written(rows.join(ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
     links = written(_confirmed(written(_likely(led, classes, spec), "pairs"), texts, spec), "links")
     component = components(links)
-    live = written(_live(led.select(F.col("a").alias("bucket"), F.col("b").alias("rep")), component), "live")
+    live = written(_live(led.select(F.col("a").alias("bucket"), F.col("b").alias("rep")), component), "live", narrow=True)
     if live.limit(1).count():
         members = live.select(F.col("bucket").alias("a"), F.col("rep").alias("b"))
-        live = written(_live(written(_prefix_groups(members, texts, spec), "prefixes"), component), "live")
+        live = written(_live(written(_prefix_groups(members, texts, spec), "prefixes"), component), "live", narrow=True)
     order, leaders = F.row_number().over(Window.partitionBy("bucket").orderBy("rep")), FIRST_LEADERS
     while live.limit(1).count():
         outside = live.where("component <> largest").withColumn("rank", order)
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, spec: SetSketch = SetSketch(), key: str = "
         if not outside.where(F.col("rank") > leaders).limit(1).count():
             break  # all pairs have met
         rest = live.join(heads.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti")
-        live = written(_live(rest.select("bucket", "rep"), component), "live")
+        live = written(_live(rest.select("bucket", "rep"), component), "live", narrow=True)
         leaders *= 8
     classes = classes.select("set_key", "rep").join(component, F.col("rep") == F.col("node"), "left")
     classes = classes.select("set_key", F.coalesce("component", "rep").alias("reached"))
