@@ -38,7 +38,7 @@ class LanguageRule:
     max_languages: int = 200  # the model is languages x buckets, whatever the data
     suffix_weight: float = 50.0  # rows that the level above counts as
     host_weight: float = 20.0
-    und_prior: float = 0.001
+    und_prior: float = 1e-6
     min_confidence: float = 0.5
     languages: tuple[str, ...] = field(default=())  # accepted ones; empty: all
 
