@@ -8,11 +8,12 @@ words, the whole sequence is the one element; without words the set is empty and
 2. Rows of the same set become one class, by a 128-bit digest of the whole set.
 3. Classes that agree on all registers of a band share a bucket, and the smallest class of a bucket is its leader. Every
    class is compared with its leaders. Classes that share a leader but ended up in several components are candidates
-   too: a pair of them can only be linked if it shares one of the elements that come first in both sets, those that the
-   leader hasn't got before those that it has (prefix filter). In a group of edited copies these are the edits,
-   so unlinked variants of one text don't meet in pairs. In a group by such an element, the classes outside its
-   largest component are compared with all of other components, 1024 of them at first, then ever more, until no such
-   pair is left. So no candidate is left out, and a group of copies costs one comparison a member, not all pairs.
+   too: two of them can only be linked if they share one of the elements that come first in both sets when rare
+   elements come first (prefix filter). In a group of edited copies the rare ones are the edits, so unlinked variants
+   of one text don't meet in pairs. In a group by such an element, the classes outside its largest component are
+   compared with all of other components, 1024 of them at first, then ever more, until no such pair is left. So no
+   candidate is left out, and a group of copies costs one comparison a member, not all pairs. What is rare is told by
+   counts of hashed elements in a table of fixed size; any order would do, but fewer classes meet in this one.
 4. A pair's similarity is estimated by maximum likelihood from how many registers are larger, smaller and equal; pairs
    that lie 6 standard errors below the limit go. The others are confirmed on the full sets of both texts.
 """
@@ -33,6 +34,7 @@ from heliogrid.llm.graph import components
 
 CHUNK = 1 << 20
 FIRST_LEADERS = 1024
+COUNTS_LOG2 = 20  # slots of the table that tells rare elements
 
 
 @dataclass(frozen=True)
@@ -206,29 +208,52 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, spec: SetSketch) -> DataFrame
     return _with_texts(pairs, texts).mapInArrow(run, "a long, b long")
 
 
-def prefix(leader: np.ndarray, members: np.ndarray, percent: int) -> np.ndarray:
-    """The elements of which two linked sets share one at least: the first ones, when those not in the leader come first.
+def _slots(elements: np.ndarray) -> np.ndarray:
+    return (elements >> np.uint64(64 - COUNTS_LOG2)).astype(np.int64)
+
+
+def _sets(reps: DataFrame, texts: DataFrame) -> DataFrame:
+    return reps.select("rep").distinct().join(texts.toDF("rep", "text"), "rep").select("rep", "text")
+
+
+def element_counts(sets: DataFrame, spec: SetSketch) -> np.ndarray:
+    """How many sets hold an element of each slot; the table's size is fixed, whatever the number of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, total = WordHashes(), np.zeros(1 << COUNTS_LOG2, np.int64)
+        for _, texts in byte_chunks(batches, "text", CHUNK):
+            for t in texts.to_pylist():
+                np.add.at(total, _slots(shingles(words_of(t), spec.words, hashes)), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    sums = sets.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNTS_LOG2, np.int32)
+    counts[sums["at"].to_numpy()] = np.minimum(sums["n"].to_numpy(), 2**31 - 1)
+    return counts
+
+
+def prefix(elements: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The elements of which two linked sets share one at least: the first ones by count and hash.
 
     A set shares at least percent of its elements with any set that it is linked with.
     """
-    first = len(members) - -(-percent * len(members) // 100) + 1
-    known = np.isin(members, leader, assume_unique=True)
-    return np.concatenate([members[~known], members[known]])[:first]
+    first = len(elements) - -(-percent * len(elements) // 100) + 1
+    return elements[np.lexsort((elements, counts[_slots(elements)]))[:first]]
 
 
-def _prefix_groups(pairs: DataFrame, texts: DataFrame, spec: SetSketch) -> DataFrame:
-    """(bucket, rep): one row for each (leader, class) and element of the class's prefix; a bucket is leader and element."""
+def _prefix_groups(sets: DataFrame, spec: SetSketch) -> DataFrame:
+    """(bucket, rep): one row for each class and element of its prefix; an element is a bucket."""
+    counts = element_counts(sets, spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _pair_sets(batches, spec.words):
-            firsts = [prefix(x, y, spec.percent) for x, y in sets]
-            sizes = [len(f) for f in firsts]
-            leaders = np.repeat(batch.column("a").to_numpy(zero_copy_only=False).astype(np.uint64), sizes)
-            keys = mixed(mixed(leaders + np.uint64(1)) ^ np.concatenate(firsts))
-            reps = np.repeat(batch.column("b").to_numpy(zero_copy_only=False), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(reps)], names=["bucket", "rep"])
+        hashes = WordHashes()
+        for rows, texts in byte_chunks(batches, "text", CHUNK):
+            firsts = [prefix(shingles(words_of(t), spec.words, hashes), counts, spec.percent) for t in texts.to_pylist()]
+            reps = np.repeat(rows.column("rep").to_numpy(zero_copy_only=False), [len(f) for f in firsts])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(reps)], names=["bucket", "rep"])
 
-    return _with_texts(pairs, texts).mapInArrow(run, "bucket long, rep long")
+    return sets.mapInArrow(run, "bucket long, rep long")
 
 
 def _live(table: DataFrame, component: DataFrame) -> DataFrame:
@@ -274,8 +299,8 @@ def near_duplicates(docs: DataFrame, spec: SetSketch = SetSketch(), key: str = "
     component = components(links)
     live = written(_live(led.select(F.col("a").alias("bucket"), F.col("b").alias("rep")), component), "live", narrow=True)
     if live.limit(1).count():
-        members = live.select(F.col("bucket").alias("a"), F.col("rep").alias("b"))
-        live = written(_live(written(_prefix_groups(members, texts, spec), "prefixes"), component), "live")
+        sets = written(_sets(live, texts), "sets")
+        live = written(_live(written(_prefix_groups(sets, spec), "prefixes"), component), "live")
     order, leaders = F.row_number().over(Window.partitionBy("bucket").orderBy("rep")), FIRST_LEADERS
     while live.limit(1).count():
         outside = live.where("component <> largest").withColumn("rank", order)

@@ -76,14 +76,14 @@ def test_components(spark):
 
 def test_linked_sets_share_a_prefix_element():
     rng = np.random.default_rng(4)
+    counts = rng.integers(0, 5, 1 << neardup.COUNTS_LOG2).astype(np.int32)
     met = 0
     for _ in range(300):
         base = np.unique(rng.integers(0, 300, 90).astype(np.uint64))
-        leader = np.unique(rng.integers(0, 300, 90).astype(np.uint64))
         x, y = (np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(300, 320, 4).astype(np.uint64)])) for _ in "xy")
         if neardup.linked(x, y, 85):
             met += 1
-            assert len(np.intersect1d(neardup.prefix(leader, x, 85), neardup.prefix(leader, y, 85)))
+            assert len(np.intersect1d(neardup.prefix(x, counts, 85), neardup.prefix(y, counts, 85)))
     assert met > 30
 
 
