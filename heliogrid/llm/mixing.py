@@ -4,10 +4,11 @@ A source's rows, in a fixed order, form blocks of ``block_rows`` rows. With weig
 is released at slot floor(i / w) and has to be placed by slot ceil((i + 1) / w). Placing the released block with the
 earliest deadline, slot by slot, keeps every source within less than one block of its weight times the slots so far.
 
-Weights are rounded to whole slots of a period, so the schedule repeats: it is computed for one period only, as a fold
-over the period's slots in one row of at most ``max_sources`` sources, whatever the number of documents. The place of
-a row follows from its number within the source: period, place in the period, place in the block. Numbers within a
-source come from counts of (source, digest prefix) cells and windows inside the cells, so no task holds a source.
+Weights aren't rounded to slots, so the schedule doesn't repeat. It is cut into periods: a fold over the periods says how
+many blocks of every source are placed by the end of each (the whole blocks due, and one more of those furthest behind,
+as far as there are slots), which carries the remainders on (no case beyond one block is known, but there is no proof); a fold over the slots of one period, a row each, places
+them. Numbers within a source come from counts of (source, digest prefix) cells and windows inside the cells, so no
+task holds a source.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliogrid.llm.common import written
+from heliogrid.llm.common import shuffle_partitions, written
 
 NO_SOURCE = "(none)"
 
@@ -25,59 +26,118 @@ NO_SOURCE = "(none)"
 @dataclass(frozen=True)
 class Mix:
     block_rows: int = 8
-    period: int = 1000  # slots of the schedule, so weights are thousandths
+    period: int = 1000  # slots placed by one row
     flatten: float = 0.5  # weights without targets: rows of the source to this power
-    max_sources: int = 500  # one period's schedule is one row
+    max_sources: int = 500  # one row schedules a period
     cell_rows: int = 1_000  # rows numbered by one window, about
 
 
 def weights(counts: DataFrame, spec: Mix, targets: DataFrame | None = None) -> DataFrame:
-    """(source, slots): whole slots of a period, at least one for a source with rows, by largest remainder."""
+    """(source, slots): slots a period, whole or not; sources without a weight share one."""
     if targets is None:
         asked = counts.withColumn("weight", F.pow(F.col("n_rows").cast("double"), F.lit(spec.flatten)))
     else:
         least = targets.groupBy("source").agg(F.sum("weight").alias("weight"))
         asked = counts.join(least, "source", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
-    # the sources, at most max_sources rows: a window over all of them is small
-    every = Window.partitionBy(F.lit(1))
-    free = F.lit(spec.period) - F.count("*").over(every)
-    total = F.sum("weight").over(every)
-    share = F.when(total > 0, F.round(F.col("weight") / total * free, 9)).otherwise(F.lit(0.0))
-    asked = asked.withColumn("share", share).withColumn("whole", F.floor("share").cast("long")).withColumn("free", free)
-    left = F.col("free") - F.sum("whole").over(every)
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy((F.col("share") - F.col("whole")).desc(), "source"))
-    return asked.withColumn("left", left).withColumn("rank", rank).select("source", (F.lit(1) + F.col("whole") + (F.col("rank") <= F.col("left")).cast("long")).alias("slots"))
+    sums = asked.agg(F.sum("weight").alias("total"), F.count_if(F.col("weight") > 0).alias("some"), F.count_if(F.col("weight") <= 0).alias("none"))
+    left = spec.period - F.when(F.col("none") > 0, 1).otherwise(0)
+    share = F.when(F.col("some") == 0, spec.period / F.col("none")).when(F.col("weight") > 0, F.col("weight") / F.col("total") * left)
+    return asked.crossJoin(F.broadcast(sums)).select("source", F.coalesce(share, 1 / F.col("none")).cast("double").alias("slots"))  # one row of sums
 
 
-def period_schedule(slots: DataFrame, spec: Mix) -> DataFrame:
-    """(source, nth, slot): the slot of every block of one period, by earliest deadline among the released."""
-    row = slots.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "slots"))).alias("sources"))
-    period = F.lit(spec.period).cast("long")
+SMALL = 1e-9
+
+
+def _whole(x: Column) -> Column:
+    return F.floor(x + SMALL)
+
+
+def _up(x: Column) -> Column:
+    return F.ceil(x - SMALL)
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    def pick(state: Column, slot: Column) -> Column:
-        # block i of a source with s slots a period: released at floor(i * p / s), due at ceil((i + 1) * p / s)
-        due = F.transform(
-            "sources",
-            lambda x, i: F.when(
-                (F.element_at(state["done"], i + 1) < x["slots"]) & (F.floor(F.element_at(state["done"], i + 1) * period / x["slots"]) <= slot),
-                F.struct(F.ceil((F.element_at(state["done"], i + 1) + 1) * period / x["slots"]).alias("due"), i.alias("i")),
-            ),
-        )
-        chosen = F.array_min(F.filter(due, lambda x: x.isNotNull()))["i"]
-        chosen = F.coalesce(chosen, F.lit(-1))
-        return F.struct(
-            F.transform(state["done"], lambda n, i: n + (i == chosen).cast("long")).alias("done"),
-            F.concat(state["order"], F.array(chosen)).alias("order"),
-        )
+
+def schedule(children: DataFrame, spec: Mix) -> DataFrame:
+    """(node, child, nth, slot) of the first ``need`` blocks of every child of (node, child, slots, need); slots are relative to the node's others."""
+    period = F.lit(spec.period).cast("long")
+    rows = children.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("child", "slots", "need"))).alias("raw"))
+    total = F.aggregate("raw", F.lit(0.0), lambda a, x: a + x["slots"])
+    rows = rows.withColumn("total", total)
+    # twelve digits: shares that are whole slots are exact
+    rate = F.transform("raw", lambda x: F.round(x["slots"] / F.col("total") * spec.period, 12))
+    rows = rows.select("node", F.transform("raw", lambda x: x["child"]).alias("child"), F.transform("raw", lambda x: x["need"]).alias("need"), rate.alias("rate"))
+    last = F.array_max(F.zip_with("need", "rate", lambda n, r: _up(n * spec.period / r)))
+    rows = rows.withColumn("periods", F.ceil(last / spec.period).cast("long")).where("periods > 0")
+
+    def add(state: Column, p: Column) -> Column:
+        # (blocks due by the end of this period, how far behind the source still is) of every source
+        behind = F.zip_with("rate", state["done"], lambda r, n: r * (p + 1) - n)
+        owed = F.transform(behind, lambda x: _let(_whole(F.greatest(x, F.lit(0.0))), lambda n: F.struct(n.alias("n"), (x - n).alias("rest"))))
+
+        def dealt(owed: Column) -> Column:
+            left = period - _sum(F.transform(owed, lambda x: x["n"]))
+            # who gets one more, furthest behind first; or, if more is due than there are slots, who waits, least behind first
+            def key(x: Column, i: Column) -> Column:
+                return F.struct(F.when(left >= 0, -x["rest"]).when(x["n"] > 0, x["rest"]).otherwise(2.0).alias("k"), i.alias("i"))
+
+            chosen = F.slice(F.sort_array(F.transform(owed, key)), 1, F.least(F.abs(left), F.size(owed)).cast("int"))
+            step = F.signum(left.cast("double")).cast("long")
+            edge = F.when(F.size(chosen) > 0, F.array_max(chosen))
+
+            def one(edge: Column) -> Column:
+                return F.transform(owed, lambda x, i: x["n"] + F.when(edge.isNotNull() & (key(x, i) <= edge), step).otherwise(0))
+
+            return _let(edge, one)
+
+        end = F.zip_with(state["done"], _let(owed, dealt), lambda a, b: a + b)
+        return _let(end, lambda e: F.struct(e.alias("done"), F.concat(state["cuts"], F.array(F.struct(state["done"].alias("begin"), e.alias("end")))).alias("cuts")))
 
     start = F.struct(
-        F.transform("sources", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("order")
+        F.transform("child", lambda x: F.lit(0).cast("long")).alias("done"),
+        F.array().cast("array<struct<begin:array<bigint>,end:array<bigint>>>").alias("cuts"),
     )
-    order = F.aggregate(F.sequence(F.lit(0).cast("long"), period - 1), start, pick, lambda s: s["order"])
-    placed = row.where(F.size("sources") > 0).select("sources", F.posexplode(order).alias("slot", "i"))
-    placed = placed.where("i >= 0").select(F.element_at("sources", F.col("i") + 1)["source"].alias("source"), F.col("slot").cast("long").alias("slot"))
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
-    return placed.select("source", nth.cast("long").alias("nth"), "slot")
+    cuts = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("periods") - 1), start, add, lambda s: s["cuts"])
+    rows = rows.select("node", "child", "need", "rate", F.posexplode(cuts).alias("p", "cut"))
+    rows = rows.select("node", "child", "need", "rate", F.col("p").cast("long").alias("p"), "cut.begin", "cut.end")
+    # a number of tasks is given, since a row is small but its fold isn't
+    rows = rows.repartition(shuffle_partitions(children.sparkSession), "node", "p")
+
+    def pick(state: Column, slot: Column) -> Column:
+        def due(x: Column, i: Column) -> Column:
+            n, rate = F.element_at(state["done"], i + 1), x
+            deadline = _up((n + 1) * spec.period / rate)
+            early = (_whole(n * spec.period / rate) > slot).cast("int")
+            in_time = F.least(deadline, (F.col("p") + 1) * period)
+            return F.when(n < F.element_at("end", i + 1), F.struct(early.alias("early"), in_time.alias("in_time"), deadline.alias("due"), i.alias("i"), n.alias("n")))
+
+        def place(chosen: Column) -> Column:
+            return F.struct(
+                F.transform(state["done"], lambda n, i: n + F.coalesce((i == chosen["i"]).cast("long"), F.lit(0))).alias("done"),
+                F.concat(state["order"], F.array(F.struct(chosen["i"].alias("i"), chosen["n"].alias("n")))).alias("order"),
+            )
+
+        return _let(F.array_min(F.filter(F.transform("rate", due), lambda x: x.isNotNull())), place)
+
+    start = F.struct(F.col("begin").alias("done"), F.array().cast("array<struct<i:int,n:bigint>>").alias("order"))
+    order = F.aggregate(F.sequence(F.col("p") * period, (F.col("p") + 1) * period - 1), start, pick, lambda s: s["order"])
+    placed = rows.select("node", "child", "need", "p", F.posexplode(order).alias("at", "x")).where("x.i is not null")
+    at = F.col("x.i") + 1
+    placed = placed.where(F.col("x.n") < F.element_at("need", at))
+    return placed.select("node", F.element_at("child", at).alias("child"), F.col("x.n").alias("nth"), (F.col("p") * period + F.col("at")).cast("long").alias("slot"))
+
+
+def period_schedule(slots: DataFrame, spec: Mix) -> DataFrame:
+    """(source, nth, slot) of the blocks of the first period, for sources with whole slots."""
+    children = slots.select(F.lit("").alias("node"), F.col("source").alias("child"), F.col("slots").cast("double").alias("slots"), F.col("slots").cast("long").alias("need"))
+    return schedule(children, spec).select(F.col("child").alias("source"), "nth", "slot")
 
 
 def numbered(rows: DataFrame, cells: DataFrame, cell: Column) -> DataFrame:
@@ -96,7 +156,7 @@ def mix(docs: DataFrame, spec: Mix = Mix(), targets: DataFrame | None = None, ke
     Read in the order of position, sources are mixed. Rows without a source form one of their own, rows without a key
     and repeated rows come in any order among each other and keep a place each. A source that has run out leaves its
     slots empty: position has gaps there, and the others keep their order and rates among each other. ``targets`` holds
-    (source, weight); a source it doesn't name, or names with no weight, gets one slot a period, so nothing is dropped.
+    (source, weight); the sources it doesn't name, or names with no weight, share one slot a period, so nothing is dropped.
     An empty table gives no rows. More than ``max_sources`` sources are an error.
     """
     named = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(NO_SOURCE))
@@ -110,14 +170,13 @@ def mix(docs: DataFrame, spec: Mix = Mix(), targets: DataFrame | None = None, ke
         raise ValueError(f"{total[0]} sources; a period of {spec.period} slots is meant for at most {spec.max_sources}")
     width = max(1, min(65536, 65536 * spec.cell_rows // max(1, total[1] or 1)))  # digest prefixes in a cell
     cells = counts.groupBy("__source", F.floor(F.col("fine") / width).cast("int").alias("__cell")).agg(F.sum("n").alias("n"))
-    schedule = written(period_schedule(weights(size, spec, targets), spec), "schedule").toDF("__source", "__nth", "__place")
-    rate = schedule.groupBy("__source").agg(F.count("*").alias("__slots"))
+    sources = weights(size, spec, targets).join(size, "source").select("source", "slots", F.ceil(F.col("n_rows") / spec.block_rows).cast("long").alias("need"))
+    sources = sources.select(F.lit("").alias("node"), F.col("source").alias("child"), "slots", "need")
+    places = written(schedule(sources, spec).drop("node"), "schedule").toDF("__source", "__block", "__slot")
     out = numbered(rows, cells, F.floor(fine / width).cast("int"))
     out = out.withColumn("__block", F.floor(F.col("__number") / spec.block_rows).cast("long"))
-    out = out.join(F.broadcast(rate), "__source")  # max_sources rows
-    out = out.withColumn("__nth", F.col("__block") % F.col("__slots"))
-    out = out.join(F.broadcast(schedule), ["__source", "__nth"])  # period rows
-    slot = F.floor(F.col("__block") / F.col("__slots")).cast("long") * F.lit(spec.period).cast("long") + F.col("__place")
+    out = out.join(places, ["__source", "__block"])
+    slot = F.col("__slot")
     position = slot * F.lit(spec.block_rows).cast("long") + F.col("__number") % F.lit(spec.block_rows)
     new = [F.col("__block").alias("block"), slot.alias("slot"), position.cast("long").alias("position")]
     return out.select(*[f"`{c}`" for c in docs.columns if c not in ("block", "slot", "position")], *new)

@@ -64,3 +64,32 @@ def test_awkward_rows(spark):
     assert mixing.mix(common.empty(spark)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs, mixing.Mix(max_sources=2))
+
+
+def farthest(got, weight, counts):
+    """Largest gap, in blocks of one row, between a source's rows and its weight times the slots so far, until it runs out."""
+    total, worst = sum(weight.values()), 0.0
+    slots = {s: sorted(r.slot for r in got if r.source == s) for s in counts}
+    for s, n in counts.items():
+        w = weight[s] / total
+        assert len(slots[s]) == n
+        # the gap is largest right before and right after a block
+        for done, t in enumerate(slots[s]):
+            worst = max(worst, abs(done - t * w), abs(done + 1 - (t + 1) * w))
+    return worst
+
+
+def test_less_than_one_block_from_the_targets_over_many_periods(spark):
+    counts = {"a": 2000, **{f"s{i}": 60 + 17 * i for i in range(19)}}
+    weight = {s: n**0.5 for s, n in counts.items()}
+    got = mixing.mix(rows(spark, counts), mixing.Mix(block_rows=1, period=100)).collect()
+    assert max(r.slot for r in got) > 50 * 100 and len({r.slot for r in got}) == sum(counts.values())
+    assert farthest(got, weight, counts) < 1
+
+
+def test_a_heavy_target_beside_many_small_sources(spark):
+    counts = {"a": 1500, **{f"s{i}": 12 for i in range(99)}}
+    weight = {"a": 0.5, **{f"s{i}": 0.5 / 99 for i in range(99)}}
+    targets = spark.createDataFrame(list(weight.items()), "source string, weight double")
+    got = mixing.mix(rows(spark, counts), mixing.Mix(block_rows=1), targets).collect()
+    assert farthest(got, weight, counts) < 1
