@@ -6,9 +6,10 @@ earliest deadline, slot by slot, keeps every source within less than one block o
 
 Weights aren't rounded to slots, so the schedule doesn't repeat. It is cut into periods: a fold over the periods says how
 many blocks of every source are placed by the end of each (the whole blocks due, and one more of those furthest behind,
-as far as there are slots), which carries the remainders on (no case beyond one block is known, but there is no proof); a fold over the slots of one period, a row each, places
-them. Numbers within a source come from counts of (source, digest prefix) cells and windows inside the cells, so no
-task holds a source.
+as far as there are slots), which carries the remainders on (tests find no case beyond one block; there is no proof). A
+fold over the slots of one period, a row each, places them. A row holds at most ``row_sources`` sources: with more, the lighter ones are dealt to groups that are scheduled
+like a source, and the blocks of a group to its members by the same method, level by level. Numbers within a source come
+from counts of (source, digest prefix) cells and windows inside the cells, so no task holds a source.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ class Mix:
     block_rows: int = 8
     period: int = 1000  # slots placed by one row
     flatten: float = 0.5  # weights without targets: rows of the source to this power
-    max_sources: int = 500  # one row schedules a period
+    max_sources: int | None = None  # more are an error
+    row_sources: int = 500  # sources or groups scheduled by one row, about
     cell_rows: int = 1_000  # rows numbered by one window, about
 
 
@@ -140,6 +142,43 @@ def period_schedule(slots: DataFrame, spec: Mix) -> DataFrame:
     return schedule(children, spec).select(F.col("child").alias("source"), "nth", "slot")
 
 
+def whole_schedule(sources: DataFrame, n: int, spec: Mix) -> DataFrame:
+    """(source, nth, slot) of all blocks of n sources (source, slots, need), in groups where they are many."""
+    own = sources.select("source", F.concat(F.lit("s"), "source").alias("child"), "slots", "need")
+    half = max(2, spec.row_sources // 2)
+    if n <= max(spec.row_sources, 4):
+        out = schedule(own.select(F.lit("").alias("node"), "child", "slots", "need"), spec)
+        return out.select(F.substring("child", 2, 1 << 30).alias("source"), "nth", "slot")
+    heavy = own.orderBy(F.desc("slots"), "source").limit(half)
+    light = own.join(heavy.select("source"), "source", "left_anti")
+    depth = 1
+    while n > half ** (depth + 1):
+        depth += 1
+    digits = [F.pmod(F.xxhash64("source", F.lit(j)), F.lit(half)).cast("string") for j in range(depth)]
+    members = light.select(F.concat(F.lit("g"), F.concat_ws(".", *digits)).alias("node"), "child", "slots", "need")
+    levels = []
+    for _ in range(depth):
+        members = written(members, "members")
+        levels.append(written(schedule(members, spec), "schedule"))
+        sums = members.withColumn("total", F.sum("slots").over(Window.partitionBy("node")))
+        # slots of a node up to the last deadline of its members
+        sums = sums.groupBy("node").agg(F.sum("slots").alias("slots"), F.max(_up(F.col("need") * F.col("total") / F.col("slots"))).cast("long").alias("need"))
+        above = F.concat(F.lit("g"), F.regexp_replace(F.substring("node", 2, 1 << 30), r"\.?[0-9]+$", ""))
+        members = sums.select(above.alias("node"), F.col("node").alias("child"), "slots", "need")
+    root = members.unionByName(heavy.select(F.lit("g").alias("node"), "child", "slots", "need"))
+    out = schedule(root, spec).select("child", "nth", "slot")
+    done = []
+    for level in reversed(levels):
+        out = written(out, "schedule")
+        done.append(out.where("child like 's%'"))
+        parent = out.select(F.col("child").alias("node"), F.col("nth").alias("__at"), F.col("slot").alias("__slot"))
+        below = level.withColumnRenamed("slot", "__at").join(parent, ["node", "__at"])
+        out = below.select("child", "nth", F.col("__slot").alias("slot"))
+    for part in done:
+        out = out.unionByName(part)
+    return out.select(F.substring("child", 2, 1 << 30).alias("source"), "nth", "slot")
+
+
 def numbered(rows: DataFrame, cells: DataFrame, cell: Column) -> DataFrame:
     """Adds ``__number``: the row's place (from 0) in its source by the digest of its key."""
     before = Window.partitionBy("__source").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -157,7 +196,7 @@ def mix(docs: DataFrame, spec: Mix = Mix(), targets: DataFrame | None = None, ke
     and repeated rows come in any order among each other and keep a place each. A source that has run out leaves its
     slots empty: position has gaps there, and the others keep their order and rates among each other. ``targets`` holds
     (source, weight); the sources it doesn't name, or names with no weight, share one slot a period, so nothing is dropped.
-    An empty table gives no rows. More than ``max_sources`` sources are an error.
+    An empty table gives no rows. Any number of sources is scheduled, unless ``max_sources`` is set.
     """
     named = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(NO_SOURCE))
     digest = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
@@ -166,13 +205,12 @@ def mix(docs: DataFrame, spec: Mix = Mix(), targets: DataFrame | None = None, ke
     counts = written(rows.groupBy("__source", fine.alias("fine")).agg(F.count("*").alias("n")), "cells")
     size = counts.groupBy(F.col("__source").alias("source")).agg(F.sum("n").alias("n_rows"))
     total = size.agg(F.count("*"), F.max("n_rows")).first()
-    if total[0] > spec.max_sources:
-        raise ValueError(f"{total[0]} sources; a period of {spec.period} slots is meant for at most {spec.max_sources}")
+    if spec.max_sources is not None and total[0] > spec.max_sources:
+        raise ValueError(f"{total[0]} sources; at most {spec.max_sources} are wanted")
     width = max(1, min(65536, 65536 * spec.cell_rows // max(1, total[1] or 1)))  # digest prefixes in a cell
     cells = counts.groupBy("__source", F.floor(F.col("fine") / width).cast("int").alias("__cell")).agg(F.sum("n").alias("n"))
     sources = weights(size, spec, targets).join(size, "source").select("source", "slots", F.ceil(F.col("n_rows") / spec.block_rows).cast("long").alias("need"))
-    sources = sources.select(F.lit("").alias("node"), F.col("source").alias("child"), "slots", "need")
-    places = written(schedule(sources, spec).drop("node"), "schedule").toDF("__source", "__block", "__slot")
+    places = written(whole_schedule(written(sources, "sources"), total[0], spec), "schedule").toDF("__source", "__block", "__slot")
     out = numbered(rows, cells, F.floor(fine / width).cast("int"))
     out = out.withColumn("__block", F.floor(F.col("__number") / spec.block_rows).cast("long"))
     out = out.join(places, ["__source", "__block"])

@@ -93,3 +93,17 @@ def test_a_heavy_target_beside_many_small_sources(spark):
     targets = spark.createDataFrame(list(weight.items()), "source string, weight double")
     got = mixing.mix(rows(spark, counts), mixing.Mix(block_rows=1), targets).collect()
     assert farthest(got, weight, counts) < 1
+
+
+def test_any_number_of_sources(spark):
+    counts = {f"s{i}": 2 for i in range(600)}
+    got = mixing.mix(rows(spark, counts), mixing.Mix(block_rows=1)).collect()
+    assert len(got) == 1200 and len({r.position for r in got}) == 1200 and Counter(r.source for r in got) == counts
+
+
+def test_groups_of_sources_keep_the_weights(spark):
+    counts = {"a": 300, None: 150, **{f"s{i}": 5 + i for i in range(28)}}
+    got = mixing.mix(rows(spark, counts), mixing.Mix(block_rows=1, period=50, row_sources=8)).collect()
+    assert len({r.position for r in got}) == sum(counts.values()) and Counter(r.source for r in got) == counts
+    weight = {s: n**0.5 for s, n in counts.items()}
+    assert farthest(got, weight, counts) < 3  # one block a level, three levels
