@@ -3,9 +3,10 @@
 1. A page becomes blocks of text between block-level tags, each with its place in the DOM and the share of link text.
 2. A naive Bayes classifier on block features gives log-odds of content. It is fitted on at most ``max_pages`` pages,
    on blocks that semantic containers label; the containers themselves aren't features.
-3. Log-odds and the innermost container that tells its role become terminal capacities; neighbouring blocks and blocks
-   of one DOM parent are tied by smoothness edges. The minimum cut (Dinic's maximum flow) separates content from the rest,
-   so blocks without clear evidence follow the ones around them.
+3. Log-odds and the containers that tell their role become terminal capacities; neighbouring blocks and blocks of one
+   DOM parent are tied by smoothness edges. The minimum cut (Dinic's maximum flow) separates content from the rest, so
+   blocks without clear evidence follow the ones around them. Containers count as far as the classifier agrees with them
+   on the sample, and always less than all ties of a block, so text and flow can overrule them.
 """
 
 from __future__ import annotations
@@ -68,7 +69,9 @@ WORD = re.compile(r"[a-z]+")
 @dataclass(frozen=True)
 class HtmlRule:
     max_pages: int = 2_000
-    container: float = 9.0  # log-odds of a block inside a container that tells its role
+    container: float = 2.0  # log-odds of a block inside a container that tells its role, at most; outer ones count half each
+    least: float = 0.5  # the same at least
+    hidden: float = 99.0  # against text that isn't shown
     most: float = 3.0  # log-odds of the classifier at most
     neighbour: float = 1.0  # smoothness between neighbouring blocks
     sibling: float = 1.0  # between neighbours of one DOM parent, and half of it of one grandparent
@@ -92,21 +95,27 @@ class Page:
     tags: list[str] = field(default_factory=lambda: ["#page"])
     parents: list[int] = field(default_factory=lambda: [-1])
     roles: list[int] = field(default_factory=lambda: [0])
+    around: list[float] = field(default_factory=lambda: [0.0])  # roles of all elements around, each counted half as much as the next inner one
+    hidden: list[bool] = field(default_factory=lambda: [False])
     words: list[tuple[str, ...]] = field(default_factory=lambda: [()])
 
 
-def _role(tag: str, attrs: str, words: list[str], in_main: bool) -> int:
-    if tag in ASIDE_TAGS or (tag == "header" and not in_main):
-        return -1
-    if tag in ("html", "body"):
-        return 0
+def _hidden(attrs: str) -> bool:
     if "hidden" in attrs.lower() or "display" in attrs.lower():
         for m in NAMED.finditer(attrs):
             name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                return -1
-    if not ASIDE_WORDS.isdisjoint(words) and not (tag in MAIN_TAGS or tag in ("h1", "header") and in_main):
+                return True
+    return False
+
+
+def _role(tag: str, words: list[str], in_main: bool) -> int:
+    if tag in ASIDE_TAGS or (tag == "header" and not in_main):
         return -1
+    if tag in ("html", "body"):
+        return 0
+    if not ASIDE_WORDS.isdisjoint(words) and not (tag in MAIN_TAGS or tag in ("h1", "header") and in_main):
+        return -1 if MAIN_WORDS.isdisjoint(words) else 0
     if tag in MAIN_TAGS or not MAIN_WORDS.isdisjoint(words):
         return 1
     return 0
@@ -169,8 +178,12 @@ def parse(page: str) -> Page:
             out.tags.append(tag)
             out.parents.append(stack[-1])
             out.words.append(out.words[stack[-1]] + tuple(words))
-            around = out.roles[stack[-1]]
-            out.roles.append(_role(tag, attrs, words, around > 0) or around)
+            inside = out.roles[stack[-1]]
+            hidden = _hidden(attrs)
+            role = -1 if hidden else _role(tag, words, inside > 0)
+            out.roles.append(role or inside)
+            out.around.append(role + out.around[stack[-1]] / 2 if role else out.around[stack[-1]])
+            out.hidden.append(hidden or out.hidden[stack[-1]])
             stack.append(len(out.tags) - 1)
     if at < len(page):
         parts.append(page[at:])
@@ -194,12 +207,26 @@ def features(seen: tuple, buckets: int) -> tuple[int, ...]:
     return tuple(sorted({zlib.crc32(repr(c).encode()) % buckets for c in codes}))
 
 
-def log_odds(page: Page, table: list[float], rule: HtmlRule) -> list[float]:
+@dataclass(frozen=True)
+class Fitted:
+    """Log-odds of every feature bucket (none without blocks of both sides), what they sum to between both sides, and those of a container."""
+
+    table: list[float]
+    middle: float
+    container: float
+
+
+def told(page: Page, block: Block, table: list[float]) -> float:
+    """The classifier's log-odds of content."""
+    return sum([table[f] for f in features(signature(page, block), len(table))]) if table else 0.0
+
+
+def log_odds(page: Page, fitted: Fitted, rule: HtmlRule) -> list[float]:
     """Evidence for content of every block: the classifier's, and that of its containers."""
     out = []
     for block in page.blocks:
-        told = sum([table[f] for f in features(signature(page, block), len(table))]) if table else 0.0
-        out.append(max(-rule.most, min(rule.most, told)) + rule.container * page.roles[block.node])
+        own = max(-rule.most, min(rule.most, told(page, block, fitted.table) - fitted.middle)) + fitted.container * page.around[block.node]
+        out.append(own - rule.hidden if page.hidden[block.node] else own)
     return out
 
 
@@ -308,19 +335,30 @@ def minimum_cut(odds: list[float], ties: list[tuple[int, int, float]]) -> list[b
                 break
 
 
-def main_text(page: str, table: list[float], rule: HtmlRule) -> str:
+def main_text(page: str, fitted: Fitted, rule: HtmlRule) -> str:
     parsed = parse(page)
     if not parsed.blocks:
         return ""
-    odds = log_odds(parsed, table, rule)
+    odds = log_odds(parsed, fitted, rule)
     content = [o > 0 for o in odds]
     if any(content) and not all(content):
         content = label(odds, edges(parsed, rule))
     return "\n".join(b.text for b, c in zip(parsed.blocks, content) if c)
 
 
-def fit(pages: DataFrame, rule: HtmlRule) -> list[float]:
-    """Log-odds of every feature bucket from blocks that containers label, on the pages with the smallest digests."""
+PAGE = 1 << 20  # a page's blocks of one side count this much together, so no long page decides
+
+
+def labelled(page: Page) -> Iterator[tuple[Block, int, int]]:
+    """(block, side, weight) of the blocks that containers label."""
+    found = [(b, page.roles[b.node]) for b in page.blocks if page.roles[b.node] and not page.hidden[b.node]]
+    n = Counter(side for _, side in found)
+    for block, side in found:
+        yield block, side, max(1, PAGE // n[side])
+
+
+def fit(pages: DataFrame, rule: HtmlRule) -> Fitted:
+    """Classifier of the blocks that containers label, on the pages with the smallest digests, and how far it agrees with the containers."""
     chosen = pages.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(rule.max_pages)
     sample = pages.join(F.broadcast(chosen), "page_id").select("html")  # max_pages numbers
 
@@ -329,11 +367,10 @@ def fit(pages: DataFrame, rule: HtmlRule) -> list[float]:
         for batch in batches:
             for html in batch.column("html").to_pylist():
                 page = parse(html or "")
-                for block in page.blocks:
-                    side = page.roles[block.node]
-                    if side:
-                        counts[-1, side] += 1
-                        counts.update((f, side) for f in features(signature(page, block), rule.token_buckets))
+                for block, side, weight in labelled(page):
+                    counts[-1, side] += weight
+                    for f in features(signature(page, block), rule.token_buckets):
+                        counts[f, side] += weight
         yield pa.RecordBatch.from_arrays(
             [pa.array([c for c, _ in counts], pa.int64()), pa.array([s for _, s in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())],
             names=["feature", "side", "n"],
@@ -342,12 +379,31 @@ def fit(pages: DataFrame, rule: HtmlRule) -> list[float]:
     counted = sample.mapInArrow(run, "feature long, side long, n long").groupBy("feature", "side").agg(F.sum("n").alias("n")).collect()
     n = {(r["feature"], r["side"]): r["n"] for r in counted}
     if (-1, 1) not in n or (-1, -1) not in n:
-        return []
+        return Fitted([], 0.0, rule.container)
 
     def share(f: int, side: int) -> float:
-        return (n.get((f, side), 0) + rule.alpha) / (n[-1, side] + 2 * rule.alpha)
+        return (n.get((f, side), 0) / PAGE + rule.alpha) / (n[-1, side] / PAGE + 2 * rule.alpha)
+
+    table = [math.log(share(f, 1) / share(f, -1)) for f in range(rule.token_buckets)]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for html in batch.column("html").to_pylist():
+                page = parse(html or "")
+                for block, side, weight in labelled(page):
+                    counts[round(10 * told(page, block, table)), side] += weight
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([t for t, _ in counts], pa.int64()), pa.array([s for _, s in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())],
+            names=["tenths", "side", "n"],
+        )
 
-    return [math.log(share(f, 1) / share(f, -1)) for f in range(rule.token_buckets)]
+    # a few hundred sums in tenths; the middle lies halfway between the means of both sides
+    found = [(r["tenths"] / 10, r["side"], r["n"] / PAGE) for r in sample.mapInArrow(sums, "tenths long, side long, n long").groupBy("tenths", "side").agg(F.sum("n").alias("n")).orderBy("tenths", "side").collect()]
+    middle = sum(sum(t * w for t, s, w in found if s == side) / sum(w for _, s, w in found if s == side) for side in (1, -1)) / 2
+    yes = sum(w for t, side, w in found if (t - middle) * side > 0)
+    no = sum(w for _, _, w in found) - yes
+    return Fitted(table, middle, max(rule.least, min(rule.container, math.log((yes + rule.alpha) / (no + rule.alpha)))))
 
 
 def extract(pages: DataFrame, rule: HtmlRule = HtmlRule(), key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
@@ -358,13 +414,13 @@ def extract(pages: DataFrame, rule: HtmlRule = HtmlRule(), key: str = "page_id",
     An empty table gives no rows.
     """
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").cast("string").alias("html"))
-    table = fit(rows, rule)
+    fitted = fit(rows, rule)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
-                texts = [main_text(x or "", table, rule) for x in batch.column("html").to_pylist()]
+                texts = [main_text(x or "", fitted, rule) for x in batch.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                     names=["page_id", "url", "text", "n_chars"],

@@ -73,3 +73,27 @@ def test_cut_is_minimal():
 def test_ties_decide_open_blocks():
     assert htmltext.label([9.0, -0.5, 9.0], [(0, 1, 1.0), (1, 2, 1.0)]) == [True, True, True]
     assert htmltext.label([9.0, -0.5, -9.0], [(0, 1, 1.0), (1, 2, 1.0)]) == [True, False, False]
+
+
+def test_classifier_and_cut_overrule_containers(spark):
+    bodies = [site(i, "".join(f"<p>{common.prose(10 * i + j, 40)}.</p>" for j in range(4))) for i in range(60)]
+    texts = [common.prose(900 + j, 40) + "." for j in range(4)]
+    menu = "<div><a href=/a>Start</a> <a href=/b>News</a></div><div><a href=/c>More</a></div>"
+    end = "<div><a href=/i>Imprint</a></div>"
+    flow = "".join(f"<div><p>{x}</p></div>" for x in texts)
+    inner = f"<div><p>{texts[0]}</p></div><div class=widget><p>{texts[1]}</p></div><div><p>{texts[2]}</p></div><div><p>{texts[3]}</p></div>"
+    odd = [
+        f"<html><body>{menu}<div class='post with-sidebar'>{flow}</div>{end}</body></html>",  # a layout's name
+        f"<html><body><form id=aspnetForm>{menu}{flow}{end}</form></body></html>",  # a form around the whole page
+        f"<html><body>{menu}<article>{inner}</article>{end}</body></html>",  # a part of the article with an odd name
+        f"<html><body>{menu}<article>{flow}<p hidden>{texts[0]}</p></article>{end}</body></html>",
+    ]
+    got = [r.text.split("\n") for r in htmltext.extract(pages(spark, [*bodies, *odd]), RULE).orderBy("page_id").collect()]
+    assert got[60:] == [texts] * 4
+    assert all(len(x) == 4 for x in got[:60])
+
+
+def test_containers_alone_stay_below_the_ties():
+    page = htmltext.parse("<article>" * 30 + "<p>x</p>" + "</article>" * 30)
+    odds = htmltext.log_odds(page, htmltext.Fitted([], 0.0, RULE.container), RULE)
+    assert 0 < odds[0] <= 2 * (RULE.neighbour + RULE.sibling + RULE.sibling / 2)
