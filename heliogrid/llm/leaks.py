@@ -10,12 +10,14 @@ once to count its words and once to find its copies. No document is shuffled.
    overlapping passages of one item are one.
 3. Local alignment by words (match, mismatch, gap) scores every passage against the item, in batches. The score is a
    fraction of that of a verbatim copy, so edited and paraphrased copies keep most of it.
+4. A part of a longer item counts whatever its share: ``run_words`` words in a row, or more with few changes, by an
+   alignment that allows little else. Runs of that many words without a rare seed are seeds themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ class LeakRule:
     gap: int = -1
     min_score: float = 0.35
     min_words: int = 8  # matches that an alignment needs at least, or all words of a shorter item
+    run_words: int = 12  # matches of a part that counts by itself
+    run_cost: int = -4  # of a mismatch or gap in it, so more than two thirds of its words match
     block_words: int = 200_000
 
 
@@ -55,6 +59,7 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     bits: np.ndarray  # which upper bits a seed can have
+    sizes: np.ndarray  # words of a seed
 
 
 #: What a byte is to a word: 0 left out (ASCII signs), 1 white space, 2 part of it (letters, digits, beyond ASCII).
@@ -123,7 +128,7 @@ def prepared(block: list[tuple[int, bytes]], docs: DataFrame, rule: LeakRule) ->
     vocabulary = np.unique(np.concatenate(words)) if words else np.empty(0, np.uint64)
     counts, total = word_counts(docs, vocabulary)
     surprisal = -np.log2((counts + 1) / (total + len(counts) + 1))
-    seed, item, place = [], [], []
+    seed, item, place, sizes = [], [], [], set()
     for k, w in enumerate(words):
         size = min(rule.gram, len(w))
         bits = np.convolve(surprisal[np.searchsorted(vocabulary, w)], np.ones(size), "valid")
@@ -133,9 +138,18 @@ def prepared(block: list[tuple[int, bytes]], docs: DataFrame, rule: LeakRule) ->
         seed.append(gram_hashes(w, size)[at])
         item.append(np.full(len(at), k))
         place.append(at)
+        sizes.add(size)
+        if len(w) >= rule.run_words > size:
+            grams = np.convolve(rare, np.ones(rule.run_words - size + 1), "valid")  # seeds inside every run
+            at = np.flatnonzero(grams < 0.5)
+            if len(at):
+                seed.append(gram_hashes(w, rule.run_words)[at])
+                item.append(np.full(len(at), k))
+                place.append(at)
+                sizes.add(rule.run_words)
     seed, item, place = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((seed, np.uint64), (item, np.int64), (place, np.int64)))
     order = np.argsort(seed, kind="stable")
-    return Items(np.array([i for i, _ in block], np.int64), words, seed[order], item[order].astype(np.int64), place[order].astype(np.int64), marked(seed))
+    return Items(np.array([i for i, _ in block], np.int64), words, seed[order], item[order].astype(np.int64), place[order].astype(np.int64), marked(seed), np.array(sorted(sizes), np.int64))
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray], rule: LeakRule) -> tuple[np.ndarray, np.ndarray]:
@@ -198,23 +212,33 @@ def passages(h: np.ndarray, at: list[np.ndarray], grams: list[np.ndarray], items
 
 
 def _found(docs: DataFrame, items: Items, rule: LeakRule) -> DataFrame:
-    sizes = np.unique([min(rule.gram, len(w)) for w in items.words]) if items.words else np.empty(0, np.int64)
+    strict = replace(rule, mismatch=rule.run_cost, gap=rule.run_cost)
 
     def scored(pending: list) -> pa.RecordBatch:
         pairs = [(items.words[k], h) for _, k, _, h in pending]
         best, end = aligned(pairs, rule)
         full = np.array([rule.match * len(a) for a, _ in pairs])
         least = np.minimum(rule.match * rule.min_words, full)
-        good = np.flatnonzero((best >= rule.min_score * full) & (best >= least))
-        # the alignment's start is its end in the reversed passage
-        back = [(pairs[k][0][::-1], pairs[k][1][: end[k]][::-1]) for k in good]
-        _, start = aligned(back, rule)
+        whole = (best >= rule.min_score * full) & (best >= least)
         rows = {}
-        for k, s in zip(good, start):
-            doc, item, lo, _ = pending[k]
-            hit = (float(best[k] / full[k]), lo + int(end[k] - s), lo + int(end[k]))
-            if (doc, item) not in rows or hit[0] > rows[doc, item][0]:
-                rows[doc, item] = hit
+
+        def add(good: np.ndarray, best: np.ndarray, end: np.ndarray, rule: LeakRule) -> None:
+            # the alignment's start is its end in the reversed passage
+            back = [(pairs[k][0][::-1], pairs[k][1][: e][::-1]) for k, e in zip(good, end)]
+            _, start = aligned(back, rule)
+            for k, b, e, s in zip(good, best, end, start):
+                doc, item, lo, _ = pending[k]
+                hit = (float(b / full[k]), lo + int(e - s), lo + int(e))
+                if (doc, item) not in rows or hit[0] > rows[doc, item][0]:
+                    rows[doc, item] = hit
+
+        good = np.flatnonzero(whole)
+        add(good, best[good], end[good], rule)
+        # the strict score is never above the other
+        part = np.flatnonzero(~whole & (best >= rule.match * rule.run_words))
+        own, end = aligned([pairs[k] for k in part], strict)
+        runs = own >= rule.match * rule.run_words
+        add(part[runs], own[runs], end[runs], strict)
         columns = [[d[1] for d, _ in rows], [int(items.ids[i]) for _, i in rows], *([v[c] for v in rows.values()] for c in range(3))]
         types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
@@ -225,7 +249,7 @@ def _found(docs: DataFrame, items: Items, rule: LeakRule) -> DataFrame:
             h, ends = word_hashes(texts.to_pylist())
             starts = np.append(0, ends[:-1])
             at, grams = [], []
-            for size in sizes:  # seeds anywhere in the chunk; those that cross texts go
+            for size in items.sizes:  # seeds anywhere in the chunk; those that cross texts go
                 g = gram_hashes(h, int(size))
                 where = np.flatnonzero(items.bits[g >> SHIFT])
                 where = where[where + size <= ends[np.searchsorted(ends, where, "right")]]
@@ -257,6 +281,7 @@ def find_leaks(
     Words are compared without ASCII signs, whatever their case; places count words that have anything else.
     Of several copies of an item in a text, the best. Null and empty texts and items have no copies; an item without a
     key is left out; rows without a key are reported with null. Repeated rows are reported each, repeated items once.
+    A part of an item counts from ``run_words`` words in a row on; its score is its share of the item.
     Items shorter than a seed are found as a whole. Either table may be empty.
     """
     rows = id_text(docs, key, text)

@@ -61,3 +61,19 @@ def test_awkward_rows(spark):
     assert found == sorted([(6, 2), (7, 2), (8, 3), *((d, i) for d in (-1, 1, 2, 2) for i in (5, 6))])
     assert leaks.find_leaks(common.empty(spark), items(spark, tests)).count() == 0
     assert leaks.find_leaks(docs, items(spark, [])).count() == 0
+
+
+def test_a_part_of_a_long_item_is_found_whatever_its_share(spark):
+    test = common.prose(7, 200, 3000)
+    rng = random.Random(8)
+    common_words = " ".join(rng.choice(["the", "of", "a", "to", "in"]) for _ in range(100))
+    parts = [" ".join(x.split()[i : i + n]) for x in (test, common_words) for i, n in ((0, 12), (50, 20), (70, 30))]
+    edit = test.split()[100:125]
+    edit[12] = "other"
+    short = " ".join(test.split()[20:31])
+    texts = [f"{common.prose(500 + i, 60, 3000)} {x} {common.prose(600 + i, 60, 3000)}" for i, x in enumerate([*parts, " ".join(edit), short])]
+    filler = ["the of a to in " * 200] * 20  # so that no words of the second item are rare
+    rows = leaks.find_leaks(common.table(spark, [*texts, *filler]), items(spark, [test, common_words])).collect()
+    found = {(r.doc_id, r.item_id): r for r in rows if r.doc_id < len(texts)}
+    assert set(found) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1), (6, 0)}
+    assert all(r.first_word == 60 and r.end_word >= 72 for r in found.values())
