@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliogrid.llm import hamming, htmltext, langid, leaks, linededup, mixing, neardup, substrings, tokencount, toxicity
+from heliogrid.llm import hamming, htmltext, langid, leaks, linededup, mixing, neardup, quality, resample, runs, substrings, tokencount, toxicity
 
 NEAR = neardup.SetSketch(words=3, percent=85, rows=5, bands=26)
 MIX = mixing.Mix()
@@ -70,6 +70,26 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the documents, a tenth of which are made periodic first."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", runs.with_planted_period("text", "doc_id"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    milli = F.expr("strongest.length * 1000 div strongest.period")
+    return runs.periodic_runs(docs, runs.RunRule(exponent=4, min_words=6)).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period", milli.alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.QualityRule())
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), resample.ResampleRule())
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -82,4 +102,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
     "language_id_pages": language_id_pages,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality": op12_quality,
+    "op13_importance_resample": op13_importance_resample,
 }
