@@ -225,22 +225,6 @@ def solve_left_out(grams: DataFrame, by: list[str], alpha: float, normalise: boo
     return grams.repartition(1).mapInArrow(solve, out)
 
 
-def solve_targets(grams: DataFrame, ids: list[int], alpha: float, normalise: bool = True) -> DataFrame:
-    """(stid, intercept, coef) from the one matrix shared by several targets."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = _model_schema([T.StructField("stid", T.LongType())])
-    arrow = to_arrow_schema(out)
-
-    def solve(batches):
-        for batch in batches:
-            for value in batch.column("gram"):
-                intercepts, coefs = solve_ridges(_square(value.as_py()), alpha, normalise, len(ids))
-                yield _model_batch([pa.array(ids)], list(zip(intercepts, coefs.T)), arrow)
-
-    return grams.mapInArrow(solve, out)
-
-
 def dot(features, coef):
     """Dot product of two arrays; NULL when a feature is missing."""
     return F.aggregate(F.zip_with(features, coef, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
@@ -364,30 +348,3 @@ class RidgeCV:
         scores = self.scores(df, grams)
         best = min(sorted(scores), key=lambda a: scores[a])
         return linear_model(solve_table(grams, [], best, self.normalise), best)
-
-
-@dataclass(frozen=True)
-class StationRidge:
-    """One ridge per station on features shared by all stations of a day.
-
-    With a complete label matrix all stations share one Gram matrix, so the features
-    are read once. Missing labels make the matrices differ; then each station gets its
-    own, keyed by station.
-    """
-
-    alpha: float = 1e-5
-    normalise: bool = True
-    max_stations: int = 5_000
-
-    def fit(self, rows: DataFrame, labels: DataFrame) -> KeyedLinearModel:
-        known = labels.where(F.col("y").isNotNull()).join(rows.select("day"), "day", "left_semi")
-        shape = known.agg(F.count("*").alias("n"), F.count_distinct("day").alias("days"), F.count_distinct("stid").alias("stations")).first()
-        complete = shape["n"] == shape["days"] * shape["stations"] and shape["stations"] <= self.max_stations
-        if not complete:
-            keyed = rows.join(known.select("day", "stid", "y"), "day")
-            return Ridge(self.alpha, self.normalise, ("stid",)).fit(keyed)
-        by_day = known.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("stid", "y"))).alias("_l"))
-        wide = rows.join(by_day.select("day", F.col("_l.y").alias("ys")), "day")
-        ids = sorted(r["stid"] for r in known.select("stid").distinct().collect())
-        models = solve_targets(gram_table(wide, target="ys"), ids, self.alpha, self.normalise)
-        return KeyedLinearModel(settled(models), ("stid",))

@@ -18,10 +18,10 @@ from heliogrid.operators import features as feats
 from heliogrid.operators import grid as g
 from heliogrid.operators import interpolate, reduce
 from heliogrid.operators.blocks import clip_to, features_array
-from heliogrid.operators.joins import pair_up
 from heliogrid.operators.labels import drop_masked, mark_imputed, with_external_mask
 from heliogrid.operators.perturb import COPIES, perturb_stations
-from heliogrid.operators.ridge import Ridge, StationRidge, dot
+from heliogrid.operators.ridge import Ridge
+from heliogrid.operators.shared_ridge import SharedModel, StationRidge
 
 
 @dataclass(frozen=True)
@@ -252,13 +252,12 @@ class FittedDayModel:
     """Per-station linear models over features shared by all stations of a day."""
 
     model: BaselineModel
-    estimator: object
+    estimator: SharedModel
     labels: DataFrame
 
     def predict(self, data: ForecastData) -> DataFrame:
         rows = self.model.rows(data)
-        pairs = pair_up(rows, self.estimator.models)
-        scored = pairs.withColumn("pred", dot(F.col("features"), F.col("coef")) + F.col("intercept"))
+        scored = self.estimator.predict(rows)
         pred = reduce.mean_prediction(scored) if "ens" in rows.columns else scored.select("day", "stid", "pred")
         return clip_to(pred, self.labels) if self.model.clip else pred
 
@@ -284,11 +283,6 @@ class EnsembledRegressor(BaselineModel):
     def rows(self, data):
         return member_rows(data)
 
-    def fit(self, data, labels):
-        keyed = self.rows(data).join(labels, "day")
-        ridge = Ridge(self.estimator.alpha, self.estimator.normalise, ("stid",))
-        return FittedDayModel(self, ridge.fit(keyed), labels)
-
 
 @dataclass(frozen=True)
 class ClimateModel:

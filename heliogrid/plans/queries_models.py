@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heliogrid.operators import encode, features, labels, metrics, reduce, ridge, sampling, trees
+from heliogrid.operators import boosting, encode, features, labels, metrics, reduce, ridge, sampling, shared_ridge, trees
 from heliogrid.operators.blocks import features_array
 from heliogrid.plans import evaluation, models
 from heliogrid.plans.queries_reduce import station_forecasts
@@ -72,6 +72,20 @@ def fit_per_station(spark, sf):
     return rounded(fitted.transform(rows).select("stid", "day", "y", "pred"), digits=4)
 
 
+def day_rows(spark, sf):
+    """(day, features): daily means over all stations and the distance from midyear, shared by the stations."""
+    daily = dt.obs(spark, sf).groupBy("day").agg(*[F.avg(v).alias(v) for v in OBS_VALUES])
+    return features_array(daily.withColumn("center", F.abs(F.dayofyear("day").cast("double") - 182.625)), [*OBS_VALUES, "center"], ["day"])
+
+
+def ridge_cv_station(spark, sf):
+    """Every station's own penalty by leave-one-out errors, and its predictions of the days it has labels for."""
+    rows, known = settled(day_rows(spark, sf)), settled(dt.energy(spark, sf))
+    fitted = shared_ridge.StationRidge(alphas=ridge.ALPHAS).fit(rows, known)
+    pred = fitted.predict(rows).join(known, ["stid", "day"]).join(fitted.models.select("stid", "alpha", "loo"), "stid")
+    return rounded(pred.select("stid", "day", "y", "pred", "alpha", F.sqrt("loo").alias("loo_rmse")), digits=4)
+
+
 # ---------------------------------------------------------------- trees
 
 
@@ -143,7 +157,7 @@ def constant_models(spark, sf):
 
 
 def model_baseline(spark, sf):
-    return _test_predictions(spark, sf, models.BaselineModel(ridge.StationRidge(alpha=1.0)))
+    return _test_predictions(spark, sf, models.BaselineModel(shared_ridge.StationRidge(alpha=1.0)))
 
 
 def model_local(spark, sf):
@@ -178,7 +192,7 @@ def model_perturbed_predict(spark, sf):
 
 
 def model_ensembled_regressor(spark, sf):
-    return _test_predictions(spark, sf, models.EnsembledRegressor(ridge.StationRidge(alpha=1.0)))
+    return _test_predictions(spark, sf, models.EnsembledRegressor(shared_ridge.StationRidge(alpha=1.0)))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -273,7 +287,7 @@ def model_scores(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        ridge_normalised, ridge_cv_alpha, fit_per_station, gbt_lad, gbt_ls, huber, staged_deviance, feature_importance,
+        ridge_normalised, ridge_cv_alpha, fit_per_station, ridge_cv_station, gbt_lad, gbt_ls, huber, staged_deviance, feature_importance,
         topk_importance, predict_climate, constant_models, model_baseline, model_local, model_edge, model_kriging,
         model_kriging_gbt, model_ensemble, model_perturbed, model_perturbed_predict, model_ensembled_regressor,
         eval_train_test, eval_cross_val, eval_cross_val_model, eval_fold_scores, eval_learning_curve, eval_learning_curve_forest, submit, eval_scaled_local_gbt,

@@ -361,21 +361,6 @@ def test_fold_models_leave_their_fold_out(spark, problem):
         assert r["intercept"] == pytest.approx(want[0], abs=1e-6) and np.allclose(r["coef"], want[1], atol=1e-7)
 
 
-def test_station_ridge_shared_and_keyed_agree(spark):
-    rng = np.random.default_rng(4)
-    days = [dtm.date(2000, 1, 1) + dtm.timedelta(d) for d in range(40)]
-    rows = spark.createDataFrame([(d, [float(v) for v in rng.normal(size=3)]) for d in days], "day date, features array<double>")
-    full = [(d, s, float(rng.normal())) for d in days for s in range(4)]
-    schema = "day date, stid bigint, y double"
-    a = ridge.StationRidge(0.5).fit(rows, spark.createDataFrame(full, schema))
-    b = ridge.StationRidge(0.5, max_stations=1).fit(rows, spark.createDataFrame(full, schema))
-    left, right = ({r["stid"]: (r["intercept"], *r["coef"]) for r in m.models.collect()} for m in (a, b))
-    assert left.keys() == right.keys() and all(np.allclose(left[k], right[k]) for k in left)
-    holed = ridge.StationRidge(0.5).fit(rows, spark.createDataFrame(full[1:], schema))
-    third = {r["stid"]: (r["intercept"], *r["coef"]) for r in holed.models.collect()}
-    assert np.allclose(third[2], left[2]) and not np.allclose(third[0], left[0])
-
-
 def test_learning_curve_scores(spark, problem):
     x, y = problem
     rows = rows_of(spark, x, y)
