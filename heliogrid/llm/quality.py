@@ -1,7 +1,8 @@
 """Quality of texts: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader updates.
 
 1. At most ``max_rows`` labelled rows, those with the smallest digest of their key, are the training sample. Tasks turn each into
-   hashed runs of 1 to ``sizes`` words with their counts, scaled to length 1, so that long and short texts weigh alike.
+   hashed runs of 1 to ``sizes`` words with the square roots of their counts, scaled to length 1, so that long and short texts
+   weigh alike. A word is letters and digits in a row or other characters in a row; one equal to the word before is a mark.
 2. One task goes through the sample ``epochs`` times, in an order drawn anew from the keys' digests, a row at a time: every bucket
    holds the sum of its squared gradients and the leader's gradient sum; a weight is the regularised leader given these, with a
    step of its own and zero below the l1 limit. The sample's order is Spark's sort, so the task holds one row and the buckets.
@@ -24,6 +25,8 @@ from heliogrid.llm.common import WordHashes, byte_chunks, id_text, mixed, random
 CHUNK = 1 << 20
 #: Letters and digits in a row, or other visible characters in a row.
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x00-\x20]+")
+#: Hash that a word equal to the word before it is read as, so that stuttering is one feature whatever the word.
+AGAIN = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
 @dataclass(frozen=True)
@@ -32,7 +35,7 @@ class QualityRule:
     buckets_log2: int = 18
     max_rows: int = 20_000
     epochs: int = 5
-    alpha: float = 0.5
+    alpha: float = 2.0
     beta: float = 1.0
     l1: float = 0.1
     l2: float = 0.1
@@ -48,6 +51,8 @@ def grams(texts: list[bytes], rule: QualityRule, hashes: WordHashes) -> tuple[np
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     word = hashes.of([w for f in found for w in f])
     owner = np.repeat(np.arange(len(texts)), sizes)
+    again = np.append(False, (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])) if len(word) else np.empty(0, bool)
+    word = np.where(again, AGAIN, word)
     factors = random_words(rule.sizes, 61) | np.uint64(1)
     run, codes = np.zeros(len(word), np.uint64), []
     for size in range(1, rule.sizes + 1):

@@ -72,6 +72,18 @@ def test_fit_is_the_sequence_of_updates(spark):
     assert np.allclose(got, [want.get(b, 0.0) for b in range(len(got))], atol=1e-9)
 
 
+def test_grams_by_the_definition():
+    rule = quality.QualityRule(buckets_log2=20)
+    texts = ["Go go go now!! now", "", "é", "a b a b a"]
+    owner, bucket, value = quality.grams([t.encode() for t in texts], rule, WordHashes())
+    # Go, go, <again>, now, !!, now -> 5 distinct words and 5 pairs
+    assert [int((owner == i).sum()) for i in range(4)] == [10, 0, 1, 4]
+    assert np.allclose(np.bincount(owner, value**2, minlength=4), [1, 0, 1, 1])
+    assert np.allclose(sorted(value[owner == 3] ** 2 * 9), [2, 2, 2, 3])
+    owner, stutter, _ = quality.grams([b"x x x x", b"y y y y"], rule, WordHashes())
+    assert len(stutter) == 8 and len(np.intersect1d(stutter[owner == 0], stutter[owner == 1])) == 2
+
+
 def test_held_out_texts_are_told(spark):
     texts = [marked(i, i % 5 != 2) for i in range(800)]
     got = quality.quality(common.table(spark, texts), labels(spark, [(i, int(i % 5 != 2)) for i in range(800)])).collect()
