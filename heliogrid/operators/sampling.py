@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from heliogrid.functions.hashing import key_digest
 from heliogrid.operators.blocks import numbered_days
+from heliogrid.operators.draws import Draw, draw_numbers, with_digest, with_limits
+from heliogrid.session import settled
 
 BUCKET_DIGITS = 4
 
@@ -65,16 +67,19 @@ def subsample(df: DataFrame, keys: list[str], n: int = 100_000, seed: int = 1) -
     return take_by_digest(df, keys, F.lit(n), seed=seed)
 
 
-def learning_curve_samples(df: DataFrame, keys: list[str], bins: int = 10, repetitions: int = 10, total: Column | None = None) -> DataFrame:
-    """Rows tagged (size_no, rep, n_samples): growing random subsets, each drawn anew."""
-    if total is None:
-        total = df.agg(F.count("*").alias("n")).scalar()
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(bins) for j in range(repetitions)])
-    )
-    tagged = df.withColumn("_p", pairs)
-    tagged = tagged.withColumn("size_no", F.col("_p.i")).withColumn("rep", F.col("_p.j")).drop("_p")
-    size = F.floor(total * (F.col("size_no") + 1) / F.lit(float(bins))).cast("bigint")
-    tagged = tagged.withColumn("n_samples", size)
-    seed = F.col("size_no") * 1000 + F.col("rep")
-    return take_by_digest(tagged, keys, "n_samples", ["size_no", "rep"], seed)
+def learning_curve_draws(n: int, bins: int = 10, repetitions: int = 10) -> list[Draw]:
+    """Subsets of ``bins`` equally growing sizes, each drawn ``repetitions`` times, every one in an order of its own."""
+    return [Draw(1000 * i + j, n * (i + 1) // bins) for i in range(bins) for j in range(repetitions)]
+
+
+def learning_curve_samples(df: DataFrame, keys: list[str], bins: int = 10, repetitions: int = 10) -> DataFrame:
+    """Rows tagged (size_no, rep, n_samples): growing random subsets, each drawn anew.
+
+    ``df`` is written once with its digests; the subsets are not written and nothing is shuffled for them.
+    """
+    ready = settled(with_digest(df, keys))
+    draws = with_limits(ready, learning_curve_draws(ready.count(), bins, repetitions))
+    tags = F.array(*[F.struct(F.lit(k // repetitions).alias("i"), F.lit(k % repetitions).alias("j"), F.lit(d.size).cast("bigint").alias("n")) for k, d in enumerate(draws)])
+    numbered = ready.withColumn("_k", draw_numbers(draws)).withColumn("_k", F.explode("_k"))
+    tagged = numbered.withColumn("_t", tags[F.col("_k")])
+    return tagged.select(*df.columns, F.col("_t.i").alias("size_no"), F.col("_t.j").alias("rep"), F.col("_t.n").alias("n_samples"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliogrid.operators import metrics, sampling
+from heliogrid.operators import draws, metrics, sampling
 from heliogrid.operators.joins import union_all
 from heliogrid.operators.labels import mark_imputed
 from heliogrid.operators.reduce import label_moments, restore_labels, standardise_labels
@@ -124,27 +124,29 @@ def cross_val(model, data, labels: DataFrame, folds: int = 5, seed: int = 0) ->
 # ---------------------------------------------------------------- learning curves
 
 
+_CURVE = {
+    "mae": "abs_error / n",
+    "mse": "squared_error / n",
+    "rmse": "sqrt(squared_error / n)",
+}
+
+
 def ridge_learning_curve(train: DataFrame, test: DataFrame, keys: list[str], bins: int = 10, repetitions: int = 10, alpha: float = 1.0, normalise: bool = True, score: str = "mae") -> DataFrame:
     """Train and test score per training size: mean and population std over repetitions.
 
-    All (size, repetition) models come from one pass of keyed Gram matrices over the
-    samples; scoring is one more pass over the samples and over the test rows.
+    The training rows are written once with a digest of their keys. A task adds a row to the matrices of all samples it
+    belongs to, and scores it by all their models; no sample is written.
     """
-    by = ["size_no", "rep"]
-    train, test = settled(train), settled(test)
-    samples = settled(sampling.learning_curve_samples(train, keys, bins, repetitions))
-    grams = gram_table(samples, [*by, "n_samples"], few_keys=True)
-    table = settled(solve_table(grams, [*by, "n_samples"], alpha, normalise))
-    on_train = metrics.scores(predict_keyed(samples, table, [*by, "n_samples"]), [*by, "n_samples"])
-    # every test row meets every model: the models are few, one per size and repetition
-    every = table.agg(F.collect_list(F.struct(*by, "n_samples")).alias("m")).first()["m"]
-    wanted = F.array(*[F.struct(F.lit(m["size_no"]).alias("size_no"), F.lit(m["rep"]).alias("rep"), F.lit(m["n_samples"]).cast("bigint").alias("n_samples")) for m in every])
-    spread = test.withColumn("_m", F.explode(wanted)).select("*", "_m.*").drop("_m")
-    on_test = metrics.scores(predict_keyed(spread, table, [*by, "n_samples"]), [*by, "n_samples"])
-    value = {"mae": F.col("mae"), "rmse": F.col("rmse"), "mse": F.col("rmse") * F.col("rmse")}[score]
-    both = on_train.select(*by, "n_samples", value.alias("train")).join(
-        on_test.select(*by, "n_samples", value.alias("test")), [*by, "n_samples"]
-    )
+    value = _CURVE[score]
+    train, test = settled(draws.with_digest(train, keys)), settled(test)
+    plan = draws.with_limits(train, sampling.learning_curve_draws(train.count(), bins, repetitions))
+    models = solve_table(draws.draw_grams(train, plan), ["draw"], alpha, normalise).collect()  # a model for each size and repetition
+    plan = [(m, plan[m["draw"]]) for m in sorted(models, key=lambda m: m["draw"])]
+    known = [d for _, d in plan]
+    intercepts, coefs = np.array([m["intercept"] for m, _ in plan]), np.array([m["coef"] for m, _ in plan])
+    parts = [draws.draw_scores(rows, known, intercepts, coefs, own).select("draw", F.expr(value).alias(name)) for rows, own, name in ((train, True, "train"), (test, False, "test"))]
+    tags = train.sparkSession.createDataFrame([(i, m["draw"] // repetitions, d.size) for i, (m, d) in enumerate(plan)], "draw long, size_no int, n_samples long")
+    both = parts[0].join(parts[1], "draw").join(F.broadcast(tags), "draw")
     return both.groupBy("size_no", "n_samples").agg(
         F.avg("train").alias("train_mean"),
         F.stddev_pop("train").alias("train_std"),
@@ -161,14 +163,15 @@ def learning_curve(
     Without ``sizes`` the training rows in ``bins`` equal steps. Every (size, repetition) is a fit of its own on a
     sample that a digest of the keys draws; the rows are written once and read by all fits.
     """
-    train, test = settled(train), settled(test)
+    train, test = settled(draws.with_digest(train, keys)), settled(test)
     n = train.count()
     steps = list(sizes) if sizes is not None else [n * (i + 1) // bins for i in range(bins)]
+    plan = draws.with_limits(train, [draws.Draw(i * 1000 + j, size) for i, size in enumerate(steps) for j in range(repetitions)])
     value = {"mae": F.col("mae"), "rmse": F.col("rmse"), "mse": F.col("rmse") * F.col("rmse")}[score]
     parts = []
     for i, size in enumerate(steps):
         for j in range(repetitions):
-            sample = sampling.take_by_digest(train, keys, F.lit(size).cast("bigint"), seed=i * 1000 + j)
+            sample = train.where(draws.is_drawn(plan[i * repetitions + j])).drop(draws.DIGEST)
             fitted = estimator.fit(sample)
             names = [F.lit(i).alias("size_no"), F.lit(size).cast("bigint").alias("n_samples")]
             for rows, name in ((sample, "train"), (test, "test")):

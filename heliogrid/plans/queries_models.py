@@ -221,7 +221,7 @@ def eval_fold_scores(spark, sf):
 
 def eval_learning_curve(spark, sf):
     train, test = _obs_split(spark, sf)
-    return rounded(evaluation.ridge_learning_curve(train, test, ["stid", "day"], bins=4, repetitions=3))
+    return rounded(evaluation.ridge_learning_curve(train, test, ["stid", "day"]))
 
 
 def eval_learning_curve_forest(spark, sf):
@@ -232,11 +232,11 @@ def eval_learning_curve_forest(spark, sf):
 
 
 def submit(spark, sf):
-    """Fits on the labelled days and writes the days of the later half as a wide table."""
+    """Fits on the labelled days and writes the days of the later half as a wide table of all stations."""
     data, energy = forecast_data(spark, sf), dt.energy_nwp(spark, sf)
     cut = evaluation.split_day(dt.nwp(spark, sf).select("day").distinct())
     pred = evaluation.submit(models.LocalModel(RIDGE), data, data.since(cut), energy, scale_labels=True)
-    return rounded(tables.submission(pred, dt.LABEL_STATIONS, [f"s{i}" for i in dt.LABEL_STATIONS]), digits=4)
+    return rounded(tables.submission_blocks(pred, tables.station_places(dt.stations(spark, sf), dt.WIDE), dt.WIDE), digits=4)
 
 
 def eval_scaled_local_gbt(spark, sf):

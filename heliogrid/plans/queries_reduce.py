@@ -10,6 +10,7 @@ from heliogrid.operators.joins import union_all
 from heliogrid.plans.queries_tables import OBS_KEYS, OBS_VALUES, climate_pairs, daily_obs
 from heliogrid.plans.rounding import r, rounded
 from heliogrid.sources import driver_tables as dt
+from heliogrid.sources import tables
 
 ZONE = -6.0
 
@@ -195,7 +196,7 @@ def worst_k_stations(spark, sf):
 
 
 def learning_curve_sample(spark, sf):
-    return sampling.learning_curve_samples(dt.energy(spark, sf), ["stid", "day"], bins=4, repetitions=2)
+    return sampling.learning_curve_samples(dt.energy(spark, sf), ["stid", "day"])
 
 
 def subsample_rows(spark, sf):
@@ -250,7 +251,9 @@ def date_year(spark, sf):
 
 
 def station_onehot(spark, sf):
-    return dt.stations(spark, sf).select("stid", *dates.one_hot(F.col("stid"), dt.LABEL_STATIONS, "s"))
+    """Every station is one class: the block of classes it is in, and the classes of that block (all others are zero)."""
+    places = tables.station_places(dt.stations(spark, sf), dt.WIDE)
+    return places.select("stid", "block", *dates.one_hot(F.col("place") + 1, range(1, dt.WIDE + 1), "s"))
 
 
 def cell_position(spark, sf):

@@ -49,7 +49,7 @@ def scan_grid(spark, sf):
 
 def sink_submission_pivot(spark, sf):
     pred = dt.energy_nwp(spark, sf).withColumnRenamed("y", "pred")
-    return tables.submission(pred, dt.LABEL_STATIONS, [f"s{i}" for i in dt.LABEL_STATIONS])
+    return tables.submission_blocks(pred, tables.station_places(dt.stations(spark, sf), dt.WIDE), dt.WIDE)
 
 
 def sink_tables(spark, sf):

@@ -12,7 +12,7 @@ GRID = GridSpec.of([31 + i for i in range(8)], [-106 + j for j in range(8)])
 HOURS = tuple(range(5))
 FEATURES = ("f0", "f1")
 MEMBERS = (0, 1)
-LABEL_STATIONS = tuple(range(1, 99))  # columns of the wide formats, which are fixed by whoever reads them
+WIDE = 98  # stations in a row of the wide formats; more of them make more rows
 FIRST_DAY = "1994-01-01"
 
 

@@ -64,23 +64,25 @@ def read_station_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number_stations(stations: DataFrame) -> DataFrame:
-    """Dense 0-based numbers by station id.
+    """Dense 0-based numbers by station id."""
+    return numbered_rows(stations, "stid", "_number").select(
+        F.col("stid").alias("station"), F.col("_number").alias("stid"), "nlat", "elon", "elev"
+    )
+
+
+def numbered_rows(stations: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds dense 0-based numbers in the order of a key.
 
     The rows are sorted in range partitions and written once; a number is the rows in
     earlier partitions plus the position in its own.
     """
-    ordered = settled(stations.orderBy("stid").withColumn("_id", F.monotonically_increasing_id()))
+    ordered = settled(stations.orderBy(key).withColumn("_id", F.monotonically_increasing_id()))
     ordered = ordered.withColumns({"_part": F.shiftright("_id", 33), "_pos": F.col("_id").bitwiseAND(F.lit(2**33 - 1))})
     sizes = ordered.groupBy("_part").agg(F.count("*").alias("_rows"))
     before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
-    return ordered.join(starts, "_part").select(
-        F.col("stid").alias("station"),
-        (F.col("_start") + F.col("_pos")).cast("bigint").alias("stid"),
-        "nlat",
-        "elon",
-        "elev",
-    )
+    placed = ordered.join(starts, "_part").withColumn(name, (F.col("_start") + F.col("_pos")).cast("bigint"))
+    return placed.select(*stations.columns, name)
 
 
 def grid_table(cells: DataFrame) -> DataFrame:
@@ -99,15 +101,44 @@ def submission(pred: DataFrame, station_ids, names=None) -> DataFrame:
     )
 
 
+def station_places(stations: DataFrame, width: int) -> DataFrame:
+    """(stid, block, place): the station table's ids, dealt in their order to blocks of ``width`` columns."""
+    numbers = numbered_rows(stations.select("stid").distinct(), "stid", "_n")
+    return numbers.select("stid", F.floor(F.col("_n") / width).cast("bigint").alias("block"), (F.col("_n") % width).cast("int").alias("place"))
+
+
+def submission_blocks(pred: DataFrame, places: DataFrame, width: int, prefix: str = "s") -> DataFrame:
+    """Wide rows of any number of stations: Date, block and the block's ``width`` stations as columns s1, s2, ...
+
+    ``places`` is that of ``station_places``; a place without a station or prediction is NULL.
+    """
+    placed = pred.join(places, "stid")
+    wide = placed.groupBy("day", "block").pivot("place", list(range(width))).agg(F.first("pred", ignorenulls=True))
+    return wide.select(
+        F.date_format("day", "yyyyMMdd").alias("Date"), "block", *[F.col(f"`{i}`").alias(f"{prefix}{i + 1}") for i in range(width)]
+    )
+
+
 def write_submission(pred: DataFrame, stations: DataFrame, path: str, max_stations: int = 10_000) -> None:
-    """Writes the wide CSV with the station names of the station table as header."""
-    columns = ["stid", "station"] if "station" in stations.columns else ["stid"]
-    rows = bounded_rows(stations.select(*columns).distinct(), max_stations)
-    if rows is None:
-        raise ValueError("too many stations for one column each; write the long table instead")
+    """Writes the wide CSV with the station names of the station table as header.
+
+    More than ``max_stations`` stations are written as several files of that many columns each, in folders block=0, block=1, ...
+    """
+    names = stations.select("stid", "station" if "station" in stations.columns else F.col("stid").alias("station")).distinct()
+    rows = bounded_rows(names, max_stations)
+    if rows is not None:
+        _write_wide(pred, rows, path)
+        return
+    places = settled(station_places(stations, max_stations).join(names, "stid"))
+    placed = settled(pred.join(places.select("stid", "block"), "stid"))
+    for block in range(places.agg(F.max("block")).first()[0] + 1):
+        of_block = F.col("block") == block
+        _write_wide(placed.where(of_block), places.where(of_block).collect(), f"{path}/block={block}")  # max_stations rows
+
+
+def _write_wide(pred: DataFrame, rows, path: str) -> None:
     rows = sorted(rows, key=lambda r: r["stid"])
-    names = [str(r[columns[-1]]) for r in rows]
-    wide = submission(pred, [r["stid"] for r in rows], names)
+    wide = submission(pred, [r["stid"] for r in rows], [str(r["station"]) for r in rows])
     wide.repartitionByRange("Date").sortWithinPartitions("Date").write.mode("error").option("header", True).csv(path)
 
 

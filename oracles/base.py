@@ -62,3 +62,20 @@ def query(names, body: str) -> str:
 def r(expression: str, digits: int = 6) -> str:
     """Rounded double, with minus zero made zero."""
     return f"(round(CAST({expression} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE))"
+
+
+def _times(a: str, b: int) -> str:
+    """Product of unsigned 64-bit numbers, modulo 2 ** 64."""
+    return f"CAST((CAST({a} AS UHUGEINT) * CAST({b} AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT)"
+
+
+def drawn_rows(source: str, columns: str, bins: int, repetitions: int) -> str:
+    """Rows of ``source`` (stid, day) in growing samples: i, j, size and all columns; the order of a sample mixes digest and seed."""
+    place = f"""SELECT s.*, i, j, CAST(floor(n * (i + 1) / {bins}e0) AS BIGINT) AS size,
+        CAST((CAST(g AS UHUGEINT) + CAST({_times('1000 * i + j + 1', 0x9E3779B97F4A7C15)} AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT) AS h
+        FROM (SELECT *, CAST('0x' || substr(md5(concat_ws('|', stid, day)), 1, 16) AS UBIGINT) AS g, count(*) OVER () AS n FROM ({source})) s
+        CROSS JOIN (SELECT unnest(generate_series(0, {bins - 1})) AS i) CROSS JOIN (SELECT unnest(generate_series(0, {repetitions - 1})) AS j)"""
+    one = f"SELECT * EXCLUDE (h), {_times('xor(h, h >> 30)', 0xBF58476D1CE4E5B9)} AS h FROM ({place})"
+    two = f"SELECT * EXCLUDE (h), {_times('xor(h, h >> 27)', 0x94D049BB133111EB)} AS h FROM ({one})"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY xor(h, h >> 31)) AS k FROM ({two})"
+    return f"SELECT i, j, size, {columns} FROM ({ranked}) WHERE k <= size"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import oracles.tables  # noqa: F401  (defines the shared expressions)
-from oracles.base import define, query, r
+from oracles.base import define, drawn_rows, query, r
 
 # ---------------------------------------------------------------- shared expressions
 
@@ -258,11 +258,9 @@ SQL = {
     ),
     "learning_curve_sample": query(
         "energy",
-        """SELECT CAST(i AS INTEGER) AS size_no, CAST(j AS INTEGER) AS rep, n_samples, stid, day, y FROM (
-        SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY md5(concat_ws('|', stid, day, i * 1000 + j)), stid, day) AS k
-        FROM (SELECT e.*, i, j, CAST(floor((SELECT count(*) FROM energy) * (i + 1) / 4e0) AS BIGINT) AS n_samples
-        FROM energy e CROSS JOIN (SELECT unnest(generate_series(0, 3)) AS i) CROSS JOIN (SELECT unnest(generate_series(0, 1)) AS j)))
-        WHERE k <= n_samples""",
+        "SELECT CAST(i AS INTEGER) AS size_no, CAST(j AS INTEGER) AS rep, size AS n_samples, stid, day, y FROM ("
+        + drawn_rows("SELECT * FROM energy", "stid, day, y", 10, 10)
+        + ")",
     ),
     "subsample_rows": query(
         "obs",
@@ -297,7 +295,7 @@ SQL = {
     ),
     "date_year": query("energy", "SELECT stid, day, CAST(year(day) AS DOUBLE) AS year FROM energy"),
     "station_onehot": query(
-        "stations", "SELECT stid, " + ", ".join(f"CAST(stid = {s} AS DOUBLE) AS s{s}" for s in range(1, 99)) + " FROM stations"
+        "station_places", "SELECT stid, block, " + ", ".join(f"CAST(place = {s} AS DOUBLE) AS s{s}" for s in range(1, 99)) + " FROM station_places"
     ),
     "cell_position": query(
         "placed axis_lat axis_lon",

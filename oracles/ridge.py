@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.base import define, query, r
+from oracles.base import define, drawn_rows, query, r
 from oracles.models import score_row
 from oracles.spatial import local_rows
 
@@ -90,18 +90,35 @@ define(
     "cv_rows", "cv_models",
 )
 
+# one model and penalty for every station, on day features scaled over all days that have a label
+define(
+    "shared_days",
+    """SELECT day, avg(qty) AS x1, avg(price) AS x2, avg(disc) AS x3, avg(tax) AS x4, abs(CAST(dayofyear(day) AS DOUBLE) - 182.625e0) AS x5
+        FROM obs WHERE day IN (SELECT day FROM energy) GROUP BY day""",
+    "obs", "energy",
+)
+define("shared_scaled", standardised("SELECT 0 AS key, 0e0 AS y, * FROM shared_days", "SELECT 0 AS key, 0e0 AS y, * FROM shared_days"), "shared_days")
+define(
+    "station_rows",
+    "SELECT e.stid AS key, e.stid, s.day, e.y, count(*) OVER w AS n, avg(e.y) OVER w AS my, e.y - avg(e.y) OVER w AS yc, "
+    + ", ".join(f"z{i} - avg(z{i}) OVER w AS z{i}" for i in range(1, WIDTH + 1))
+    + " FROM shared_scaled s JOIN energy e USING (day) WINDOW w AS (PARTITION BY e.stid)",
+    "shared_scaled", "energy",
+)
+define("station_models", inverse("SELECT * FROM station_rows", _ALPHAS), "station_rows")
+define(
+    "station_best",
+    f"""SELECT key, alpha, mse FROM (SELECT key, alpha, mse, row_number() OVER (PARTITION BY key ORDER BY mse, alpha) AS k FROM (
+        SELECT key, alpha, avg(((yc - {weighted()}) / greatest(1 - 1e0 / n - {leverage()}, 1e-12)) ** 2) AS mse
+        FROM station_rows JOIN station_models USING (key) GROUP BY key, alpha)) WHERE k = 1""",
+    "station_rows", "station_models",
+)
+
 # learning curve: growing samples of the earlier days, each pair (size, repetition) shuffled anew
 define("model_days", "SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM obs_model)", "obs_model")
 define("early", "SELECT * FROM obs_model WHERE day < (SELECT day FROM model_days WHERE pos = floor(n * 0.5))", "obs_model", "model_days")
 define("later", "SELECT * FROM obs_model WHERE day >= (SELECT day FROM model_days WHERE pos = floor(n * 0.5))", "obs_model", "model_days")
-define(
-    "curve_samples",
-    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(concat_ws('|', stid, day, key)), stid, day) AS k
-        FROM (SELECT e.*, 1000 * i + j AS key, CAST(floor((SELECT count(*) FROM early) * (i + 1) / 4e0) AS BIGINT) AS size
-        FROM early e CROSS JOIN (SELECT unnest(generate_series(0, 3)) AS i) CROSS JOIN (SELECT unnest(generate_series(0, 2)) AS j)))
-        WHERE k <= size""",
-    "early",
-)
+define("curve_samples", f"SELECT *, 1000 * i + j AS key FROM ({drawn_rows('SELECT * FROM early', 'stid, day, x1, x2, x3, x4, x5, y', 10, 10)})", "early")
 _SAMPLES = "SELECT * FROM curve_samples"
 _TESTED = "SELECT l.*, s.key, s.size FROM later l CROSS JOIN (SELECT DISTINCT key, size FROM curve_samples) s"
 
@@ -162,10 +179,11 @@ SQL = {
         score_row("all", "", "local_scored", 4) + " UNION ALL " + score_row("unmasked", "WHERE NOT is_masked", "local_scored", 4),
     ),
     "submit": query(
-        "scaled_rows later_rows",
-        "SELECT strftime(day, '%Y%m%d') AS \"Date\", "
-        + ", ".join(f"{r(f'max(CASE WHEN stid = {i} THEN v END)', 4)} AS s{i}" for i in range(1, 99))
-        + f" FROM (SELECT day, p.stid, pred * ys + ym AS v FROM ({_SUBMIT}) p JOIN label_scale s ON s.stid = p.stid) GROUP BY day",
+        "scaled_rows later_rows station_places",
+        "SELECT strftime(day, '%Y%m%d') AS \"Date\", block, "
+        + ", ".join(f"{r(f'max(CASE WHEN place = {i} THEN v END)', 4)} AS s{i}" for i in range(1, 99))
+        + f""" FROM (SELECT day, block, place, pred * ys + ym AS v FROM ({_SUBMIT}) p
+        JOIN label_scale s ON s.stid = p.stid JOIN station_places c ON c.stid = p.stid) GROUP BY day, block""",
     ),
     "eval_cross_val_model": query(
         "local_folded", f"SELECT fold, count(*) AS n, {r('avg(abs(y - pred))')} AS mae FROM ({_LOCAL_FOLDS}) GROUP BY fold"
@@ -190,6 +208,11 @@ SQL = {
         f"""SELECT stid, day, y, {r('my + ' + weighted(), 4)} AS pred, alpha FROM cv_rows JOIN cv_models USING (key)
         WHERE alpha = (SELECT alpha FROM cv_best)""",
     ),
+    "ridge_cv_station": query(
+        "station_rows station_models station_best",
+        f"""SELECT stid, day, y, {r('my + ' + weighted(), 4)} AS pred, alpha, {r('sqrt(mse)', 4)} AS loo_rmse
+        FROM station_rows JOIN station_models USING (key) JOIN station_best USING (key, alpha)""",
+    ),
     "eval_cross_val": query(
         "obs_model obs_folds",
         f"""SELECT {r('avg(mae)')} AS mae, {r('2 * stddev_pop(mae)')} AS two_std FROM (

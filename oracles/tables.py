@@ -89,6 +89,12 @@ def _preset_columns() -> str:
 
 _WINDOW_OFFSETS = "(SELECT unnest(generate_series(-2, 1)) AS o)"
 
+define(
+    "station_places",
+    "SELECT stid, (k - 1) // 98 AS block, 1 + (k - 1) % 98 AS place FROM (SELECT stid, row_number() OVER (ORDER BY stid) AS k FROM stations)",
+    "stations",
+)
+
 SQL = {
     "scan_nwp": query("nwp", "SELECT * FROM nwp"),
     "scan_labels_unpivot": query(
@@ -100,10 +106,10 @@ SQL = {
     "scan_stations": query("stations", "SELECT lpad(CAST(stid AS VARCHAR), 12, '0') AS station, stid, nlat, elon, elev FROM stations"),
     "scan_grid": query("grid", "SELECT * FROM grid"),
     "sink_submission_pivot": query(
-        "energy_nwp",
-        "SELECT strftime(day, '%Y%m%d') AS \"Date\", "
-        + ", ".join(f"max(CASE WHEN stid = {i} THEN y END) AS s{i}" for i in range(1, 99))
-        + " FROM energy_nwp GROUP BY day",
+        "energy_nwp station_places",
+        "SELECT strftime(day, '%Y%m%d') AS \"Date\", block, "
+        + ", ".join(f"max(CASE WHEN place = {i} THEN y END) AS s{i}" for i in range(1, 99))
+        + " FROM energy_nwp JOIN station_places USING (stid) GROUP BY day, block",
     ),
     "sink_tables": query("split_energy", "SELECT stid, day, y, split FROM split_energy"),
     "block_select": query("obs", "SELECT stid, day, hour, ens, price, disc, tax FROM obs"),

@@ -119,3 +119,23 @@ def test_a_repeated_cell_is_an_error_or_padded_never_shifted(spark):
     twice = spark.createDataFrame([*rows, ("a", 0, 1, 9.0)], df.schema)
     with pytest.raises(Exception):
         g.map_vectors(twice, ["k"], spec).collect()
+
+
+def test_more_stations_than_columns_are_written_in_blocks(spark, tmp_path):
+    import csv
+
+    ids = [3, 5, 8, 13, 21, 34, 55]
+    stations = spark.createDataFrame([(i, f"N{i}") for i in ids], "stid long, station string")
+    days = [dtm.date(2010, 1, 1), dtm.date(2010, 1, 2)]
+    pred = spark.createDataFrame([(d, i, float(i * 10 + d.day)) for d in days for i in ids if (d.day, i) != (2, 13)], "day date, stid long, pred double")
+    places = {r["stid"]: (r["block"], r["place"]) for r in tables.station_places(stations, 3).collect()}
+    assert places == {i: divmod(k, 3) for k, i in enumerate(ids)}
+    wide = {(r["Date"], r["block"]): tuple(r)[2:] for r in tables.submission_blocks(pred, tables.station_places(stations, 3), 3).collect()}
+    assert wide["20100102", 1] == (None, 212.0, 342.0) and wide["20100101", 2] == (551.0, None, None) and len(wide) == 6
+    tables.write_submission(pred, stations, f"{tmp_path}/out", max_stations=3)
+    seen = {}
+    for block in range(3):
+        for file in (tmp_path / "out" / f"block={block}").glob("*.csv"):
+            for row in csv.DictReader(open(file)):
+                seen.update({(row["Date"], k): v for k, v in row.items() if k != "Date"})
+    assert len(seen) == 14 and seen["20100101", "N55"] == "551.0" and seen["20100102", "N13"] == ""
