@@ -45,8 +45,8 @@ class QualityRule:
 # ---------------------------------------------------------------- features
 
 
-def grams(texts: list[bytes], rule: QualityRule, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, bucket, value) of the texts' distinct n-grams, sorted; the squared values of a text add up to 1."""
+def counted(texts: list[bytes], rule: QualityRule, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, bucket, count) of the texts' distinct n-grams, sorted."""
     found = [WORD.findall(t) for t in texts]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     word = hashes.of([w for f in found for w in f])
@@ -63,13 +63,14 @@ def grams(texts: list[bytes], rule: QualityRule, hashes: WordHashes) -> tuple[np
         inside = owner[size - 1 :] == owner[:n]
         bucket = (mixed(run[inside]) >> np.uint64(64 - rule.buckets_log2)).astype(np.int64)
         codes.append(owner[:n][inside] << rule.buckets_log2 | bucket)
-    if not codes:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    code, n = np.unique(np.concatenate(codes), return_counts=True)
-    owner, bucket = code >> rule.buckets_log2, code & ((1 << rule.buckets_log2) - 1)
-    value = np.sqrt(n)
-    length = np.sqrt(np.bincount(owner, value**2, minlength=len(texts)))
-    return owner, bucket, value / length[owner]
+    code, n = np.unique(np.concatenate([np.empty(0, np.int64), *codes]), return_counts=True)
+    return code >> rule.buckets_log2, code & ((1 << rule.buckets_log2) - 1), n
+
+
+def grams(texts: list[bytes], rule: QualityRule, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, bucket, value) of the texts' distinct n-grams, sorted; the squared values of a text add up to 1."""
+    owner, bucket, n = counted(texts, rule, hashes)
+    return owner, bucket, np.sqrt(n / np.bincount(owner, n, minlength=len(texts))[owner])
 
 
 def held_out(key: Column) -> Column:
@@ -114,22 +115,22 @@ def training_sample(docs: DataFrame, labels: DataFrame, rule: QualityRule) -> Da
 
 
 def hashed(sample: DataFrame, rule: QualityRule) -> DataFrame:
-    """doc_id, label, and bucket numbers (int32) and values (float64) of every sample row, packed."""
+    """doc_id, label, and bucket numbers and counts (int32) of every sample row, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part, texts in byte_chunks(batches, "text", CHUNK):
-            owner, bucket, value = grams(texts.to_pylist(), rule, hashes)
+            owner, bucket, n = counted(texts.to_pylist(), rule, hashes)
             cut = np.searchsorted(owner, np.arange(len(texts) + 1))
             spans = list(zip(cut[:-1], cut[1:]))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("label"),
                  pa.array([bucket[a:b].astype(np.int32).tobytes() for a, b in spans], pa.binary()),
-                 pa.array([value[a:b].tobytes() for a, b in spans], pa.binary())],
-                names=["doc_id", "label", "bucket", "value"],
+                 pa.array([n[a:b].astype(np.int32).tobytes() for a, b in spans], pa.binary())],
+                names=["doc_id", "label", "bucket", "n"],
             )
 
-    return sample.mapInArrow(run, "doc_id long, label int, bucket binary, value binary")
+    return sample.mapInArrow(run, "doc_id long, label int, bucket binary, n binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rule: QualityRule = QualityRule()) -> np.ndarray:
@@ -143,8 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, rule: QualityRule = QualityRule()) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, seen = Leader(rule), np.zeros(2, np.int64)
         for batch in batches:
-            for label, bucket, value in zip(*(batch.column(c).to_pylist() for c in ("label", "bucket", "value"))):
-                leader.learn(np.frombuffer(bucket, np.int32), np.frombuffer(value), label)
+            for label, bucket, packed in zip(*(batch.column(c).to_pylist() for c in ("label", "bucket", "n"))):
+                n = np.frombuffer(packed, np.int32)
+                leader.learn(np.frombuffer(bucket, np.int32), np.sqrt(n / max(n.sum(), 1)), label)
                 seen[label] += 1
         if not seen.all():
             w = np.zeros(width)
@@ -154,9 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, rule: QualityRule = QualityRule()) -
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["at", "w"])
 
-    order = ["epoch", F.xxhash64("doc_id", "epoch"), "doc_id", "label", "bucket", "value"]
+    order = ["epoch", F.xxhash64("doc_id", "epoch"), "doc_id", "label", "bucket", "n"]
     stream = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(rule.epochs))))
-    stream = stream.repartition(1).sortWithinPartitions(*order).select("label", "bucket", "value")
+    stream = stream.repartition(1).sortWithinPartitions(*order).select("label", "bucket", "n")
     out = np.zeros(width)
     table = stream.mapInArrow(run, "at long, w double").toArrow()  # one number for each bucket at most
     out[table["at"].to_numpy()] = table["w"].to_numpy()
