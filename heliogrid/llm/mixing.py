@@ -1,15 +1,21 @@
 """Interleaving of sources to target weights by Pfair scheduling, in DataFrame functions only.
 
 A source's rows, in a fixed order, form blocks of ``block_rows`` rows. With weight w (a fraction of the slots), block i
-is released at slot floor(i / w) and has to be placed by slot ceil((i + 1) / w). Placing the released block with the
-earliest deadline, slot by slot, keeps every source within less than one block of its weight times the slots so far.
-
-Weights aren't rounded to slots, so the schedule doesn't repeat. It is cut into periods: a fold over the periods says how
-many blocks of every source are placed by the end of each (the whole blocks due, and one more of those furthest behind,
-as far as there are slots), which carries the remainders on (tests find no case beyond one block; there is no proof). A
-fold over the slots of one period, a row each, places them. A row holds at most ``row_sources`` sources: with more, the lighter ones are dealt to groups that are scheduled
-like a source, and the blocks of a group to its members by the same method, level by level. Numbers within a source come
-from counts of (source, digest prefix) cells and windows inside the cells, so no task holds a source.
+is released at slot floor(i / w) and has to be placed by slot ceil((i + 1) / w). Every slot takes the released block with the
+earliest deadline (ties: the first source by name). Deadlines are always met, for any number of sources and any weights: between
+two slots x and y there are at most floor(w y) - ceil(w x) whole windows of a source, y - x of all. So after t slots every source
+has floor(w t) or ceil(w t) blocks, less than one block from its weight. Weights are whole numbers of 1e-12, those below a
+millionth count as one, and all arithmetic is on whole numbers.
+
+Slots aren't filled one after the other by one task. What is placed by a slot m is known without the slots before: floor(w m)
+blocks of every source, and some of the blocks whose window contains m, at most one a source. Those are the ones of earliest deadline
+that fit: for every slot x before m, those released at x or later share the m - x slots with the blocks that must be placed there.
+Going back from m, a block is taken in at its release, and whenever more are held than fit the latest deadline goes. Between
+two known slots the middle follows in the same way, so halves are cut in parallel, level by level, until a row is a period of
+slots, which a fold fills. The result is that of filling slot by slot. A cut looks back as far as the release of the oldest open block,
+one block of the lightest source, so periods are at least about as long (up to a bound) and cost more than cuts.
+Numbers within a source come from counts of (source, digest prefix) cells and windows inside the cells, so no task holds
+a source. A row holds a few numbers for every source.
 """
 
 from __future__ import annotations
@@ -27,10 +33,9 @@ NO_SOURCE = "(none)"
 @dataclass(frozen=True)
 class Mix:
     block_rows: int = 8
-    period: int = 1000  # slots placed by one row
+    period: int = 1000  # slots filled by one row at least
     flatten: float = 0.5  # weights without targets: rows of the source to this power
     max_sources: int | None = None  # more are an error
-    row_sources: int = 500  # sources or groups scheduled by one row, about
     cell_rows: int = 1_000  # rows numbered by one window, about
 
 
@@ -47,136 +52,91 @@ def weights(counts: DataFrame, spec: Mix, targets: DataFrame | None = None) -> D
     return asked.crossJoin(F.broadcast(sums)).select("source", F.coalesce(share, 1 / F.col("none")).cast("double").alias("slots"))  # one row of sums
 
 
-SMALL = 1e-9
+#: Weights are whole numbers, this many together, about; and the least of them.
+UNIT, LEAST = 10**12, 10**6
+#: A row fills at most this many times ``period`` slots, unless there are more sources.
+LONGEST = 128
 
 
-def _whole(x: Column) -> Column:
-    return F.floor(x + SMALL)
+def _cut(rows: DataFrame, at: str, begin: str, done: str, limit: str | None, name: str) -> DataFrame:
+    """Adds the array ``name``: blocks of every source that are placed before slot ``at``, given those (``done``) before ``begin``.
 
-
-def _up(x: Column) -> Column:
-    return F.ceil(x - SMALL)
-
-
-def _let(value: Column, use) -> Column:
-    """use(value), evaluated once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
-
-
-def schedule(children: DataFrame, spec: Mix) -> DataFrame:
-    """(node, child, nth, slot) of the first ``need`` blocks of every child of (node, child, slots, need); slots are relative to the node's others."""
-    period = F.lit(spec.period).cast("long")
-    rows = children.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("child", "slots", "need"))).alias("raw"))
-    total = F.aggregate("raw", F.lit(0.0), lambda a, x: a + x["slots"])
-    rows = rows.withColumn("total", total)
-    # twelve digits: shares that are whole slots are exact
-    rate = F.transform("raw", lambda x: F.round(x["slots"] / F.col("total") * spec.period, 12))
-    rows = rows.select("node", F.transform("raw", lambda x: x["child"]).alias("child"), F.transform("raw", lambda x: x["need"]).alias("need"), rate.alias("rate"))
-    last = F.array_max(F.zip_with("need", "rate", lambda n, r: _up(n * spec.period / r)))
-    rows = rows.withColumn("periods", F.ceil(last / spec.period).cast("long")).where("periods > 0")
-
-    def add(state: Column, p: Column) -> Column:
-        # (blocks due by the end of this period, how far behind the source still is) of every source
-        behind = F.zip_with("rate", state["done"], lambda r, n: r * (p + 1) - n)
-        owed = F.transform(behind, lambda x: _let(_whole(F.greatest(x, F.lit(0.0))), lambda n: F.struct(n.alias("n"), (x - n).alias("rest"))))
-
-        def dealt(owed: Column) -> Column:
-            left = period - _sum(F.transform(owed, lambda x: x["n"]))
-            # who gets one more, furthest behind first; or, if more is due than there are slots, who waits, least behind first
-            def key(x: Column, i: Column) -> Column:
-                return F.struct(F.when(left >= 0, -x["rest"]).when(x["n"] > 0, x["rest"]).otherwise(2.0).alias("k"), i.alias("i"))
-
-            chosen = F.slice(F.sort_array(F.transform(owed, key)), 1, F.least(F.abs(left), F.size(owed)).cast("int"))
-            step = F.signum(left.cast("double")).cast("long")
-            edge = F.when(F.size(chosen) > 0, F.array_max(chosen))
-
-            def one(edge: Column) -> Column:
-                return F.transform(owed, lambda x, i: x["n"] + F.when(edge.isNotNull() & (key(x, i) <= edge), step).otherwise(0))
-
-            return _let(edge, one)
-
-        end = F.zip_with(state["done"], _let(owed, dealt), lambda a, b: a + b)
-        return _let(end, lambda e: F.struct(e.alias("done"), F.concat(state["cuts"], F.array(F.struct(state["done"].alias("begin"), e.alias("end")))).alias("cuts")))
-
-    start = F.struct(
-        F.transform("child", lambda x: F.lit(0).cast("long")).alias("done"),
-        F.array().cast("array<struct<begin:array<bigint>,end:array<bigint>>>").alias("cuts"),
-    )
-    cuts = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("periods") - 1), start, add, lambda s: s["cuts"])
-    rows = rows.select("node", "child", "need", "rate", F.posexplode(cuts).alias("p", "cut"))
-    rows = rows.select("node", "child", "need", "rate", F.col("p").cast("long").alias("p"), "cut.begin", "cut.end")
-    # a number of tasks is given, since a row is small but its fold isn't
-    rows = rows.repartition(shuffle_partitions(children.sparkSession), "node", "p")
-
-    def pick(state: Column, slot: Column) -> Column:
-        def due(x: Column, i: Column) -> Column:
-            n, rate = F.element_at(state["done"], i + 1), x
-            deadline = _up((n + 1) * spec.period / rate)
-            early = (_whole(n * spec.period / rate) > slot).cast("int")
-            in_time = F.least(deadline, (F.col("p") + 1) * period)
-            return F.when(n < F.element_at("end", i + 1), F.struct(early.alias("early"), in_time.alias("in_time"), deadline.alias("due"), i.alias("i"), n.alias("n")))
-
-        def place(chosen: Column) -> Column:
-            return F.struct(
-                F.transform(state["done"], lambda n, i: n + F.coalesce((i == chosen["i"]).cast("long"), F.lit(0))).alias("done"),
-                F.concat(state["order"], F.array(F.struct(chosen["i"].alias("i"), chosen["n"].alias("n")))).alias("order"),
-            )
-
-        return _let(F.array_min(F.filter(F.transform("rate", due), lambda x: x.isNotNull())), place)
-
-    start = F.struct(F.col("begin").alias("done"), F.array().cast("array<struct<i:int,n:bigint>>").alias("order"))
-    order = F.aggregate(F.sequence(F.col("p") * period, (F.col("p") + 1) * period - 1), start, pick, lambda s: s["order"])
-    placed = rows.select("node", "child", "need", "p", F.posexplode(order).alias("at", "x")).where("x.i is not null")
-    at = F.col("x.i") + 1
-    placed = placed.where(F.col("x.n") < F.element_at("need", at))
-    return placed.select("node", F.element_at("child", at).alias("child"), F.col("x.n").alias("nth"), (F.col("p") * period + F.col("at")).cast("long").alias("slot"))
-
-
-def period_schedule(slots: DataFrame, spec: Mix) -> DataFrame:
-    """(source, nth, slot) of the blocks of the first period, for sources with whole slots."""
-    children = slots.select(F.lit("").alias("node"), F.col("source").alias("child"), F.col("slots").cast("double").alias("slots"), F.col("slots").cast("long").alias("need"))
-    return schedule(children, spec).select(F.col("child").alias("source"), "nth", "slot")
-
-
-def whole_schedule(sources: DataFrame, n: int, spec: Mix) -> DataFrame:
-    """(source, nth, slot) of all blocks of n sources (source, slots, need), in groups where they are many."""
-    own = sources.select("source", F.concat(F.lit("s"), "source").alias("child"), "slots", "need")
-    half = max(2, spec.row_sources // 2)
-    if n <= max(spec.row_sources, 4):
-        out = schedule(own.select(F.lit("").alias("node"), "child", "slots", "need"), spec)
-        return out.select(F.substring("child", 2, 1 << 30).alias("source"), "nth", "slot")
-    heavy = own.orderBy(F.desc("slots"), "source").limit(half)
-    light = own.join(heavy.select("source"), "source", "left_anti")
-    depth = 1
-    while n > half ** (depth + 1):
-        depth += 1
-    digits = [F.pmod(F.xxhash64("source", F.lit(j)), F.lit(half)).cast("string") for j in range(depth)]
-    members = light.select(F.concat(F.lit("g"), F.concat_ws(".", *digits)).alias("node"), "child", "slots", "need")
-    levels = []
-    for _ in range(depth):
-        members = written(members, "members")
-        levels.append(written(schedule(members, spec), "schedule"))
-        sums = members.withColumn("total", F.sum("slots").over(Window.partitionBy("node")))
-        # slots of a node up to the last deadline of its members
-        sums = sums.groupBy("node").agg(F.sum("slots").alias("slots"), F.max(_up(F.col("need") * F.col("total") / F.col("slots"))).cast("long").alias("need"))
-        above = F.concat(F.lit("g"), F.regexp_replace(F.substring("node", 2, 1 << 30), r"\.?[0-9]+$", ""))
-        members = sums.select(above.alias("node"), F.col("node").alias("child"), "slots", "need")
-    root = members.unionByName(heavy.select(F.lit("g").alias("node"), "child", "slots", "need"))
-    out = schedule(root, spec).select("child", "nth", "slot")
-    done = []
-    for level in reversed(levels):
-        out = written(out, "schedule")
-        done.append(out.where("child like 's%'"))
-        parent = out.select(F.col("child").alias("node"), F.col("nth").alias("__at"), F.col("slot").alias("__slot"))
-        below = level.withColumnRenamed("slot", "__at").join(parent, ["node", "__at"])
-        out = below.select("child", "nth", F.col("__slot").alias("slot"))
-    for part in done:
-        out = out.unionByName(part)
-    return out.select(F.substring("child", 2, 1 << 30).alias("source"), "nth", "slot")
+    ``limit`` names the blocks placed before a later slot, if that is known.
+    """
+    q, rest, open_ = f"element_at({name}_q, i + 1)", f"element_at({name}_r, i + 1)", f"element_at({done}, i + 1)"
+    out = rows.withColumn(f"{name}_q", F.expr(f"transform(w, x -> cast(x as decimal(20,0)) * cast({at} as decimal(18,0)) div d)"))
+    out = out.withColumn(f"{name}_r", F.expr(f"transform(w, x -> cast(cast(x as decimal(20,0)) * cast({at} as decimal(18,0)) % d as bigint))"))
+    # blocks whose window contains the slot, with slots since the release and to the deadline
+    free = f"{rest} > 0 and {q} >= {open_}" + (f" and {q} < element_at({limit}, i + 1)" if limit else "")
+    window = f"named_struct('due', (d - {rest} + x - 1) div x, 'i', i, 'age', least({at} - {begin}, ({rest} + x - 1) div x))"
+    out = out.withColumn(f"{name}_c", F.expr(f"filter(transform(w, (x, i) -> case when {free} then {window} end), c -> c is not null)"))
+    # y slots before: blocks that must be placed in these, of each source the whole windows after y that aren't done
+    must = f"""aggregate(transform(w, (x, i) -> greatest(0L, least({q} - {open_}, if(x * y < {rest}, 0L, (x * y - {rest}) div d)))), 0L, (t, n) -> t + n)"""
+    held = f"array_sort(concat(u, filter({name}_c, c -> c.age = y)))"
+    fold = f"""aggregate(sequence(1L, array_max(transform({name}_c, c -> c.age)) - 1), cast(array() as array<struct<due:bigint,i:int,age:bigint>>),
+        (u, y) -> if(size(u) = 0 and not exists({name}_c, c -> c.age = y), u, slice({held}, 1, cast(greatest(0L, least(100000000L, y - {must})) as int))))"""
+    older = f"filter({name}_c, c -> c.age = array_max(transform({name}_c, z -> z.age)))"
+    none = "cast(array() as array<struct<due:bigint,i:int,age:bigint>>)"
+    out = out.withColumn(f"{name}_u", F.expr(f"case when size({name}_c) = 0 then {none} when array_max(transform({name}_c, c -> c.age)) > 1 then {fold} else {none} end"))
+    out = out.withColumn(f"{name}_u", F.expr(f"case when size({name}_c) = 0 then {none} else array_sort(concat({name}_u, {older})) end"))
+    out = out.withColumn(f"{name}_b", F.expr(f"transform({name}_q, (q, i) -> greatest({open_}, q))"))
+    count = f"cast({at} - {begin} - aggregate(zip_with({name}_b, {done}, (b, n) -> b - n), 0L, (t, n) -> t + n) as int)"
+    out = out.withColumn(f"{name}_u", F.expr(f"transform(slice({name}_u, 1, {count}), u -> u.i)"))
+    out = out.withColumn(name, F.expr(f"transform({name}_b, (b, i) -> b + if(array_contains({name}_u, i), 1L, 0L))"))
+    return out.drop(*[f"{name}_{x}" for x in "qrcbu"])
+
+
+def _halved(rows: DataFrame) -> DataFrame:
+    """Every row of slots from ``lo`` to ``hi`` as two."""
+    cut = _cut(rows.withColumn("mid", F.expr("(lo + hi) div 2")), "mid", "lo", "a", "b", "m")
+    halves = F.expr("explode(array(named_struct('lo', lo, 'hi', mid, 'a', a, 'b', m), named_struct('lo', mid, 'hi', hi, 'a', m, 'b', b))) as h")
+    return cut.select("w", "d", halves).select("w", "d", "h.lo", "h.hi", "h.a", "h.b")
+
+
+def schedule(sources: DataFrame, spec: Mix) -> DataFrame:
+    """(source, nth, slot) of the first ``need`` blocks of all sources (source, slots, need); slots are relative to each other."""
+    total = sources.agg(F.sum("slots")).first()[0] or 1.0
+    whole = F.greatest(F.round(F.col("slots") / total * UNIT), F.lit(float(LEAST))).cast("bigint")
+    table = written(sources.select("source", F.col("need").cast("long").alias("need"), whole.alias("w")), "weights")
+    one = table.agg(F.array_sort(F.collect_list(F.struct("source", "w", "need"))).alias("s")).where("size(s) > 0")
+    one = one.selectExpr("s", "s.w as w", "aggregate(s.w, 0L, (t, x) -> t + x) as d")
+    names = one.select(F.posexplode("s").alias("i", "x")).select("i", "x.source", "x.need")
+    # the last deadline of a wanted block, and slots for one block of the lightest source
+    last = "array_max(transform(s, x -> (cast(x.need as decimal(18,0)) * d + x.w - 1) div x.w))"
+    span = one.selectExpr("size(s) as n", f"{last} as last", "d div array_min(w) as light").first()
+    if span is None:
+        return table.select("source", F.lit(0).cast("long").alias("nth"), F.lit(0).cast("long").alias("slot"))
+    chunks, levels = 1, 0
+    while chunks * spec.period < max(span["n"], min(span["light"], LONGEST * spec.period)):
+        chunks *= 2
+    while spec.period * chunks << levels < span["last"]:
+        levels += 1
+    rows = one.selectExpr("w", "d", "0L as lo", f"{spec.period * chunks << levels}L as hi", "transform(w, x -> 0L) as a")
+    rows = _cut(rows, "hi", "lo", "a", None, "b").select("w", "d", "lo", "hi", "a", "b")
+    tasks, dealt = shuffle_partitions(sources.sparkSession), False
+    for level in range(levels):
+        if not dealt and 1 << level >= 2 * tasks:
+            rows, dealt = rows.repartition(tasks, "lo"), True
+        rows = _halved(rows)
+    rows = rows if dealt else rows.repartition(tasks, "lo")
+    return _filled(rows, spec.period, chunks).join(names, "i").where("nth < need").select("source", "nth", "slot")
+
+
+def _filled(rows: DataFrame, period: int, chunks: int) -> DataFrame:
+    """(i, nth, slot) of the slots of every row, filled in order; places are relative to the row's first slot."""
+    first = "cast(x as decimal(20,0)) * cast(lo as decimal(18,0))"
+    rows = rows.selectExpr("lo", "b", "a", "d", "w", f"transform(w, x -> {first} div d) as q", f"transform(w, x -> cast({first} % d as bigint)) as r")
+    number = "element_at(s.done, i + 1)"
+    ahead = f"({number} - element_at(q, i + 1)) * d - element_at(r, i + 1)"  # release times weight
+    ready = f"{number} < element_at(b, i + 1) and {ahead} < (t + 1) * x"
+    best = f"array_min(filter(transform(w, (x, i) -> case when {ready} then named_struct('due', ({ahead} + d + x - 1) div x, 'i', i, 'n', {number}) end), c -> c is not null))"
+    place = f"""transform(array({best}), c -> named_struct(
+        'done', transform(s.done, (n, i) -> if(i = c.i, n + 1, n)), 'order', concat(s.order, array(named_struct('i', c.i, 'n', c.n)))))[0]"""
+    none = "cast(array() as array<struct<i:int,n:bigint>>)"
+    chunk = f"aggregate(sequence(k * {period}, (k + 1) * {period} - 1), named_struct('done', o.done, 'order', {none}), (s, t) -> {place})"
+    every = f"""aggregate(sequence(0L, {chunks - 1}L), named_struct('done', a, 'order', {none}), (o, k) ->
+        transform(array({chunk}), z -> named_struct('done', z.done, 'order', concat(o.order, z.order)))[0], o -> o.order)"""
+    return rows.select("lo", F.posexplode(F.expr(every)).alias("at", "x")).select("x.i", F.col("x.n").alias("nth"), (F.col("lo") + F.col("at")).alias("slot"))
 
 
 def numbered(rows: DataFrame, cells: DataFrame, cell: Column) -> DataFrame:
@@ -196,7 +156,7 @@ def mix(docs: DataFrame, spec: Mix = Mix(), targets: DataFrame | None = None, ke
     and repeated rows come in any order among each other and keep a place each. A source that has run out leaves its
     slots empty: position has gaps there, and the others keep their order and rates among each other. ``targets`` holds
     (source, weight); the sources it doesn't name, or names with no weight, share one slot a period, so nothing is dropped.
-    An empty table gives no rows. Any number of sources is scheduled, unless ``max_sources`` is set.
+    An empty table gives no rows. More sources than ``max_sources`` are an error, if that is set.
     """
     named = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(NO_SOURCE))
     digest = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
@@ -210,7 +170,7 @@ def mix(docs: DataFrame, spec: Mix = Mix(), targets: DataFrame | None = None, ke
     width = max(1, min(65536, 65536 * spec.cell_rows // max(1, total[1] or 1)))  # digest prefixes in a cell
     cells = counts.groupBy("__source", F.floor(F.col("fine") / width).cast("int").alias("__cell")).agg(F.sum("n").alias("n"))
     sources = weights(size, spec, targets).join(size, "source").select("source", "slots", F.ceil(F.col("n_rows") / spec.block_rows).cast("long").alias("need"))
-    places = written(whole_schedule(written(sources, "sources"), total[0], spec), "schedule").toDF("__source", "__block", "__slot")
+    places = written(schedule(written(sources, "sources"), spec), "schedule").toDF("__source", "__block", "__slot")
     out = numbered(rows, cells, F.floor(fine / width).cast("int"))
     out = out.withColumn("__block", F.floor(F.col("__number") / spec.block_rows).cast("long"))
     out = out.join(places, ["__source", "__block"])

@@ -32,27 +32,27 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-#: Targets: rows of a source to the power 1/2; 1000 slots a period; blocks of 8 rows.
+#: Targets: rows of a source to the power 1/2, as whole numbers of 1e-12; blocks of 8 rows; slot after slot the released block of
+#: earliest deadline.
 MIX = """
 WITH RECURSIVE r AS (SELECT doc_id, coalesce(source, '(none)') AS source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS g FROM documents),
-n AS (SELECT source, sqrt(count(*)) AS w FROM r GROUP BY source),
-a AS (SELECT source, round(w / sum(w) OVER () * (1000 - count(*) OVER ()), 9) AS share, 1000 - count(*) OVER () AS free FROM n),
-b AS (SELECT source, floor(share) AS whole, free - sum(floor(share)) OVER () AS rest, row_number() OVER (ORDER BY share - floor(share) DESC, source) AS k FROM a),
-s AS MATERIALIZED (SELECT list(CAST(1 + whole + CASE WHEN k <= rest THEN 1 ELSE 0 END AS BIGINT) ORDER BY source) AS q, list(source ORDER BY source) AS names FROM b),
-f AS (
-  SELECT 0 AS slot, list_transform(q, lambda x: 0::BIGINT) AS done, -1::BIGINT AS chosen, q FROM s
+n AS (SELECT source, count(*) AS n FROM r GROUP BY source),
+w AS (SELECT source, (n + 7) // 8 AS need, CAST(greatest(round(sqrt(n) / (SELECT sum(sqrt(n)) FROM n) * 1e12), 1e6) AS HUGEINT) AS w FROM n),
+s AS MATERIALIZED (
+  SELECT list(w ORDER BY source) AS w, list(source ORDER BY source) AS names, sum(w) AS d,
+    (SELECT max((need * (SELECT sum(w) FROM w) + w - 1) // w) FROM w) AS slots FROM w
+), f AS (
+  SELECT 0 AS slot, list_transform(w, lambda x: 0::HUGEINT) AS done, -1::BIGINT AS chosen, w, d, slots FROM s
   UNION ALL
-  SELECT slot + 1, list_transform(range(1, len(q) + 1), lambda i: done[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), pick, q
+  SELECT slot + 1, list_transform(range(1, len(w) + 1), lambda i: done[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), pick, w, d, slots
   FROM (
-    SELECT *, list_min(list_filter(list_transform(range(1, len(q) + 1), lambda i: CASE WHEN done[i] < q[i] AND (done[i] * 1000) // q[i] <= slot
-      THEN CAST(ceil((done[i] + 1) * 1000.0::DOUBLE / q[i]) AS BIGINT) * 10000 + i END), lambda x: x IS NOT NULL)) % 10000 AS pick FROM f WHERE slot < 1000
+    SELECT *, CAST(list_min(list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN done[i] * d // w[i] <= slot
+      THEN ((done[i] + 1) * d + w[i] - 1) // w[i] * 100000 + i END), lambda x: x IS NOT NULL)) % 100000 AS BIGINT) AS pick FROM f WHERE slot < slots
   )
-), p AS (SELECT names[chosen] AS source, slot - 1 AS place, row_number() OVER (PARTITION BY chosen ORDER BY slot) - 1 AS nth FROM f, s WHERE chosen > 0),
-c AS (SELECT source, count(*) AS slots FROM p GROUP BY source),
+), p AS (SELECT names[chosen] AS source, slot - 1 AS slot, row_number() OVER (PARTITION BY chosen ORDER BY slot) - 1 AS block FROM f, s WHERE chosen > 0),
 o AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY g) - 1 AS number FROM r)
-SELECT o.doc_id, o.source, number // 8 AS block, CAST(number // 8 // slots * 1000 + place AS BIGINT) AS slot,
-  CAST((number // 8 // slots * 1000 + place) * 8 + number % 8 AS BIGINT) AS position
-FROM o JOIN c USING (source) JOIN p ON p.source = o.source AND p.nth = (number // 8) % slots
+SELECT o.doc_id, o.source, p.block, CAST(p.slot AS BIGINT) AS slot, CAST(p.slot * 8 + number % 8 AS BIGINT) AS position
+FROM o JOIN p ON p.source = o.source AND p.block = number // 8
 """
 
 TOP_K = """

@@ -16,25 +16,64 @@ def rows(spark, counts):
     return spark.createDataFrame([(k, s, "x", 1, 2, "y") for k, (_, s) in enumerate(data)], ROWS)
 
 
-def test_less_than_one_block_from_the_weights(spark):
-    slots = {"a": 500, "b": 333, "c": 100, "d": 60, "e": 6, "f": 1}
-    table = spark.createDataFrame(list(slots.items()), "source string, slots long")
-    order = [r.source for r in mixing.period_schedule(table, mixing.Mix()).orderBy("slot").collect()]
-    assert Counter(order) == slots
-    done = Counter()
-    for t, s in enumerate(order, 1):
+def one_by_one(weight: dict, slots: int) -> list:
+    """The source of every slot: the released block with the earliest deadline, slot after slot. Weights are whole numbers."""
+    total = sum(weight.values())
+    done = dict.fromkeys(sorted(weight), 0)
+    order = []
+    for t in range(slots):
+        # window of block n: n * total // w to -(-(n + 1) * total // w)
+        ready = [(-(-(n + 1) * total // weight[s]), s) for s, n in done.items() if n * total // weight[s] <= t]
+        due, s = min(ready)
+        assert due > t
         done[s] += 1
-        assert all(abs(done[x] - Fraction(t * n, 1000)) < 1 for x, n in slots.items())
+        order.append(s)
+    return order
 
 
-def test_slots_follow_release_times_and_deadlines(spark):
-    rng = random.Random(5)
-    cuts = sorted(rng.sample(range(1, 200), 11))
-    slots = {f"s{i}": b - a for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, 200]))}
-    table = spark.createDataFrame(list(slots.items()), "source string, slots long")
-    for r in mixing.period_schedule(table, mixing.Mix(period=200)).collect():
-        n = slots[r.source]
-        assert r.nth * 200 // n <= r.slot < -(-(r.nth + 1) * 200 // n)
+def gap(order: list, weight: dict) -> Fraction:
+    """Largest gap between a source's slots and its weight times all slots so far."""
+    total, done, worst = sum(weight.values()), dict.fromkeys(weight, 0), 0
+    for t, s in enumerate(order, 1):
+        done[s] += 1
+        worst = max(worst, max(abs(done[x] * total - t * w) for x, w in weight.items()))
+    return Fraction(worst, total)
+
+
+#: The first two were more than one block off with an earlier way to cut periods.
+WEIGHTS = [
+    [4, 3, 58, 97, 57, 12, 3, 3, 2, 1875, 1, 3],
+    [18, 20, 3, 1, 3, 79, 1, 52],
+    [500, 333, 100, 60, 6, 1],
+    [1],
+    [7, 7, 7],
+    [1] * 40,
+    [45, 45, 1, 2, 3, 4],
+]
+
+
+def test_one_by_one_is_less_than_a_block_off_for_any_weights():
+    rng = random.Random(3)
+    for _ in range(2000):
+        top = rng.choice([3, 20, 300, 10**6])
+        weight = {f"s{i}": rng.choice([1, rng.randrange(1, top)]) for i in range(rng.randrange(1, 14))}
+        assert gap(one_by_one(weight, min(sum(weight.values()), 150)), weight) < 1
+
+
+@pytest.mark.parametrize("k", range(len(WEIGHTS)))
+def test_schedule_is_the_one_slot_after_slot(spark, k):
+    weight = {f"s{i:02d}": w for i, w in enumerate(WEIGHTS[k])}
+    table = spark.createDataFrame([(s, float(w), 1 + 1500 * w // sum(weight.values())) for s, w in weight.items()], "source string, slots double, need long")
+    for period in (1, 64) if k < 2 else (37,):
+        got = {r.slot: (r.source, r.nth) for r in mixing.schedule(table, mixing.Mix(period=period)).collect()}
+        unit = {s: max(mixing.LEAST, round(w / sum(weight.values()) * mixing.UNIT)) for s, w in weight.items()}
+        order = one_by_one(unit, max(got) + 1)
+        seen = Counter()
+        for t, s in enumerate(order):
+            need = 1 + 1500 * weight[s] // sum(weight.values())
+            assert got.pop(t, None) == ((s, seen[s]) if seen[s] < need else None)
+            seen[s] += 1
+        assert not got and gap(order, unit) < 1
 
 
 def test_every_row_gets_one_place(spark):
@@ -101,9 +140,22 @@ def test_any_number_of_sources(spark):
     assert len(got) == 1200 and len({r.position for r in got}) == 1200 and Counter(r.source for r in got) == counts
 
 
-def test_groups_of_sources_keep_the_weights(spark):
-    counts = {"a": 300, None: 150, **{f"s{i}": 5 + i for i in range(28)}}
-    got = mixing.mix(rows(spark, counts), mixing.Mix(block_rows=1, period=50, row_sources=8)).collect()
-    assert len({r.position for r in got}) == sum(counts.values()) and Counter(r.source for r in got) == counts
-    weight = {s: n**0.5 for s, n in counts.items()}
-    assert farthest(got, weight, counts) < 3  # one block a level, three levels
+def test_sql_agrees_on_unequal_sources(spark, tmp_path):
+    import duckdb
+
+    from heliogrid.llm import oracles, queries
+
+    counts = {"a": 900, "b": 211, "c": 50, None: 17, "d": 8, "e": 1}
+    rows(spark, counts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op10_mix_sources(spark, str(tmp_path)).select("doc_id", "block", "slot", "position").collect())
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duckdb.sql(f"SELECT doc_id, block, slot, position FROM ({oracles.MIX})").fetchall()
+    assert got == sorted(want)
+
+
+def test_a_light_source_is_scheduled_too(spark):
+    counts = {"a": 400, "b": 40, "c": 1}
+    weight = {"a": 0.9, "b": 0.0999, "c": 0.0001}
+    targets = spark.createDataFrame(list(weight.items()), "source string, weight double")
+    got = mixing.mix(rows(spark, counts), mixing.Mix(block_rows=1, period=50), targets).collect()
+    assert len(got) == 441 and farthest(got, weight, counts) < 1
