@@ -5,8 +5,11 @@
    on blocks that semantic containers label; the containers themselves aren't features.
 3. Log-odds and the containers that tell their role become terminal capacities; neighbouring blocks and blocks of one
    DOM parent are tied by smoothness edges. The minimum cut (Dinic's maximum flow) separates content from the rest, so
-   blocks without clear evidence follow the ones around them. Containers count as far as the classifier agrees with them
-   on the sample, and always less than all ties of a block, so text and flow can overrule them.
+   blocks without clear evidence follow the ones around them.
+4. Containers weigh by how certain their role is. Elements for menus, footers, sidebars and forms, and names made of nothing but words
+   for such parts (``comments``, ``cookie-notice``), outweigh text and ties: prose of readers looks like the article's. A form or name
+   that holds nearly all text of a page is a layout, not a part, and other names are hints: both count as far as the classifier
+   agrees with containers on the sample, and less than all ties of a block, so text and flow can overrule them.
 """
 
 from __future__ import annotations
@@ -53,6 +56,10 @@ ASIDE_WORDS = _names(
     "disqus cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended widget complementary contentinfo search form skip"
 )
+#: Words of parts that may belong to the article, so their names are hints only.
+LOOSE_WORDS = _names("widget related recommended share sharing social skip header")
+#: Words that say nothing about the role of a name they are part of.
+NEUTRAL_WORDS = _names("area bar block bottom box container group inner item items left link links list outer panel right row section site thread top wrap wrapper")
 MAIN_WORDS = _names("article post entry story content main maincontent articlebody postbody body text")
 
 TOKEN = re.compile(
@@ -71,6 +78,8 @@ class HtmlRule:
     max_pages: int = 2_000
     container: float = 2.0  # log-odds of a block inside a container that tells its role, at most; outer ones count half each
     least: float = 0.5  # the same at least
+    certain: float = 20.0  # the same inside a container whose role is certain
+    layout: float = 10.0  # a certain form or name that holds this many times the other text is a layout
     hidden: float = 99.0  # against text that isn't shown
     most: float = 3.0  # log-odds of the classifier at most
     neighbour: float = 1.0  # smoothness between neighbouring blocks
@@ -97,6 +106,7 @@ class Page:
     roles: list[int] = field(default_factory=lambda: [0])
     around: list[float] = field(default_factory=lambda: [0.0])  # roles of all elements around, each counted half as much as the next inner one
     hidden: list[bool] = field(default_factory=lambda: [False])
+    firm: list[int] = field(default_factory=lambda: [0])  # 1: a form or name, 2: another element whose role is certain, which no article is in
     words: list[tuple[str, ...]] = field(default_factory=lambda: [()])
 
 
@@ -121,6 +131,17 @@ def _role(tag: str, words: list[str], in_main: bool) -> int:
     return 0
 
 
+def _firm(tag: str, names: list[list[str]], role: int) -> int:
+    """How certain the role aside is: 2 by the element, 1 for forms and by a name of nothing but words for such parts, else 0."""
+    if role >= 0:
+        return 0
+    if tag == "form":
+        return 1
+    if tag in ASIDE_TAGS or tag == "header":
+        return 2
+    return int(any(not LOOSE_WORDS.intersection(n) and ASIDE_WORDS.intersection(n) and ASIDE_WORDS.union(NEUTRAL_WORDS).issuperset(n) for n in names))
+
+
 def parse(page: str) -> Page:
     """Blocks and elements of a page; anything between < and > that isn't a tag, comment or declaration is text."""
     out = Page()
@@ -170,17 +191,19 @@ def parse(page: str) -> Page:
                     break
             if tag in VOID:
                 continue
-            attrs, words = m["attrs"], []
+            attrs, names = m["attrs"], []
             if attrs:
                 for a in NAMED.finditer(attrs):
                     if a[2] and a[1].lower() in ("class", "id", "role"):
-                        words += WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", a[2]).lower())
+                        names += [WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", n).lower()) for n in a[2].strip("\"'").split()]
+            words = [w for n in names for w in n]
             out.tags.append(tag)
             out.parents.append(stack[-1])
             out.words.append(out.words[stack[-1]] + tuple(words))
             inside = out.roles[stack[-1]]
             hidden = _hidden(attrs)
             role = -1 if hidden else _role(tag, words, inside > 0)
+            out.firm.append(_firm(tag, names, role))
             out.roles.append(role or inside)
             out.around.append(role + out.around[stack[-1]] / 2 if role else out.around[stack[-1]])
             out.hidden.append(hidden or out.hidden[stack[-1]])
@@ -191,6 +214,26 @@ def parse(page: str) -> Page:
     return out
 
 
+def outside(page: Page, rule: HtmlRule) -> list[bool]:
+    """Which elements lie in a container whose role aside is certain; forms and names that hold nearly all other text aren't."""
+    near, text = [0] * len(page.tags), {0: 0}
+    for node in range(1, len(page.tags)):
+        near[node] = node if page.firm[node] else near[page.parents[node]]
+    for block in page.blocks:
+        if not page.hidden[block.node]:
+            text[near[block.node]] = text.get(near[block.node], 0) + len(block.text)
+    out, open_text = [False] * len(page.tags), text[0]
+    for node in range(1, len(page.tags)):
+        out[node] = out[page.parents[node]]
+        if page.firm[node] and not out[node]:
+            inside = text.get(node, 0)
+            if page.firm[node] == 1 and inside > rule.layout * open_text:
+                open_text += inside
+            else:
+                out[node] = True
+    return out
+
+
 def signature(page: Page, block: Block) -> tuple:
     """What the classifier sees of a block: tag, link share, length, sentences, words of its elements' names."""
     n = len(block.text)
@@ -223,10 +266,10 @@ def told(page: Page, block: Block, table: list[float]) -> float:
 
 def log_odds(page: Page, fitted: Fitted, rule: HtmlRule) -> list[float]:
     """Evidence for content of every block: the classifier's, and that of its containers."""
-    out = []
+    out, gone = [], outside(page, rule)
     for block in page.blocks:
         own = max(-rule.most, min(rule.most, told(page, block, fitted.table) - fitted.middle)) + fitted.container * page.around[block.node]
-        out.append(own - rule.hidden if page.hidden[block.node] else own)
+        out.append(own - rule.certain * gone[block.node] - rule.hidden * page.hidden[block.node])
     return out
 
 

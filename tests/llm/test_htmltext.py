@@ -93,6 +93,36 @@ def test_classifier_and_cut_overrule_containers(spark):
     assert all(len(x) == 4 for x in got[:60])
 
 
+def test_prose_in_other_parts_stays_out(spark):
+    """Text looks the same in the article and in what is around it, so the containers decide."""
+    bodies = [site(i, "".join(f"<p>{common.prose(10 * i + j, 40)}.</p>" for j in range(4))) for i in range(60)]
+    texts = [common.prose(900 + j, 40) + "." for j in range(4)]
+    other = "".join(f"<p>{common.prose(950 + j, 40)}.</p>" for j in range(8))  # more than the article
+    flow = "".join(f"<p>{x}</p>" for x in texts)
+    parts = [
+        ("<section class=comments>", "</section>"), ('<div class="sidebar">', "</div>"), ('<div class="cookie-notice">', "</div>"),
+        ("<footer>", "</footer>"), ("<aside>", "</aside>"), ("<div class=ad>", "</div>"), ("<form action=/x>", "</form>"),
+        ("<div id=comments><div class=comment>", "</div></div>"), ("<div class='comment-list'><article class=comment>", "</article></div>"),
+        ("<div role=complementary>", "</div>"), ("<div class='x topNavigation'>", "</div>"), ("<header>", "</header>"),
+    ]
+    menu = "<div><a href=/a>Start</a> <a href=/b>News</a></div>"
+    odd = [f"<html><body>{menu}<article>{flow}</article>{a}{other}{b}</body></html>" for a, b in parts]
+    odd += [f"<html><body>{menu}<article>{flow}{a}{other}{b}</article></body></html>" for a, b in parts if a != "<header>"]
+    odd += [f"<html><body>{menu}{a}{other}{b}<div class=story>{flow}</div></body></html>" for a, b in parts]
+    got = [r.text.split("\n") for r in htmltext.extract(pages(spark, [*bodies, *odd]), RULE).orderBy("page_id").collect()]
+    assert [g == texts for g in got[60:]] == [True] * len(odd)
+    assert all(len(x) == 4 for x in got[:60])
+
+
+def test_layouts_are_no_parts():
+    """A name or form around nearly all text tells nothing, one beside an article does."""
+    prose = "<p>" + "word " * 60 + "</p>"
+    for inner, want in ((f"<form>{prose}</form>", False), (f"<form>{prose}</form>{prose}", True), (f"<div class=right-sidebar><div>{prose}</div><footer>x y</footer></div><p>a</p>", False),
+                        (f"<form><div class=sidebar>{prose}</div>{prose}</form>", True), (f"<aside>{prose}</aside>", True), (f"<div class='post no-sidebar'>{prose}</div>", False)):
+        page = htmltext.parse(f"<body>{inner}</body>")
+        assert htmltext.outside(page, RULE)[page.blocks[0].node] is want
+
+
 def test_containers_alone_stay_below_the_ties():
     page = htmltext.parse("<article>" * 30 + "<p>x</p>" + "</article>" * 30)
     odds = htmltext.log_odds(page, htmltext.Fitted([], 0.0, RULE.container), RULE)
