@@ -29,9 +29,16 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 @dataclass(frozen=True)
 class Vocabulary:
     scores: dict[str, float]
-    longest: int
     byte_score: float
 
+    def tails(self) -> dict[str, float | None]:
+        """Every ending of a piece: the score of those that are pieces themselves, None for the others."""
+        out: dict[str, float | None] = {}
+        for piece in self.scores:
+            for begin in range(1, len(piece)):
+                out.setdefault(piece[begin:], None)
+        return {**out, **self.scores}
+
 
 def load(path: str = PIECES, shift: float = 10.0) -> Vocabulary:
     """Pieces of a sentencepiece file, in the order of their ranks, with scores -log(rank + shift)."""
@@ -41,14 +48,14 @@ def load(path: str = PIECES, shift: float = 10.0) -> Vocabulary:
     normal = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
     normal.sort(key=lambda i: (-model.get_score(i), i))
     scores = {model.id_to_piece(i): -math.log(rank + shift) for rank, i in enumerate(normal)}
-    return Vocabulary(scores, max(map(len, scores), default=1), -math.log(len(scores) + shift) - 10.0)
+    return Vocabulary(scores, -math.log(len(scores) + shift) - 10.0)
 
 
 class TokenTrie:
     """Forward scores and token counts of all prefixes of the inserted pre-tokens; forgets all beyond ``most`` nodes."""
 
     def __init__(self, vocabulary: Vocabulary, most: int = 400_000) -> None:
-        self.pieces, self.longest, self.byte_score, self.most = vocabulary.scores, vocabulary.longest, vocabulary.byte_score, most
+        self.tails, self.byte_score, self.most = vocabulary.tails(), vocabulary.byte_score, most
         self.clear()
 
     def clear(self) -> None:
@@ -68,9 +75,10 @@ class TokenTrie:
     def insert(self, word: str) -> int:
         """Node of a word; nodes that aren't there yet get their values from the path above.
 
-        A node's value is the best score of any segmentation, of equal ones that with the fewest tokens.
+        A node's value is the best score of any segmentation, of equal ones that with the fewest tokens. Pieces that end
+        at a character are looked for from short to long, and no further than some piece has that ending.
         """
-        children, scores, counts = self.children, self.score, self.count
+        children, scores, counts, tails = self.children, self.score, self.count, self.tails
         node, path, known = 0, [0], True
         for c in word:
             key = node << 21 | ord(c)
@@ -81,8 +89,10 @@ class TokenTrie:
                 end = len(path)
                 size = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
                 best, count = scores[path[-1]] + size * self.byte_score, counts[path[-1]] + size
-                for begin in range(max(0, end - self.longest), end):
-                    piece = self.pieces.get(word[begin:end])
+                for begin in range(end - 1, -1, -1):
+                    piece = tails.get(word[begin:end], 0)
+                    if piece == 0:
+                        break
                     if piece is not None:
                         above = path[begin]
                         score = scores[above] + piece
