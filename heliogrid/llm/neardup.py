@@ -7,15 +7,14 @@ words, the whole sequence is the one element; without words the set is empty and
    steps, cut off at both ends. Registers of a union are the larger of the two, so they merge.
 2. Rows of the same set become one class, by a 128-bit digest of the whole set.
 3. Classes that agree on all registers of a band share a bucket, and the smallest class of a bucket is its leader. Every
-   class is compared with its leaders. Classes that share a leader but ended up in several components are candidates
-   too: two of them can only be linked if they share one of the elements that come first in both sets when rare
-   elements come first (prefix filter). In a group of edited copies the rare ones are the edits, so unlinked variants
-   of one text don't meet in pairs. In a group by such an element, the classes outside its largest component are
-   compared with all of other components, 1024 of them at first, then ever more, until no such pair is left. So no
-   candidate is left out, and a group of copies costs one comparison a member, not all pairs. What is rare is told by
-   counts of hashed elements in a table of fixed size; any order would do, but fewer classes meet in this one.
-4. A pair's similarity is estimated by maximum likelihood from how many registers are larger, smaller and equal; pairs
-   that lie 6 standard errors below the limit go. The others are confirmed on the full sets of both texts.
+   class is compared with its leaders, and linked classes form components.
+4. Two linked classes share a bucket, so a leader. Where a leader's classes lie in several components, each of those outside
+   the largest one is compared with all of the leader's classes. For this a class is its difference from the leader's set, a few elements
+   for an edited copy: sizes and the elements that two differences share give the similarity of the sets exactly. The shared ones are
+   counted through postings of the differences, in blocks of bounded size, and a block names one link for each
+   component, so neither pairs nor texts are rows, and a group of copies of one component costs nothing.
+5. A pair's similarity is estimated by maximum likelihood from how many registers are larger, smaller and equal; pairs of class and
+   leader that lie 6 standard errors below the limit go. The others are confirmed on the full sets of both texts.
 """
 
 from __future__ import annotations
@@ -26,15 +25,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliogrid.llm.common import WordHashes, as_bytes, byte_chunks, id_text, mixed, random_words, shingles, words_of, written
 from heliogrid.llm.graph import components
 
 CHUNK = 1 << 20
-FIRST_LEADERS = 1024
-COUNTS_LOG2 = 20  # slots of the table that tells rare elements
+#: Classes that meet a copy of their leader's text in one task, and what a block of differences holds.
+PART_CLASSES = 256
+BLOCK_CLASSES, BLOCK_BYTES = 4096, 8 << 20
 
 
 @dataclass(frozen=True)
@@ -172,88 +172,107 @@ def _likely(pairs: DataFrame, classes: DataFrame, spec: SetSketch) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs with both texts; the leaders' last, so that a task has a leader's pairs one after the other."""
-    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return both.select("a", "b", "text_a", "text_b")
-
-
-def _pair_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
-    """Runs of pairs with the full sets of both texts; a leader's set is kept for the pairs that follow."""
-    hashes, last = WordHashes(), (None, None)
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            sets = []
-            for a, text_a, text_b in zip(batch.column("a").to_pylist(), as_bytes(batch.column("text_a")).to_pylist(), as_bytes(batch.column("text_b")).to_pylist()):
-                if last[0] != a:
-                    last = (a, shingles(words_of(text_a), size, hashes))
-                sets.append((last[1], shingles(words_of(text_b), size, hashes)))
-            yield batch, sets
-
-
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     common = len(np.intersect1d(x, y, assume_unique=True))
     union = len(x) + len(y) - common
     return bool(union) and 100 * common >= percent * union
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, spec: SetSketch) -> DataFrame:
-    """Pairs that meet the limit on the full sets of both texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _pair_sets(batches, spec.words):
-            yield batch.select(["a", "b"]).filter(pa.array([linked(x, y, spec.percent) for x, y in sets], pa.bool_()))
-
-    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long")
-
+def _beside_leaders(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, part, id, text) of the pairs (a, b): the leader's text first (id = a), then the texts of some of its classes.
 
-def _slots(elements: np.ndarray) -> np.ndarray:
-    return (elements >> np.uint64(64 - COUNTS_LOG2)).astype(np.int64)
+    A leader's text is repeated once for every ``PART_CLASSES`` of its classes, not for each.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART_CLASSES).cast("long").alias("parts"))
+    own = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.col("b").alias("id"))
+    leaders = parts.select("a", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.col("a").alias("id"))
+    rows = own.unionAll(leaders).join(texts.toDF("id", "text"), "id").select("a", "part", "id", "text")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("id") != F.col("a"), "id")
 
 
-def _sets(reps: DataFrame, texts: DataFrame) -> DataFrame:
-    return reps.select("rep").distinct().join(texts.toDF("rep", "text"), "rep").select("rep", "text")
+def _leader_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(leader, part, class, set of the leader, set of the class), the leader itself among the classes."""
+    hashes, leader = WordHashes(), np.empty(0, np.uint64)
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("a", "part", "id")]
+        for a, part, key, text in zip(*columns, as_bytes(batch.column("text")).to_pylist()):
+            own = shingles(words_of(text), size, hashes)
+            if key == a:
+                leader = own
+            yield a, part, key, leader, own
 
 
-def element_counts(sets: DataFrame, spec: SetSketch) -> np.ndarray:
-    """How many sets hold an element of each slot; the table's size is fixed, whatever the number of sets."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, spec: SetSketch) -> DataFrame:
+    """Pairs that meet the limit on the full sets of both texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = WordHashes(), np.zeros(1 << COUNTS_LOG2, np.int64)
-        for _, texts in byte_chunks(batches, "text", CHUNK):
-            for t in texts.to_pylist():
-                np.add.at(total, _slots(shingles(words_of(t), spec.words, hashes)), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
-
-    sums = sets.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << COUNTS_LOG2, np.int32)
-    counts[sums["at"].to_numpy()] = np.minimum(sums["n"].to_numpy(), 2**31 - 1)
-    return counts
-
+        found = [(a, key) for a, _, key, x, y in _leader_sets(batches, spec.words) if key != a and linked(x, y, spec.percent)]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-def prefix(elements: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The elements of which two linked sets share one at least: the first ones by count and hash.
-
-    A set shares at least percent of its elements with any set that it is linked with.
-    """
-    first = len(elements) - -(-percent * len(elements) // 100) + 1
-    return elements[np.lexsort((elements, counts[_slots(elements)]))[:first]]
+    return _beside_leaders(pairs, texts).mapInArrow(run, "a long, b long")
 
 
-def _prefix_groups(sets: DataFrame, spec: SetSketch) -> DataFrame:
-    """(bucket, rep): one row for each class and element of its prefix; an element is a bucket."""
-    counts = element_counts(sets, spec)
+def _differences(pairs: DataFrame, texts: DataFrame, spec: SetSketch) -> DataFrame:
+    """(bucket, rep, n, gap): of the leader and every class its number of elements and those in which it differs from the leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for rows, texts in byte_chunks(batches, "text", CHUNK):
-            firsts = [prefix(shingles(words_of(t), spec.words, hashes), counts, spec.percent) for t in texts.to_pylist()]
-            reps = np.repeat(rows.column("rep").to_numpy(zero_copy_only=False), [len(f) for f in firsts])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(reps)], names=["bucket", "rep"])
-
-    return sets.mapInArrow(run, "bucket long, rep long")
+        rows, held = [], 0
+        names, types = ["bucket", "rep", "n", "gap"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        for a, part, key, leader, own in _leader_sets(batches, spec.words):
+            if key != a or part == 0:
+                rows.append((a, key, len(own), np.setxor1d(leader, own, assume_unique=True).tobytes()))
+                held += len(rows[-1][3]) + 32
+            if held > CHUNK:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    return _beside_leaders(pairs, texts).mapInArrow(run, "bucket long, rep long, n long, gap binary")
+
+
+def links_across(outside: pa.Table, members: pa.Table, percent: int) -> pa.Table:
+    """(a, b): each row of ``outside`` with one linked row of ``members`` for each other component. Columns: rep, component, n, gap."""
+    gaps = [np.frombuffer(g, np.uint64) for g in members["gap"].to_pylist()]
+    sizes = np.fromiter(map(len, gaps), np.int64, len(gaps))
+    elements = np.concatenate([np.empty(0, np.uint64), *gaps])
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], np.repeat(np.arange(len(gaps)), sizes)[order]
+    n, component, reps = (members[c].to_numpy() for c in ("n", "component", "rep"))
+    found = []
+    for rep, own, m, gap in zip(*(outside[c].to_pylist() for c in ("rep", "component", "n", "gap"))):
+        gap = np.frombuffer(gap, np.uint64)
+        first, last = np.searchsorted(elements, gap, "left"), np.searchsorted(elements, gap, "right")
+        runs = last - first
+        at = np.repeat(first - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+        apart = len(gap) + sizes - 2 * np.bincount(owner[at], minlength=len(sizes))
+        # twice the union and twice the intersection
+        near = np.flatnonzero((100 * (m + n - apart) >= percent * (m + n + apart)) & (component != own))
+        if len(near):
+            found += [(rep, int(reps[near[k]])) for k in np.unique(component[near], return_index=True)[1]]
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def _blocks(condition: str) -> Column:
+    """Blocks that the rows of a group fall into."""
+    rows, size = F.count(F.expr(f"case when {condition} then 1 end")), F.sum(F.expr(f"case when {condition} then length(gap) + 64 end"))
+    return F.greatest(F.lit(1), F.ceil(rows / BLOCK_CLASSES), F.ceil(size / BLOCK_BYTES)).cast("long")
+
+
+def _across(groups: DataFrame, spec: SetSketch) -> DataFrame:
+    """Links between components of the groups (bucket, rep, component, largest, n, gap): all outside the largest one against all."""
+    counts = groups.groupBy("bucket").agg(_blocks("component <> largest").alias("ni"), _blocks("true").alias("nj"))
+    rows = groups.join(counts, "bucket").select("bucket", "rep", "component", "n", "gap", "largest", "ni", "nj")
+    every = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
+    outside = rows.where("component <> largest").withColumn("i", F.pmod(F.xxhash64("rep"), "ni")).withColumn("j", every("nj"))
+    members = rows.withColumn("j", F.pmod(F.xxhash64("rep", F.lit(1)), "nj")).withColumn("i", every("ni"))
+    keys, columns = ["bucket", "i", "j"], ["bucket", "i", "j", "rep", "component", "n", "gap"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return links_across(left, right, spec.percent)
+
+    members = members.select(*columns).toDF(*columns)  # columns of their own, as both sides are the same rows
+    return outside.select(*columns).groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(run, "a long, b long")
 
 
 def _live(table: DataFrame, component: DataFrame) -> DataFrame:
@@ -297,24 +316,14 @@ def near_duplicates(docs: DataFrame, spec: SetSketch = SetSketch(), key: str = "
     texts = written(rows.join(ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
     links = written(_confirmed(written(_likely(led, classes, spec), "pairs"), texts, spec), "links")
     component = components(links)
-    live = written(_live(led.select(F.col("a").alias("bucket"), F.col("b").alias("rep")), component), "live", narrow=True)
+    own = led.unionAll(led.select("a", F.col("a").alias("b")).distinct())
+    live = written(_live(own.toDF("bucket", "rep"), component), "live", narrow=True)
     if live.limit(1).count():
-        sets = written(_sets(live, texts), "sets")
-        live = written(_live(written(_prefix_groups(sets, spec), "prefixes"), component), "live")
-    order, leaders = F.row_number().over(Window.partitionBy("bucket").orderBy("rep")), FIRST_LEADERS
-    while live.limit(1).count():
-        outside = live.where("component <> largest").withColumn("rank", order)
-        heads = outside.where(F.col("rank") <= leaders).select("bucket", F.col("rep").alias("a"), F.col("component").alias("component_a"))
-        # of two leaders the smaller one takes the pair
-        meet = heads.join(live, "bucket").where("component <> component_a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
-        more = written(_confirmed(written(_likely(meet.distinct(), classes, spec), "pairs"), texts, spec), "links")
+        meet = live.where("bucket <> rep").select(F.col("bucket").alias("a"), F.col("rep").alias("b"))
+        groups = written(_differences(meet, texts, spec).join(live, ["bucket", "rep"]), "differences")
+        more = written(_across(groups, spec), "links", narrow=True)
         if more.limit(1).count():
             component = _merged(component, more)
-        if not outside.where(F.col("rank") > leaders).limit(1).count():
-            break  # all pairs have met
-        rest = live.join(heads.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti")
-        live = written(_live(rest.select("bucket", "rep"), component), "live", narrow=True)
-        leaders *= 8
     classes = classes.select("set_key", "rep").join(component, F.col("rep") == F.col("node"), "left")
     classes = classes.select("set_key", F.coalesce("component", "rep").alias("reached"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")

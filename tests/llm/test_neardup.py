@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from heliogrid.llm import neardup
@@ -74,23 +75,27 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_linked_sets_share_a_prefix_element():
+def test_links_by_differences_are_those_of_the_sets():
     rng = np.random.default_rng(4)
-    counts = rng.integers(0, 5, 1 << neardup.COUNTS_LOG2).astype(np.int32)
-    met = 0
-    for _ in range(300):
-        base = np.unique(rng.integers(0, 300, 90).astype(np.uint64))
-        x, y = (np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(300, 320, 4).astype(np.uint64)])) for _ in "xy")
-        if neardup.linked(x, y, 85):
-            met += 1
-            assert len(np.intersect1d(neardup.prefix(x, counts, 85), neardup.prefix(y, counts, 85)))
-    assert met > 30
-
-
-def test_unlinked_variants_of_one_text(spark):
+    base = np.unique(rng.integers(0, 2**63, 100, dtype=np.uint64))
+    extra = np.unique(rng.integers(0, 2**63, 12, dtype=np.uint64))
+    sets = [np.union1d(base[rng.random(len(base)) < p], extra[rng.random(len(extra)) < 0.3]) for p in [1.0, *rng.uniform(0.85, 1, 60)]]
+    group = rng.integers(0, 5, len(sets))
+    rows = pa.table({"rep": np.arange(len(sets)), "component": group, "n": [len(x) for x in sets], "gap": [np.setxor1d(sets[0], x).tobytes() for x in sets]})
+    got = set(zip(*(neardup.links_across(rows, rows, 85)[c].to_pylist() for c in "ab")))
+    want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if group[i] != group[j] and neardup.linked(x, y, 85)}
+    assert got <= want and {(i, group[j]) for i, j in got} == {(i, group[j]) for i, j in want} and 0 < len(want) < len(sets) ** 2 / 2
+    assert not len(neardup.links_across(rows.slice(0, 0), rows, 85)) and not len(neardup.links_across(rows, rows.slice(0, 0), 85))
+
+
+def test_unlinked_variants_of_one_text(spark, monkeypatch):
     """Variants that are no links of each other but of the base's near copies; some share their edits."""
     base = common.prose(9, 300, 10_000)
     texts = [edited(base, 0.06, i) for i in range(120)] + [edited(edited(base, 0.06, i), 0.01, 500 + i) for i in range(0, 120, 3)]
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(common.table(spark, texts), THREE).collect()}
     want = common.near_components(dict(enumerate(texts)), 3, 85)
-    assert got == want and len(set(want.values())) > 50
+    assert len(set(want.values())) > 50
+    for blocks in ((256, 4096), (7, 25)):
+        monkeypatch.setattr(neardup, "PART_CLASSES", blocks[0])
+        monkeypatch.setattr(neardup, "BLOCK_CLASSES", blocks[1])
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(common.table(spark, texts), THREE).collect()}
+        assert got == want
