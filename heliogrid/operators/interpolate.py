@@ -385,7 +385,7 @@ def interpolate_kriging(cube, points, spec, grid, theta=KRIGING_THETA, ids=("sti
     return at_points(maps, keys, points, list(ids), kernel, ("cells", "nuggets"), **limits)
 
 
-# ---------------------------------------------------------------- hold-out scores
+# ---------------------------------------------------------------- hidden cells
 
 
 def interior_cells(spec: GridSpec, count: int, seed: int = 5) -> np.ndarray:
@@ -393,60 +393,3 @@ def interior_cells(spec: GridSpec, count: int, seed: int = 5) -> np.ndarray:
     rows, cols = np.divmod(np.arange(spec.n_cells), spec.n_lon)
     inner = np.flatnonzero((rows > 0) & (rows < spec.n_lat - 1) & (cols > 0) & (cols < spec.n_lon - 1))
     return np.sort(np.random.RandomState(seed).permutation(inner)[:count])
-
-
-def holdout_scores(cube: DataFrame, spec: GridSpec, cells: np.ndarray, candidates: dict, hidden: np.ndarray) -> DataFrame:
-    """MAE and MSE of interpolators on hidden cells, over all maps.
-
-    ``candidates`` maps a name to a factory (kept cell coordinates -> weights). All of
-    them are linear in the values, so a task scores a batch of maps with a few matrix
-    products and passes on sums only.
-    """
-    kept = np.setdiff1d(np.arange(spec.n_cells), hidden)
-    targets = {"elon": cells[hidden, 0], "nlat": cells[hidden, 1], "elev": cells[hidden, 2]}
-    names = list(candidates)
-    keys = _map_keys(cube, ("value",))
-    maps = map_vectors(cube, keys, spec).select("cells")
-
-    def score(batches):
-        total = {n: np.zeros(3) for n in names}
-        matrices = None
-        for batch in batches:
-            if matrices is None:
-                matrices = {n: candidates[n](cells[kept])(targets) for n in names}
-            values = _matrix(batch.column("cells"))
-            values = values[~np.isnan(values).any(axis=1)]
-            for n in names:
-                error = values[:, kept] @ matrices[n].T - values[:, hidden]
-                total[n] += np.abs(error).sum(), (error**2).sum(), error.size
-        yield pa.RecordBatch.from_pydict(
-            {
-                "candidate": names,
-                "abs_sum": [total[n][0] for n in names],
-                "sq_sum": [total[n][1] for n in names],
-                "n": [int(total[n][2]) for n in names],
-            }
-        )
-
-    partial = maps.mapInArrow(score, "candidate string, abs_sum double, sq_sum double, n bigint")
-    return partial.groupBy("candidate").agg(
-        (F.sum("abs_sum") / F.sum("n")).alias("mae"),
-        (F.sum("sq_sum") / F.sum("n")).alias("mse"),
-        F.sum("n").alias("n"),
-    )
-
-
-def sweep_candidates(draws: int = 100, seed: int = 0) -> dict:
-    """Random kriging lengths and a grid of ridge penalties, as interpolator factories."""
-    # Centre and spread of the drawn lengths (lon, lat, elev).
-    centre, width = (8.0, 8.0, 5.0), (2.0, 2.0, 2.0)
-    thetas = np.abs(np.random.RandomState(seed).normal(centre, width, size=(draws, 3)))
-    chosen = {}
-    for t in thetas:
-        label = "kriging " + " ".join(f"{v:.4f}" for v in t)
-        chosen[label] = lambda kept, t=t: kriging_weights(kept, t)
-    for exponent in range(-7, 1):
-        for normalise in (True, False):
-            label = f"ridge 1e{exponent} {'normalised' if normalise else 'raw'}"
-            chosen[label] = lambda kept, a=10.0**exponent, s=normalise: ridge_trend_weights(kept, a, s)
-    return chosen

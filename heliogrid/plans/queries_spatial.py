@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heliogrid.operators import encode, features, grid, interpolate, reduce
+from heliogrid.operators import encode, features, grid, holdout, interpolate, reduce
 from heliogrid.operators.joins import union_all
 from heliogrid.operators.perturb import perturb_stations
 from heliogrid.plans.queries_reduce import member_interpolation, station_forecasts
@@ -62,25 +62,25 @@ def perturbed_stations(spark, sf):
     return rounded(perturb_stations(dt.stations(spark, sf)))
 
 
-def _hold_out(spark, count=20):
+def _holdout(spark, sf, candidates):
     cells = interpolate.grid_coordinates(dt.grid(spark), dt.GRID)
-    return cells, interpolate.interior_cells(dt.GRID, count)
+    return holdout.holdout(dt.nwp(spark, sf), dt.GRID, cells, candidates, holdout.hidden_sets(dt.GRID))
 
 
 def interp_holdout(spark, sf):
-    cells, hidden = _hold_out(spark)
-    candidates = {
-        "kriging 10 10 10": lambda kept: interpolate.kriging_weights(kept, (10.0, 10.0, 10.0)),
-        "kriging 1 0.4 1": lambda kept: interpolate.kriging_weights(kept, interpolate.KRIGING_THETA),
-        "ridge 0.1": lambda kept: interpolate.ridge_trend_weights(kept),
-    }
-    return rounded(interpolate.holdout_scores(member_mean(spark, sf), dt.GRID, cells, candidates, hidden))
+    """Five sets of twenty hidden inner cells: kriging with the members' spread as nugget and without, spline, ridge."""
+    candidates = [holdout.Kriging(), holdout.Kriging((10.0, 10.0, 10.0), interpolate.FLOOR_NUGGET), holdout.Spline(), holdout.Ridge()]
+    return rounded(holdout.over_sets(_holdout(spark, sf, candidates)))
+
+
+def interp_holdout_ridge(spark, sf):
+    """Ridge trends with and without normalised columns, by set of hidden cells."""
+    return rounded(_holdout(spark, sf, [holdout.Ridge(0.1), holdout.Ridge(0.1, False)]))
 
 
 def interp_param_sweep(spark, sf):
-    cells, hidden = _hold_out(spark)
-    scores = interpolate.holdout_scores(member_mean(spark, sf), dt.GRID, cells, interpolate.sweep_candidates(), hidden)
-    return rounded(scores).orderBy("mse", "candidate")
+    """Random kriging lengths and a grid of ridge penalties, over all sets of hidden cells."""
+    return rounded(holdout.over_sets(_holdout(spark, sf, holdout.sweep()))).orderBy("mse", "candidate")
 
 
 def regrid_dense(spark, sf):
@@ -216,7 +216,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interp_bicubic_spline, interp_linear, interp_ridge_trend, interp_kriging, kriging_nugget,
-        interp_sigma_is_ens_std, interp_per_member, interp_holdout, interp_param_sweep, regrid_dense, conv_box,
+        interp_sigma_is_ens_std, interp_per_member, interp_holdout, interp_holdout_ridge, interp_param_sweep, regrid_dense, conv_box,
         conv_2x2, conv_ring3, resample_zoom, map_standardise, map_vectors, local_features, local_features_hourly,
         global_features, edge_features, edge_labels, kriging_design_matrix, member_design_matrix, encode_kmeans,
         encode_gmm, encode_random_projection, encode_daily_row,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+
 from oracles.base import define, drawn_rows, query, r
 from oracles.models import score_row
 from oracles.spatial import local_rows
@@ -173,7 +177,28 @@ define(
     "local_train", "local_test", "nwp_marked",
 )
 
+# ridge trend on the cells that aren't hidden, of every map and set of hidden inner cells
+_INNER = [8 * i + j for i in range(1, 7) for j in range(1, 7)]
+_HIDDEN = ", ".join(f"({k}, {c})" for k in range(5) for c in sorted(np.random.RandomState(5 + k).permutation(_INNER)[:20]))
+define("hidden_cells", f"SELECT CAST(k AS INTEGER) AS k, CAST(c AS INTEGER) AS c FROM (VALUES {_HIDDEN}) v(k, c)")
+define(
+    "trend_rows",
+    """SELECT concat_ws('|', day, fx, hour, s.k) AS key, s.k, h.c IS NOT NULL AS hidden, lon AS x1, lat AS x2, elev AS x3, y FROM (
+        SELECT day, fx, hour, lat_i, lon_i, avg(value) AS y FROM nwp GROUP BY ALL) m JOIN grid USING (lat_i, lon_i)
+        CROSS JOIN (SELECT DISTINCT k FROM hidden_cells) s LEFT JOIN hidden_cells h ON h.k = s.k AND h.c = 8 * lat_i + lon_i""",
+    "nwp", "grid", "hidden_cells",
+)
+_TREND = predicted("SELECT * FROM trend_rows WHERE NOT hidden", "SELECT * FROM trend_rows WHERE hidden", "1e-1", 3)
+_RAW_TREND = re.sub(r"ELSE sqrt\(sum\(\(x\d - m\d\) \*\* 2\)\) END", "ELSE 1e0 END", _TREND)
+
+
+def _trend_scores(name: str, rows: str) -> str:
+    return f"""SELECT '{name}' AS candidate, k AS hidden_set, {r('avg(abs(pred - y))')} AS mae, {r('avg((pred - y) ** 2)')} AS mse,
+        count(*) AS n FROM ({rows}) GROUP BY k"""
+
+
 SQL = {
+    "interp_holdout_ridge": query("trend_rows", _trend_scores("ridge 0.1", _TREND) + " UNION ALL " + _trend_scores("ridge 0.1 raw", _RAW_TREND)),
     "model_scores": query(
         "local_scored",
         score_row("all", "", "local_scored", 4) + " UNION ALL " + score_row("unmasked", "WHERE NOT is_masked", "local_scored", 4),

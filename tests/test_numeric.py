@@ -165,23 +165,6 @@ def test_filters_and_zoom_against_numpy(spark):
     assert got[(1, 1)] == pytest.approx((m[1:4, 1:4].sum() - m[2, 2]) / 8)
 
 
-def test_holdout_scores_equal_direct_errors(spark, sf):
-    cube = reduce.reduce_axis(dt.nwp(spark, sf), "ens", "mean")
-    cells = interpolate.grid_coordinates(dt.grid(spark), SPEC)
-    hidden = interpolate.interior_cells(SPEC, 20)
-    assert len(hidden) == 20 and not set(hidden) & set(range(8))
-    out = interpolate.holdout_scores(cube, SPEC, cells, {"ridge": interpolate.ridge_trend_weights}, hidden).first()
-    maps = np.array([r["cells"] for r in grid.map_vectors(cube, ["day", "fx", "hour"], SPEC).collect()])
-    kept = np.setdiff1d(np.arange(64), hidden)
-    x = cells[kept] - cells[kept].mean(0)
-    norm = np.sqrt((x**2).sum(0))
-    errors = []
-    for m in maps:
-        beta = np.linalg.solve((x / norm).T @ (x / norm) + 0.1 * np.eye(3), (x / norm).T @ (m[kept] - m[kept].mean()))
-        errors.append(m[kept].mean() + (cells[hidden] - cells[kept].mean(0)) / norm @ beta - m[hidden])
-    assert out["mae"] == pytest.approx(np.abs(errors).mean()) and out["n"] == maps.shape[0] * 20
-
-
 def test_perturbed_copies_are_seeded_and_copy_zero_exact(spark):
     stations = points_of(spark, POINTS)
     a = {(r["stid"], r["copy"]): r for r in perturb_stations(stations).collect()}
