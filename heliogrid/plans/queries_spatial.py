@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heliogrid.operators import encode, features, grid, holdout, interpolate, reduce
+from heliogrid.operators import codebooks, encode, features, grid, holdout, interpolate, reduce, simplices
 from heliogrid.operators.joins import union_all
 from heliogrid.operators.perturb import perturb_stations
 from heliogrid.plans.queries_reduce import member_interpolation, station_forecasts
@@ -34,6 +34,11 @@ def interp_linear(spark, sf):
     return rounded(grid.interpolate_bilinear(member_mean(spark, sf), dt.stations(spark, sf), dt.GRID))
 
 
+def interp_simplex(spark, sf):
+    """Piecewise-linear in longitude, latitude and elevation; NULL outside the hull of the grid's cells."""
+    return rounded(simplices.interpolate_simplices(member_mean(spark, sf), dt.stations(spark, sf), dt.GRID, dt.grid(spark)))
+
+
 def interp_ridge_trend(spark, sf):
     values = interpolate.interpolate_ridge(member_mean(spark, sf), dt.stations(spark, sf), dt.GRID, dt.grid(spark))
     return rounded(values)
@@ -196,8 +201,16 @@ def encode_kmeans(spark, sf):
     return encode.encode_kmeans(encode.one_feature(dt.nwp(spark, sf), "f0"), dt.GRID, CODES)
 
 
+def encode_minibatch(spark, sf):
+    """Distances to a mini-batch codebook, on the known cells of every map."""
+    maps = encode.one_feature(dt.nwp(spark, sf), "f0")
+    return codebooks.encode_minibatch(maps, dt.GRID, codebooks.MiniBatchKMeans(k=CODES))
+
+
 def encode_gmm(spark, sf):
-    return encode.encode_mixture(encode.one_feature(dt.nwp(spark, sf), "f0"), dt.GRID, k=4, dims=3)
+    """Posteriors of a mixture with full covariances over all cells; at most 30 of the default 200 steps of about a third of a second."""
+    maps = encode.one_feature(dt.nwp(spark, sf), "f0")
+    return codebooks.encode_whole_mixture(maps, dt.GRID, codebooks.GaussianMixture(k=CODES, iterations=30))
 
 
 def encode_random_projection(spark, sf):
@@ -215,11 +228,11 @@ def encode_daily_row(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        interp_bicubic_spline, interp_linear, interp_ridge_trend, interp_kriging, kriging_nugget,
+        interp_bicubic_spline, interp_linear, interp_simplex, interp_ridge_trend, interp_kriging, kriging_nugget,
         interp_sigma_is_ens_std, interp_per_member, interp_holdout, interp_holdout_ridge, interp_param_sweep, regrid_dense, conv_box,
         conv_2x2, conv_ring3, resample_zoom, map_standardise, map_vectors, local_features, local_features_hourly,
         global_features, edge_features, edge_labels, kriging_design_matrix, member_design_matrix, encode_kmeans,
-        encode_gmm, encode_random_projection, encode_daily_row,
+        encode_minibatch, encode_gmm, encode_random_projection, encode_daily_row,
     )
 }
 QUERIES["perturb_stations"] = perturbed_stations
