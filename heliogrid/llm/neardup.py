@@ -35,6 +35,8 @@ CHUNK = 1 << 20
 #: Classes that meet a copy of their leader's text in one task, and what a block of differences holds.
 PART_CLASSES = 256
 BLOCK_CLASSES, BLOCK_BYTES = 4096, 8 << 20
+#: Keys that are broadcast after a count proved them to be no more (16 MB); more of them are joined by shuffles.
+BROADCAST_KEYS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -148,9 +150,16 @@ def _buckets(classes: DataFrame, spec: SetSketch) -> DataFrame:
     return classes.select("rep", "registers").mapInArrow(run, "bucket long, rep long")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, spec: SetSketch) -> DataFrame:
-    """Pairs whose estimated similarity isn't clearly below the limit."""
-    side = classes.select("rep", "n_shingles", "registers")
+def _only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in a written table of keys; few keys spare the rows a shuffle."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    keys = keys.toDF(key)
+    return rows.join(F.broadcast(keys) if few else keys, key, "left_semi")
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, keys: DataFrame, spec: SetSketch) -> DataFrame:
+    """Pairs whose estimated similarity isn't clearly below the limit; ``keys`` are those of the pairs."""
+    side = _only(classes.select("rep", "n_shingles", "registers"), keys, "rep")
     both = pairs.join(side.toDF("a", "n_a", "regs_a"), "a").join(side.toDF("b", "n_b", "regs_b"), "b")
     least = spec.percent / 100 - spec.margin
 
@@ -308,13 +317,13 @@ def near_duplicates(docs: DataFrame, spec: SetSketch = SetSketch(), key: str = "
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")),
         "classes",
     )
-    bands = _buckets(classes, spec)
+    bands = _buckets(classes, spec).repartition("bucket")  # one shuffle for the leaders and their classes
     shared = bands.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last")
     led = bands.join(shared.select("bucket", "a"), "bucket").where("rep <> a")
     led = written(led.select("a", F.col("rep").alias("b")).distinct(), "led", narrow=True)
-    ids = led.select(F.col("a").alias("doc_id")).unionAll(led.select("b")).distinct()
-    texts = written(rows.join(ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    links = written(_confirmed(written(_likely(led, classes, spec), "pairs"), texts, spec), "links")
+    ids = written(led.select("a").unionAll(led.select("b")).distinct(), "keys", narrow=True)
+    texts = written(_only(rows, ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    links = written(_confirmed(written(_likely(led, classes, ids, spec), "pairs"), texts, spec), "links")
     component = components(links)
     own = led.unionAll(led.select("a", F.col("a").alias("b")).distinct())
     live = written(_live(own.toDF("bucket", "rep"), component), "live", narrow=True)

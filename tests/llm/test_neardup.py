@@ -94,7 +94,8 @@ def test_unlinked_variants_of_one_text(spark, monkeypatch):
     texts = [edited(base, 0.06, i) for i in range(120)] + [edited(edited(base, 0.06, i), 0.01, 500 + i) for i in range(0, 120, 3)]
     want = common.near_components(dict(enumerate(texts)), 3, 85)
     assert len(set(want.values())) > 50
-    for blocks in ((256, 4096), (7, 25)):
+    for blocks in ((256, 4096, 2_000_000), (7, 25, 10)):
+        monkeypatch.setattr(neardup, "BROADCAST_KEYS", blocks[2])
         monkeypatch.setattr(neardup, "PART_CLASSES", blocks[0])
         monkeypatch.setattr(neardup, "BLOCK_CLASSES", blocks[1])
         got = {r.doc_id: r.component_id for r in neardup.near_duplicates(common.table(spark, texts), THREE).collect()}
