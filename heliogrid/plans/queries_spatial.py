@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heliogrid.operators import codebooks, encode, features, grid, holdout, interpolate, reduce, simplices
+from heliogrid.operators import block_design, codebooks, encode, features, grid, holdout, interpolate, reduce, simplices
 from heliogrid.operators.joins import union_all
 from heliogrid.operators.perturb import perturb_stations
 from heliogrid.plans.queries_reduce import member_interpolation, station_forecasts
@@ -109,6 +109,12 @@ def conv_box(spark, sf):
     return rounded(_filtered(spark, sf, points, weights))
 
 
+def conv_box_station(spark, sf):
+    """The filtered daily maps of all features, attached to every station."""
+    box = block_design.CubeBlock("g", dt.nwp(spark, sf), dt.FEATURES, view=block_design.Box(5, 2))
+    return rounded(block_design.block_design([box], dt.stations(spark, sf), dt.GRID, aux=False))
+
+
 def conv_2x2(spark, sf):
     points, weights = interpolate.window_points(dt.GRID, interpolate.box_kernel(2))
     return rounded(_filtered(spark, sf, points, weights))
@@ -163,6 +169,21 @@ def local_features_hourly(spark, sf):
     return rounded(table)
 
 
+def local_features_blocks(spark, sf):
+    """Means of one feature around the station, hourly means of the other, member spread of daily means, a filtered map, and calendar."""
+    cube = dt.nwp(spark, sf)
+    days = cube.select("day").distinct().select("day", F.abs(F.dayofyear("day") - F.lit(182.625)).alias("center"), F.year("day").alias("year"))
+    blocks = [
+        block_design.CubeBlock("nm", cube, ("f0",)),
+        block_design.CubeBlock("hr", cube, ("f1",), dt.HOURS, hour=None),
+        block_design.CubeBlock("sd", cube, dt.FEATURES, ens="std"),
+        block_design.CubeBlock("hs", cube, ("f0",), hour="std"),
+        block_design.CubeBlock("g", cube, ("f1",), view=block_design.Box(3, 2)),
+        block_design.DayBlock("cal", days, ("center", "year")),
+    ]
+    return rounded(block_design.block_design(blocks, dt.stations(spark, sf), dt.GRID), digits=5)
+
+
 def global_features(spark, sf):
     return rounded(features.global_features(dt.nwp(spark, sf), dt.stations(spark, sf), dt.GRID, dt.FEATURES))
 
@@ -229,8 +250,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         interp_bicubic_spline, interp_linear, interp_simplex, interp_ridge_trend, interp_kriging, kriging_nugget,
-        interp_sigma_is_ens_std, interp_per_member, interp_holdout, interp_holdout_ridge, interp_param_sweep, regrid_dense, conv_box,
-        conv_2x2, conv_ring3, resample_zoom, map_standardise, map_vectors, local_features, local_features_hourly,
+        interp_sigma_is_ens_std, interp_per_member, interp_holdout, interp_holdout_ridge, interp_param_sweep, regrid_dense, conv_box, conv_box_station,
+        conv_2x2, conv_ring3, resample_zoom, map_standardise, map_vectors, local_features, local_features_hourly, local_features_blocks,
         global_features, edge_features, edge_labels, kriging_design_matrix, member_design_matrix, encode_kmeans,
         encode_minibatch, encode_gmm, encode_random_projection, encode_daily_row,
     )
