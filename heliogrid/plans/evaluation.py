@@ -104,21 +104,30 @@ def score_summary(by_fold: DataFrame) -> DataFrame:
 
 
 def cross_val(model, data, labels: DataFrame, folds: int = 5, seed: int = 0) -> DataFrame:
-    """Out-of-fold predictions of any model: (day, stid, fold, y, pred).
+    """Out-of-fold predictions of any model: (day, stid, fold, y, is_masked, pred).
 
-    One fit per fold on the cube and labels of all other days. The fold table has one
-    row per day and filters the cube by a semi join.
+    Station models make their design once, for all days, and write it; a fold is a filter on it, and previous days are those of
+    the calendar. Other models are fitted on the cube and labels of all other days. The fold table has one row per day.
     """
     from dataclasses import replace
 
+    from heliogrid.plans.models import FittedModel, StationModel
+
     assigned = settled(sampling.assign_folds(labels, folds, seed))
     parts = []
+    if isinstance(model, StationModel):
+        train = settled(model.training_rows(data, labels).join(assigned, "day"))
+        rows = settled(model.predict_rows(data).join(assigned, "day"))
     for fold in range(folds):
         inside, outside = assigned.where(F.col("fold") == fold), assigned.where(F.col("fold") != fold)
-        restrict = lambda days: replace(data, cube=data.cube.join(days.select("day"), "day", "left_semi"))
-        fitted = model.fit(restrict(outside), labels.join(outside.select("day"), "day", "left_semi"))
-        parts.append(fitted.predict(restrict(inside)))
-    return labels.join(union_all(parts), ["day", "stid"]).join(assigned, "day")
+        known = labels.join(outside.select("day"), "day", "left_semi")
+        if isinstance(model, StationModel):
+            fitted = FittedModel(model, model.estimator.fit(train.where(F.col("fold") != fold).drop("fold")), known)
+            parts.append(fitted.predict_rows(rows.where(F.col("fold") == fold).drop("fold")))
+        else:
+            restrict = lambda days: replace(data, cube=data.cube.join(days.select("day"), "day", "left_semi"))
+            parts.append(model.fit(restrict(outside), known).predict(restrict(inside)))
+    return mark_imputed(labels).join(union_all(parts), ["day", "stid"]).join(assigned, "day")
 
 
 # ---------------------------------------------------------------- learning curves

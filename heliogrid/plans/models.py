@@ -22,6 +22,7 @@ from heliogrid.operators.labels import drop_masked, mark_imputed, with_external_
 from heliogrid.operators.perturb import COPIES, perturb_stations
 from heliogrid.operators.ridge import Ridge
 from heliogrid.operators.shared_ridge import SharedModel, StationRidge
+from heliogrid.session import settled
 
 
 @dataclass(frozen=True)
@@ -130,7 +131,11 @@ class FittedModel:
     labels: DataFrame
 
     def predict(self, data: ForecastData) -> DataFrame:
-        scored = self.estimator.transform(self.model.predict_rows(data))
+        return self.predict_rows(self.model.predict_rows(data))
+
+    def predict_rows(self, rows: DataFrame) -> DataFrame:
+        """(day, stid, pred) from rows of the model's design."""
+        scored = self.estimator.transform(rows)
         if self.model.extra_keys:
             pred = reduce.mean_prediction(scored)
         else:
@@ -284,6 +289,31 @@ class EnsembledRegressor(BaselineModel):
         return member_rows(data)
 
 
+@dataclass(frozen=True)
+class SeedBlend:
+    """An estimator for each seed, fitted on the same rows; predictions are averaged. ``learner`` makes the estimator of a seed."""
+
+    learner: Callable
+    seeds: tuple[int, ...] = (1, 2, 3)
+
+    def fit(self, df: DataFrame) -> Blended:
+        rows = settled(df)
+        return Blended(tuple(self.learner(seed).fit(rows) for seed in self.seeds))
+
+
+@dataclass(frozen=True)
+class Blended:
+    members: tuple
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``pred``, the mean of the members' predictions; NULL where one of them has none."""
+        scored = df
+        for i, member in enumerate(self.members):
+            scored = member.transform(scored).withColumnRenamed("pred", f"_pred{i}")
+        each = [F.col(f"_pred{i}") for i in range(len(self.members))]
+        return scored.withColumn("pred", sum(each[1:], each[0]) / len(each)).drop(*[f"_pred{i}" for i in range(len(each))])
+
+
 @dataclass(frozen=True)
 class ClimateModel:
     """Mean label by month and station."""

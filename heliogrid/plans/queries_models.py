@@ -116,6 +116,13 @@ def gbt_huber(spark, sf):
     return rounded(fitted.transform(test).select("stid", "day", "y", "pred"), digits=4)
 
 
+def model_seed_blend(spark, sf):
+    """Boosted trees of three seeds, each stage on a draw of the rows, averaged."""
+    train, test = _obs_split(spark, sf)
+    blend = models.SeedBlend(lambda seed: boosting.GradientBoosting(trees=4, depth=3, rate=0.3, max_features=3, subsample=0.6, seed=seed))
+    return rounded(blend.fit(train).transform(test).select("stid", "day", "y", "pred"), digits=4)
+
+
 def gbt_ls(spark, sf):
     train, test = _obs_split(spark, sf)
     fitted = trees.BoostedTrees(loss="squared", **TREES).fit(train)
@@ -226,6 +233,12 @@ def eval_cross_val_model(spark, sf):
     return rounded(evaluation.fold_scores(pairs))
 
 
+def eval_cross_val_errors(spark, sf):
+    """Error breakdown of out-of-fold predictions: absolute error by month, masked labels left out."""
+    pairs = evaluation.cross_val(models.LocalModel(RIDGE), forecast_data(spark, sf), dt.energy_nwp(spark, sf))
+    return rounded(metrics.ae_by_month(metrics.residuals(pairs)), digits=4)
+
+
 def eval_fold_scores(spark, sf):
     """Fold MAEs of the climatology."""
     return rounded(evaluation.fold_scores(evaluation.out_of_fold_climatology(dt.energy(spark, sf))))
@@ -299,10 +312,10 @@ def model_scores(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        ridge_normalised, ridge_cv_alpha, fit_per_station, ridge_cv_station, gbt_lad, gbt_huber, gbt_ls, huber, staged_deviance, feature_importance,
+        ridge_normalised, ridge_cv_alpha, fit_per_station, ridge_cv_station, gbt_lad, gbt_huber, model_seed_blend, gbt_ls, huber, staged_deviance, feature_importance,
         topk_importance, predict_climate, constant_models, model_baseline, model_local, model_edge, model_kriging,
         model_kriging_gbt, model_ensemble, model_perturbed, model_perturbed_predict, model_ensembled_regressor,
-        eval_train_test, eval_cross_val, eval_cross_val_model, eval_fold_scores, eval_learning_curve, eval_learning_curve_forest, submit, eval_scaled_local_gbt,
+        eval_train_test, eval_cross_val, eval_cross_val_model, eval_cross_val_errors, eval_fold_scores, eval_learning_curve, eval_learning_curve_forest, submit, eval_scaled_local_gbt,
         cluster_encode, climate_scores, model_scores,
     )
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heliogrid.functions import dates, solar
-from heliogrid.operators import blocks, grid, labels, metrics, reduce, sampling, sun
+from heliogrid.operators import blocks, grid, interpolate, labels, metrics, reduce, sampling, sun
 from heliogrid.operators.joins import union_all
+from heliogrid.operators.perturb import perturb_stations
 from heliogrid.plans.queries_tables import OBS_KEYS, OBS_VALUES, climate_pairs, daily_obs
 from heliogrid.plans.rounding import r, rounded
 from heliogrid.sources import driver_tables as dt
@@ -99,8 +100,11 @@ def corner_mean_predictions(spark, sf):
 
 
 def perturb_mean_predictions(spark, sf):
-    by_copy = dt.obs(spark, sf).groupBy("day", "stid", F.col("hour").alias("copy")).agg(F.avg("price").alias("pred"))
-    return rounded(reduce.mean_prediction(by_copy), digits=5)
+    """What the daily map of a feature predicts at every perturbed copy of a station, averaged over the copies."""
+    daily = reduce.ensemble_then_hour_mean(dt.nwp(spark, sf).where("fx = 'f0'"))
+    copies = perturb_stations(dt.stations(spark, sf))
+    at_copies = interpolate.interpolate_spline(daily, copies, dt.GRID, ids=("stid", "copy")).withColumnRenamed("value", "pred")
+    return rounded(reduce.mean_prediction(at_copies), digits=5)
 
 
 def seed_blend(spark, sf):

@@ -196,7 +196,6 @@ SQL = {
         FROM cell_mean m JOIN placed p ON m.lat_i IN (p.li, p.li - 1) AND m.lon_i IN (p.lj, p.lj - 1)
         GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""",
     ),
-    "perturb_mean_predictions": mean_over("hour"),
     "seed_blend": mean_over("ens % 3"),
     "metrics_mae_rmse_r2": query("pairs", score_row("all") + " UNION ALL " + score_row("unmasked", "WHERE NOT is_masked")),
     "mae_daily": query("res", f"SELECT day, {r('avg(abs(residual))')} AS mae FROM res GROUP BY 1"),

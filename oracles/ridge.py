@@ -213,6 +213,12 @@ SQL = {
     "eval_cross_val_model": query(
         "local_folded", f"SELECT fold, count(*) AS n, {r('avg(abs(y - pred))')} AS mae FROM ({_LOCAL_FOLDS}) GROUP BY fold"
     ),
+    "eval_cross_val_errors": query(
+        "local_folded nwp_marked",
+        f"""SELECT CAST(month(day) AS INTEGER) AS month, {r('avg(ae)', 4)} AS ae FROM (
+        SELECT day, coalesce(sum(CASE WHEN NOT is_masked THEN abs(p.y - pred) END), 0) AS ae FROM ({_LOCAL_FOLDS}) p
+        JOIN (SELECT day, stid, is_masked FROM nwp_marked) USING (day, stid) GROUP BY day) GROUP BY 1""",
+    ),
     "eval_learning_curve": query(
         "curve_samples later",
         f"""SELECT CAST(a.key // 1000 AS INTEGER) AS size_no, a.size AS n_samples, {r('avg(train)')} AS train_mean,

@@ -111,3 +111,24 @@ def test_kriged_values_and_sigmas(spark, sf):
             mse = variance * (1 - c @ inverse @ c + (1 - ones @ inverse @ c) ** 2 / (ones @ inverse @ ones))
             r = got[m["day"], m["fx"], m["hour"], s["stid"]]
             assert r["value"] == pytest.approx(value, rel=1e-6, abs=1e-6) and r["sigma"] == pytest.approx(np.sqrt(max(mse, 0)), rel=1e-5, abs=1e-6)
+
+
+def test_blend_is_the_mean_of_its_seeds(spark):
+    from heliogrid.operators.boosting import GradientBoosting
+    from tests.test_boosting import problem, rows
+
+    x, y = problem(200, 8)
+    learner = lambda seed: GradientBoosting(trees=2, depth=2, rate=0.5, max_features=2, subsample=0.5, seed=seed)
+    df = rows(spark, x, y)
+    got = {r["id"]: r["pred"] for r in models.SeedBlend(learner, (1, 5)).fit(df).transform(df).collect()}
+    each = [learner(s).fit(df).predict(x) for s in (1, 5)]
+    assert not np.allclose(*each) and np.allclose([got[i] for i in range(200)], np.mean(each, axis=0))
+
+
+def test_cross_validation_of_other_models(spark, sf):
+    """A model that isn't made of station rows goes through the same folds."""
+    data, known = queries_models.forecast_data(spark, sf), dt.energy_nwp(spark, sf)
+    from heliogrid.operators.shared_ridge import StationRidge
+
+    pairs = evaluation.cross_val(models.BaselineModel(StationRidge(alpha=1.0)), data, known, folds=2).collect()
+    assert pairs and {r["fold"] for r in pairs} == {0, 1} and {"is_masked", "pred", "y"} <= set(pairs[0].asDict())
