@@ -10,7 +10,9 @@ that holds the key.
    becomes a minimal perfect hash (levels of bit vectors, a key stays in the first level where it meets no other) that
    indexes compact arrays: 32-bit fingerprint, saturated 32-bit document count, 64-bit last document.
 3. Documents send packed (hash, document) probes to the shards; a shard's partition streams its index first, then the
-   probes, and answers only those whose lines go. No line is joined with a line, and no shard is broadcast.
+   probes, and answers only those whose lines go. No line is joined with a line, and no shard is broadcast. A shard that gets
+   more than ``PROBES`` probes, as the one of a line that a third of the documents hold, is a few megabytes of index; copies of it share
+   the probes.
 4. Answers, gathered by document, meet the texts once.
 """
 
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,7 @@ from heliogrid.llm.common import byte_chunks, id_text, mixed, random_words, shuf
 
 CHUNK = 1 << 22
 SHARD = 1 << 17  # keys of a shard, about
+PROBES = 1 << 21  # probes of a copy of a shard, about (32 MB)
 LEVELS = 24
 LOAD = 2  # bits of a level for each key that reaches it
 WHITE = b" \t\n\r\x0b\x0c"
@@ -155,21 +159,35 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _packed_keys(table: DataFrame, shards: int) -> DataFrame:
-    """(shard, kind 0, a: hashes, b: counts, c: last documents), packed by task and shard."""
+def _copies(table: DataFrame, shards: int) -> dict[int, int]:
+    """Copies of the shards that need more than one, by the probes that the counted documents will send."""
+    high = F.shiftrightunsigned("h", 32)
+    # the upper 32 bits times the shards stay below 2^63 for fewer than 2^31 shards
+    shard = F.shiftrightunsigned(high * F.lit(shards).cast("long"), 32)
+    sizes = table.groupBy(shard.alias("shard")).agg(F.ceil(F.sum("n_docs") / PROBES).cast("long").alias("copies"))
+    return {r["shard"]: r["copies"] for r in sizes.where("copies > 1").collect()}  # one row a shard at most
+
+
+def _packed_keys(table: DataFrame, shards: int, copies: dict[int, int]) -> DataFrame:
+    """(shard, copy, kind 0, a: hashes, b: counts, c: last documents), packed by task and shard, for every copy of the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, n, last = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "n_docs", "last_doc"))
-            yield from _by_shard(0, shards, h.view(np.uint64), n.astype(np.int64), last)
+            pack = _by_shard(0, 0, shards, h.view(np.uint64), n.astype(np.int64), last)
+            yield pack
+            shard = pack.column("shard").to_numpy()
+            for copy in range(1, max([copies.get(x, 1) for x in shard.tolist()], default=1)):
+                more = pack.filter(pa.array([copies.get(x, 1) > copy for x in shard.tolist()], pa.bool_()))
+                yield more.set_column(1, "copy", pa.array([copy] * more.num_rows, pa.int64()))
 
     return table.mapInArrow(run, PACKED)
 
 
-PACKED = "shard long, kind int, a binary, b binary, c binary"
+PACKED = "shard long, copy long, kind int, a binary, b binary, c binary"
 
 
-def _by_shard(kind: int, shards: int, h: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _by_shard(kind: int, copy: int, shards: int, h: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
     shard = _shard(h, shards)
     order = np.argsort(shard, kind="stable")
     at, starts = np.unique(shard[order], return_index=True)
@@ -177,35 +195,39 @@ def _by_shard(kind: int, shards: int, h: np.ndarray, *values: np.ndarray) -> Ite
     columns = [h[order], *(v[order] for v in values)]
     packs = [pa.array([c[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary()) for c in columns]
     packs += [pa.nulls(len(at), pa.binary())] * (3 - len(packs))
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([kind] * len(at), pa.int32()), *packs], schema=PACKED_SCHEMA)
+    fixed = [pa.array(at), pa.array([copy] * len(at), pa.int64()), pa.array([kind] * len(at), pa.int32())]
+    return pa.RecordBatch.from_arrays([*fixed, *packs], schema=PACKED_SCHEMA)
 
 
 PACKED_SCHEMA = pa.schema(
-    [("shard", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
+    [("shard", pa.int64()), ("copy", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
 )
 
 
-def _packed_probes(docs: DataFrame, shards: int, rule: LineRule) -> DataFrame:
-    """(shard, kind 1, a: hashes, b: documents) of the documents' distinct keys."""
+def _packed_probes(docs: DataFrame, shards: int, copies: dict[int, int], rule: LineRule) -> DataFrame:
+    """(shard, copy, kind 1, a: hashes, b: documents) of the documents' distinct keys; packs take turns at the copies of a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId()
         for rows, texts in byte_chunks(batches, "text", CHUNK * 4):
             sets = _doc_hashes(texts.to_pylist(), rule)
             ids = rows.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield from _by_shard(1, shards, np.concatenate(sets), np.repeat(ids, [len(s) for s in sets]))
+            pack = _by_shard(1, 0, shards, np.concatenate(sets), np.repeat(ids, [len(s) for s in sets]))
+            yield pack.set_column(1, "copy", pa.array([turn % copies.get(x, 1) for x in pack.column("shard").to_pylist()], pa.int64()))
+            turn += 1
 
     return docs.where("doc_id is not null").mapInArrow(run, PACKED)
 
 
 def _answers(packed: DataFrame, rule: LineRule) -> DataFrame:
-    """(doc_id, h) of keys whose lines go; a partition holds whole shards, each shard's keys before its probes."""
+    """(doc_id, h) of keys whose lines go; a partition holds whole copies of shards, the keys before the probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, keys, index = None, [], None
         for batch in batches:
             for row in batch.to_pylist():
-                if row["shard"] != shard:
-                    shard, keys, index = row["shard"], [], None
+                if (row["shard"], row["copy"]) != shard:
+                    shard, keys, index = (row["shard"], row["copy"]), [], None
                 a = np.frombuffer(row["a"], np.uint64)
                 b = np.frombuffer(row["b"], np.int64)
                 if row["kind"] == 0:
@@ -228,8 +250,10 @@ def dropped_keys(docs: DataFrame, rule: LineRule) -> DataFrame:
     counted = line_hashes(docs, rule).groupBy("h").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
     keys = written(counted, "line-keys")
     shards = max(1, -(-keys.count() // SHARD))
-    packed = _packed_keys(keys, shards).unionByName(_packed_probes(docs, shards, rule))
-    dealt = packed.repartition(min(shards, 8 * shuffle_partitions(spark)), "shard").sortWithinPartitions("shard", "kind")
+    copies = _copies(keys, shards)
+    packed = _packed_keys(keys, shards, copies).unionByName(_packed_probes(docs, shards, copies, rule))
+    parts = min(shards + sum(copies.values()), 8 * shuffle_partitions(spark))
+    dealt = packed.repartition(parts, "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
     return _answers(dealt, rule).groupBy("doc_id").agg(F.collect_set("h").alias("drop"))
 
 

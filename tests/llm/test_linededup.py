@@ -15,6 +15,24 @@ def test_matches_brute_force(spark):
     assert sum(r.n_dropped for r in rows) > 100
 
 
+def test_copies_of_hot_shards(spark, monkeypatch):
+    """One line in all documents, few probes a copy: the result is the same, and the hot shard has many copies."""
+    monkeypatch.setattr(linededup, "SHARD", 16)
+    monkeypatch.setattr(linededup, "PROBES", 20)
+    monkeypatch.setattr(linededup, "CHUNK", 300)
+    hot = "this line stands in every document of the corpus, whatever it is about"
+    texts = ["\n".join([hot, common.prose(i, 12), f"shared by a few: {i // 7} and so on and on and on"]) for i in range(200)]
+    docs = common.table(spark, texts).repartition(6)
+    rows = linededup.dedup_lines(docs).collect()
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in rows} == common.deduped_lines(list(enumerate(texts)))
+    rule = linededup.LineRule()
+    counted = linededup.line_hashes(docs, rule).groupBy("h").count().toDF("h", "n_docs")
+    shards = -(-counted.count() // 16)
+    copies = linededup._copies(counted, shards)
+    h = np.array([linededup.key_hash(hot.encode(), rule)], np.uint64)
+    assert copies[int(linededup._shard(h, shards)[0])] >= 10 and set(copies) <= set(range(shards))
+
+
 def test_awkward_rows(spark):
     docs = common.messy(spark)
     rows = linededup.dedup_lines(docs, linededup.LineRule(min_docs=2)).collect()
