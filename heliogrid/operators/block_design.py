@@ -128,6 +128,37 @@ def box_means(cells: np.ndarray, spec: g.GridSpec, box: Box) -> np.ndarray:
     return gaps[:, rows][:, :, columns].reshape(len(x), -1)
 
 
+class BoxKernel:
+    """The means of all k x k cells inside the grid as an operator on maps; ``ring`` leaves the middle cell out (k = 3).
+
+    ``points`` are the first rows and columns of the boxes that are wanted.
+    """
+
+    outputs = ("value",)
+
+    def __init__(self, spec: g.GridSpec, k: int, ring: bool = False):
+        self.spec, self.k, self.ring = spec, k, ring
+
+    def places(self) -> dict[str, np.ndarray]:
+        rows, columns = self.spec.n_lat - self.k + 1, self.spec.n_lon - self.k + 1
+        return {"row": np.repeat(np.arange(rows), columns), "col": np.tile(np.arange(columns), rows)}
+
+    def prepare(self, points):
+        return np.asarray(points["row"]), np.asarray(points["col"])
+
+    def run(self, prepared, maps):
+        x = maps[0].reshape(-1, self.spec.n_lat, self.spec.n_lon)
+        known = ~np.isnan(x)
+        filled, gaps = np.where(known, x, 0.0), (~known).astype(float)
+        sums, missing = box_sums(filled, self.k), box_sums(gaps, self.k)
+        if self.ring:
+            sums, missing = sums - filled[:, 1:-1, 1:-1], missing - gaps[:, 1:-1, 1:-1]
+        sums = sums / (self.k**2 - self.ring)
+        sums[missing > 0.5] = np.nan
+        rows, columns = prepared
+        return (sums[:, rows, columns],)
+
+
 def box_filtered(maps: DataFrame, names: list[str], spec: g.GridSpec, box: Box) -> DataFrame:
     """The named arrays of cells replaced by their box means."""
     schema, places = maps.schema, box.places(spec)

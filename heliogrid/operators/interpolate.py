@@ -180,6 +180,28 @@ class LinearKernel:
         return (np.where(touched > 0, np.nan, result),)
 
 
+class SeparableKernel:
+    """Maps -> a lattice, by weights of its rows and of its columns; a missing cell only spoils the points that use it."""
+
+    outputs = ("value",)
+
+    def __init__(self, by_row: np.ndarray, by_column: np.ndarray):
+        self.by_row, self.by_column = by_row, by_column
+
+    def prepare(self, points):
+        return self.by_row, self.by_column
+
+    def run(self, prepared, maps):
+        (values,) = maps
+        x = values.reshape(-1, self.by_row.shape[1], self.by_column.shape[1])
+        absent = np.isnan(x)
+        result = self.by_row @ np.where(absent, 0.0, x) @ self.by_column.T
+        if absent.any():
+            touched = (self.by_row != 0).astype(float) @ absent.astype(float) @ (self.by_column != 0).astype(float).T
+            result = np.where(touched > 0, np.nan, result)
+        return (result.reshape(len(x), -1),)
+
+
 class GaussianProcess:
     """Correlation part of the kriging model, shared by all maps of a grid."""
 
@@ -360,6 +382,16 @@ def interpolate_spline(cube, points, spec, ids=("stid",), **limits):
     return interpolate_linear_kernel(cube, points, spec, spline_weights(spec), ids, **limits)
 
 
+def regrid_spline(cube: DataFrame, spec: GridSpec, per_axis: int = 10) -> DataFrame:
+    """The bicubic spline on a ``per_axis`` times finer lattice: (map keys, point, value), points row by row."""
+    axes = [np.asarray(a, float) for a in (spec.lats, spec.lons)]
+    fine = [a[0] + np.arange(per_axis * a.size) * ((a[-1] - a[0]) / (per_axis * a.size - 1)) for a in axes]
+    kernel = SeparableKernel(*[not_a_knot_weights(a, f) for a, f in zip(axes, fine)])
+    keys = _map_keys(cube, ("value",))
+    points = {"point": np.arange(fine[0].size * fine[1].size, dtype=np.int32)}
+    return at_points(map_vectors(cube, keys, spec), keys, points, ["point"], kernel).withColumn("point", F.col("point").cast("long"))
+
+
 def interpolate_ridge(cube, points, spec, grid, alpha: float = RIDGE_ALPHA, ids=("stid",), **limits):
     weights = ridge_trend_weights(grid_coordinates(grid, spec), alpha)
     return interpolate_linear_kernel(cube, points, spec, weights, ids, **limits)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from heliogrid.operators import block_design, codebooks, encode, features, grid, holdout, interpolate, reduce, simplices
@@ -89,24 +90,22 @@ def interp_param_sweep(spark, sf):
 
 
 def regrid_dense(spark, sf):
-    points = grid.lattice(spark, dt.GRID)
-    dense = interpolate.interpolate_spline(daily_maps(spark, sf), points, dt.GRID, ids=("point",))
-    return rounded(dense)
+    return rounded(interpolate.regrid_spline(daily_maps(spark, sf), dt.GRID))
 
 
 # ---------------------------------------------------------------- convolution, resampling, vectors
 
 
-def _filtered(spark, sf, points, weights, maps=None):
+def _filtered(spark, sf, points, kernel, maps=None):
     maps = daily_maps(spark, sf) if maps is None else maps
     vectors = grid.map_vectors(maps, ["day", "fx"], dt.GRID)
-    kernel = interpolate.LinearKernel(weights)
     return interpolate.at_points(vectors, ["day", "fx"], points, ["row", "col"], kernel)
 
 
 def conv_box(spark, sf):
-    points, weights = interpolate.window_points(dt.GRID, interpolate.box_kernel(5), 2, 2, skip_last_col=True)
-    return rounded(_filtered(spark, sf, points, weights))
+    rows, columns = block_design.Box(5, 2).places(dt.GRID)
+    points = {"row": np.repeat(rows, len(columns)), "col": np.tile(columns, len(rows))}
+    return rounded(_filtered(spark, sf, points, block_design.BoxKernel(dt.GRID, 5)))
 
 
 def conv_box_station(spark, sf):
@@ -116,15 +115,15 @@ def conv_box_station(spark, sf):
 
 
 def conv_2x2(spark, sf):
-    points, weights = interpolate.window_points(dt.GRID, interpolate.box_kernel(2))
-    return rounded(_filtered(spark, sf, points, weights))
+    kernel = block_design.BoxKernel(dt.GRID, 2)
+    return rounded(_filtered(spark, sf, kernel.places(), kernel))
 
 
 def conv_ring3(spark, sf):
     """The ring filter next to the raw map."""
     maps = daily_maps(spark, sf)
-    points, weights = interpolate.window_points(dt.GRID, interpolate.ring_kernel())
-    ring = _filtered(spark, sf, points, weights, maps).withColumn("kind", F.lit("ring"))
+    kernel = block_design.BoxKernel(dt.GRID, 3, ring=True)
+    ring = _filtered(spark, sf, kernel.places(), kernel, maps).withColumn("kind", F.lit("ring"))
     raw = maps.withColumnsRenamed({"lat_i": "row", "lon_i": "col"}).withColumn("kind", F.lit("raw"))
     return rounded(union_all([raw.select("day", "fx", "row", "col", "value", "kind"), ring]))
 
@@ -132,7 +131,7 @@ def conv_ring3(spark, sf):
 def resample_zoom(spark, sf):
     points, weights = interpolate.zoom_points(dt.GRID, 0.25)
     first = daily_maps(spark, sf).where(F.col("fx") == dt.FEATURES[0])
-    return rounded(_filtered(spark, sf, points, weights, first))
+    return rounded(_filtered(spark, sf, points, interpolate.LinearKernel(weights), first))
 
 
 def map_standardise(spark, sf):

@@ -26,7 +26,11 @@ STAND_INS = {
 
 
 def scan_nwp(spark, sf):
-    return dt.nwp(spark, sf)
+    """Writes one table a feature and reads them as one cube."""
+    path = new_shared_path(spark, "cube")
+    for fx in dt.FEATURES:
+        dt.nwp(spark, sf).where(F.col("fx") == fx).drop("fx").write.parquet(f"{path}/{fx}")
+    return tables.load_cube(spark, path, dt.FEATURES)
 
 
 def scan_labels_unpivot(spark, sf):
@@ -39,8 +43,11 @@ def scan_labels_unpivot(spark, sf):
 
 
 def scan_stations(spark, sf):
+    """Writes the station file and reads it with dense numbers."""
+    path = new_shared_path(spark, "stations-csv")
     source = dt.stations(spark, sf).withColumn("stid", F.lpad(F.col("stid").cast("string"), 12, "0"))
-    return tables.number_stations(source)
+    source.write.option("header", True).csv(path)
+    return tables.read_station_csv(spark, path)
 
 
 def scan_grid(spark, sf):

@@ -71,3 +71,29 @@ def test_wrong_blocks(spark):
         bd.CubeBlock("m", data, ("a",), hour=None).maps(SPEC)
     empty = bd.block_design([bd.CubeBlock("m", data.limit(0), ("a",)), bd.CubeBlock("g", data.where(F.lit(False)), ("a",), view=bd.Box(3))], stations, SPEC)
     assert empty.count() == 0
+
+
+def test_kernels_on_maps_with_gaps():
+    from heliogrid.operators import interpolate
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3, 5, 7))
+    x[1, 2, 2] = np.nan
+    for k, ring in ((2, False), (3, False), (3, True)):
+        kernel = bd.BoxKernel(SPEC, k, ring)
+        points = kernel.places()
+        (got,) = kernel.run(kernel.prepare(points), (x.reshape(3, -1),))
+        weight = np.full((k, k), 1 / k**2)
+        if ring:
+            weight[:], weight[1, 1] = 1 / 8, 0
+        for p, (i, j) in enumerate(zip(points["row"], points["col"])):
+            window = x[:, i : i + k, j : j + k]
+            want = (np.nan_to_num(window) * weight).sum(axis=(1, 2))
+            want[(np.isnan(window) & (weight > 0)).any(axis=(1, 2))] = np.nan
+            assert np.allclose(got[:, p], want, equal_nan=True)
+    a, b = rng.normal(size=(4, 5)), rng.normal(size=(6, 7))
+    a[0, 2] = 0
+    dense = (a[:, None, :, None] * b[None, :, None, :]).reshape(24, 35)
+    (one,) = interpolate.SeparableKernel(a, b).run((a, b), (x.reshape(3, -1),))
+    (two,) = interpolate.LinearKernel(dense).run(dense, (x.reshape(3, -1),))
+    assert np.allclose(one, two, equal_nan=True) and np.isnan(one).any() and not np.isnan(one).all()
