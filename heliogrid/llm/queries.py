@@ -58,7 +58,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for pages: language attribute, host and suffix of the address, and the text between tags."""
+    """The same for pages: language attribute, host and suffix of the address, and the text between tags.
+
+    Null and empty pages are rejected as 'und'; scripts and styles aren't text, a tag that isn't closed is; whole pages count, and
+    repeated rows are told each.
+    """
     pages = table(spark, sf_dir, "pages")
     text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
     declared = F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)

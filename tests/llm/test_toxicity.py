@@ -73,3 +73,56 @@ def test_test_data(spark):
     ones = got["toxic"] == 1
     area = (rank[ones].sum() - ones.sum() * (ones.sum() + 1) / 2) / (ones.sum() * (~ones).sum())
     assert area > 0.85
+
+
+def by_hand(texts, label, rule):
+    """Scores of all texts from the definition: n-grams as slices, hashes in whole numbers, the optimum by Newton steps."""
+    from heliogrid.llm.common import random_words
+
+    value, factors = [int(v) for v in random_words(256, 53)], [int(f) | 1 for f in random_words(max(rule.sizes), 59)]
+
+    def bucket(gram):
+        h = sum(value[c] * factors[i] for i, c in enumerate(gram)) % 2**64
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+        return (h ^ h >> 31) >> (64 - rule.buckets_log2)
+
+    def grams(text):
+        raw = b" " + (text or "").encode() + b" "
+        plain = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in raw)
+        while b"  " in plain:
+            plain = plain.replace(b"  ", b" ")
+        return {bucket(plain[i : i + n]) for n in rule.sizes for i in range(len(plain) - n + 1)}
+
+    sets = [grams(t) for t in texts]
+    train = [i for i in label if zlib.crc32(str(i).encode()) % 5]
+    n = {c: sum(label[i] == c for i in train) for c in (0, 1)}
+    held = {c: {} for c in (0, 1)}
+    for i in train:
+        for b in sets[i]:
+            held[label[i]][b] = held[label[i]].get(b, 0) + 1
+    ratio, told = {}, {}
+    for b in set(held[0]) | set(held[1]):
+        share = {c: (held[c].get(b, 0) + rule.alpha) / (n[c] + 2 * rule.alpha) for c in (0, 1)}
+        both = sum(share[c] * n[c] for c in (0, 1)) / (n[0] + n[1])
+        ratio[b] = np.log(share[1] / share[0])
+        told[b] = sum(n[c] * (share[c] * np.log(share[c] / both) + (1 - share[c]) * np.log((1 - share[c]) / (1 - both))) for c in (0, 1))
+    kept = sorted(told, key=lambda b: (-told[b], b))[: rule.features]
+    x = np.array([[ratio[b] * (b in s) for b in kept] + [1.0] for s in sets])
+    y, w = np.array([label[i] for i in train], float), np.zeros(len(kept) + 1)
+    penalty = np.append(np.full(len(kept), rule.penalty), 0.0)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x[train] @ w))
+        w = w - np.linalg.solve((x[train] * (p * (1 - p))[:, None]).T @ x[train] + np.diag(penalty + 1e-9), x[train].T @ (p - y) + penalty * w)
+    return 1 / (1 + np.exp(-x @ w))
+
+
+def test_scores_equal_the_definition(spark):
+    """All features are kept, so ties of their statistic decide nothing."""
+    rule = toxicity.ToxicityRule(features=1 << 20, penalty=1.0, steps=4000)
+    texts = [common.prose(i, 4 + i % 5, 30) + (" Dunderhead!" if i % 4 == 1 else "") for i in range(70)] + ["", None, " \t\n", "É  ü", "ab"]
+    label = {i: int(i % 4 == 1) for i in range(72)}
+    known = labels(spark, label.items())
+    got = {r.doc_id: r for r in toxicity.toxicity(common.table(spark, texts), known, rule).collect()}
+    want = by_hand(texts, label, rule)
+    assert max(abs(got[i].score - want[i]) for i in got) < 2e-3 and want.max() - want.min() > 0.5
