@@ -88,8 +88,8 @@ def test_query_matches_sql(spark, sf, con, name):
     assert compare(entry.queries()[name](spark, sf), con, entry.oracle_sql()[name]) is None
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in OURS) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in OURS) == list(range(1, 14))
 
 
 def test_languages_of_pages(spark, sf):
