@@ -33,28 +33,43 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are elsewhere too; n_chars follows the text. A document that loses all its lines goes."""
+    """Documents without the lines that are elsewhere too; n_chars follows the text. A document that loses all its lines goes.
+
+    Null and empty texts are one empty line and stay as they are. Repeated rows of a key are one document: they lose the same lines. Rows
+    without a key are neither counted nor changed. No rows give no rows.
+    """
     return linededup.strip_lines(docs, LINES).where("n_dropped = 0 or length(trim(text)) > 0").withColumn(
         "n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
     ).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id; of its repeated rows, one."""
+    """One document of each group of near duplicates: the one with the smallest id; of its repeated rows, any one.
+
+    Null, empty and blank texts are linked with nothing and stay, as do rows without a key. No rows give no rows.
+    """
     gone = neardup.near_duplicates(docs, NEAR).where("not kept").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a test item."""
+    """Documents without a copy of a test item.
+
+    A key goes with all its repeated rows if one of them holds a copy. Null and empty texts hold none, null and empty items are no
+    test, rows without a key stay. No documents give no rows, and without test items all documents stay.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaking = leaks.find_leaks(docs, benchmark, LEAKS).where("doc_id is not null").select("doc_id").distinct()
     return docs.join(leaking, "doc_id", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with block, slot and position of the mixture; reading by position interleaves the sources."""
+    """The documents with block, slot and position of the mixture; reading by position interleaves the sources.
+
+    Every row gets a place: null and empty texts, rows without a key, repeated rows, and rows without a source, which are a source of
+    their own. No rows give no rows.
+    """
     return mixing.mix(docs, MIX)
 
 
