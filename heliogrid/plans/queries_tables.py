@@ -156,17 +156,19 @@ def station_grid_index(spark, sf):
 
 
 def local_window_join(spark, sf):
-    means = reduce.hour_then_ensemble(dt.nwp(spark, sf), "mean", "mean")
-    cells = grid.window_cells(dt.stations(spark, sf), dt.GRID, 2)
-    joined = grid.cells_to_stations(means, cells)
-    return rounded(joined.select("day", "fx", "stid", "dlat", "dlon", "value"))
+    """The values of the cells around every station; they meet the stations as those of an index, rounded."""
+    means = rounded(reduce.hour_then_ensemble(dt.nwp(spark, sf), "mean", "mean"))
+    by_index = grid.index_values(means, dt.GRID, grid.window_offsets(2), grid.window_names(2))
+    joined = grid.at_stations(by_index, dt.stations(spark, sf), dt.GRID)
+    return joined.select("day", "fx", "stid", "dlat", "dlon", "value")
 
 
 def edge_corner_join(spark, sf):
-    means = reduce.reduce_axis(dt.nwp(spark, sf), "ens", "mean")
-    cells = grid.corner_cells(dt.stations(spark, sf), dt.GRID)
-    joined = grid.cells_to_stations(means, cells)
-    return rounded(joined.select("day", "fx", "hour", "stid", "corner", "value"))
+    """The values of the four cells around every station; they meet the stations as those of an index, rounded."""
+    means = rounded(reduce.reduce_axis(dt.nwp(spark, sf), "ens", "mean"))
+    by_index = grid.index_values(means, dt.GRID, grid.CORNER_OFFSETS, grid.corner_names())
+    joined = grid.at_stations(by_index, dt.stations(spark, sf), dt.GRID)
+    return joined.select("day", "fx", "hour", "stid", "corner", "value")
 
 
 def climate_lookup(spark, sf):
