@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from heliogrid.functions.expressions import FEATURE_PRESETS, derived_columns, quoted
 from heliogrid.operators import blocks, grid, labels, metrics, reduce, sampling, sun
+from heliogrid.operators.joins import pair_up
 from heliogrid.plans.rounding import rounded
 from heliogrid.session import new_shared_path
 from heliogrid.sources import driver_tables as dt
@@ -34,12 +35,19 @@ def scan_nwp(spark, sf):
 
 
 def scan_labels_unpivot(spark, sf):
-    """Writes the wide label file and reads it back as (station, day) rows."""
-    path = new_shared_path(spark, "labels-csv")
-    wide = tables.submission(dt.energy(spark, sf).withColumnRenamed("y", "pred"), range(1, dt.station_count(spark, sf) + 1))
+    """Writes the wide label file, in rows of ``WIDE`` stations, and reads it back as (station, day) rows: every station on every day."""
+    path, count = new_shared_path(spark, "labels-csv"), dt.station_count(spark, sf)
+    places = spark.range(1, count + 1).select(
+        F.col("id").alias("stid"), F.floor((F.col("id") - 1) / dt.WIDE).alias("block"), ((F.col("id") - 1) % dt.WIDE).cast("int").alias("place")
+    )
+    energy = dt.energy(spark, sf).withColumnRenamed("y", "pred")
+    # one row without a value for each day and block, so that those without labels are written, too
+    blank = pair_up(energy.select("day").distinct(), places.where("place = 0").select("stid")).withColumn("pred", F.lit(None).cast("double"))
+    wide = tables.submission_blocks(energy.select("day", "stid", "pred").unionByName(blank.select("day", "stid", "pred")), places, dt.WIDE)
     wide.write.option("header", True).csv(path)
-    long = tables.read_label_csv(spark, path)
-    return long.select("day", F.col("station").cast("bigint").alias("stid"), "y")
+    long = tables.read_label_blocks(spark, path, dt.WIDE)
+    station = F.col("block") * dt.WIDE + F.col("place") + 1
+    return long.select("day", station.cast("bigint").alias("stid"), "y").where(F.col("stid") <= count)
 
 
 def scan_stations(spark, sf):

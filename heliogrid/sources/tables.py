@@ -55,6 +55,14 @@ def read_label_csv(spark: SparkSession, path: str) -> DataFrame:
     return unpivot_labels(wide, wide.columns[0])
 
 
+def read_label_blocks(spark: SparkSession, path: str, width: int, prefix: str = "s") -> DataFrame:
+    """(day, block, place, y) from label files in rows of ``width`` stations: a header, Date as yyyymmdd, block, s1, s2, ..."""
+    wide = spark.read.option("header", True).csv(path)
+    names = [f"{prefix}{i + 1}" for i in range(width)]
+    values = F.array(*[F.nanvl(F.col(f"`{n}`").cast("double"), F.lit(None)) for n in names])
+    return wide.select(F.to_date("Date", "yyyyMMdd").alias("day"), F.col("block").cast("bigint").alias("block"), F.posexplode(values).alias("place", "y"))
+
+
 STATION_SCHEMA = "stid string, nlat double, elon double, elev double"
 
 

@@ -62,3 +62,15 @@ def test_corner_means_by_hand(spark, tmp_path):
         i, j = (sum(a < x for a in range(8)) for x in (lat, lon))
         cells = [8 * (i + a) + j + b for a, b in grid.CORNER_OFFSETS if 0 <= i + a < 8 and 0 <= j + b < 8]
         assert pred == pytest.approx(sum(9.5 * 64 + c for c in cells) / len(cells))
+
+
+def test_labels_of_more_stations_than_a_file_has_columns(spark, tmp_path):
+    """25 000 stations: a CSV row holds 20 480 columns at most."""
+    spark.range(1, 25_001).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    orders = [(0, 5000.0, "1995-01-01"), (0, 15000.0, "1995-01-01"), (24_999, 10000.0, "1995-01-02"), (98, None, "1995-01-02"), (None, 5000.0, "1995-01-03")]
+    table = spark.createDataFrame(orders, "o_custkey bigint, o_totalprice double, day string")
+    table.select("o_custkey", "o_totalprice", F.to_timestamp("day").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries_tables.scan_labels_unpivot(spark, str(tmp_path))
+    assert got.agg(F.count("*"), F.countDistinct("stid"), F.countDistinct("day")).first() == (75_000, 25_000, 3)
+    known = got.where("y is not null").select(F.dayofmonth("day"), "stid", "y").collect()
+    assert sorted(known) == [(1, 1, 150.0), (2, 25_000, 100.0)]
