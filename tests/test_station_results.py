@@ -1,9 +1,13 @@
 """Results of days x stations rows: by hand on few rows, and plans that neither regroup nor broadcast what grows with them."""
 
+import datetime
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from heliogrid.operators import grid
+from heliogrid.operators import shared_ridge as sr
 from heliogrid.operators.joins import lookup_join
 from heliogrid.plans import queries_reduce, queries_tables
 from tests.test_numeric import SPEC, points_of
@@ -74,3 +78,40 @@ def test_labels_of_more_stations_than_a_file_has_columns(spark, tmp_path):
     assert got.agg(F.count("*"), F.countDistinct("stid"), F.countDistinct("day")).first() == (75_000, 25_000, 3)
     known = got.where("y is not null").select(F.dayofmonth("day"), "stid", "y").collect()
     assert sorted(known) == [(1, 1, 150.0), (2, 25_000, 100.0)]
+
+
+def _ridge_tables(spark, members=("",)):
+    rng = np.random.default_rng(4)
+    days = [datetime.date(2000, 1, 1 + d) for d in range(20)]
+    rows = [(d, m, [float(v) for v in rng.normal(size=3)]) for d in days for m in members]
+    labels = [(s, d, float(rng.normal())) for s in range(7) for d in days if (s, d.day) != (3, 4)]
+    return spark.createDataFrame(rows, "day date, ens string, features array<double>"), spark.createDataFrame(labels, "stid long, day date, y double")
+
+
+def test_a_ridge_keeps_a_number_for_each_coordinate_and_predicts_wanted_pairs(spark):
+    rows, labels = _ridge_tables(spark)
+    rows = rows.drop("ens")
+    fitted = sr.StationRidge(alphas=(0.1, 1.0)).fit(rows, labels)
+    wanted = labels.where("stid < 3 and day(day) > 5").unionByName(spark.createDataFrame([(99, None, 1.0), (2, None, 5.0), (2, datetime.date(1999, 1, 1), 5.0)], labels.schema))
+    got = fitted.predict_pairs(rows, wanted)
+    whole = fitted.predict(rows).join(wanted, ["stid", "day"]).join(fitted.models.select("stid", "alpha", "loo"), "stid")
+    assert sorted(got.collect()) == sorted(whole.select(got.columns).collect()) and got.count() == 3 * 15
+    z = np.linalg.qr(np.random.default_rng(1).normal(size=(50, 4)))[0]
+    assert sr.fit_stations(z, np.ones(4), np.random.default_rng(2).normal(size=(50, 6)), np.array([1.0])).turned.shape == (6, 4)
+
+
+def test_members_are_averaged_in_the_task(spark):
+    rows, labels = _ridge_tables(spark, ("a", "b"))
+    fitted = sr.StationRidge(alpha=1.0).fit(rows, labels)
+    hole = F.when((F.col("ens") == "a") & (F.dayofmonth("day") < 3), F.array(F.lit(None).cast("double"), F.lit(1.0), F.lit(1.0))).otherwise(F.col("features"))
+    hole = F.when(F.dayofmonth("day") == 1, F.array(F.lit(None).cast("double"), F.lit(1.0), F.lit(1.0))).otherwise(hole)
+    rows = rows.withColumn("features", hole)
+    want = {(r["stid"], r["day"]): r["pred"] for r in fitted.predict(rows).groupBy("stid", "day").agg(F.avg("pred").alias("pred")).collect()}
+    got = {(r["stid"], r["day"]): r["pred"] for r in fitted.predict(rows, "ens").collect()}
+    assert want.keys() == got.keys() and all((want[k] is None and got[k] is None) or got[k] == pytest.approx(want[k]) for k in want)
+    assert sum(v is None for v in got.values()) == 7
+
+
+def test_blocks_of_stations_grow_with_the_stations():
+    assert sr._station_blocks(60_000, 2_500, 24) <= 48 and sr._station_blocks(100, 50, 24) == 2
+    assert sr.TASK_NUMBERS >= 20_000 * 360_000 / sr._station_blocks(360_000, 20_000, 24)
