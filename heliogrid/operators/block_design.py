@@ -183,15 +183,25 @@ def box_filtered(maps: DataFrame, names: list[str], spec: g.GridSpec, box: Box)
     return maps.mapInArrow(run, out)
 
 
-def block_design(blocks, stations: DataFrame, spec: g.GridSpec, aux: bool = True, station_classes=None) -> DataFrame:
+def _rounded(field: T.StructField, digits: int) -> Column:
+    column = F.col(f"`{field.name}`")
+    if field.dataType == T.ArrayType(T.DoubleType()):
+        return F.transform(column, lambda v: F.round(v, digits)).alias(field.name)
+    return F.round(column, digits).alias(field.name) if field.dataType == T.DoubleType() else column
+
+
+def block_design(blocks, stations: DataFrame, spec: g.GridSpec, aux: bool = True, station_classes=None, digits: int | None = None) -> DataFrame:
     """One row per (day, station) with the columns of all blocks; days are those of the first block, other blocks may lack some.
 
-    ``aux`` adds the station's place and its cell, ``station_classes`` one column for each class.
+    ``aux`` adds the station's place and its cell, ``station_classes`` one column for each class. With ``digits`` the blocks' values are
+    rounded once a day, before days meet stations.
     """
     names = [b.name for b in blocks]
     if not blocks or len(set(names)) != len(names):
         raise ValueError("blocks must have names of their own")
     days = fold(lambda a, b: a.join(b, "day", "left"), [b.maps(spec) for b in blocks])
+    if digits is not None:
+        days = days.select(*[_rounded(f, digits) for f in days.schema])
     rows = pair_up(days, g.cell_position(stations, spec), spread_left=True)
     extra = one_hot(F.col("stid"), station_classes, "s") if station_classes else []
     if aux:
