@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heliogrid.operators import grid
+from heliogrid.operators import grid, sun
 from heliogrid.operators import shared_ridge as sr
 from heliogrid.operators.joins import lookup_join
-from heliogrid.plans import queries_reduce, queries_tables
+from heliogrid.plans import models, queries_models, queries_reduce, queries_spatial, queries_tables
+from heliogrid.sources import driver_tables as dt
 from tests.test_numeric import SPEC, points_of
 
 PLACES = [(31.0, -106.0, 0.0), (34.25, -102.5, 10.0), (34.5, -102.25, 3.0), (38.0, -99.0, 5.0), (38.5, -98.0, 1.0)]
@@ -115,3 +116,32 @@ def test_members_are_averaged_in_the_task(spark):
 def test_blocks_of_stations_grow_with_the_stations():
     assert sr._station_blocks(60_000, 2_500, 24) <= 48 and sr._station_blocks(100, 50, 24) == 2
     assert sr.TASK_NUMBERS >= 20_000 * 360_000 / sr._station_blocks(360_000, 20_000, 24)
+
+
+def test_whole_maps_and_edge_rows_are_rounded_before_they_meet_stations(spark, sf):
+    """Rounding a column of the result runs once for each day and station; that of a map once for each day."""
+    for query in (queries_spatial.global_features, queries_spatial.edge_features, queries_spatial.conv_box_station):
+        df = query(spark, sf)
+        plan = _plan(df, "optimizedPlan")
+        assert "round(" in plan and "round(" not in plan.split("Join Inner", 1)[0]
+        assert df.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_a_raster_with_the_points_before_needs_no_sort(spark, sf):
+    days = spark.sql("select explode(sequence(date'2000-02-25', date'2000-03-05')) day")
+    span = ((-66.0, 66.0), (-180.0, 180.0))
+    long = sun.terminator(sun.terminator_raster(days, *span))
+    with_before = sun.terminator(sun.terminator_raster(days, *span, before=True))
+    assert sorted(long.collect()) == sorted(with_before.select(long.columns).collect()) and long.count() > 500
+    assert "Window" not in _plan(queries_reduce.terminator_line(spark, sf), "optimizedPlan")
+    assert queries_reduce.terminator_grid(spark, sf).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_the_scaled_local_design_has_labelled_pairs_only(spark, sf, monkeypatch):
+    seen = []
+    real = models.local_table
+    monkeypatch.setattr(models, "local_table", lambda data, **options: seen.append(real(data, **options)) or seen[0])
+    assert queries_models.eval_scaled_local_gbt(spark, sf).count() == 1
+    data, energy = queries_models.forecast_data(spark, sf), dt.energy_nwp(spark, sf)
+    want = real(data).join(energy, ["day", "stid"])
+    assert seen[0].count() == want.count() and seen[0].exceptAll(want.select(seen[0].columns)).isEmpty()
