@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heliogrid.operators import features, interpolate, reduce
-from heliogrid.plans import queries_reduce, queries_spatial
+from heliogrid.plans import models, queries_reduce, queries_spatial
 from tests.test_numeric import SPEC, points_of
 
 PLACES = [(31.0, -106.0, 0.0), (34.25, -102.5, 10.0), (38.0, -99.0, 5.0), (38.5, -100.0, 1.0)]
@@ -75,3 +75,25 @@ def reduce_window():
 
 def test_the_design_matrix_ranks_no_rows_of_stations(spark, sf):
     assert not regrouped(queries_spatial.kriging_design_matrix(spark, sf))
+
+
+class _Odd:
+    """Scores a row by its first and last features; none where the last is unknown."""
+
+    def transform(self, df):
+        return df.withColumn("pred", F.element_at("features", 1) * 3 + F.element_at("features", -1))
+
+
+def test_corners_are_averaged_in_a_row(spark):
+    cube = days_of(spark, [1, 2, 3]).where("not (day = '2000-01-01' and lat_i = 3 and lon_i = 4)")
+    cube = cube.withColumn("value", F.expr("if(day = '2000-01-03' and fx = 'f1', null, value)"))
+    grid = spark.range(64).selectExpr("int(id div 8) lat_i", "int(id % 8) lon_i", "31.0 + id div 8 lat", "id % 8 - 106.0 lon", "double(id) elev")
+    stations = points_of(spark, [*PLACES, (33.5, -102.5, 2.0), (60.0, 10.0, 2.0)])
+    stations = stations.unionByName(stations.where("stid = 1"))
+    data = models.ForecastData(cube, stations, grid, SPEC, ("f0", "f1"), (0, 1), (("f0", "-", "f1"),))
+    fitted = models.FittedModel(models.EdgeModel(), _Odd(), None)
+    rows = models.EdgeModel().predict_rows(data)
+    want, got = fitted.predict_rows(rows), fitted.predict(data)
+    same_rows(want.collect(), got.select(want.columns).collect())
+    assert regrouped(want) and not regrouped(got)
+    assert got.where("pred is null").count() > 0
