@@ -122,9 +122,12 @@ def submission_blocks(pred: DataFrame, places: DataFrame, width: int, prefix: st
     """
     placed = pred.join(places, "stid")
     wide = placed.groupBy("day", "block").pivot("place", list(range(width))).agg(F.first("pred", ignorenulls=True))
-    return wide.select(
-        F.date_format("day", "yyyyMMdd").alias("Date"), "block", *[F.col(f"`{i}`").alias(f"{prefix}{i + 1}") for i in range(width)]
-    )
+    return wide_blocks(wide, [F.col(f"`{i}`") for i in range(width)], prefix)
+
+
+def wide_blocks(df: DataFrame, columns: list, prefix: str = "s") -> DataFrame:
+    """Date, block, and the given columns named s1, s2, ..."""
+    return df.select(F.date_format("day", "yyyyMMdd").alias("Date"), "block", *[c.alias(f"{prefix}{i + 1}") for i, c in enumerate(columns)])
 
 
 def write_submission(pred: DataFrame, stations: DataFrame, path: str, max_stations: int = 10_000) -> None:

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heliogrid.operators import features, interpolate, reduce
-from heliogrid.plans import models, queries_reduce, queries_spatial
+from heliogrid.operators import features, interpolate, reduce, ridge
+from heliogrid.plans import evaluation, models, queries_reduce, queries_spatial
+from heliogrid.sources import tables
 from tests.test_numeric import SPEC, points_of
 
 PLACES = [(31.0, -106.0, 0.0), (34.25, -102.5, 10.0), (38.0, -99.0, 5.0), (38.5, -100.0, 1.0)]
@@ -97,3 +98,25 @@ def test_corners_are_averaged_in_a_row(spark):
     same_rows(want.collect(), got.select(want.columns).collect())
     assert regrouped(want) and not regrouped(got)
     assert got.where("pred is null").count() > 0
+
+
+@pytest.mark.parametrize("scaled", [True, False])
+def test_blocks_of_stations_are_predicted_in_a_row(spark, scaled):
+    """A station that comes twice, one off the grid, one without labels (and alone in its block), an unknown id, an unknown cell."""
+    cube = days_of(spark, [1, 2, 3])
+    stations = points_of(spark, [*PLACES, (60.0, 10.0, 2.0), (33.5, -102.5, 2.0), (35.5, -101.5, 7.0)])
+    stations = stations.unionByName(stations.where("stid = 1")).unionByName(stations.where("stid = 2").withColumn("stid", F.lit(None).cast("bigint")))
+    data = models.ForecastData(cube, stations, None, SPEC, ("f0", "f1"), (0, 1))
+    known = [(datetime.date(2000, 1, d), s, float(d * s + s % 2)) for d in (1, 2, 3) for s in range(6)]
+    labels = spark.createDataFrame(known, "day date, stid bigint, y double")
+    places = tables.station_places(stations, 7)
+    model = models.LocalModel(ridge.Ridge(alpha=1.0))
+    want = tables.submission_blocks(evaluation.submit(model, data, data, labels, scale_labels=scaled), places, 7)
+    got = evaluation.submit_blocks(model, data, data, labels, places, 7, scale_labels=scaled)
+    assert got.columns == want.columns and got.count() == (3 if scaled else 6)
+    same_rows(want.collect(), got.collect())
+    assert regrouped(evaluation.submit(model, data, data, labels, scale_labels=scaled).groupBy("day", "stid").count())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "day" in line.split("]")[0] and "block" in line.split("]")[0]]
+    clipped = models.LocalModel(ridge.Ridge(alpha=1.0), clip=True)
+    same_rows(tables.submission_blocks(evaluation.submit(clipped, data, data, labels), places, 7).collect(), evaluation.submit_blocks(clipped, data, data, labels, places, 7).collect())
