@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heliogrid.operators import features
+from heliogrid.operators import features, grid
 from heliogrid.plans.rounding import rounded
 from tests.test_numeric import SPEC, points_of
 from tests.test_rows_in_tasks import PLACES, days_of
@@ -53,3 +53,9 @@ def test_local_features_write_shared_values_once_in_a_run(spark, tmp_path):
     cube = cube.select("day", "fx", F.lit(0).alias("ens"), F.lit(0).alias("hour"), F.floor(F.col("cell") / 8).cast("int").alias("lat_i"), (F.col("cell") % 8).alias("lon_i"), F.randn(1).alias("value"))
     table = features.local_features(cube, many_places(spark, 1500), SPEC, ("f0", "f1"))
     assert bytes_a_row(rounded(table), tmp_path / "rows") < 8
+
+
+def test_bilinear_values_are_made_by_all_tasks(spark):
+    table = grid.interpolate_bilinear(days_of(spark, range(1, 9)), many_places(spark, 50), SPEC)
+    assert table.count() == 8 * 2 * 2 * 2 * 50
+    assert table.select(F.spark_partition_id().alias("task")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
