@@ -1,11 +1,13 @@
 """Predictions of the composed models and the scores made of them against plain numpy on their collected designs."""
 
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heliogrid.operators import interpolate, labels, reduce
-from heliogrid.operators.grid import map_vectors
+from heliogrid.operators import interpolate, labels, reduce, shared_ridge
+from heliogrid.operators.grid import GridSpec, map_vectors
 from heliogrid.plans import evaluation, models, queries_models, queries_spatial
 from heliogrid.sources import driver_tables as dt
 from tests.test_numeric import direct_ridge
@@ -132,3 +134,41 @@ def test_cross_validation_of_other_models(spark, sf):
 
     pairs = evaluation.cross_val(models.BaselineModel(StationRidge(alpha=1.0)), data, known, folds=2).collect()
     assert pairs and {r["fold"] for r in pairs} == {0, 1} and {"is_masked", "pred", "y"} <= set(pairs[0].asDict())
+
+
+def test_member_examples_are_averaged_and_clipped(spark):
+    """Year, distance from midyear and all cells of a member; the labels of the later days are far from those learned from."""
+    rng = np.random.default_rng(5)
+    days = [datetime.date(1999 + i % 3, 1 + i % 12, 3 + i // 12) for i in range(40)]
+    cube = [(d, "f0", e, 0, i, j, float(rng.normal() + 4 * (d.year - 2000))) for d in days for e in (0, 1) for i in range(2) for j in range(2)]
+    cells = {}
+    for d, _, e, _, i, j, v in cube:
+        cells.setdefault((d, e), {})[i, j] = v
+    spec = GridSpec.of([31, 32], [-106, -105])
+    table = spark.createDataFrame(cube, "day date, fx string, ens int, hour int, lat_i int, lon_i int, value double")
+    data = models.ForecastData(table, None, None, spec, ("f0",), (0,))
+    features = {
+        (d, e): [v for _, v in sorted(c.items())] + [float(d.year), abs(d.timetuple().tm_yday - 182.625)] for (d, e), c in cells.items()
+    }
+    rows = {(r["day"], r["ens"]): r["features"] for r in models.member_rows(data).collect()}
+    assert rows == {k: pytest.approx(v) for k, v in features.items()}
+    train = sorted(days)[:25]
+    known = {(s, d): float(3 * (d.year - 1999) + s * rng.normal()) for s in (1, 2) for d in train}
+    labels_of = spark.createDataFrame([(s, d, y) for (s, d), y in known.items()], "stid long, day date, y double")
+    fitted = models.EnsembledRegressor(shared_ridge.StationRidge(alpha=0.1)).fit(data.days(F.col("day") <= F.lit(train[-1])), labels_of)
+    got = {(r["stid"], r["day"]): r["pred"] for r in fitted.predict(data).collect()}
+    lo, hi = min(known.values()), max(known.values())
+    raw = {}
+    for s in (1, 2):
+        keys = [(d, e) for d in train for e in (0, 1)]
+        b, w = direct_ridge(np.array([features[k] for k in keys]), np.array([known[s, d] for d, _ in keys]), 0.1)
+        raw |= {(s, d): np.mean([b + np.array(features[d, e]) @ w for e in (0, 1)]) for d in days}
+    assert any(v > hi or v < lo for v in raw.values())
+    assert got == {k: pytest.approx(min(max(v, lo), hi), abs=1e-6) for k, v in raw.items()}
+
+
+def test_the_query_of_member_examples_is_clipped(spark, sf, parts):
+    known = parts[2]
+    lo, hi = known.agg(F.min("y"), F.max("y")).first()
+    preds = [r["pred"] for r in queries_models.QUERIES["model_ensembled_regressor"](spark, sf).collect()]
+    assert preds and all(lo <= v <= hi for v in preds)
