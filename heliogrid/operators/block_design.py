@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from heliogrid.functions.dates import one_hot
 from heliogrid.operators import grid as g
+from heliogrid.operators.features import index_rows
 from heliogrid.operators.interpolate import _matrix
-from heliogrid.operators.joins import pair_up
 from heliogrid.operators.reduce import reduce_axis
 
 
@@ -78,8 +78,8 @@ class CubeBlock:
     def _array(self, label: str) -> str:
         return f"{self.name}__{label}"
 
-    def columns(self, spec: g.GridSpec) -> list[Column]:
-        """Values of a (day, station) row that holds the arrays and the station's indices."""
+    def columns(self, spec: g.GridSpec, row: str = "lat_idx", column: str = "lon_idx") -> list[Column]:
+        """Values of a row that holds the arrays of a day and a station's indices, named ``row`` and ``column``."""
         out = []
         for n in self.labels():
             array = F.col(f"`{self._array(n)}`")
@@ -89,7 +89,7 @@ class CubeBlock:
             else:
                 k = self.view.k
                 for i, j in g.window_offsets(k):
-                    value = g.cell_value(array, spec, F.col("lat_idx") + i, F.col("lon_idx") + j)
+                    value = g.cell_value(array, spec, F.col(row) + i, F.col(column) + j)
                     out.append(value.alias(f"{self.name}_{n}_{i + k}_{j + k}"))
         return out
 
@@ -105,7 +105,7 @@ class DayBlock:
     def maps(self, spec: g.GridSpec) -> DataFrame:
         return self.table.select("day", *[F.col(f"`{v}`").cast("double").alias(f"{self.name}__{v}") for v in self.values])
 
-    def columns(self, spec: g.GridSpec) -> list[Column]:
+    def columns(self, spec: g.GridSpec, row: str = "lat_idx", column: str = "lon_idx") -> list[Column]:
         return [F.col(f"`{self.name}__{v}`").alias(f"{self.name}_{v}") for v in self.values]
 
 
@@ -190,11 +190,13 @@ def _rounded(field: T.StructField, digits: int) -> Column:
     return F.round(column, digits).alias(field.name) if field.dataType == T.DoubleType() else column
 
 
-def block_design(blocks, stations: DataFrame, spec: g.GridSpec, aux: bool = True, station_classes=None, digits: int | None = None) -> DataFrame:
+def block_design(
+    blocks, stations: DataFrame, spec: g.GridSpec, aux: bool = True, station_classes=None, digits: int | None = None, finish=lambda table: table
+) -> DataFrame:
     """One row per (day, station) with the columns of all blocks; days are those of the first block, other blocks may lack some.
 
     ``aux`` adds the station's place and its cell, ``station_classes`` one column for each class. With ``digits`` the blocks' values are
-    rounded once a day, before days meet stations.
+    rounded once a day, before days meet stations. ``finish`` is applied to the values of an index and day, and to those of a station.
     """
     names = [b.name for b in blocks]
     if not blocks or len(set(names)) != len(names):
@@ -202,11 +204,12 @@ def block_design(blocks, stations: DataFrame, spec: g.GridSpec, aux: bool = True
     days = fold(lambda a, b: a.join(b, "day", "left"), [b.maps(spec) for b in blocks])
     if digits is not None:
         days = days.select(*[_rounded(f, digits) for f in days.schema])
-    rows = pair_up(days, g.cell_position(stations, spec), spread_left=True)
     extra = one_hot(F.col("stid"), station_classes, "s") if station_classes else []
     if aux:
         extra = [
             *extra, F.col("nlat").alias("lat"), F.col("elon").alias("lon"), "elev", "rel_lat", "rel_lon",
             F.col("lat_idx").cast("double").alias("lat_idx"), F.col("lon_idx").cast("double").alias("lon_idx"),
         ]
-    return rows.select("day", "stid", *[c for b in blocks for c in b.columns(spec)], *extra)
+    placed = g.cell_position(stations, spec)
+    own = finish(placed.select("stid", *extra, F.col("lat_idx").alias("_i"), F.col("lon_idx").alias("_j")))
+    return index_rows(own, ["_i", "_j"], days, [c for b in blocks for c in b.columns(spec, "_i", "_j")], finish)

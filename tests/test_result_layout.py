@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heliogrid.operators import features, grid
+from heliogrid.operators import block_design, features, grid
 from heliogrid.plans.rounding import rounded
 from tests.test_numeric import SPEC, points_of
 from tests.test_rows_in_tasks import PLACES, days_of
@@ -46,15 +46,37 @@ def test_local_features_in_blocks_are_those_of_pairs(spark, monkeypatch, most, o
     assert features.local_features(cube, stations.unionByName(nameless), SPEC, ("f0", "f1"), **options).where("stid is null").count() == 3
 
 
-def test_local_features_write_shared_values_once_in_a_run(spark, tmp_path):
-    cube = spark.range(400).select(F.date_add(F.lit(datetime.date(2000, 1, 1)), F.col("id").cast("int")).alias("day"))
+def days_with_cells(spark, days):
+    cube = spark.range(days).select(F.date_add(F.lit(datetime.date(2000, 1, 1)), F.col("id").cast("int")).alias("day"))
     cells = F.explode(F.sequence(F.lit(0), F.lit(63)))
     cube = cube.crossJoin(spark.createDataFrame([("f0",), ("f1",)], "fx string")).withColumn("cell", cells)
-    cube = cube.select("day", "fx", F.lit(0).alias("ens"), F.lit(0).alias("hour"), F.floor(F.col("cell") / 8).cast("int").alias("lat_i"), (F.col("cell") % 8).alias("lon_i"), F.randn(1).alias("value"))
-    table = features.local_features(cube, many_places(spark, 1500), SPEC, ("f0", "f1"))
+    return cube.select("day", "fx", F.lit(0).alias("ens"), F.lit(0).alias("hour"), F.floor(F.col("cell") / 8).cast("int").alias("lat_i"), (F.col("cell") % 8).alias("lon_i"), F.randn(1).alias("value"))
+
+
+def test_local_features_write_shared_values_once_in_a_run(spark, tmp_path):
+    table = features.local_features(days_with_cells(spark, 400), many_places(spark, 1500), SPEC, ("f0", "f1"))
     assert bytes_a_row(rounded(table), tmp_path / "rows") < 8
 
 
+@pytest.mark.parametrize("names, offsets", [(grid.corner_names(), grid.CORNER_OFFSETS), (grid.window_names(2), grid.window_offsets(2))])
+def test_values_around_stations_are_written_once_in_a_run(spark, tmp_path, names, offsets):
+    means = days_with_cells(spark, 30).drop("ens").withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("value", F.col("value") + F.col("hour"))
+    many_places(spark, 6000).write.parquet(str(tmp_path / "places"))
+    table = grid.at_stations(grid.index_values(means, SPEC, offsets, names), spark.read.parquet(str(tmp_path / "places")), SPEC)
+    assert bytes_a_row(table.select("day", "fx", "hour", "stid", *names[0], "value"), tmp_path / "rows") < 1
+
+
+def test_block_designs_write_shared_values_once_in_a_run(spark, tmp_path):
+    """Values are finished for an index and a day; the rows are those finished pair by pair."""
+    cube, places = days_with_cells(spark, 200), many_places(spark, 3000)
+    blocks = [block_design.CubeBlock("m", cube, ("f0", "f1")), block_design.CubeBlock("g", cube, ("f0",), view=block_design.Box(3, 2))]
+    some, day = places.where("stid < 40"), F.lit(datetime.date(2000, 1, 3))
+    got = block_design.block_design(blocks, some, SPEC, station_classes=[1, 2], finish=lambda t: rounded(t, digits=2)).where(F.col("day") == day)
+    want = rounded(block_design.block_design(blocks, some, SPEC, station_classes=[1, 2]).where(F.col("day") == day), digits=2)
+    assert got.columns == want.columns and in_order(got.collect()) == in_order(want.collect())
+    assert bytes_a_row(block_design.block_design(blocks, places, SPEC, finish=rounded), tmp_path / "rows") < 14
+
+
 def test_bilinear_values_are_made_by_all_tasks(spark):
     table = grid.interpolate_bilinear(days_of(spark, range(1, 9)), many_places(spark, 50), SPEC)
     assert table.count() == 8 * 2 * 2 * 2 * 50
