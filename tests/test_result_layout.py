@@ -66,6 +66,28 @@ def test_values_around_stations_are_written_once_in_a_run(spark, tmp_path, names
     assert bytes_a_row(table.select("day", "fx", "hour", "stid", *names[0], "value"), tmp_path / "rows") < 1
 
 
+def edge_table(spark, cube, stations, pairs=None):
+    cells = spark.range(64).select(F.floor(F.col("id") / 8).cast("int").alias("lat_i"), (F.col("id") % 8).cast("int").alias("lon_i"))
+    cells = cells.select("lat_i", "lon_i", (F.col("lat_i") + 31.0).alias("lat"), (F.col("lon_i") - 106.0).alias("lon"), (F.col("lat_i") * 10.0).alias("elev"))
+    return features.edge_features(cube, stations, cells, SPEC, ("f0", "f1"), (0,), (("f0", "/", "f1"),), pairs, rounded)
+
+
+def test_edge_rows_write_shared_values_once_in_a_run(spark, tmp_path):
+    table = edge_table(spark, days_with_cells(spark, 200), many_places(spark, 3000))
+    assert bytes_a_row(table, tmp_path / "rows") < 14
+
+
+@pytest.mark.parametrize("most", [2, 1024])
+def test_edge_rows_in_blocks_are_those_of_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(features, "BLOCK_STATIONS", most)
+    cube, stations = days_of(spark, [1, 2, 5]), points_of(spark, [*PLACES, *[(34.1 + i / 50, -102.7, float(i)) for i in range(7)]])
+    stations = stations.unionByName(stations.where("stid in (1, 2)")).unionByName(stations.where("stid = 3").withColumn("nlat", F.col("nlat") - 1.5))
+    pairs = cube.select("day").distinct().crossJoin(stations.select("stid").distinct()).withColumn("y", F.lit(0.0))
+    want, got = edge_table(spark, cube, stations, pairs).drop("y"), edge_table(spark, cube, stations)
+    assert got.columns == want.columns and got.schema.simpleString() == want.schema.simpleString()
+    assert in_order(got.collect()) == in_order(want.collect())
+
+
 def test_block_designs_write_shared_values_once_in_a_run(spark, tmp_path):
     """Values are finished for an index and a day; the rows are those finished pair by pair."""
     cube, places = days_with_cells(spark, 200), many_places(spark, 3000)
